@@ -9,26 +9,31 @@ is cut where the windows end. Only the last sequence is shorter than a window.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .staging import staged
 
 WINDOW = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-#: Strings whose ids a worker keeps; beyond it starts anew.
-KEPT = 400_000
-#: A string above this many bytes is tokenized but not kept.
-LONG = 64
+#: Letter strings whose ids a worker keeps; beyond it starts anew.
+KEPT = 600_000
 #: Characters of texts that are looked up in one go.
-BLOCK = 4_000_000
+BLOCK = 12_000_000
+#: A string of plain letters and marks after it, which the vocabulary's rules always part.
+PLAIN = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{134}-\x{148}\x{14a}-\x{17e}]+)(?P<marks>[!-&(-/:;=-@\[-^`{-~]*)$"
 
 
 def vocabulary_path() -> str:
@@ -38,60 +43,95 @@ def vocabulary_path() -> str:
 
 
 @lru_cache(2)
-def _tokenizer(path: str):  # noqa: ANN202
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path), {}
-
-
-def _pack(ids: list[int]) -> bytes:
-    return b"".join(x.to_bytes(4, "little") for x in ids)
+def _tokenizer(path: str) -> tuple[Tokenizer, np.ndarray, dict[str, bytes]]:
+    """The tokenizer, which of its ids end a word, and the ids of strings."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+    tokenizer = Tokenizer.from_file(path)
+    last = np.zeros(tokenizer.get_vocab_size(), bool)
+    last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+    return tokenizer, last, {}
+
+
+def _learn(words: list[str], path: str) -> None:
+    """Tokenizes strings that are one word each, a hundred at a time: the ids that end a word part them."""
+    tokenizer, last, known = _tokenizer(path)
+    groups = [words[i : i + 100] for i in range(0, len(words), 100)]
+    for at in range(0, len(groups), 500):
+        some = groups[at : at + 500]
+        for group, e in zip(some, tokenizer.encode_batch_fast([" ".join(g) for g in some], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = (np.flatnonzero(last[ids]) + 1) * 4
+            raw = ids.tobytes()
+            if len(ends) == len(group):
+                known.update(zip(group, [raw[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)], strict=True))
+            else:
+                known.update(zip(group, [_ids(x, tokenizer) for x in group], strict=True))
+
+
+def _ids(text: str, tokenizer: Tokenizer) -> bytes:
+    return np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def _gather(table: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of the table's entries at these places, one after the other, and how many each has."""
+    ids = np.frombuffer(b"".join(table), "<u4")
+    sizes = np.fromiter(map(len, table), np.int64, len(table)) // 4
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[at]
+    before = np.cumsum(n) - n
+    return ids[np.repeat(starts[at] - before, n) + np.arange(int(n.sum()))], n
+
+
+def _strings(strings: pa.Array, path: str) -> list[bytes]:
+    """The ids of distinct strings without white space."""
+    tokenizer, _, known = _tokenizer(path)
+    if len(known) > KEPT:
+        known.clear()
+    parts = pc.extract_regex(strings, PLAIN)
+    letters = pc.utf8_lower(pc.struct_field(parts, "letters")).dictionary_encode()
+    marks = pc.struct_field(parts, "marks").dictionary_encode()
+    words, signs = letters.dictionary.to_pylist(), marks.dictionary.to_pylist()
+    _learn([w for w in words if w not in known], path)
+    plain = np.asarray(pc.is_valid(parts))
+    other = pc.filter(strings, pa.array(~plain)).to_pylist()
+    table = [*(known[w] for w in words), *(_ids(x, tokenizer) for x in signs), *(np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(other, add_special_tokens=False))]
+    first, second = np.zeros(len(strings), np.int64), np.full(len(strings), len(table))
+    table.append(b"")
+    first[plain] = letters.indices.drop_null().to_numpy()
+    second[plain] = marks.indices.drop_null().to_numpy() + len(words)
+    first[~plain] = np.arange(len(other)) + len(words) + len(signs)
+    ids, n = _gather(table, np.stack((first, second), axis=1).ravel())
+    raw = ids.tobytes()
+    ends = (4 * np.cumsum(n)[1::2]).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
     The vocabulary's rules drop white space and never join what it parts, so a text's ids are
-    those of its strings between spaces, tabs and line breaks, and each is tokenized once. Texts
-    that may hold a special token are tokenized whole.
+    those of its strings between ASCII white space, and each distinct string is tokenized
+    once. Texts that may hold a special token are tokenized whole.
     """
-    tokenizer, known = _tokenizer(path)
-    out: list[bytes | None] = [None] * len(texts)
-    parts: list[list[str] | None] = [None] * len(texts)
+    out: list[bytes] = [b""] * len(texts)
     whole = [i for i, t in enumerate(texts) if "<|" in t]
-    for i, e in zip(whole, tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False), strict=True):
-        out[i] = _pack(e.ids)
-    fresh: dict[str, None] = {}
-    for i, t in enumerate(texts):
-        if out[i] is None:
-            words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            parts[i] = words
-            fresh.update(dict.fromkeys(set(words).difference(known)))
-    new = list(fresh)
-    once = {}
-    for at in range(0, len(new), 50_000):
-        some = new[at : at + 50_000]
-        for w, e in zip(some, tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-            once[w] = _pack(e.ids)
-    if len(known) + len(once) > KEPT:
-        for i, words in enumerate(parts):
-            if words is not None:
-                out[i] = b"".join([known[w] if w in known else once[w] for w in words])
-        known.clear()
-        known.update((w, x) for w, x in list(once.items())[: KEPT // 2] if len(w) <= LONG)
+    rest = [i for i, t in enumerate(texts) if "<|" not in t]
+    for i in whole:
+        out[i] = _ids(texts[i], _tokenizer(path)[0])
+    if not rest:
         return out
-    large = {w: once.pop(w) for w in [w for w in once if len(w) > LONG]}
-    known.update(once)
-    for i, words in enumerate(parts):
-        if words is not None:
-            out[i] = b"".join([large[w] if w in large else known[w] for w in words] if large else map(known.__getitem__, words))
+    lists = pc.ascii_split_whitespace(pa.array([texts[i] for i in rest], pa.large_string()))
+    coded = lists.flatten().dictionary_encode()
+    ids, n = _gather(_strings(coded.dictionary, path), coded.indices.to_numpy())
+    ends, flat = np.concatenate(([0], np.cumsum(n))), ids.tobytes()
+    cuts = (4 * ends[np.asarray(lists.offsets) - lists.offsets[0].as_py()]).tolist()
+    for i, a, b in zip(rest, cuts, cuts[1:], strict=False):
+        out[i] = flat[a:b]
     return out
 
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, part, at, ids): ids as 16-bit little-endian numbers where the vocabulary allows, at their offset in the part."""
-    import numpy as np
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -122,8 +162,6 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, id_col:
     `window` ids without gaps, but for the last one. Repeated rows and ids and null ids are
     packed row by row. Other columns are not read. An empty table gives no piece.
     """
-    import numpy as np
-
     path = path or vocabulary_path()
     coded = staged(tokenize(docs, path, id_col, text_col), "tokens")
     totals = coded.groupBy("part").agg(F.sum("n").alias("n"))
