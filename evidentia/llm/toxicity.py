@@ -158,7 +158,7 @@ def fit_curve(rows: list[tuple[float, int, int]]) -> tuple[float, float, float]:
     """Logistic regression of the label on (evidence, evidence x root of length), by Newton's method with a small ridge."""
     y = np.array([r[2] for r in rows], float)
     if not len(y) or y.min() == y.max():
-        share = (y.sum() + 0.5) / (len(y) + 1)
+        share = (y.sum() + 0.5) / (len(y) + 2)  # without labels nothing is toxic
         return 0.0, 0.0, math.log(share / (1 - share))
     s = np.array([r[0] for r in rows])
     x = np.stack([s, s * np.sqrt([r[1] for r in rows])], axis=1)
