@@ -8,8 +8,8 @@ this order share the longest prefix. From a kept position the match is extended
 along the suffix and to the left before it, and matches of LEAST words or more are reported.
 Matches of neighbouring positions are merged.
 
-A suffix carries REACH words to either side, each as a 16-bit hash; longer passages are
-covered by the suffixes along them. Suffixes whose first words occur once in the corpus are
+A suffix carries RIGHT words from its position on and LEFT words before it, each as a 16-bit
+hash; longer passages are covered by the suffixes along them. Suffixes whose first words occur once in the corpus are
 dropped before any context is built. Equal contexts are one row with a count, so a passage
 that stands in a third of all documents is few rows in the sort.
 
@@ -28,11 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import staged
+from .staging import drop_path, new_path, staged
 
 GRAM, WINDOW, LEAST = 8, 32, 50
-#: Words of context on either side of a kept position.
-REACH = 64
+#: Words of context after and before a kept position. A match of LEAST words has its first
+#: kept position within WINDOW words of its start; its end is within LEAST words of a kept
+#: position that has enough of the match on both sides to be reported.
+RIGHT, LEFT = LEAST, WINDOW
 SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,7 +89,7 @@ def contexts(docs: DataFrame) -> DataFrame:
                 at, h = minimisers(words)
                 small = (words >> np.uint64(48)).astype(">u2")
                 for p, x in zip(*(v[np.isin(h, shared)].tolist() for v in (at, h)), strict=True):
-                    out.append((rid, doc, p, x, small[p : p + REACH].tobytes(), small[max(0, p - REACH) : p][::-1].tobytes()))
+                    out.append((rid, doc, p, x, small[p : p + RIGHT].tobytes(), small[max(0, p - LEFT) : p][::-1].tobytes()))
                 if len(out) > 20_000:
                     yield _frame(out)
                     out = []
@@ -124,10 +126,13 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     doc_id and one text are given once. Other columns are not read.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    suffixes = staged(kept_suffixes(base), "suffixes")
+    spark, path = docs.sparkSession, new_path(docs.sparkSession, "suffixes")
+    kept_suffixes(base).write.parquet(path)
+    suffixes = spark.read.schema("rid long, h long").parquet(path)
     repeated = suffixes.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     shared = suffixes.join(repeated, "h").groupBy("rid").agg(F.collect_set("h").alias("shared"))
     held = staged(contexts(base.withColumn("rid", _rid()).join(shared, "rid")), "contexts")
+    drop_path(spark, path)
     kinds = held.groupBy("h", "right", "left").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     near = kinds.withColumn("kind", F.xxhash64("h", "right", "left"))
     this = F.struct("right", "left", "lo", "hi", "least", "most")
