@@ -44,7 +44,9 @@ SECRET = r"(?i:(?<![\p{L}\p{N}])(?:token|password|passwd|secret|api_?key)\"? ?[=
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{Ll}}'\-]++(?: \p{{Lu}}[\p{{Ll}}'\-]++)?"
 #: In order of precedence: (type, pattern).
 TYPES = (("email", EMAIL), ("key", KEY), ("secret", SECRET), ("ssn", SSN), ("phone", PHONE), ("card", CARD), ("ip", IPV4), ("iban", IBAN), ("name", NAME))
-PATTERN = "|".join(p for _, p in TYPES)
+#: What every type begins with, tested once for each word: no letter or number before it, and a capital, a digit, `+`, `(`, the local part of an address or a secret's name.
+START = rf"(?<![\p{{L}}\p{{N}}])(?=[\p{{Lu}}\d+(]|[{_TOKEN}]++@|(?i:token|pass|secret|api))"
+PATTERN = rf"{START}(?:{'|'.join(p for _, p in TYPES)})"
 
 #: Letters that surrogates of each script are made of. Fixed values.
 LATIN = "abcdefghijklmnopqrstuvwxyz"
@@ -162,14 +164,19 @@ def _named(shape: Column, kind: Column, stream: Column, longer: int) -> Column:
     return F.concat(F.when(cyrillic, syllables(SYLLABLES_CYRILLIC)).otherwise(syllables(SYLLABLES)), end)
 
 
-def surrogate(kind: Column, canon: Column, shape: Column, key: str, attempt: int) -> Column:
-    """The attempt-th draw for an entity: a function of the key, its type and its canonical form."""
+def with_surrogates(entities: DataFrame, key: str, attempt: int) -> DataFrame:
+    """entities with the attempt-th draw for each in `drawn`: a function of the key, its type and its canonical form.
+
+    The stream of hash digits and the filled shape are columns of their own, so each is computed once.
+    """
+    kind, shape, stream = F.col("type"), F.col("shape"), F.col("_stream")
     named = kind.startswith("first_") | (kind == "surname")
-    seed = F.concat_ws("|", F.lit(key), kind, canon, F.lit(str(attempt)))
-    stream = F.concat(*(F.sha2(F.concat_ws("|", F.lit(str(i)), seed), 512) for i in range(3)))
+    seed = F.concat_ws("|", F.lit(key), kind, "canon", F.lit(str(attempt)))
     longer = max(0, attempt - SAME_LENGTH + 1)
-    filled = _fill(F.concat(shape, F.lit("0" * longer)) if longer else shape, kind, stream)
-    return F.when(named, _named(shape, kind, stream, longer)).when(kind == "ip", _address(shape, stream)).when(kind == "card", _card(shape, filled)).otherwise(filled)
+    streams = entities.withColumn("_stream", F.concat(*(F.sha2(F.concat_ws("|", F.lit(str(i)), seed), 512) for i in range(3))))
+    filled = streams.withColumn("_filled", _fill(F.concat(shape, F.lit("0" * longer)) if longer else shape, kind, stream))
+    drawn = F.when(named, _named(shape, kind, stream, longer)).when(kind == "ip", _address(shape, stream)).when(kind == "card", _card(shape, F.col("_filled"))).otherwise(F.col("_filled"))
+    return filled.withColumn("drawn", drawn).drop("_stream", "_filled")
 
 
 def render(kind: Column, value: Column, drawn: Column) -> Column:
@@ -191,24 +198,25 @@ def draw_surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(type, canon, drawn) for distinct entities (type, canon, shape): no two of a type share a surrogate, and none is an original."""
     pending, accepted = entities, None
     for attempt in range(64):
-        drawn = staged(pending.withColumn("drawn", surrogate(F.col("type"), F.col("canon"), F.col("shape"), key, attempt)), "drawn")
+        drawn = staged(with_surrogates(pending, key, attempt), "drawn")
         first = drawn.groupBy("type", "drawn").agg(F.min("canon").alias("canon"))
         first = first.join(entities.select("type", F.col("shape").alias("drawn")), ["type", "drawn"], "left_anti")
         if accepted is not None:
             first = first.join(accepted.select("type", "drawn"), ["type", "drawn"], "left_anti")
-        good = staged(first.select("type", "canon", "drawn"), "surrogates")
+        first = first.select("type", "canon", F.lit(True).alias("good"))
+        state = staged(drawn.join(first, ["type", "canon"], "left"), "surrogates")
+        good, pending = state.where("good").select("type", "canon", "drawn"), state.where("good is null").select("type", "canon", "shape")
         accepted = good if accepted is None else accepted.union(good)
-        rest = drawn.join(good, ["type", "canon"], "left_anti").drop("drawn")
-        if rest.isEmpty():
+        if pending.isEmpty():
             return accepted
-        pending = staged(rest, "again")
     raise RuntimeError("surrogates still collide")
 
 
 def find_mentions(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row per part of a mention in each distinct text: (k, pos, sub, type, value, canon, shape)."""
-    found = docs.select(F.md5(F.col(text_col)).alias("k"), F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)).alias("m")).where(F.size("m") > 0)
-    each = found.select("k", F.posexplode("m").alias("pos", "mention")).groupBy("k", "pos").agg(F.min("mention").alias("mention"))
+    # the outer explode keeps Spark from filtering by the size of what it would have to extract twice
+    found = docs.where(F.col(text_col).rlike(PATTERN)).select(F.md5(F.col(text_col)).alias("k"), F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)).alias("m"))
+    each = found.select("k", F.posexplode_outer("m").alias("pos", "mention")).groupBy("k", "pos").agg(F.min("mention").alias("mention"))
     return each.select("k", "pos", F.posexplode(_parts(F.col("mention"))).alias("sub", "part")).select("k", "pos", "sub", "part.*")
 
 
