@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 #: Documents per language that the model is fitted on, words taken of each, and languages at most (the most frequent).
 SPANS, SPAN, LANGUAGES = 400, 120, 64
+#: Times SPANS ids that are ranked for each language.
+SPARE = 4
 BUCKETS = 1 << 15
 LEXICON = 400
 EPOCHS, BATCH, RATE = 4, 64, 0.25
@@ -240,18 +242,28 @@ def fold(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.col(id_col).cast("string")) % 5
 
 
+def _limit(ids: int) -> int:
+    """The largest hash of the ids to rank: about SPARE * SPANS of so many ids lie below it."""
+    return 2**63 - 1 if ids <= SPARE * SPANS else (SPARE * SPANS << 64) // ids - 2**63
+
+
 def fit(docs: DataFrame) -> Model | None:
     """Learns from rows with a language and an id outside the held-out fold.
 
-    The languages, at most LANGUAGES, and SPANS ids of each are chosen from (doc_id, lang)
-    alone; then spans of SPAN words at a place that a hash names are cut from these texts on the
-    executors, and only they come to the driver.
+    The languages, at most LANGUAGES, and SPANS ids of each, the least by hash, are chosen from
+    (doc_id, lang) alone. A limit on the hash, set by each language's number of ids, leaves
+    about SPARE times as many to rank, however many documents a language has. Then spans of
+    SPAN words at a place that a hash names are cut from these texts on the executors, and only
+    they come to the driver.
     """
     spark = docs.sparkSession
     able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id", "lang", "text")
-    names = [r[0] for r in able.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = able.where(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= SPANS)
+    counts = able.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    limits = spark.createDataFrame([(lang, _limit(ids)) for lang, _, ids in counts], "lang string, most long")
+    hashed = F.xxhash64("doc_id")
+    few = able.join(F.broadcast(limits), "lang").where(hashed <= F.col("most")).select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(hashed, "doc_id")
+    chosen = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SPANS)
     ids = spark.createDataFrame([(r[0],) for r in chosen.select("doc_id").distinct().collect()], "doc_id long")  # LANGUAGES * SPANS at most
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
