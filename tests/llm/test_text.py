@@ -174,6 +174,23 @@ def test_language_field(spark):
     assert {r.lang_pred for r in langid.identify(df, langid.fit(df.limit(0))).collect()} == {"und"}
 
 
+def test_ranked_ids_are_bounded():
+    """Few ids are all ranked; of many, the hashes up to the limit hold SPARE * SPANS of them."""
+    most = langid.SPARE * langid.SPANS
+    assert langid._limit(0) == langid._limit(most) == 2**63 - 1
+    for ids in (most + 1, 10**6, 10**12):
+        assert abs((langid._limit(ids) + 2**63) / 2**64 * ids - most) < 1
+
+
+def test_language_sample_of_many_ids(spark):
+    """A language with many more ids than are ranked is still learned, and so is one beside it with few."""
+    rows = spark.range(12_000).selectExpr("id AS doc_id", "if(id % 200 = 0, 'das und die ' || id, 'the and of ' || id) AS text", "if(id % 200 = 0, 'de', 'en') AS lang")
+    model = langid.fit(rows)
+    assert model.languages == ["de", "en"]
+    got = langid.predict(model, ["das und die", "the and of"])[0]
+    assert got == ["de", "en"]
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 
