@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import oracles as o
 from ..functions import scalars as s
+from ..operators import contracts, lineage, rules
 from ..operators import correlate as c
 from ..operators import facts as f
 from ..operators import findings as g
@@ -473,6 +474,103 @@ def _(edges, roots):  # noqa: ANN001, ANN202
     return graph.sink_reach(edges, roots, edges.where("startswith(to, 'r')").select(F.col("to").alias("node")), 4)
 
 
+MFA = "(module || '.' || fn || '/' || CAST(arity AS STRING))"
+
+
+def _listed(values: tuple[str, ...]) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+@_query("calls_to", "SELECT * FROM v_api WHERE module = 'os' AND fn = 'cmd'", "v_api")
+def _(calls):  # noqa: ANN001, ANN202
+    return rules.calls_to(calls, "os", "cmd")
+
+
+@_query("rule_unsafe_atom", f"SELECT * FROM v_api WHERE shape = 'dynamic' AND {MFA} IN ({_listed(rules.ATOM_CALLS)})", "v_api")
+def _(calls):  # noqa: ANN001, ANN202
+    return rules.unsafe_atom(calls)
+
+
+@_query("rule_unsafe_exec", f"SELECT *, CASE shape WHEN 'dynamic' THEN 'medium' ELSE 'low' END AS confidence FROM v_api WHERE {MFA} IN ({_listed(rules.EXEC_CALLS)}) OR ({MFA} = 'erlang.open_port/2' AND head IN ('spawn', 'spawn_executable'))", "v_api")
+def _(calls):  # noqa: ANN001, ANN202
+    return rules.unsafe_exec(calls)
+
+
+@_query("rule_deserialization", "SELECT *, CASE WHEN arity = 2 AND safe THEN 'safe_option' ELSE 'none' END AS qualification FROM v_api WHERE module = 'erlang' AND fn = 'binary_to_term' AND arity IN (1, 2)", "v_api")
+def _(calls):  # noqa: ANN001, ANN202
+    return rules.deserialization(calls)
+
+
+@_query("rule_dynamic_code", "SELECT * FROM v_api WHERE (module = 'Code' AND fn IN ('eval_string', 'eval_quoted')) OR (module = 'EEx' AND fn = 'eval_string')", "v_api")
+def _(calls):  # noqa: ANN001, ANN202
+    return rules.dynamic_code(calls)
+
+
+@_query("classify_package_api", "SELECT a.call_id, a.module, a.fn, t.behavior FROM v_api a JOIN (SELECT DISTINCT * FROM v_api_table) t ON a.module = t.module AND a.fn = t.fn", "v_api", "v_api_table")
+def _(calls, table):  # noqa: ANN001, ANN202
+    return rules.classify_api(calls, table).select("call_id", "module", "fn", "behavior")
+
+
+@_query("build_candidates", "WITH k AS (SELECT subject, count(DISTINCT fn || arity) FILTER (shape = 'dynamic') AS sites FROM v_api GROUP BY 1) SELECT subject, sites, CASE WHEN sites = 0 THEN 'no_site' WHEN sites > 32 THEN 'too_many_sites' WHEN sites = 1 THEN 'unique' ELSE 'ambiguous' END AS state FROM k", "v_api")
+def _(calls):  # noqa: ANN001, ANN202
+    return contracts.build_candidates(calls, calls.where("shape = 'dynamic'").select("subject", F.concat("fn", "arity").alias("site")))
+
+
+@_query("action_contract", r"SELECT action_id, concat_ws(',', CASE WHEN NOT regexp_matches(action, '\\.v1$') THEN 'version' END, CASE WHEN action_id % 4 = 0 THEN 'accepts' END, CASE WHEN effect IS NULL OR effect <> 'none' THEN 'effect' END, CASE WHEN count(*) OVER (PARTITION BY tool, action) > 1 THEN 'duplicate' END) AS reasons FROM v_actions".replace("\\\\", "\\"), "v_actions")
+def _(actions):  # noqa: ANN001, ANN202
+    return contracts.action_contract(actions)
+
+
+@_query("fact_contract", "SELECT *, concat_ws(',', CASE WHEN trim(subject) = '' THEN 'subject' END, CASE WHEN object IS NULL THEN 'object' END, CASE WHEN file <> 'a/b..c' THEN 'file' END, CASE WHEN line < 1 THEN 'line' END, CASE WHEN col < 1 THEN 'col' END) AS reasons FROM v_raw_facts", "v_raw_facts")
+def _(facts):  # noqa: ANN001, ANN202
+    return contracts.fact_contract(facts)
+
+
+NETWORKS = "SELECT DISTINCT h.ip, EXISTS (SELECT 1 FROM v_networks n WHERE split_part(n.base, '.', 2) = split_part(h.ip, '.', 2) AND (n.prefix = 16 OR split_part(h.ip, '.', 3) = '0')) AS allowed FROM v_hosts h"
+
+
+@_query("authorize_networks", NETWORKS, "v_hosts", "v_networks")
+def _(hosts, networks):  # noqa: ANN001, ANN202
+    return contracts.authorize_networks(hosts, networks)
+
+
+@_query("scope_split", f"WITH a AS ({NETWORKS}) SELECT h.c_custkey % 500 AS plan, count(*) AS targets, count(*) FILTER (NOT a.allowed) AS denied, count(*) FILTER (NOT a.allowed) = 0 AS granted FROM v_hosts h JOIN a ON h.ip = a.ip GROUP BY 1", "v_hosts", "v_networks")
+def _(hosts, networks):  # noqa: ANN001, ANN202
+    allowed = contracts.authorize_networks(hosts, networks).withColumnRenamed("ip", "target")
+    return contracts.scope_split(hosts.select((F.col("c_custkey") % 500).alias("plan"), F.col("ip").alias("target")), allowed)
+
+
+@_query("authorize_urls", "WITH u AS (SELECT DISTINCT url, regexp_extract(url, '^(https?)://([^/?#:]+)([^?#]*)', 1) AS scheme, regexp_extract(url, '^(https?)://([^/?#:]+)([^?#]*)', 2) AS host, regexp_extract(url, '^(https?)://([^/?#:]+)([^?#]*)', 3) AS path FROM v_http) SELECT url, NOT contains(url, '#') AND EXISTS (SELECT 1 FROM v_url_rules r WHERE r.scheme = u.scheme AND ends_with(u.host, '.' || r.host) AND (r.path = '/' OR u.path = r.path OR starts_with(u.path, r.path || '/'))) AS allowed FROM u", "v_http", "v_url_rules")
+def _(h, url_rules):  # noqa: ANN001, ANN202
+    return contracts.authorize_urls(h, url_rules)
+
+
+@_query("control_matrix", "SELECT action AS case_id, coalesce(bool_and(verdict = 'confirmed') FILTER (id % 3 = 0), false) AS vulnerable, coalesce(bool_and(verdict = 'refuted') FILTER (id % 3 = 1), false) AS fixed, coalesce(bool_and(verdict = 'inconclusive') FILTER (id % 3 = 2), false) AS failure, count(*) FILTER (id % 3 <> 0 AND verdict = 'confirmed') AS false_confirmations FROM v_verdicts GROUP BY 1", "v_verdicts")
+def _(v):  # noqa: ANN001, ANN202
+    role = F.when(F.col("id") % 3 == 0, "vulnerable").when(F.col("id") % 3 == 1, "fixed").otherwise("failure")
+    return contracts.control_matrix(v.select(F.col("action").alias("case_id"), role.alias("role"), "verdict"))
+
+
+@_query("return_sources", "SELECT b.binding_id, coalesce(r.n, 0) AS n, CASE WHEN r.n = 1 THEN 'resolved' WHEN r.n > 1 THEN 'multiple_return_sites' ELSE 'external_or_dynamic_return' END AS state FROM v_bindings b LEFT JOIN (SELECT target, count(*) AS n FROM v_returns GROUP BY 1) r ON b.target = r.target", "v_bindings", "v_returns")
+def _(bindings, returns):  # noqa: ANN001, ANN202
+    return lineage.return_sources(bindings, returns)
+
+
+@_query("parameter_callers", "SELECT b.binding_id AS parameter_id, coalesce(r.n, 0) AS n, CASE WHEN r.n = 1 THEN 'resolved' WHEN r.n > 1 THEN 'multiple_callers' ELSE 'no_known_caller' END AS state FROM v_bindings b LEFT JOIN (SELECT object, count(*) AS n FROM v_returns GROUP BY 1) r ON r.object = b.target || '#argument/' || b.position", "v_bindings", "v_returns")
+def _(bindings, returns):  # noqa: ANN001, ANN202
+    return lineage.parameter_callers(bindings.select(F.col("binding_id").alias("parameter_id"), F.col("target").alias("fn"), "position"), returns)
+
+
+@_query("store_write_read", "WITH k AS (SELECT key, count(*) FILTER (kind = 'write') AS writes, count(*) FILTER (kind = 'read') AS reads, min(process) FILTER (kind = 'write') AS wp, min(process) FILTER (kind = 'read') AS rp, min(at) FILTER (kind = 'write') AS wa, min(at) FILTER (kind = 'read') AS ra, min(value) FILTER (kind = 'write') AS wv, min(value) FILTER (kind = 'read') AS rv FROM v_cells GROUP BY 1) SELECT key, writes, reads, coalesce(writes = 1 AND reads = 1 AND wp <> rp AND wa < ra AND wv = rv, false) AS joined FROM k", "v_cells")
+def _(cells):  # noqa: ANN001, ANN202
+    return lineage.store_write_read(cells)
+
+
+@_query("promote_findings", f"WITH {PORTS} SELECT {_sid('web', 'source', 'id')} AS seed_id, locus AS value, source AS origin_source, id AS origin_id FROM pf", "v_hosts", "v_ports")
+def _(hosts, ports):  # noqa: ANN001, ANN202
+    return lineage.promote_findings(g.findings_from_hosts(_hosts(hosts, ports)), "web")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: the roll-up of all findings."""
     return _FOUND["finding_rollup"][0](spark, sf_dir)

@@ -83,7 +83,7 @@ def session_event_limit(events: DataFrame, most: int) -> DataFrame:
 
 def marker_match(events: DataFrame, sinks: DataFrame, marker: str, most: int) -> DataFrame:
     """events (event_id, kind, args) at sinks (kind, positions): the positions whose argument holds the marker; arguments over the byte limit make a failure, not a miss."""
-    joined = events.join(F.broadcast(sinks.limit(10_000)), "kind")
+    joined = events.join(sinks, "kind")
     arg = lambda i: F.get("args", i - 1)
     over = F.exists("positions", lambda i: F.octet_length(arg(i)) > most)
     hits = F.filter("positions", lambda i: F.coalesce(F.contains(arg(i), F.lit(marker)), F.lit(False)))

@@ -96,11 +96,22 @@ def resolve_imports(calls: DataFrame, definitions: DataFrame, imports: DataFrame
 
 
 def reaching_definitions(uses: DataFrame, bindings: DataFrame, k: int = 8) -> DataFrame:
-    """The nearest k bindings (file, variable, at, binding_id) at or before each use (file, variable, at, use_id), itself left out; truncated where there were more."""
-    b = bindings.withColumnRenamed("at", "bound")
-    pairs = uses.join(b, ["file", "variable"]).where("bound <= at AND binding_id <> use_id")
-    w = Window.partitionBy("use_id")
-    ranked = pairs.withColumn("rank", F.row_number().over(w.orderBy(F.desc("bound"), "binding_id"))).withColumn("n", F.count("*").over(w))
+    """The nearest k bindings (file, variable, at, binding_id) at or before each use (file, variable, at, use_id), itself left out; truncated where there were more.
+
+    Bindings are numbered in their order, a use learns how many stand at or before it from one
+    window over both tables, and takes those numbers by an equi-join: at most k + 1 rows a use,
+    however many bindings a variable has. binding_id is unique.
+    """
+    keys = ["file", "variable"]
+    of = Window.partitionBy(*keys)
+    placed = bindings.withColumn("place", F.row_number().over(of.orderBy("at", F.desc("binding_id")))).select(*keys, "place", "binding_id")
+    both = uses.select(*keys, "at", F.lit(1).alias("kind"), "use_id").unionByName(bindings.select(*keys, "at", F.lit(0).alias("kind"), F.lit(None).cast(uses.schema["use_id"].dataType).alias("use_id")))
+    upto = F.count_if(F.col("kind") == 0).over(of.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    asked = both.withColumn("upto", upto).where("kind = 1 AND upto > 0")
+    own = bindings.select(*keys, F.col("binding_id").alias("use_id"), F.col("at").alias("bound"))
+    asked = asked.join(own, [*keys, "use_id"], "left").withColumn("n", F.col("upto") - F.coalesce((F.col("bound") <= F.col("at")).cast("int"), F.lit(0)))
+    near = asked.withColumn("place", F.explode(F.sequence(F.greatest(F.col("upto") - k, F.lit(1)), F.col("upto")))).join(placed, [*keys, "place"]).where("binding_id <> use_id")
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("use_id").orderBy(F.desc("place"))))
     return ranked.where(F.col("rank") <= k).select("use_id", "binding_id", "rank", (F.col("n") > k).alias("truncated"), (F.col("n") > 1).alias("multiple"))
 
 
