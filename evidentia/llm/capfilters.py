@@ -3,12 +3,15 @@
 After a random rotation a vector is cut into blocks. Each block has a small random codebook of
 unit vectors, and a filter direction is one codeword of each block: their number is the
 product of the codebooks' sizes, while only the codebooks are stored. A vector is decoded to
-the list of all directions whose inner product with it reaches a bound, by adding sorted
-half-sums of the blocks; with the best direction, so that each vector has a filter. Vectors
-join on (label, filter) and are verified by their cosine in double precision.
+the list of the directions that are nearest to it, the same number for every vector, by adding
+sorted half-sums of the blocks. Vectors join on (label, filter) and are verified by their cosine
+in double precision.
 
-The bound and the code's size follow from the largest label's number of vectors: a filter
-holds OCCUPANCY vectors of it on average, and a vector has LISTED filters on average.
+The code's size follows from the largest label's number of vectors: a filter holds OCCUPANCY
+vectors of it on average. A vector has LISTED filters, or more where pairs at the very bound,
+drawn at random and decoded with the code at hand, share a filter in less than RECALL of the
+cases. Pairs above the bound are found more often. The draw is of the code's rotation, so the
+recall does not hang on how the vectors lie. Where no list reaches it, all pairs are compared.
 
 Equal vectors are one row with a multiplicity. A bucket is compared in a task and gives two
 numbers per member at most: the links first seen in this filter, and a member that it is
@@ -19,7 +22,6 @@ each pair of chunks is a task of its own.
 from __future__ import annotations
 
 from functools import lru_cache
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -32,45 +34,61 @@ from .staging import staged
 
 COSINE = 0.98
 OCCUPANCY, LISTED = 32, 24
+RECALL, PAIRS, DIRECTIONS = 0.999, 4096, 1 << 20
 BLOCKS = 4
 CHUNK = 1024
 SEED = 23
 
 
-def code_size(vectors: int) -> tuple[int, float]:
-    """Codewords of a block, and the bound in standard deviations (1 / sqrt(dimension)) of an inner product."""
-    share = min(0.25, OCCUPANCY / max(1, vectors))
-    return max(2, round((LISTED / share) ** (1 / BLOCKS))), NormalDist().inv_cdf(1 - share)
-
-
 @lru_cache(16)
 def _code(dim: int, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """The rotation, padded to a multiple of BLOCKS, and the codebooks."""
     rng = np.random.default_rng((SEED, dim, words))
     full = -(-dim // BLOCKS) * BLOCKS
     rotation = np.linalg.qr(rng.standard_normal((full, full)))[0][:dim]
-    books = [b / np.linalg.norm(b, axis=1, keepdims=True) / np.sqrt(BLOCKS) for b in (rng.standard_normal((words, full // BLOCKS)) for _ in range(BLOCKS))]
+    books = [np.unique(b / np.linalg.norm(b, axis=1, keepdims=True), axis=0) for b in (rng.standard_normal((words, full // BLOCKS)) for _ in range(BLOCKS))]
     return rotation, books
 
 
-def decode(vectors: np.ndarray, words: int, bound: float) -> list[np.ndarray]:
-    """The sorted filters of each vector of length one."""
+def decode(vectors: np.ndarray, words: int, listed: int) -> np.ndarray:
+    """The sorted filters of each vector: the `listed` best directions, or one for all if there are no more."""
     rotation, books = _code(vectors.shape[1], words)
-    turned = np.split(vectors @ rotation, BLOCKS, axis=1)
-    sums = [t @ b.T for t, b in zip(turned, books, strict=True)]
-    left = (sums[0][:, :, None] + sums[1][:, None, :]).reshape(len(vectors), -1)
-    right = (sums[2][:, :, None] + sums[3][:, None, :]).reshape(len(vectors), -1)
-    least, half, out = bound / np.sqrt(vectors.shape[1]), words * words, []
-    for x, y in zip(left, right, strict=True):
-        order = np.argsort(y)
-        low, top = y[order], y.max()
-        some = np.flatnonzero(x + top >= min(least, x.max() + top))
-        from_ = np.searchsorted(low, np.minimum(least - x[some], np.where(x[some] == x.max(), top, np.inf)))
-        n = half - from_
-        a = np.repeat(some, n)
-        b = order[np.concatenate([np.arange(f, half) for f in from_])] if len(some) else np.zeros(0, np.int64)
-        out.append(np.sort(a.astype(np.int64) * half + b))
-    return out
+    half = len(books[2]) * len(books[3])
+    if len(books[0]) * len(books[1]) * half <= listed:
+        return np.zeros((len(vectors), 1), np.int64)
+    out = [np.zeros((0, listed), np.int64)]
+    for part in np.array_split(vectors, -(-len(vectors) // 1024) or 1):
+        sums = [t @ b.T for t, b in zip(np.split(part @ rotation, BLOCKS, axis=1), books, strict=True)]
+        sides = [(x[:, :, None] + y[:, None, :]).reshape(len(part), -1) for x, y in (sums[:2], sums[2:])]
+        left, right = (np.argsort(-x, axis=1, kind="stable")[:, :listed] for x in sides)
+        x, y = (np.take_along_axis(s, o, 1) for s, o in zip(sides, (left, right), strict=True))
+        # a sum of ranks i and j has (i + 1) * (j + 1) - 1 sums that are no less
+        i, j = np.nonzero(np.outer(np.arange(1, x.shape[1] + 1), np.arange(1, y.shape[1] + 1)) <= listed)
+        best = np.argsort(-(x[:, i] + y[:, j]), axis=1, kind="stable")[:, :listed]
+        out.append(np.sort(np.take_along_axis(left[:, i], best, 1) * half + np.take_along_axis(right[:, j], best, 1), axis=1))
+    return np.concatenate(out)
+
+
+def recall(dim: int, words: int, listed: int, cosine: float) -> float:
+    """The share of random pairs at this cosine that have a filter in common."""
+    rng = np.random.default_rng((SEED, dim))
+    x, z = unit(rng.standard_normal((PAIRS, dim))), rng.standard_normal((PAIRS, dim))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = unit(cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * unit(z)) if dim > 1 else x
+    a, b = decode(x, words, listed), decode(y, words, listed)
+    return float((a[:, :, None] == b[:, None, :]).any(axis=(1, 2)).mean())
+
+
+@lru_cache(256)
+def code_size(vectors: int, dim: int, cosine: float) -> tuple[int, int]:
+    """Codewords of a block, and the filters of a vector that reach RECALL; (1, 1) compares all pairs."""
+    share, listed = min(0.25, OCCUPANCY / max(1, vectors)), LISTED
+    while listed / share <= max(DIRECTIONS, 4 * LISTED / share):
+        words = max(2, round((listed / share) ** (1 / BLOCKS)))
+        if recall(dim, words, listed, cosine) >= RECALL:
+            return words, listed
+        listed += listed // 2
+    return 1, 1
 
 
 def compare(a: pd.DataFrame, b: pd.DataFrame | None, bucket: int, cosine: float) -> pd.DataFrame:
@@ -116,16 +134,16 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     normal = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast("double"))
     part = base.where(able).select("vec_id", "label", normal.alias("v"))
     reps = staged(part.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.count_distinct("vec_id").alias("ids")).withColumn("row", F.xxhash64("label", "v")), "reps")
-    most = reps.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    words, bound = code_size(most)
+    most = reps.groupBy("label", F.size("v").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("most")).collect()
+    codes = {r.dim: code_size(r.most, r.dim, cosine) for r in most}
 
     def filters(batches):  # noqa: ANN001, ANN202
         for batch in batches:
             if not len(batch):
                 continue
             sizes = batch["v"].map(len)
-            for _, rows in batch.groupby(sizes):
-                yield rows.assign(filters=decode(unit(np.stack(rows["v"].to_numpy()).astype(np.float64)), words, bound))
+            for dim, rows in batch.groupby(sizes):
+                yield rows.assign(filters=list(decode(unit(np.stack(rows["v"].to_numpy()).astype(np.float64)), *codes[dim])))
 
     kind = dict(reps.dtypes)["label"]
     decoded = staged(reps.withColumn("dim", F.size("v")).mapInPandas(filters, f"label {kind}, v array<double>, rep long, copies long, ids long, row long, dim int, filters array<long>"), "decoded")

@@ -61,3 +61,32 @@ def test_chunks_of_a_large_bucket_count_each_pair_once(spark, monkeypatch):
     x = np.concatenate([np.ones((30, 8)) + 0.001 * np.random.default_rng(3).standard_normal((30, 8)), -np.ones((1, 8))])
     got = {r.vec_id: r.n_links for r in capfilters.near_vectors(table(spark, x)).collect()}
     assert got == {i: 29 for i in range(30)} | {30: 0}
+
+
+def test_cap_filters_find_pairs_at_the_bound_in_a_large_label(spark):
+    rng = np.random.default_rng(5)
+    x, z = rng.standard_normal((10000, 64)), rng.standard_normal((10000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.choice([0.9801, 0.985, 0.99, 0.999], (10000, 1))
+    x = np.concatenate((x, c * x + np.sqrt(1 - c * c) * z)).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = np.concatenate([(u[i : i + 1000] @ u.T >= 0.98).sum(1) - 1 for i in range(0, len(u), 1000)])
+    got = capfilters.near_vectors(table(spark, x)).toPandas().set_index("vec_id").n_links.loc[range(len(x))].to_numpy()
+    assert near.sum() >= 20000 and (got <= near).all() and got.sum() >= 0.999 * near.sum()
+
+
+def test_every_vector_has_as_many_filters():
+    rng = np.random.default_rng(6)
+    for vectors, dim in ((100, 64), (5000, 64), (100000, 64), (5000, 3), (5000, 384)):
+        words, listed = capfilters.code_size(vectors, dim, 0.98)
+        x = ann.unit(rng.standard_normal((500, dim)))
+        got = capfilters.decode(x, words, listed)
+        rotation, books = capfilters._code(dim, words)
+        a, b, c, d = (t @ w.T for t, w in zip(np.split(x @ rotation, 4, axis=1), books, strict=True))
+        every = (a[:, :, None, None, None] + b[:, None, :, None, None] + c[:, None, None, :, None] + d[:, None, None, None, :]).reshape(500, -1)
+        if every.shape[1] > listed:
+            least = -np.sort(-every, axis=1)[:, listed - 1]
+            assert got.shape == (500, listed) and (np.take_along_axis(every, got, 1) >= least[:, None] - 1e-9).all()
+            assert (np.diff(got, axis=1) > 0).all() and capfilters.recall(dim, words, listed, 0.98) >= 0.999
