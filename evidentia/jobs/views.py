@@ -15,7 +15,7 @@ VIEWS = {
     "v_seeds": "SELECT p_partkey AS seed_id, p_partkey AS seq, CASE WHEN p_partkey % 2 = 0 THEN 'FUZZ' ELSE 'WORD' END AS keyword, concat('v', CAST(p_partkey % 12 AS STRING)) AS value, p_name AS id, p_brand AS property FROM {part}",
     "v_facts": "SELECT DISTINCT concat('part/', CAST(l_partkey AS STRING)) AS subject, concat('supp/', CAST(l_suppkey AS STRING)) AS object, CASE l_returnflag WHEN 'N' THEN 'call' WHEN 'A' THEN 'unqualified_call' ELSE 'package_use' END AS kind, CASE l_linestatus WHEN 'O' THEN 'calls' ELSE 'uses' END AS relation, concat('order/', CAST(l_orderkey AS STRING)) AS file, l_linenumber AS line, CAST(l_quantity AS INTEGER) AS col FROM {lineitem}",
     "v_matches": "SELECT CAST(l_suppkey % 7 AS STRING) AS rule_id, concat('order/', CAST(l_orderkey % 50 AS STRING)) AS file, l_returnflag AS anchor, l_linenumber AS line, CAST(l_quantity AS INTEGER) AS col, l_partkey AS message, l_orderkey AS o, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM {lineitem}",
-    "v_edges": "SELECT concat('c', CAST(o_custkey AS STRING)) AS \"from\", concat('o', CAST(o_orderkey AS STRING)) AS \"to\" FROM {orders} WHERE o_orderkey % 10 = 0 UNION ALL SELECT concat('o', CAST(l_orderkey AS STRING)), concat('s', CAST(l_suppkey AS STRING)) FROM {lineitem} WHERE l_orderkey % 10 = 0 UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), concat('n', CAST(s_nationkey AS STRING)) FROM {supplier} UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)) FROM {nation} UNION ALL SELECT concat('r', CAST(r_regionkey AS STRING)), concat('n', CAST(r_regionkey AS STRING)) FROM {region}",
+    "v_edges": "SELECT concat('c', CAST(o_custkey AS STRING)) AS \"from\", concat('o', CAST(o_orderkey AS STRING)) AS \"to\" FROM {orders} UNION ALL SELECT concat('o', CAST(l_orderkey AS STRING)), concat('s', CAST(l_suppkey AS STRING)) FROM {lineitem} UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), concat('n', CAST(s_nationkey AS STRING)) FROM {supplier} UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)) FROM {nation} UNION ALL SELECT concat('r', CAST(r_regionkey AS STRING)), concat('n', CAST(r_regionkey AS STRING)) FROM {region}",
     "v_roots": "SELECT concat('c', CAST(c_custkey AS STRING)) AS root FROM {customer}",
     "v_spans": "SELECT CAST(o_custkey % 40 AS STRING) AS file, o_orderkey AS scope_id, o_orderkey % 900 AS first, o_orderkey % 900 + CAST(floor(o_totalprice / 2000) AS BIGINT) AS last FROM {orders}",
     "v_points_in": "SELECT CAST(event_id % 40 AS STRING) AS file, event_id AS point_id, (event_id * 7) % 1100 AS at FROM {events}",
