@@ -39,7 +39,7 @@ VIEWS = {
     "v_chunks": "SELECT conv_id AS stream, turn AS place, CAST(length(text) AS BIGINT) AS bytes, CASE WHEN role = 'system' AND turn > 0 OR turn % 5 = 4 THEN 'rejected' ELSE 'incomplete' END AS status FROM {conversations}",
     "v_verdicts": "SELECT d.doc_id AS id, d.source AS tool, d.lang AS action, CASE l.quality WHEN 1 THEN 'confirmed' WHEN 0 THEN 'refuted' ELSE 'inconclusive' END AS verdict, l.toxic FROM {documents} d LEFT JOIN {labels} l ON d.doc_id = l.doc_id",
     "v_latency": "SELECT l_returnflag AS case_id, CASE l_linestatus WHEN 'O' THEN 'targeted' ELSE 'baseline' END AS mode, CAST(round(l_extendedprice * 100) AS BIGINT) AS sample FROM {lineitem}",
-    "v_literals": "SELECT item_id AS literal_id, substring(text, 1, 40) AS literal FROM {benchmark}",
+    "v_literals": "SELECT item_id AS literal_id, text AS literal FROM {benchmark}",
     "v_lists": "SELECT 1 AS list, n_nationkey AS place, n_name AS value FROM {nation} UNION ALL SELECT 2, r_regionkey, r_name FROM {region}",
     "v_scans": "SELECT n_nationkey AS scan_id, CAST(n_nationkey % 7 + 1 AS BIGINT) AS rate, CAST(4 AS BIGINT) AS most FROM {nation}",
     "v_targets": "SELECT s_nationkey AS scan_id, s_suppkey AS target FROM {supplier}",
