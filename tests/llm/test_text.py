@@ -205,38 +205,167 @@ def test_forward_backward_equals_enumeration():
     from itertools import product
 
     rng = np.random.default_rng(7)
-    e, a, s = rng.standard_normal((4, 3)), rng.standard_normal((3, 3)), rng.standard_normal(3)
-    p, z = langid.marginals(e, np.array([0]), np.array([4]), a, s)
-    weight = {y: np.exp(s[y[0]] + sum(e[t, y[t]] for t in range(4)) + sum(a[y[t], y[t + 1]] for t in range(3))) for y in product(range(3), repeat=4)}
-    total = sum(weight.values())
-    want = [[sum(w for y, w in weight.items() if y[t] == k) / total for k in range(3)] for t in range(4)]
-    assert np.allclose(p, want) and np.isclose(z[0], np.log(total))
+    e, a, s = rng.standard_normal((7, 3)), rng.standard_normal((3, 3)), rng.standard_normal(3)
+    p, z, pair = langid.marginals(np.exp(e), np.array([0, 3]), np.array([3, 4]), a, s)
+    want, moves = np.zeros((7, 3)), np.zeros((3, 3))
+    for i, (at, n) in enumerate(((0, 3), (3, 4))):
+        weight = {y: np.exp(s[y[0]] + sum(e[at + t, y[t]] for t in range(n)) + sum(a[y[t], y[t + 1]] for t in range(n - 1))) for y in product(range(3), repeat=n)}
+        total = sum(weight.values())
+        assert np.isclose(z[i], np.log(total))
+        for y, w in weight.items():
+            for t in range(n):
+                want[at + t, y[t]] += w / total
+                if t:
+                    moves[y[t - 1], y[t]] += w / total
+    assert np.allclose(p, want) and np.allclose(pair, moves)
+
+
+def test_features_are_the_ngrams_of_the_whole_piece():
+    def grams(x):
+        return [x[i : i + n] for n in (2, 3) for i in range(len(x) - n + 1)] + ([x[:4], x[-4:]] if len(x) > 4 else [x] if len(x) == 4 else [])
+
+    pieces = ["^a$", "^keit$", "x$", "^und", "^mot$", "^keit$"]
+    rows, begin = langid.features(pieces, {"^und": 0})
+    each = np.split(rows, begin[1:])
+    assert [len(r) for r in each] == [1 + len(grams(x)) for x in pieces]
+    assert [r[0] - langid.BUCKETS for r in each] == [1, 1, 1, 0, 1, 1] and (each[1] == each[5]).all()
+    assert len(set(rows.tolist())) == len({g for x in pieces for g in grams(x)}) + 2
+
+
+def test_positions_hold_every_letter():
+    assert langid.pieces_of("Straße, don't 3²½ 4th") == ["^straße$", "^don$", "^t$", "^th$"]
+    long = "a" * 24
+    assert langid.pieces_of(long + "keit") == ["^" + long, "keit$"] and langid.pieces_of(long) == [f"^{long}$"]
+    assert "".join(langid.pieces_of("漢" * 60 + "字")).strip("^$") == "漢" * 60 + "字"
+    model = langid.train([(lang, [f"^{w}$"] * 8) for lang, ws in (("a", ("keit", "ung", "schaft")), ("b", ("ation", "ment", "ance"))) for w in ws])
+    table = langid.Emissions(model)
+    rows, n = table.of(["Keit (ung) ²", "", " x9 keit,ung "])
+    assert n.tolist() == [2, 0, 3] and rows[[0, 1]].tolist() == rows[[3, 4]].tolist()
+    assert langid.predict(model, [long + "keit", long + "ation", "²½ 12"])[0] == ["a", "b", "und"]
+
+
+def test_both_halves_of_a_text_without_spaces_count():
+    zh, ja = "的一是不了人我在有他这中大来上个国", "のにをはがでとしたれさいるものこと"
+    rng = random.Random(3)
+    make = lambda letters, n: "".join(rng.choices(letters, k=n))
+    model = langid.train([(lang, langid.pieces_of(make(letters, 200))) for lang, letters in (("zh", zh), ("ja", ja)) for _ in range(60)])
+    texts = [make(zh, 30) + make(ja, 300), make(ja, 30) + make(zh, 300), make(zh, 5000)]
+    names, scores = langid.predict(model, texts)
+    assert names == ["ja", "zh", "zh"] and scores[0] < 0.95 < scores[2]
+
+
+def test_windows_agree_with_one_run(monkeypatch):
+    rng = random.Random(4)
+    model = langid.train([(lang, [f"^{rng.choice(words)}$" for _ in range(60)]) for lang, words in (("a", ("der", "und", "hier")), ("b", ("the", "and", "here"))) for _ in range(20)])
+    text = " ".join(rng.choice(("der", "und", "the", "xyz")) for _ in range(5000))
+    short = langid.predict(model, [text, "der", text])
+    monkeypatch.setattr(langid, "WINDOW", 10_000)
+    monkeypatch.setattr(langid, "BLOCK", 10)
+    monkeypatch.setattr(langid, "RUN", 10)
+    whole = langid.predict(model, [text, "der", text])
+    assert short[0] == whole[0] and np.allclose(short[1], whole[1], atol=1e-5)
+
+
+def test_every_language_is_learned_within_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 40)
+    rows = spark.range(2000).selectExpr("id AS doc_id", "concat(repeat(char(97 + id % 20), 4), ' ', repeat(char(97 + id % 20), 3)) AS text", "concat('l', id % 20) AS lang")
+    model = langid.fit(rows)
+    assert len(model.languages) == 20
+    monkeypatch.setattr(langid, "LANGUAGES", 19)
+    with pytest.raises(ValueError):
+        langid.fit(rows)
 
 
-def test_repeated_spans_equal_brute_force(spark):
-    rng = random.Random(8)
+def repeated_words(rows):
+    """By brute force: the words of each document that stand in some 50 words that another document has."""
+    texts = {d: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower()) for d, t, *_ in rows}
+    seen = {}
+    for d, w in texts.items():
+        for j in range(len(w) - 49):
+            seen.setdefault(tuple(w[j : j + 50]), set()).add(d)
+    return {d: {k for j in range(len(w) - 49) if len(seen[tuple(w[j : j + 50])]) > 1 for k in range(j, j + 50)} for d, w in texts.items()}
+
+
+def found_words(rows, spans):
+    have = {d: set() for d, *_ in rows}
+    for r in spans:
+        assert r.n_words == r.end - r.start >= 50 and r.partner is not None and not have[r.doc_id] & set(range(r.start, r.end))
+        have[r.doc_id] |= set(range(r.start, r.end))
+    return have
+
+
+def passages(rng):
     rows, shared = [], [words(rng, 60) for _ in range(3)]
     for i in range(40):
         t = words(rng, 150)
         if i % 4 < 3 and i < 24:
             t = f"{words(rng, rng.randrange(80))} {shared[i % 3]} {t}"
         rows.append((i, t, "en", "a", 1))
-    rows += [(50, "Und " * 400, "de", "a", 1), *[(60 + i, *r[1:]) for i, r in enumerate(ODD)]]
-    got = sparse_suffix.repeated_spans(docs(spark, rows)).collect()
-    texts = {d: (t or "").lower().split() for d, t, *_ in rows}
-    seen = {}
-    for d, w in texts.items():
-        for j in range(len(w) - 49):
-            seen.setdefault(tuple(w[j : j + 50]), set()).add(d)
-    want = {d: {k for j in range(len(w) - 49) if len(seen[tuple(w[j : j + 50])]) > 1 for k in range(j, j + 50)} for d, w in texts.items()}
-    have = {d: set() for d in texts}
-    for r in got:
-        assert r.n_words == r.end - r.start >= 50 and r.partner is not None
-        have[r.doc_id] |= set(range(r.start, r.end))
-    assert have == want
+    base = words(rng, 400).split()
+    for i in range(100, 160):  # near copies of one text, each with changes of its own
+        w = [x if rng.random() > 0.03 else f"v{rng.randrange(4000)}" for x in base]
+        rows.append((i, " ".join(w[rng.randrange(40) :]), "en", "a", 1))
+    return [*rows, (50, "Und " * 400, "de", "a", 1), (51, "Und " * 60 + "x", "de", "a", 1), *[(60 + i, *r[1:]) for i, r in enumerate(ODD)]]
+
+
+def test_repeated_spans_equal_brute_force(spark):
+    rows = passages(random.Random(8))
+    assert found_words(rows, sparse_suffix.repeated_spans(docs(spark, rows)).collect()) == repeated_words(rows)
     assert sparse_suffix.repeated_spans(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_suffixes_of_many_kinds_are_compared_by_window(spark, monkeypatch):
+    monkeypatch.setattr(sparse_suffix, "HEAVY", 1)
+    rows = passages(random.Random(9))
+    assert found_words(rows, sparse_suffix.repeated_spans(docs(spark, rows).repartition(3)).collect()) == repeated_words(rows)
+
+
+@pytest.mark.parametrize("segment", [64, 1000, 1 << 21])
+def test_zones_hold_each_window_once(monkeypatch, segment):
+    """Whatever the parts, a window belongs to one zone, and equal windows to suffixes with equal first words."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(sparse_suffix, "SEGMENT", segment)
+    rows = passages(random.Random(12))
+    texts = [" ".join((t or "").split()[:3000]) for _, t, *_ in rows]
+    parted = [re.findall(r"[^\x20\x09-\x0D]+", t.lower()) for t in texts]
+    seen, first_words, hashes = [], {}, {}
+    for text, suffix, at, n, first, spans in sparse_suffix.zones(*sparse_suffix.word_hashes(pa.array(texts))):
+        g = spans.hashes(suffix, sparse_suffix.SHARED)
+        for i in range(len(text)):
+            for k in range(n[i]):
+                window = tuple(parted[text[i]][first[i] + k : first[i] + k + 50])
+                seen.append((text[i], first[i] + k))
+                assert len(window) == 50 and first_words.setdefault(window, g[i]) == g[i]
+                h = int(spans.hashes(at[i : i + 1] + k, 50)[0])
+                assert hashes.setdefault(h, window) == window
+    assert sorted(seen) == [(i, j) for i, t in enumerate(texts) for j in range(len(t.split()) - 49)]
+    assert len(hashes) == len(first_words)
+
+
+def test_a_match_behind_better_neighbours_is_found(spark):
+    """A and D share 50 words; B has 49 of them and goes on as A does, C 49 that begin as A does."""
+    rng, rows = random.Random(10), []
+    for i in range(60):
+        run, after, before = words(rng, 50, 10**6), words(rng, 30, 10**6), words(rng, 30, 10**6)
+        first, last = run.split(" ", 1), run.rsplit(" ", 1)
+        tail = lambda: words(rng, 40, 10**6)
+        a, b = f"{tail()} {before} {run} {after} {tail()}", f"{tail()} {first[1]} {after.split()[0]} {tail()}"
+        c, d = f"{tail()} {before.split()[-1]} {last[0]} {tail()}", f"{tail()} {run} {tail()}"
+        rows += [(4 * i + j, t, "en", "a", 1) for j, t in enumerate((a, b, c, d))]
+    got = found_words(rows, sparse_suffix.repeated_spans(docs(spark, rows)).collect())
+    assert got == repeated_words(rows) and all(len(got[4 * i]) >= 50 and len(got[4 * i + 3]) == 50 for i in range(60))
+
+
+def test_hot_passage_and_copies(spark):
+    """A passage that all documents have, exact copies, extra columns and repeated rows."""
+    rng = random.Random(11)
+    hot = words(rng, 70)
+    rows = [(i, f"{words(rng, 30)} {hot} {words(rng, 30)}", "en", "a", 1) for i in range(300)] + [(1000 + i, hot, "en", "a", 1) for i in range(50)]
+    df = docs(spark, rows + rows[:20]).selectExpr("*", "1 AS row", "2 AS g", "'x' AS start")
+    assert found_words(rows, sparse_suffix.repeated_spans(df).collect()) == repeated_words(rows)
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(9)
     rows, marks = [], []
