@@ -2,13 +2,14 @@
 
 The corpus is one long stream of token ids, in the order of the staged table. The first pass
 tokenizes; each task numbers its own ids from zero and keeps, per document, their place in its
-part. Token totals of the parts, one row per task, are added up to the offset of each part.
+part. A running sum over the token totals of the parts, one row per task, is the offset of each part.
 The second pass is a narrow map: a document's global offset is its part's plus its own, and it
 is cut where the windows end. Only the last sequence is shorter than a window.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -19,19 +20,22 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .staging import staged
+from .staging import small_batches, staged
 
 WINDOW = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = 1
-#: Letter strings whose ids a worker keeps; beyond it starts anew.
-KEPT = 600_000
-#: Characters of texts that are looked up in one go.
-BLOCK = 12_000_000
+#: Letter strings whose ids a task keeps; beyond it starts anew.
+KEPT = 200_000
+#: Characters of texts that are looked up in one go, and bytes of pieces that are handed on at once.
+BLOCK, HANDED = 2_000_000, 8_000_000
+#: The rules under which a text's ids are those of its strings between white space, letters parted from the marks after them.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A string of plain letters and marks after it, which the vocabulary's rules always part.
 PLAIN = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{134}-\x{148}\x{14a}-\x{17e}]+)(?P<marks>[!-&(-/:;=-@\[-^`{-~]*)$"
 
@@ -43,18 +47,24 @@ def vocabulary_path() -> str:
 
 
 @lru_cache(2)
-def _tokenizer(path: str) -> tuple[Tokenizer, np.ndarray, dict[str, bytes]]:
-    """The tokenizer, which of its ids end a word, and the ids of strings."""
+def _tokenizer(path: str) -> tuple[Tokenizer, np.ndarray, dict[str, bytes], bool]:
+    """The tokenizer, which of its ids end a word, the ids of strings, and whether texts may be tokenized string by string."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     tokenizer = Tokenizer.from_file(path)
     last = np.zeros(tokenizer.get_vocab_size(), bool)
     last[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-    return tokenizer, last, {}
+    rules = json.loads(tokenizer.to_str())
+    steps = (rules["pre_tokenizer"] or {}).get("pretokenizers", [])
+    parted = bool(steps) and steps[0].get("pattern") == {"Regex": SPLIT} and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+    parted &= len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    parted &= (rules["normalizer"] or {}).get("normalizers") == NORMALIZERS and rules["model"].get("end_of_word_suffix") == "</w>"
+    parted &= all(t["content"].startswith("<|") for t in rules["added_tokens"])
+    return tokenizer, last, {}, parted
 
 
 def _learn(words: list[str], path: str) -> None:
     """Tokenizes strings that are one word each, a hundred at a time: the ids that end a word part them."""
-    tokenizer, last, known = _tokenizer(path)
+    tokenizer, last, known, _ = _tokenizer(path)
     groups = [words[i : i + 100] for i in range(0, len(words), 100)]
     for at in range(0, len(groups), 500):
         some = groups[at : at + 500]
@@ -84,7 +94,7 @@ def _gather(table: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _strings(strings: pa.Array, path: str) -> list[bytes]:
     """The ids of distinct strings without white space."""
-    tokenizer, _, known = _tokenizer(path)
+    tokenizer, _, known, _ = _tokenizer(path)
     if len(known) > KEPT:
         known.clear()
     parts = pc.extract_regex(strings, PLAIN)
@@ -109,13 +119,15 @@ def _strings(strings: pa.Array, path: str) -> list[bytes]:
 def encode(texts: list[str], path: str) -> list[bytes]:
     """The ids of each text as little-endian unsigned 32-bit numbers.
 
-    The vocabulary's rules drop white space and never join what it parts, so a text's ids are
-    those of its strings between ASCII white space, and each distinct string is tokenized
-    once. Texts that may hold a special token are tokenized whole.
+    Where the vocabulary's rules drop white space and never join what it parts, a text's ids
+    are those of its strings between ASCII white space, and each distinct string is tokenized
+    once. Texts that may hold a special token, and all texts of vocabularies with other
+    rules, are tokenized whole.
     """
     out: list[bytes] = [b""] * len(texts)
-    whole = [i for i, t in enumerate(texts) if "<|" in t]
-    rest = [i for i, t in enumerate(texts) if "<|" not in t]
+    parted = _tokenizer(path)[3]
+    whole = [i for i, t in enumerate(texts) if not parted or "<|" in t]
+    rest = [i for i, t in enumerate(texts) if parted and "<|" not in t]
     for i in whole:
         out[i] = _ids(texts[i], _tokenizer(path)[0])
     if not rest:
@@ -132,29 +144,38 @@ def encode(texts: list[str], path: str) -> list[bytes]:
 
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, part, at, ids): ids as 16-bit little-endian numbers where the vocabulary allows, at their offset in the part."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            ids, texts = batch["id"].to_list(), [t or "" for t in batch["text"]]
-            first = 0
-            while first < len(texts):
-                last, size = first, 0
-                while last < len(texts) and (last == first or size + len(texts[last]) <= BLOCK):
-                    size += len(texts[last])
-                    last += 1
-                coded, places = [], []
-                for raw in encode(texts[first:last], path):
-                    full = np.frombuffer(raw + END.to_bytes(4, "little"), "<u4")
-                    coded.append(full.astype("<u2").tobytes() if (full < 1 << 16).all() else full.tobytes())
-                    places.append((at, len(full)))
-                    at += len(full)
-                yield pd.DataFrame({"id": pd.Series(ids[first:last], dtype="Int64"), "part": part, "at": [p for p, _ in places], "n": [n for _, n in places], "ids": coded})
-                first = last
+        try:
+            yield from _coded(batches, path)
+        finally:  # an idle worker keeps nothing
+            _tokenizer(path)[2].clear()
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "id long, part int, at long, n long, ids binary")
 
 
+def _coded(batches: Iterator[pd.DataFrame], path: str) -> Iterator[pd.DataFrame]:
+    part, at = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        ids, texts = batch["id"].to_list(), [t or "" for t in batch["text"]]
+        first = 0
+        while first < len(texts):
+            last, size = first, 0
+            while last < len(texts) and (last == first or size + len(texts[last]) <= BLOCK):
+                size += len(texts[last])
+                last += 1
+            coded, places = [], []
+            for raw in encode(texts[first:last], path):
+                full = np.frombuffer(raw + END.to_bytes(4, "little"), "<u4")
+                coded.append(full.astype("<u2").tobytes() if (full < 1 << 16).all() else full.tobytes())
+                places.append((at, len(full)))
+                at += len(full)
+            yield pd.DataFrame({"id": pd.Series(ids[first:last], dtype="Int64"), "part": part, "at": [p for p, _ in places], "n": [n for _, n in places], "ids": coded})
+            first = last
+
+
 def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of a document: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (little-endian 32-bit).
 
@@ -162,27 +183,31 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, id_col:
     `window` ids without gaps, but for the last one. Repeated rows and ids and null ids are
     packed row by row. Other columns are not read. An empty table gives no piece.
     """
+    small_batches(docs.sparkSession)
     path = path or vocabulary_path()
     coded = staged(tokenize(docs, path, id_col, text_col), "tokens")
-    totals = coded.groupBy("part").agg(F.sum("n").alias("n"))
-    known, at = {}, 0
     # one row for each task of the first pass: as many as the input has splits, whatever they hold
-    for part, n in sorted(totals.collect()):
-        known[part], at = at, at + n
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = coded.groupBy("part").agg(F.sum("n").alias("n"))
+    starts = staged(totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "starts")
+    placed = coded.join(F.broadcast(starts), "part").select("id", (F.col("before") + F.col("at")).alias("place"), "n", "ids")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
         for batch in batches:
-            out = []
-            for doc, part, at, n, ids in batch.itertuples(index=False):
-                full = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
-                place, start = known[part] + at, 0
+            out, held = [], 0
+            for doc, place, n, ids in batch.itertuples(index=False):
+                full, start = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4"), 0
                 while start < n:
                     sequence, offset = divmod(place + start, window)
                     length = min(n - start, window - offset)
-                    piece = full[4 * start : 4 * (start + length)]
+                    piece = full[start : start + length].astype("<u4").tobytes()
                     out.append((doc, start, length, zlib.crc32(piece), n, sequence, offset, piece))
-                    start += length
-            yield pd.DataFrame(out, columns=["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]).astype({"id": "Int64"})
+                    start, held = start + length, held + len(piece)
+                    if held > HANDED:
+                        yield pd.DataFrame(out, columns=names).astype({"id": "Int64"})
+                        out, held = [], 0
+            yield pd.DataFrame(out, columns=names).astype({"id": "Int64"})
 
-    pieces = coded.mapInPandas(cut, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
+    pieces = placed.mapInPandas(cut, "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary")
     return pieces.withColumnRenamed("id", id_col)

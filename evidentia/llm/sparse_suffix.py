@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import drop_path, new_path, staged
+from .staging import drop_path, new_path, small_batches, staged
 
 GRAM, WINDOW, LEAST = 8, 32, 50
 #: Words after a kept position that all windows of its zone hold.
@@ -236,6 +236,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     one text are given once. Other columns are not read. An empty table gives an empty table.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where(F.octet_length("text") >= 2 * LEAST - 1)
     path = new_path(spark, "suffixes")
     kept_suffixes(base).write.parquet(path)

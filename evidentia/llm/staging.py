@@ -11,6 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of an Arrow batch of texts.
+ROWS, BYTES = 1000, 8_000_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; in local mode a new one where it is unset."""
@@ -23,6 +26,14 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: Arrow batches of ROWS of them and of BYTES at most, unless the session names its own numbers."""
+    for name, usual, own in (("maxRecordsPerBatch", "10000", str(ROWS)), ("maxBytesPerBatch", None, str(BYTES))):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, own)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .langid import fold
-from .staging import staged
+from .staging import small_batches, staged
 
 #: Labelled documents that the class counts are taken from.
 SAMPLE = 6_000
@@ -195,6 +195,7 @@ def document_shares(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from labelled documents outside the held-out fold; labels (doc_id, toxic) with null or other labels than 0 and 1, or null ids, are left out."""
     spark = docs.sparkSession
+    small_batches(spark)
     marked = labels.where(F.col("toxic").isin(0, 1) & (fold() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = docs.select("doc_id").where("doc_id is not null").distinct().join(marked, "doc_id")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
@@ -249,6 +250,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with score and predicted; a text alone decides them. A null or empty text has the score of no evidence. Columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     rest = docs.drop("score", "predicted")
 
