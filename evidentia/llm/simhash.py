@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .components import connected_components
-from .staging import staged
+from .staging import small_batches, staged
 
 SHINGLE = 3
 SEED = 42
@@ -135,6 +135,7 @@ def fingerprint_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     of its group are null, then it is null. Null, empty and wordless texts have fingerprint
     zero and link like any other. Repeated rows are kept. Other columns are not read.
     """
+    small_batches(docs.sparkSession)
     marked = staged(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col)).alias("fp")), "prints")
     distinct = staged(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     found = connected_components(links(distinct))
@@ -157,7 +158,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = fingerprint_components(docs, id_col, text_col).withColumn("stands", F.col("id").eqNullSafe(F.col("component_id")))
     tally = staged(found.groupBy("id").agg(F.count("*").alias("_n"), F.max("stands").alias("_stands")).where("_stands"), "kept").select(F.col("id").alias("_id"), "_n")
-    rows = docs.join(tally, docs[id_col].eqNullSafe(tally["_id"]))
+    # the rows are dealt by id at every size: the ids that stay are nearly as many as the rows
+    rows = docs.join(tally.hint("merge"), docs[id_col].eqNullSafe(tally["_id"]))
     single = rows.where("_n = 1").select(*docs.columns)
     if tally.where("_n > 1").isEmpty():
         return single
