@@ -6,9 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PASS, SKIP, VIOLATION = "pass", "skip", "violation"
-#: Signs of database errors in a body, and of stack traces. Fixed values.
-DATABASE_ERRORS = (r"(?i)sql syntax.*mysql", r"(?i)unclosed quotation mark", r"ORA-\d{5}", r"(?i)pg_query\(\)", r"(?i)sqlite3?\.OperationalError", r"SQLSTATE\[")
-STACK_TRACES = (r"Traceback \(most recent call last\)", r"\*\* \(\w+(\.\w+)*Error\)", r"\bat [\w.$]+\([\w]+\.java:\d+\)", r"(?i)unhandled exception", r"goroutine \d+ \[running\]")
+#: Signs of database errors in a body. Fixed values.
+DATABASE_ERRORS = (
+    r"(?i)you have an error in your SQL syntax",
+    r"\bORA-\d{5}\b",
+    r"(?i)SQLSTATE\[[A-Z0-9]+\]",
+    r"(?i)syntax error at or near [\"']",
+    r"(?i)unclosed quotation mark after the character string",
+    r"(?i)(?:SQL Native Client|ODBC SQL Server Driver|OLE DB Provider)",
+)
+#: Signs of stack traces and exceptions. Fixed values.
+STACK_TRACES = (
+    r"(?i)traceback \(most recent call last\)",
+    r"(?i)stack[\s_-]*trace",
+    r"(?i)uncaught\s+\w*exception",
+    r"\.exs?:\d+(?::\d+)?",
+    r"(?:ArgumentError|FunctionClauseError|CaseClauseError|KeyError):",
+)
 
 
 def _first(body: Column, patterns: tuple[str, ...]) -> Column:

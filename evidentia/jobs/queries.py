@@ -40,10 +40,13 @@ def _sid(source: str, *values: str) -> str:
     return f"'{source}:' || sha256('v1|{source}|' || {_part(*values)})"
 
 
-CATEGORY = "CASE WHEN coalesce(p.host, false) THEN 'vhost' WHEN p.location IN ('query','body','cookie') THEN 'param_injection' WHEN p.location = 'path' THEN 'exposed_path' ELSE 'matched_response' END"
-MATCHES = f"""p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY job_id, keyword ORDER BY CASE WHEN host THEN 0 WHEN location IN ('query','body','cookie') THEN 1 ELSE 2 END, location) AS n FROM v_points) WHERE n = 1),
-m AS (SELECT h.*, {CATEGORY} AS category FROM v_http h LEFT JOIN p ON h.job_id = p.job_id AND h.keyword = p.keyword),
-hf AS (SELECT {_sid('http', 'url', 'category', 'keyword', 'value')} AS id, 'http' AS source, category, CASE WHEN status >= 500 THEN 'medium' ELSE 'low' END AS severity, 'medium' AS confidence, 'HTTP ' || status || ', ' || length || ' bytes' AS evidence, url AS locus FROM m)"""
+CATEGORY = "CASE WHEN p.location = 'header' AND lower(p.name) = 'host' THEN 'vhost' WHEN p.location IN ('query','body','cookie') THEN 'param_injection' WHEN p.location = 'url' THEN 'exposed_path' ELSE 'matched_response' END"
+MATCHES = f"""c AS (SELECT h.match_id, p.*, p.keyword IN (h.keyword, coalesce(h.keyword2, h.keyword)) AS has, CASE WHEN p.location = 'header' AND lower(p.name) = 'host' THEN 0 WHEN p.location IN ('query','body','cookie') THEN 1 ELSE 2 END AS rank FROM v_http h JOIN v_points p ON h.job_id = p.job_id),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY has DESC, CASE WHEN has THEN rank ELSE 0 END, place) AS n FROM c) WHERE n = 1),
+m AS (SELECT h.*, j.method, {CATEGORY} AS category, coalesce(p.name, p.location) AS point, coalesce(p.keyword, CASE WHEN h.keyword2 < h.keyword THEN h.keyword2 ELSE h.keyword END) AS shown,
+ concat_ws(';', CASE WHEN list_contains(j.keywords, h.keyword2) THEN h.keyword2 || '=' || length(h.value2) || ':' || h.value2 END, CASE WHEN list_contains(j.keywords, h.keyword) THEN h.keyword || '=' || length(h.value) || ':' || h.value END) AS own FROM v_http h LEFT JOIN p ON h.match_id = p.match_id LEFT JOIN v_jobs j ON h.job_id = j.job_id),
+m2 AS (SELECT *, CASE WHEN method IS NULL THEN NULL ELSE own END AS signature FROM m),
+hf AS (SELECT {_sid('http', "'http_match'", 'method', 'url', 'category', 'point', 'signature')} AS id, 'http' AS source, category, CAST(NULL AS VARCHAR) AS severity, 'medium' AS confidence, 'matched HTTP ' || status || ', length=' || length || ', ' || shown || '=' || CASE shown WHEN keyword THEN '"' || value || '"' WHEN keyword2 THEN '"' || value2 || '"' ELSE 'nil' END AS evidence, url AS locus FROM m2)"""
 PORTS = f"""pf AS (SELECT {_sid('ports', 'ip', 'port', "coalesce(protocol, 'tcp')")} AS id, 'ports' AS source, CASE WHEN service IS NULL THEN 'open_port' ELSE 'exposed_service' END AS category, 'info' AS severity, 'high' AS confidence, port || '/' || coalesce(protocol, 'tcp') || ' open' || CASE WHEN service IS NULL THEN '' ELSE ' (' || service || ')' END AS evidence, ip || ':' || port AS locus FROM v_hosts h JOIN v_ports p USING (c_custkey) WHERE h.status = 'up' AND p.state = 'open')"""
 
 
@@ -57,20 +60,25 @@ def _(hosts, ports):  # noqa: ANN001, ANN202
     return g.findings_from_hosts(_hosts(hosts, ports))
 
 
-@_query("findings_from_matches", f"WITH {MATCHES} SELECT * FROM hf", "v_http", "v_points")
-def _(http, points):  # noqa: ANN001, ANN202
-    return g.findings_from_matches(http, points)
+def _inputs(http: DataFrame) -> DataFrame:
+    both = F.map_from_arrays(F.array("keyword", "keyword2"), F.array("value", "value2"))
+    return http.select("job_id", "url", "status", "length", F.when(F.col("keyword2").isNull(), F.create_map("keyword", "value")).otherwise(both).alias("input"))
+
+
+@_query("findings_from_matches", f"WITH {MATCHES} SELECT * FROM hf", "v_http", "v_jobs", "v_points")
+def _(http, jobs, points):  # noqa: ANN001, ANN202
+    return g.findings_from_matches(_inputs(http), jobs, points)
 
 
 BUS = f"WITH {MATCHES}, {PORTS}, every AS (SELECT * FROM hf UNION ALL SELECT * FROM pf), bus AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY source, category, severity, confidence, evidence, locus) AS n FROM every) WHERE n = 1)"
 
 
-@_query("finding_bus", f"{BUS} SELECT id, source, category, severity, confidence, evidence, locus FROM bus", "v_http", "v_points", "v_hosts", "v_ports")
-def bus(http, points, hosts, ports):  # noqa: ANN001, ANN202
-    return g.finding_bus(g.findings_from_matches(http, points), g.findings_from_hosts(_hosts(hosts, ports)))
+@_query("finding_bus", f"{BUS} SELECT id, source, category, severity, confidence, evidence, locus FROM bus", "v_http", "v_jobs", "v_points", "v_hosts", "v_ports")
+def bus(http, jobs, points, hosts, ports):  # noqa: ANN001, ANN202
+    return g.finding_bus(g.findings_from_matches(_inputs(http), jobs, points), g.findings_from_hosts(_hosts(hosts, ports)))
 
 
-@_query("finding_rollup", f"{BUS} SELECT source, category, severity, count(*) AS n, grouping(source, category, severity) AS level FROM bus GROUP BY CUBE (source, category, severity)", "v_http", "v_points", "v_hosts", "v_ports")
+@_query("finding_rollup", f"{BUS} SELECT source, category, severity, count(*) AS n, grouping(source, category, severity) AS level FROM bus GROUP BY CUBE (source, category, severity)", "v_http", "v_jobs", "v_points", "v_hosts", "v_ports")
 def _(*tables):  # noqa: ANN002, ANN202
     return g.finding_rollup(bus(*tables))
 
@@ -144,9 +152,9 @@ def _(lists):  # noqa: ANN001, ANN202
 
 ORACLES = """SELECT match_id, CASE WHEN status BETWEEN 500 AND 599 THEN 'violation' ELSE 'pass' END AS no_500,
  CASE WHEN content_type IS NULL OR body IS NULL THEN 'skip' WHEN lower(split_part(content_type, ';', 1)) = 'text/html' AND contains(body, value) THEN 'violation' ELSE 'pass' END AS no_reflection,
- CASE WHEN body IS NULL THEN 'skip' WHEN match_id % 11 = 0 THEN 'violation' ELSE 'pass' END AS injection_signal,
- CASE WHEN body IS NULL THEN 'skip' WHEN match_id % 13 = 0 THEN 'violation' ELSE 'pass' END AS sensitive_leak,
- CASE WHEN body IS NULL THEN 'skip' WHEN match_id % 17 = 0 THEN 'violation' ELSE 'pass' END AS terminal_safety,
+ CASE WHEN body IS NULL THEN 'skip' WHEN """ + " OR ".join(f"regexp_matches(body, '{p.replace(chr(39), chr(39) * 2)}')" for p in o.DATABASE_ERRORS) + """ THEN 'violation' ELSE 'pass' END AS injection_signal,
+ CASE WHEN body IS NULL THEN 'skip' WHEN """ + " OR ".join(f"regexp_matches(body, '{p}')" for p in o.STACK_TRACES) + """ THEN 'violation' ELSE 'pass' END AS sensitive_leak,
+ CASE WHEN body IS NULL THEN 'skip' WHEN regexp_matches(regexp_replace(body, '\\x1b\\[[0-9;]*m', '', 'g'), '[\\x00-\\x08\\x0b-\\x1f\\x7f\\x{80}-\\x{9f}]') THEN 'violation' ELSE 'pass' END AS terminal_safety,
  CASE WHEN body IS NULL THEN 'skip' WHEN strlen(body) > 3000 THEN 'violation' ELSE 'pass' END AS bounded_bytes,
  CASE WHEN body IS NULL OR strlen(body) > 1048576 THEN 'skip' WHEN length(body) > 3000 THEN 'violation' ELSE 'pass' END AS bounded_codepoints FROM v_http"""
 
@@ -158,9 +166,9 @@ def predicates(h):  # noqa: ANN001, ANN202
         "match_id",
         o.no_500(F.col("status")).alias("no_500"),
         o.no_reflection(body, F.col("content_type"), F.col("value")).alias("no_reflection"),
-        o.injection_signal(F.when(F.col("match_id") % 11 == 0, F.concat(body, F.lit(" ORA-00933: x"))).otherwise(body)).alias("injection_signal"),
-        o.sensitive_leak(F.when(F.col("match_id") % 13 == 0, F.concat(body, F.lit(" ** (Ecto.QueryError) x"))).otherwise(body)).alias("sensitive_leak"),
-        o.terminal_safety(F.when(F.col("match_id") % 17 == 0, F.concat(body, F.lit("\x1b[31mred\x1b[0m\x1b[2J"))).otherwise(F.concat(body, F.lit("\x1b[31m")))).alias("terminal_safety"),
+        o.injection_signal(body).alias("injection_signal"),
+        o.sensitive_leak(body).alias("sensitive_leak"),
+        o.terminal_safety(body).alias("terminal_safety"),
         o.bounded_length(body, 3000, "bytes").alias("bounded_bytes"),
         o.bounded_length(body, 3000, "codepoints").alias("bounded_codepoints"),
     )
@@ -188,15 +196,13 @@ def _(h):  # noqa: ANN001, ANN202
     return h.select("match_id", o.canonical_encoding(F.col("url"), F.col("match_id") % 4 != 0, encoded).alias("result"))
 
 
-@_query(
-    "url_origin",
-    "SELECT match_id, CASE WHEN match_id % 3 = 0 THEN 'https' WHEN contains(url, '#') THEN NULL ELSE split_part(url, ':', 1) END AS scheme, CASE WHEN match_id % 3 = 0 OR NOT contains(url, '#') THEN lower(split_part(split_part(url, '//', 2), '/', 1)) END AS host, CASE WHEN match_id % 3 = 0 THEN 8443 WHEN contains(url, '#') THEN NULL WHEN starts_with(url, 'https') THEN 443 ELSE 80 END AS port FROM v_http",
-    "v_http",
-)
-def _(h):  # noqa: ANN001, ANN202
-    host = F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1))
-    url = F.when(F.col("match_id") % 3 == 0, F.concat(F.lit(" HTTPS://"), F.upper(host), F.lit(":8443?q=1 "))).otherwise(F.col("url"))
-    return h.select("match_id", s.url_origin(url).alias("o")).select("match_id", "o.*")
+ORIGIN = """u AS (SELECT match_id, trim(url) AS u FROM v_urls),
+k AS (SELECT match_id, regexp_matches(u, '^(?i)https?://[^/?#:@]+(:[0-9]+)?(/[^?#]*)?(\\?[^#]*)?$') AS fits, lower(split_part(u, '://', 1)) AS scheme, lower(regexp_extract(u, '//([^/?#:@]+)', 1)) AS host, nullif(regexp_extract(u, '//[^/?#:@]+:([0-9]+)', 1), '') AS port FROM u)"""
+
+
+@_query("url_origin", f"WITH {ORIGIN}, x AS (SELECT *, fits AND coalesce(CAST(port AS BIGINT) BETWEEN 1 AND 65535, true) AS ok FROM k) SELECT match_id, CASE WHEN ok THEN scheme END AS scheme, CASE WHEN ok THEN host END AS host, CASE WHEN ok THEN coalesce(CAST(port AS INT), CASE scheme WHEN 'https' THEN 443 ELSE 80 END) END AS port FROM x", "v_urls")
+def _(urls):  # noqa: ANN001, ANN202
+    return urls.select("match_id", s.url_origin(F.col("url")).alias("o")).select("match_id", "o.*")
 
 
 @_query("ip_to_int", "SELECT ip, CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT) AS n FROM v_hosts", "v_hosts")
@@ -215,10 +221,9 @@ def _(seeds):  # noqa: ANN001, ANN202
     return seeds.select("value").distinct().select(F.col("value").alias("base"), F.explode(s.payload_variants(F.col("value"))).alias("variant"))
 
 
-@_query("text_lengths", "SELECT doc_id, strlen(content) AS bytes, length(content) AS codepoints FROM v_sources", "v_sources")
+@_query("text_lengths", "SELECT doc_id, strlen(content) AS bytes, length(content) AS codepoints, length_grapheme(content) AS graphemes FROM v_sources", "v_sources")
 def _(src):  # noqa: ANN001, ANN202
-    lengths = s.text_lengths(F.col("content"))
-    return src.select("doc_id", lengths["bytes"].alias("bytes"), lengths["codepoints"].alias("codepoints"))
+    return src.select("doc_id", s.text_lengths(F.col("content")).alias("n")).select("doc_id", "n.*")
 
 
 @_query("fingerprint", "SELECT doc_id, sha256(content) AS digest FROM v_sources", "v_sources")
@@ -226,7 +231,11 @@ def _(src):  # noqa: ANN001, ANN202
     return src.select("doc_id", s.fingerprint(F.col("content")).alias("digest"))
 
 
-@_query("component_checksum", "SELECT component, sha256(string_agg(path || '=' || sha256(content), chr(10) ORDER BY path || '=' || sha256(content))) AS checksum, count(*) AS files FROM v_sources GROUP BY component", "v_sources")
+@_query(
+    "component_checksum",
+    "WITH p AS (SELECT component, left(sha256(path), 2) AS part, sha256(string_agg(path || '=' || sha256(content), chr(10) ORDER BY path || '=' || sha256(content))) AS digest, count(*) AS files FROM v_sources GROUP BY 1, 2) SELECT component, sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part)) AS checksum, CAST(sum(files) AS BIGINT) AS files FROM p GROUP BY 1",
+    "v_sources",
+)
 def _(src):  # noqa: ANN001, ANN202
     return f.component_checksum(src)
 
@@ -319,8 +328,8 @@ def _(h):  # noqa: ANN001, ANN202
     return report.candidate_reduction(h.withColumn("selected", F.col("status") == 500))
 
 
-PAIRS = """s AS (SELECT id, count(*) AS n, min(marker) AS marker, min(at) AS at FROM v_sends GROUP BY 1), r AS (SELECT id, count(*) AS n, min(marker) AS marker, min(at) AS at FROM v_receives GROUP BY 1),
-pairs AS (SELECT e.id, coalesce(s.n, 0) AS sends, coalesce(r.n, 0) AS receives, coalesce(s.n = 1 AND r.n = 1 AND s.marker = r.marker{0}, false) AS joined FROM (SELECT DISTINCT id FROM v_sends) e LEFT JOIN s ON e.id = s.id LEFT JOIN r ON e.id = r.id)"""
+PAIRS = """s AS (SELECT id, count(*) AS n, min(marker) AS marker, min(recipient) AS recipient, min(at) AS at FROM v_sends GROUP BY 1), r AS (SELECT id, count(*) AS n, min(marker) AS marker, min(receiver) AS receiver, min(at) AS at FROM v_receives GROUP BY 1),
+pairs AS (SELECT e.id, coalesce(s.n, 0) AS sends, coalesce(r.n, 0) AS receives, coalesce(s.n = 1 AND r.n = 1 AND s.marker = r.marker AND s.recipient = r.receiver{0}, false) AS joined FROM (SELECT DISTINCT id FROM v_sends) e LEFT JOIN s ON e.id = s.id LEFT JOIN r ON e.id = r.id)"""
 TIMED, FREE = PAIRS.replace("{0}", " AND s.at <= r.at"), PAIRS.replace("{0}", "")
 
 
@@ -374,15 +383,15 @@ def _(trace):  # noqa: ANN001, ANN202
     return c.session_event_limit(trace, 60).select("session_id", "event_id", "place", "limited")
 
 
-@_query("session_verdict", "SELECT session_id, count(*) AS events, count(*) FILTER (hit AND event_id % 40 = 0) AS hits, CASE WHEN count(*) FILTER (hit AND event_id % 40 = 0) > 0 THEN 'confirmed' WHEN count(*) > 66 THEN 'inconclusive' ELSE 'refuted' END AS verdict FROM v_trace GROUP BY 1", "v_trace")
+@_query("session_verdict", "SELECT session_id, count(*) AS events, count(*) FILTER (hit AND event_id % 40 = 0) AS hits, CASE WHEN count(*) > 66 THEN 'inconclusive' WHEN count(*) FILTER (hit AND event_id % 40 = 0) > 0 THEN 'confirmed' ELSE 'refuted' END AS verdict FROM v_trace GROUP BY 1", "v_trace")
 def _(trace):  # noqa: ANN001, ANN202
     return c.session_verdict(trace.withColumn("hit", F.col("hit") & (F.col("event_id") % 40 == 0)), 66)
 
 
-@_query("marker_match", "SELECT event_id, CASE WHEN strlen(args[1]) > 7 OR strlen(args[2]) > 7 + 3 * (event_id % 2) THEN NULL END AS failure, concat_ws(',', CASE WHEN contains(args[1], 'r') THEN '1' END, CASE WHEN contains(args[2], 'r') THEN '2' END) AS matched FROM v_trace WHERE kind IN ('error', 'click')", "v_trace")
+@_query("marker_match", "SELECT event_id, CASE WHEN strlen(args[1]) > 8 OR strlen(args[2]) > 8 THEN 'argument_limit' END AS failure, CASE WHEN NOT coalesce(strlen(args[1]) > 8 OR strlen(args[2]) > 8, false) THEN concat_ws(',', CASE WHEN contains(args[1], 'r') THEN '1' END, CASE WHEN contains(args[2], 'r') THEN '2' END) END AS matched FROM v_trace WHERE kind IN ('error', 'click')", "v_trace")
 def _(trace):  # noqa: ANN001, ANN202
     sinks = trace.where(F.col("kind").isin("error", "click")).select("kind").distinct().withColumn("positions", F.array(F.lit(1), F.lit(2)))
-    return c.marker_match(trace.select("event_id", "kind", "args"), sinks, "r", 1 << 20)
+    return c.marker_match(trace.select("event_id", "kind", "args"), sinks, "r", 8)
 
 
 @_query("novelty_archive", "SELECT seq, count(*) AS new_items FROM (SELECT item, min(seq) AS seq FROM (SELECT seq, unnest(items) AS item FROM v_samples) GROUP BY 1) GROUP BY 1 ORDER BY 1 LIMIT 32", "v_samples")
@@ -577,8 +586,11 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from . import policy_queries, source_queries, stream_queries  # noqa: F401, PLC0415 they register theirs
+
     return {name: fn for name, (fn, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in _FOUND.items()}
+    queries()
+    return {name: sql for name, (_, sql) in _FOUND.items() if sql}

@@ -10,8 +10,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 VIEWS = {
-    "v_http": "SELECT page_id AS match_id, page_id % 3 AS job_id, url, html AS body, length(html) AS length, CASE page_id % 7 WHEN 0 THEN 500 WHEN 1 THEN 301 ELSE 200 END AS status, CASE page_id % 5 WHEN 0 THEN 'application/json' WHEN 1 THEN NULL ELSE 'text/html; charset=utf-8' END AS content_type, CASE WHEN page_id % 2 = 0 THEN 'FUZZ' ELSE 'WORD' END AS keyword, concat('v', CAST(page_id % 9 AS STRING)) AS value FROM {pages}",
-    "v_points": "SELECT r_regionkey % 3 AS job_id, CASE WHEN r_regionkey % 2 = 0 THEN 'FUZZ' ELSE 'WORD' END AS keyword, CASE r_regionkey WHEN 0 THEN 'query' WHEN 1 THEN 'path' WHEN 2 THEN 'header' ELSE 'body' END AS location, r_regionkey = 2 AS host FROM {region}",
+    "v_http": "SELECT page_id AS match_id, page_id % 5 AS job_id, url, concat(html, CASE page_id % 23 WHEN 0 THEN ' ORA-00933: x' WHEN 1 THEN ' XORA-00933' WHEN 2 THEN ' You have an error in your sql syntax' WHEN 3 THEN ' SQLSTATE[42]' WHEN 4 THEN concat(' syntax error at or near ', chr(34), 'x') WHEN 5 THEN ' syntax error at or near x' WHEN 6 THEN ' Unclosed quotation mark after the character string' WHEN 7 THEN ' OLE DB provider' WHEN 8 THEN ' Traceback (most recent call last)' WHEN 9 THEN ' stack_trace' WHEN 10 THEN ' uncaught FooException' WHEN 11 THEN ' lib/a.ex:12' WHEN 12 THEN ' lib/a.exe:12' WHEN 13 THEN ' KeyError: x' WHEN 14 THEN ' KeyError x' ELSE '' END, CASE page_id % 17 WHEN 0 THEN concat(chr(27), '[31mred', chr(27), '[0m') WHEN 1 THEN concat(chr(27), '[2J') WHEN 2 THEN chr(7) WHEN 3 THEN chr(155) ELSE '' END) AS body, length(html) AS length, CASE page_id % 7 WHEN 0 THEN 500 WHEN 1 THEN 301 ELSE 200 END AS status, CASE page_id % 5 WHEN 0 THEN 'application/json' WHEN 1 THEN NULL ELSE 'text/html; charset=utf-8' END AS content_type, CASE WHEN page_id % 2 = 0 THEN 'FUZZ' ELSE 'WORD' END AS keyword, concat('v', CAST(page_id % 9 AS STRING)) AS value, CASE WHEN page_id % 4 = 0 THEN 'EXTRA' END AS keyword2, concat('e', CAST(page_id % 6 AS STRING)) AS value2, page_id % 40 AS lines, page_id % 250 AS words, page_id % 900 AS millis FROM {pages}",
+    "v_jobs": "SELECT r_regionkey AS job_id, CASE r_regionkey WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' ELSE 'PUT' END AS method, CASE WHEN r_regionkey = 1 THEN array('FUZZ', 'WORD') ELSE array('EXTRA', 'FUZZ', 'WORD') END AS keywords FROM {region} WHERE r_regionkey < 4",
+    "v_points": "SELECT n_nationkey % 4 AS job_id, n_nationkey AS place, CASE WHEN n_nationkey % 4 = 2 THEN 'OTHER' WHEN n_nationkey % 3 = 0 THEN 'FUZZ' WHEN n_nationkey % 3 = 1 THEN 'WORD' ELSE 'EXTRA' END AS keyword, CASE n_nationkey % 5 WHEN 0 THEN 'query' WHEN 1 THEN 'url' WHEN 2 THEN 'header' WHEN 3 THEN 'body' ELSE 'cookie' END AS location, CASE n_nationkey % 5 WHEN 0 THEN 'q' WHEN 2 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'HOST' ELSE 'X-Id' END WHEN 4 THEN 'sid' END AS name FROM {nation}",
     "v_seeds": "SELECT p_partkey AS seed_id, p_partkey AS seq, CASE WHEN p_partkey % 2 = 0 THEN 'FUZZ' ELSE 'WORD' END AS keyword, concat('v', CAST(p_partkey % 12 AS STRING)) AS value, p_name AS id, p_brand AS property FROM {part}",
     "v_facts": "SELECT DISTINCT concat('part/', CAST(l_partkey AS STRING)) AS subject, concat('supp/', CAST(l_suppkey AS STRING)) AS object, CASE l_returnflag WHEN 'N' THEN 'call' WHEN 'A' THEN 'unqualified_call' ELSE 'package_use' END AS kind, CASE l_linestatus WHEN 'O' THEN 'calls' ELSE 'uses' END AS relation, concat('order/', CAST(l_orderkey AS STRING)) AS file, l_linenumber AS line, CAST(l_quantity AS INTEGER) AS col FROM {lineitem}",
     "v_matches": "SELECT CAST(l_suppkey % 7 AS STRING) AS rule_id, concat('order/', CAST(l_orderkey % 50 AS STRING)) AS file, l_returnflag AS anchor, l_linenumber AS line, CAST(l_quantity AS INTEGER) AS col, l_partkey AS message, l_orderkey AS o, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM {lineitem}",
@@ -28,8 +29,8 @@ VIEWS = {
     "v_variables": "SELECT o_orderkey AS call_id, CAST(o_custkey % 60 AS STRING) AS subject, CASE o_orderstatus WHEN 'O' THEN array(o_orderpriority, 'x') WHEN 'F' THEN array(o_orderpriority) ELSE array('x', 'y') END AS variables FROM {orders}",
     "v_sources": "SELECT source AS component, concat('src/', source, '/', CAST(doc_id AS STRING), '.txt') AS path, text AS content, doc_id, n_chars AS bytes FROM {documents}",
     "v_comments": "SELECT doc_id AS comment_id, n_chars AS line, CASE doc_id % 5 WHEN 0 THEN concat('# evidence-ignore: rule.', CAST(doc_id % 3 AS STRING), ' -- known and safe') WHEN 1 THEN '# evidence-ignore later' WHEN 2 THEN '# evidence-ignore: Rule -- x' ELSE text END AS text FROM {documents}",
-    "v_sends": "SELECT o_orderkey AS id, o_orderpriority AS marker, MICROS(o_orderdate) AS at FROM {orders}",
-    "v_receives": "SELECT l_orderkey AS id, CASE WHEN l_linenumber % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS marker, MICROS(l_shipdate) AS at FROM {lineitem}",
+    "v_sends": "SELECT o_orderkey AS id, o_orderpriority AS marker, MICROS(o_orderdate) AS at, o_orderkey % 3 AS recipient FROM {orders}",
+    "v_receives": "SELECT l_orderkey AS id, CASE WHEN l_linenumber % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS marker, MICROS(l_shipdate) AS at, l_partkey % 3 AS receiver FROM {lineitem}",
     "v_lineage": "SELECT concat(CAST(conv_id AS STRING), '/', CAST(CAST(floor(turn / 2) AS BIGINT) AS STRING)) AS reference, CASE role WHEN 'user' THEN 'handoff' WHEN 'assistant' THEN 'result' ELSE 'other' END AS stage, turn AS at FROM {conversations}",
     "v_store": "SELECT user_id AS key, event_id AS version, event_id AS at, CASE event_type WHEN 'error' THEN 'delete' ELSE 'write' END AS kind FROM {events} WHERE event_type IN ('purchase', 'signup', 'error')",
     "v_reads": "SELECT event_id AS read_id, user_id AS key, CASE WHEN event_id % 3 = 0 THEN event_id - 1 END AS version FROM {events} WHERE event_type IN ('view', 'click')",
@@ -43,6 +44,7 @@ VIEWS = {
     "v_lists": "SELECT 1 AS list, n_nationkey AS place, n_name AS value FROM {nation} UNION ALL SELECT 2, r_regionkey, r_name FROM {region}",
     "v_scans": "SELECT n_nationkey AS scan_id, CAST(n_nationkey % 7 + 1 AS BIGINT) AS rate, CAST(4 AS BIGINT) AS most FROM {nation}",
     "v_targets": "SELECT s_nationkey AS scan_id, s_suppkey AS target FROM {supplier}",
+    "v_urls": "SELECT page_id AS match_id, CASE page_id % 6 WHEN 0 THEN concat(' HTTPS://', upper(split_part(split_part(url, '//', 2), '/', 1)), ':8443?q=1 ') WHEN 1 THEN concat('http://u@', split_part(url, '//', 2)) WHEN 2 THEN concat('HTTP://', split_part(split_part(url, '//', 2), '/', 1), ':70000/') WHEN 3 THEN concat('ftp://', split_part(url, '//', 2)) ELSE url END AS url FROM {pages}",
     "v_hosts": "SELECT concat('10.', CAST(c_nationkey AS STRING), '.', CAST(CAST(floor(c_custkey / 250) AS BIGINT) % 250 AS STRING), '.', CAST(c_custkey % 250 AS STRING)) AS ip, c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'down' ELSE 'up' END AS status FROM {customer}",
     "v_ports": "SELECT o_custkey AS c_custkey, CAST(o_orderkey % 1024 + 1 AS INTEGER) AS port, CASE o_orderkey % 3 WHEN 0 THEN 'udp' WHEN 1 THEN 'tcp' END AS protocol, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'closed' ELSE 'filtered' END AS state, CASE WHEN o_orderkey % 2 = 0 THEN 'https' END AS service FROM {orders}",
     "v_api": "SELECT l_orderkey AS call_id, concat('part/', CAST(l_partkey AS STRING)) AS subject, CASE l_suppkey % 7 WHEN 0 THEN 'String' WHEN 1 THEN 'os' WHEN 2 THEN 'erlang' WHEN 3 THEN 'Code' WHEN 4 THEN 'System' WHEN 5 THEN 'Module' ELSE 'EEx' END AS module, CASE l_orderkey % 8 WHEN 0 THEN 'to_atom' WHEN 1 THEN 'cmd' WHEN 2 THEN 'binary_to_term' WHEN 3 THEN 'eval_string' WHEN 4 THEN 'shell' WHEN 5 THEN 'eval_quoted' WHEN 6 THEN 'open_port' ELSE 'concat' END AS fn, l_linenumber % 3 AS arity, CASE l_returnflag WHEN 'N' THEN 'dynamic' ELSE 'literal' END AS shape, CASE WHEN l_partkey % 2 = 0 THEN 'spawn' ELSE 'fd' END AS head, l_linestatus = 'O' AS safe FROM {lineitem}",
@@ -67,7 +69,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _quoted(sql: str) -> str:
     """DuckDB reads AT as a word of its own."""
-    return re.sub(r'(?<![\w"])at(?![\w"])', '"at"', sql)
+    return re.sub(r"""'(?:[^']|'')*'|(?<![\w"])at(?![\w"])""", lambda m: '"at"' if m[0] == "at" else m[0], sql)
 
 
 def with_views(sql: str) -> str:

@@ -12,13 +12,13 @@ def _once(events: DataFrame, key: str, columns: list[str], prefix: str) -> DataF
 
 
 def pair_messages(expected: DataFrame, sends: DataFrame, receives: DataFrame, timed: bool = True) -> DataFrame:
-    """Each expected id: how often it was sent and received, and whether it joins: once each, of one marker, sent before received.
+    """Each expected id: how often it was sent and received, and whether it joins: once each, of one marker, received by the recipient, sent before received.
 
     With timed=False clocks are not compared, as events of two nodes need.
     """
-    s, r = _once(sends, "id", ["marker", "at"], "s_"), _once(receives, "id", ["marker", "at"], "r_")
+    s, r = _once(sends, "id", ["marker", "recipient", "at"], "s_"), _once(receives, "id", ["marker", "receiver", "at"], "r_")
     both = expected.select("id").distinct().join(s, "id", "left").join(r, "id", "left").na.fill(0, ["s_n", "r_n"])
-    fits = (F.col("s_n") == 1) & (F.col("r_n") == 1) & F.col("s_marker").eqNullSafe(F.col("r_marker"))
+    fits = (F.col("s_n") == 1) & (F.col("r_n") == 1) & F.col("s_marker").eqNullSafe(F.col("r_marker")) & (F.col("s_recipient") == F.col("r_receiver"))
     fits = fits & (F.col("s_at") <= F.col("r_at")) if timed else fits
     return both.select("id", F.col("s_n").alias("sends"), F.col("r_n").alias("receives"), F.coalesce(fits, F.lit(False)).alias("joined"))
 
@@ -90,8 +90,11 @@ def marker_match(events: DataFrame, sinks: DataFrame, marker: str, most: int) ->
     return joined.select("event_id", F.when(over, F.lit("argument_limit")).alias("failure"), F.when(~F.coalesce(over, F.lit(False)), F.array_join(hits, ",")).alias("matched"))
 
 
-def session_verdict(events: DataFrame, most: int) -> DataFrame:
-    """Per session: events, hits and the verdict; a session beyond its limit is confirmed by a hit but never refuted."""
+def session_verdict(events: DataFrame, most: int, sessions: DataFrame | None = None) -> DataFrame:
+    """Per session: events, hits and the verdict. Only a session with an intact envelope is decided: one beyond its limit is inconclusive, hit or not, and so is one that sessions (session_id, complete) does not call complete."""
     counts = events.groupBy("session_id").agg(F.count("*").alias("events"), F.count_if("hit").alias("hits"))
-    cut = F.col("events") > most
-    return counts.withColumn("verdict", F.when(F.col("hits") > 0, "confirmed").when(cut, "inconclusive").otherwise("refuted"))
+    intact = F.col("events") <= most
+    if sessions is not None:
+        counts = sessions.groupBy("session_id").agg(F.min("complete").alias("complete")).join(counts, "session_id", "left").na.fill(0, ["events", "hits"])
+        intact = intact & F.coalesce("complete", F.lit(False))
+    return counts.select("session_id", "events", "hits", F.when(~intact, "inconclusive").when(F.col("hits") > 0, "confirmed").otherwise("refuted").alias("verdict"))

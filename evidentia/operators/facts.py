@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a hot interval key that one task may compare; lines are cut into bins of this many.
-BIN = 256
-
-
 def query_facts(facts: DataFrame, prefixes: dict[str, str] | None = None, **equal: object) -> DataFrame:
     """facts that match all exact values and prefixes."""
     out = facts
@@ -28,7 +24,7 @@ def fact_page(facts: DataFrame, order: list[str], limit: int = 100, offset: int
 
 
 def inventory_summary(facts: DataFrame) -> DataFrame:
-    """Counts by kind, by file's first letter group and in all."""
+    """Counts of facts and of their distinct subjects by kind, by relation and in all."""
     return facts.groupingSets([[F.col("kind")], [F.col("relation")], []], "kind", "relation").agg(F.count("*").alias("n"), F.count_distinct("subject").alias("subjects"))
 
 
@@ -56,21 +52,46 @@ def package_uses(calls: DataFrame, owners: DataFrame) -> DataFrame:
     return found.select("call_id", "target", F.col("o.module").alias("module"), F.col("o.package").alias("package"))
 
 
-def _containing(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """points (file, point_id, at) with the spans (file, first, last) that hold them; spans are cut into bins, so a join key is a file and a bin."""
-    dealt = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("first") / BIN), F.floor(F.col("last") / BIN))))
-    return points.withColumn("bin", F.floor(F.col("at") / BIN)).join(dealt, ["file", "bin"]).where("at >= first AND at <= last").drop("bin")
+def _cover(spans: DataFrame) -> DataFrame:
+    """spans (file, first, last) with each dyadic block (level, block) that they are made of: two for each power of two up to their length at most, and one of them around each line."""
+    size = F.col("last") - F.col("first") + 1
+    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int") + 1)
+    left = lambda k: F.ceil(F.col("first") / F.pow(F.lit(2), k)).cast("long")
+    right = lambda k: F.floor((F.col("last") + 1) / F.pow(F.lit(2), k)).cast("long")
+
+    def blocks(k: Column) -> Column:
+        some, odd = left(k) < right(k), lambda x: F.pmod(x, F.lit(2)) == 1
+        return F.array(F.when(some & odd(left(k)), F.struct(k.alias("level"), left(k).alias("block"))), F.when(some & odd(right(k)), F.struct(k.alias("level"), (right(k) - 1).alias("block"))))
+
+    dealt = spans.where("first <= last").withColumn("b", F.explode(F.array_compact(F.flatten(F.transform(levels, blocks)))))
+    return dealt.select("*", "b.level", "b.block").drop("b")
+
+
+def _held(points: DataFrame, spans: DataFrame, *sums: Column) -> DataFrame:
+    """sums of the spans of each block, for each distinct line (file, at) of points in it: a row for each block with spans.
+
+    Sums are taken for a block before any join, so a join key has one row on that side, and the
+    rows are those of lines times the powers of two up to the longest span.
+    """
+    cover = _cover(spans).groupBy("file", "level", "block").agg(*sums)
+    top = cover.agg(F.max("level")).first()[0] or 0
+    lines = points.select("file", "at").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    return lines.withColumn("block", F.floor(F.col("at") / F.pow(F.lit(2), "level")).cast("long")).join(cover, ["file", "level", "block"])
 
 
 def enclosing_scope(points: DataFrame, spans: DataFrame) -> DataFrame:
-    """The innermost span (scope_id, first, last) around each point: the last to begin, then the first to end; null where none is."""
-    inner = _containing(points, spans).groupBy("point_id").agg(F.max_by("scope_id", F.struct("first", -F.col("last"), "scope_id")).alias("scope_id"))
-    return points.join(inner, "point_id", "left").select("point_id", "scope_id")
+    """The innermost span (scope_id, first, last) around each point (file, point_id, at): the last to begin, then the first to end; null where none is."""
+    best = F.max(F.struct("first", (-F.col("last")).alias("end"), "scope_id")).alias("best")
+    inner = _held(points, spans, best).groupBy("file", "at").agg(F.max("best").alias("best"))
+    return points.join(inner, ["file", "at"], "left").select("point_id", F.col("best.scope_id").alias("scope_id"))
 
 
 def control_contexts(points: DataFrame, spans: DataFrame) -> DataFrame:
     """How many spans hold each point, and the first and last to begin."""
-    return _containing(points, spans).groupBy("point_id").agg(F.count("*").alias("n"), F.min(F.struct("first", "last", "scope_id"))["scope_id"].alias("outer"), F.max(F.struct("first", "last", "scope_id"))["scope_id"].alias("inner"))
+    own = F.struct("first", "last", "scope_id")
+    held = _held(points, spans, F.count("*").alias("n"), F.min(own).alias("outer"), F.max(own).alias("inner"))
+    lines = held.groupBy("file", "at").agg(F.sum("n").alias("n"), F.min("outer").alias("outer"), F.max("inner").alias("inner"))
+    return points.join(lines, ["file", "at"]).select("point_id", "n", F.col("outer.scope_id").alias("outer"), F.col("inner.scope_id").alias("inner"))
 
 
 def as_of(points: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -138,9 +159,11 @@ def callback_implementations(facts: DataFrame) -> DataFrame:
 
 
 def component_checksum(sources: DataFrame) -> DataFrame:
-    """A digest of each component's sorted (path, content hash) pairs; contents are hashed before they are gathered."""
-    each = sources.select("component", F.concat("path", F.lit("="), F.sha2("content", 256)).alias("line"))
-    return each.groupBy("component").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("checksum"), F.count("*").alias("files"))
+    """(component, checksum, files): a digest of the digests of 256 parts of a component's sorted (path, digest of content), dealt by the path's digest, so that no row gathers a component."""
+    line = F.concat("path", F.lit("="), F.sha2("content", 256))
+    parts = sources.groupBy("component", F.substring(F.sha2("path", 256), 1, 2).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"), F.count("*").alias("files"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: F.concat(x["part"], F.lit(":"), x["digest"]))
+    return parts.groupBy("component").agg(F.sha2(F.array_join(whole, "\n"), 256).alias("checksum"), F.sum("files").alias("files"))
 
 
 def parse_suppressions(comments: DataFrame, marker: str = "evidence-ignore") -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import stable_id
+from ..functions.scalars import input_signature, normalize_url, stable_id
 
 COLUMNS = ("id", "source", "category", "severity", "confidence", "evidence", "locus")
 
@@ -29,29 +29,43 @@ def findings_from_hosts(hosts: DataFrame) -> DataFrame:
     )
 
 
-def match_category(location: F.Column, keyword_in_host: F.Column) -> F.Column:
-    return F.when(keyword_in_host, "vhost").when(location.isin("query", "body", "cookie"), "param_injection").when(location == "path", "exposed_path").otherwise("matched_response")
+def match_category(point: F.Column) -> F.Column:
+    """The category of a match by its primary fuzz point (location, name)."""
+    host = (point["location"] == "header") & (F.lower(point["name"]) == "host")
+    return F.when(host, "vhost").when(point["location"].isin("query", "body", "cookie"), "param_injection").when(point["location"] == "url", "exposed_path").otherwise("matched_response")
 
 
-def findings_from_matches(matches: DataFrame, points: DataFrame) -> DataFrame:
-    """HTTP matches (job_id, url, status, length, keyword, value) with their job's fuzz points (job_id, keyword, location, host).
+def primary_fuzz_point(points: F.Column, given: F.Column) -> F.Column:
+    """Of points (array of place, keyword, location, name): among those whose keyword the input has the Host header's, then one in query, body or cookie, then the first; without any the first of all."""
+    host = lambda p: (p["location"] == "header") & (F.lower(p["name"]) == "host")
+    rank = lambda p: F.when(host(p), 0).when(p["location"].isin("query", "body", "cookie"), 1).otherwise(2)
+    as_ranked = lambda r: lambda p: F.struct(r(p).alias("rank"), *(p[c].alias(c) for c in ("place", "keyword", "location", "name")))
+    able = F.filter(points, lambda p: F.map_contains_key(given, p["keyword"]))
+    return F.coalesce(F.array_min(F.transform(able, as_ranked(rank))), F.array_min(F.transform(points, as_ranked(lambda _: F.lit(0)))))
 
-    The primary point is the Host header's, then one in query, body or cookie, then the first
-    whose keyword the match has. A match without a point is a plain matched response.
+
+def findings_from_matches(matches: DataFrame, jobs: DataFrame, points: DataFrame) -> DataFrame:
+    """One finding per HTTP match (job_id, url, status, length, input) with its job (job_id, method, keywords) and the job's fuzz points (job_id, place, keyword, location, name).
+
+    A finding is known by its job's method, its address, category and point, and the values of
+    all declared keywords. A match has no severity of its own.
     """
-    rank = F.when(F.col("host"), 0).when(F.col("location").isin("query", "body", "cookie"), 1).otherwise(2)
-    first = Window.partitionBy("job_id", "keyword").orderBy("rank", "location")
-    primary = points.withColumn("rank", rank).withColumn("n", F.row_number().over(first)).where("n = 1").drop("n", "rank")
-    joined = matches.join(primary, ["job_id", "keyword"], "left")
-    category = match_category(F.col("location"), F.coalesce("host", F.lit(False)))
+    listed = points.groupBy("job_id").agg(F.collect_list(F.struct("place", "keyword", "location", "name")).alias("points"))
+    joined = matches.join(jobs, "job_id", "left").join(listed, "job_id", "left").withColumn("point", primary_fuzz_point(F.col("points"), F.col("input")))
+    signature = F.when(F.col("keywords").isNotNull(), F.array_join(F.transform(input_signature(F.col("input"), F.col("keywords")), lambda e: F.concat(e["key"], F.lit("="), F.length(e["value"]).cast("string"), F.lit(":"), e["value"])), ";"))
+    category = match_category(F.col("point"))
+    keyword = F.coalesce("point.keyword", F.array_min(F.map_keys("input")))
+    value = F.coalesce(F.concat(F.lit('"'), F.try_element_at("input", keyword), F.lit('"')), F.lit("nil"))
+    what = F.concat(F.lit("matched HTTP "), F.col("status").cast("string"), F.lit(", length="), F.col("length").cast("string"))
+    url = F.coalesce(normalize_url(F.col("url")), F.col("url"))
     return joined.select(
-        stable_id("http", F.col("url"), category, F.col("keyword"), F.col("value")).alias("id"),
+        stable_id("http", F.lit("http_match"), F.col("method"), url, category, F.coalesce("point.name", "point.location"), signature).alias("id"),
         F.lit("http").alias("source"),
         category.alias("category"),
-        F.when(F.col("status") >= 500, "medium").otherwise("low").alias("severity"),
+        F.lit(None).cast("string").alias("severity"),
         F.lit("medium").alias("confidence"),
-        F.concat(F.lit("HTTP "), F.col("status").cast("string"), F.lit(", "), F.col("length").cast("string"), F.lit(" bytes")).alias("evidence"),
-        F.col("url").alias("locus"),
+        F.when(keyword.isNull(), what).otherwise(F.concat(what, F.lit(", "), keyword, F.lit("="), value)).alias("evidence"),
+        url.alias("locus"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,6 +49,53 @@ def graph_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, direction: s
     return seen
 
 
+def bounded_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, most_nodes: int = 200, most_edges: int = 500, most_work: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """(root, from, to, depth) of each root's edges within the bounds, and (root, nodes, edges, reasons): what a root's slice holds, and which bounds cut it.
+
+    A level takes a root's edges in the order of (from, to) until a bound is met: work counts
+    edges that were looked at, edges those that are kept, nodes the root and what it reaches.
+    Reasons are max_depth (there were edges to follow), max_nodes, max_edges and max_work. A
+    root keeps most_work edges of a level at most before they are ranked, so a hub is cut
+    where it is read.
+    """
+    step = _written(edges.select(F.col("from"), F.col("to")).distinct(), "steps")
+    sums = roots.select("root").distinct().withColumns({"nodes": F.lit(1), "edges": F.lit(0), "work": F.lit(0)})
+    reasons = []
+    frontier = roots.select("root", F.col("root").alias("node")).distinct()
+    seen, kept = frontier, None
+    in_order = Window.partitionBy("root").orderBy("from", "to")
+    for d in range(1, depth + 2):
+        found = frontier.withColumnRenamed("node", "from").join(step, "from")
+        if d > depth:
+            reasons.append(found.select("root", F.lit("max_depth").alias("reason")).distinct())
+            break
+        place = found.withColumn("place", F.row_number().over(in_order)).where(F.col("place") <= most_work + 1).join(sums, "root")
+        new = seen.withColumnRenamed("node", "to").withColumn("known", F.lit(True))
+        place = place.join(new, ["root", "to"], "left")
+        first = F.row_number().over(Window.partitionBy("root", "to").orderBy("from")) == 1
+        place = place.withColumn("fresh", (F.col("known").isNull() & first).cast("int"))
+        place = place.withColumn("reached", F.col("nodes") + F.sum("fresh").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        cut = F.when(F.col("work") + F.col("place") > most_work, "max_work").when(F.col("edges") + F.col("place") > most_edges, "max_edges").when(F.col("reached") > most_nodes, "max_nodes")
+        # what stands behind the first edge that is cut is cut too
+        cut = F.first(cut, ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        level = _written(place.withColumn("cut", cut).select("root", "from", "to", "fresh", "cut"), "level")
+        reasons.append(level.where("cut IS NOT NULL").select("root", F.col("cut").alias("reason")).distinct())
+        good = level.where("cut IS NULL")
+        kept = good.select("root", "from", "to", F.lit(d).alias("depth")) if kept is None else kept.union(good.select("root", "from", "to", F.lit(d).alias("depth")))
+        gained = good.groupBy("root").agg(F.sum("fresh").alias("n"), F.count("*").alias("e"))
+        sums = _written(sums.join(gained, "root", "left").na.fill(0, ["n", "e"]).select("root", (F.col("nodes") + F.col("n")).alias("nodes"), (F.col("edges") + F.col("e")).alias("edges"), (F.col("work") + F.col("e")).alias("work")), "sums")
+        frontier = good.where("fresh = 1").select("root", F.col("to").alias("node"))
+        seen = seen.union(frontier)
+        if frontier.isEmpty():
+            break
+    every = reasons[0]
+    for r in reasons[1:]:
+        every = every.union(r)
+    listed = every.groupBy("root").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    report = sums.join(listed, "root", "left").select("root", "nodes", "edges", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
+    return kept, report
+
+
 def sink_reach(edges: DataFrame, roots: DataFrame, sinks: DataFrame, depth: int = 3) -> DataFrame:
     """(root, node, depth) of the sinks (node) that a root reaches."""
     return graph_slice(edges, roots, depth).join(sinks.distinct(), "node", "left_semi")

@@ -2,22 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import ahocorasick
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that a group's samples are counted in, and literals that are looked for in one pass.
+BINS, LITERALS = 4096, 10_000
+
+
+def _of_rank(samples: DataFrame, keys: list[str], ranks: dict[str, Column]) -> DataFrame:
+    """keys, n, and for each name the sample of a rank (from zero, an expression of n) in each group's order.
+
+    Samples are counted in BINS equal ranges of their group; the range that holds a rank is
+    named by a window over the ranges, and only its samples are counted one by one. So no
+    task holds a group.
+    """
+    whole = samples.groupBy(*keys).agg(F.min("sample").alias("low"), F.max("sample").alias("high"), F.count("sample").alias("n"))
+    place = F.floor((F.col("sample") - F.col("low")) / (F.col("high") - F.col("low") + 1) * BINS)
+    binned = samples.where("sample IS NOT NULL").join(whole, keys).withColumn("bin", place)
+    w = Window.partitionBy(*keys).orderBy("bin")
+    bins = binned.groupBy(*keys, "bin").agg(F.count("*").alias("size"), F.first("n").alias("n")).withColumn("before", F.sum("size").over(w) - F.col("size"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items())))
+    hit = bins.withColumn("want", wanted).where("want.rank >= before AND want.rank < before + size").select(*keys, "bin", "want.*", "before")
+    fine = binned.select(*keys, "bin", "sample").join(hit, [*keys, "bin"]).groupBy(*keys, "name", "sample").agg(F.count("*").alias("size"), F.first("rank").alias("rank"), F.first("before").alias("before"))
+    upto = F.col("before") + F.sum("size").over(Window.partitionBy(*keys, "name").orderBy("sample"))
+    found = fine.withColumn("upto", upto).where("upto > rank").groupBy(*keys, "name").agg(F.min("sample").alias("sample"))
+    return whole.select(*keys, "n").join(found.groupBy(*keys).pivot("name", list(ranks)).agg(F.first("sample")), keys)
+
 
 def latency_percentiles(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """Nearest-rank p50 and p95."""
-    rank = lambda p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY sample)").cast(samples.schema["sample"].dataType)
-    return samples.groupBy(*keys).agg(rank(0.5).alias("p50"), rank(0.95).alias("p95"), F.count("*").alias("n"))
+    """Nearest-rank p50 and p95 of samples that are not null."""
+    rank = lambda p: F.ceil(F.col("n") * p / 100) - 1
+    return _of_rank(samples, keys, {"p50": rank(50), "p95": rank(95)}).select(*keys, "p50", "p95", "n")
 
 
 def upper_median(samples: DataFrame, keys: list[str]) -> DataFrame:
-    """The element at n div 2 of the sorted samples. Ranks come from a window over counts of equal samples, so no group is gathered."""
-    counts = samples.groupBy(*keys, "sample").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    placed = counts.withColumn("upto", F.sum("n").over(w.orderBy("sample"))).withColumn("all", F.sum("n").over(w))
-    return placed.where("upto > floor(all / 2)").groupBy(*keys).agg(F.min("sample").alias("median"))
+    """The element at n div 2 of the sorted samples."""
+    return _of_rank(samples, keys, {"median": F.floor(F.col("n") / 2)}).select(*keys, "median")
 
 
 def overhead_ratio(samples: DataFrame) -> DataFrame:
@@ -46,13 +70,46 @@ def same_semantics(a: DataFrame, b: DataFrame) -> DataFrame:
 def leak_audit(documents: DataFrame, literals: DataFrame) -> DataFrame:
     """(literal_id, documents): forbidden literals by how many texts hold them, in any case.
 
-    Literals are few by contract; where there are more than 10,000 they are dealt over the
-    cluster in place of being sent to each executor.
+    A task reads each text once for LITERALS literals, with an automaton of them, so the work
+    does not grow with their number; more are looked for in further passes. An empty literal
+    stands in every text.
     """
-    few = literals.count() <= 10_000
-    side = F.broadcast(literals) if few else literals.repartition(200)
-    hit = documents.select("doc_id", F.lower("text").alias("t")).join(side, F.contains("t", F.lower("literal")))
-    return hit.groupBy("literal_id").agg(F.count_distinct("doc_id").alias("documents"))
+    named = literals.where("literal IS NOT NULL").select("literal_id", F.lower("literal").alias("literal"))
+    passes = max(1, -(-named.count() // LITERALS))
+    texts = documents.where("text IS NOT NULL").select("doc_id", F.lower("text").alias("text"))
+    kind = dict(literals.dtypes)["literal_id"]
+    hits = None
+    for part in range(passes):
+        # LITERALS of them, more or less, by the draw of a hash
+        some = named.where(F.pmod(F.xxhash64("literal_id"), F.lit(passes)) == part).collect()
+        find = _finder([tuple(r) for r in some])
+        found = texts.mapInPandas(find, f"doc_id {dict(documents.dtypes)['doc_id']}, literal_id {kind}")
+        hits = found if hits is None else hits.union(found)
+    return hits.groupBy("literal_id").agg(F.count_distinct("doc_id").alias("documents"))
+
+
+def _finder(literals: list[tuple]):  # noqa: ANN202
+    ids: dict[str, list] = {}
+    for literal_id, text in literals:
+        ids.setdefault(text, []).append(literal_id)
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        automaton = ahocorasick.Automaton()
+        for text, own in ids.items():
+            if text:
+                automaton.add_word(text, own)
+        automaton.make_automaton()
+        for batch in batches:
+            out = []
+            for doc, text in batch[["doc_id", "text"]].itertuples(index=False):
+                seen = set(ids.get("", ()))
+                if len(automaton):
+                    for _, own in automaton.iter(text):
+                        seen.update(own)
+                out += [(doc, x) for x in seen]
+            yield pd.DataFrame(out, columns=["doc_id", "literal_id"])
+
+    return find
 
 
 def job_rate_share(scans: DataFrame, targets: DataFrame) -> DataFrame:

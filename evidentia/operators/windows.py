@@ -17,9 +17,16 @@ def novelty_archive(samples: DataFrame, most: int = 32) -> DataFrame:
 
 
 def peak_rate(requests: DataFrame, window: int) -> DataFrame:
-    """Per origin: the most requests in a half-open window that starts at a request, the number of all, and the time from the first to the last."""
-    w = Window.partitionBy("origin").orderBy("at").rangeBetween(0, window - 1)
-    return requests.withColumn("n", F.count("*").over(w)).groupBy("origin").agg(F.max("n").alias("peak"), F.count("*").alias("requests"), (F.max("at") - F.min("at")).alias("span"))
+    """Per origin: the most requests in a half-open window that starts at a request, the number of all, and the time from the first to the last.
+
+    Time is cut into bins of the window's length; a request is counted for those of its own
+    bin and of the one before, so a window function holds two bins and not an origin.
+    """
+    bin_ = F.floor(F.col("at") / window)
+    dealt = requests.select("origin", "at", bin_.alias("own"), F.explode(F.array(bin_, bin_ - 1)).alias("bin"))
+    w = Window.partitionBy("origin", "bin").orderBy("at").rangeBetween(0, window - 1)
+    counted = dealt.withColumn("n", F.count("*").over(w)).where("own = bin")
+    return counted.groupBy("origin").agg(F.max("n").alias("peak"), F.count("*").alias("requests"), (F.max("at") - F.min("at")).alias("span"))
 
 
 def incremental_samples(chunks: DataFrame) -> DataFrame:
@@ -46,16 +53,24 @@ def oracle_incremental_budget(samples: DataFrame, most: int) -> DataFrame:
     return samples.groupBy("stream").agg(first.alias("place"), F.max(F.col("bytes").isNull()).alias("missing")).select("stream", F.when(F.col("place").isNotNull(), "violation").when(F.col("missing"), "skip").otherwise("pass").alias("result"), "place")
 
 
-def host_batches(discoveries: DataFrame, size: int, salts: int = 16) -> DataFrame:
+def host_batches(discoveries: DataFrame, size: int, most: int = 1_000_000) -> DataFrame:
     """Batches of at most `size` hosts (ip, protocol, ports) with equal protocol and ports.
 
-    Almost all hosts share one set of ports, so each group is numbered in `salts` parts by the
-    address's hash: a batch is named by group, part and number, and each part may end in a
-    batch that is not full.
+    Almost all hosts share one set of ports, so a group of more than `most` hosts is numbered
+    in parts of about so many by the address's hash: a batch is named by group, part and
+    number, and each part may end in a batch that is not full.
     """
-    salted = discoveries.withColumn("part", F.pmod(F.crc32("ip"), F.lit(salts)))
-    w = Window.partitionBy("protocol", "ports", "part").orderBy("ip")
-    return salted.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    keys = ["protocol", "ports"]
+    parts = discoveries.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("parts"))
+    group = F.col("discoveries.protocol").eqNullSafe(F.col("p.protocol")) & F.col("discoveries.ports").eqNullSafe(F.col("p.ports"))
+    joined = discoveries.alias("discoveries").join(parts.alias("p"), group).select("discoveries.*", F.pmod(F.xxhash64("ip"), "parts").alias("part"))
+    w = Window.partitionBy(*keys, "part").orderBy("ip")
+    return joined.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+
+
+def plan_batch_stats(batches: DataFrame) -> DataFrame:
+    """Hosts and ports of each batch (protocol, ports, part, batch)."""
+    return batches.groupBy("protocol", "ports", "part", "batch").agg(F.count("*").alias("hosts"), F.sum(F.size("ports")).alias("n_ports"))
 
 
 def top_fitness(samples: DataFrame, k: int) -> DataFrame:

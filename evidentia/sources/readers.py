@@ -12,8 +12,13 @@ TEXTS = ("content-type", "redirectlocation", "url", "resultfile", "host")
 
 
 def read_http_matches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """NDJSON of fuzz results as (matches, rejects): numbers are whole and not negative, texts texts, input an object of base64; blank lines are no lines."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
+    """NDJSON files of fuzz results as (matches, rejects)."""
+    return http_matches(spark.read.text(path))
+
+
+def http_matches(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Lines (value), of a table or a stream, as (matches, rejects): numbers are whole and not negative, texts texts, input an object of base64; blank lines are no lines."""
+    lines = lines.where(F.trim("value") != "")
     v = F.when(F.octet_length("value") <= LINE, F.try_parse_json("value"))
     parsed = lines.withColumn("v", v)
     ok = F.lit(True)

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
+
+from ..operators.findings import findings_from_matches
+from ..sources.readers import http_matches
 
 
 def stream_dedupe(findings: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """One row per id among the rows that come within `delay` of each other."""
+    """One row per id among the rows that come within `delay` of each other; in a finished table one row per id."""
+    if not findings.isStreaming:
+        return findings.dropDuplicates(["id"])
     return findings.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
 
 
@@ -30,10 +39,77 @@ def stream_pairs(sends: DataFrame, receives: DataFrame, bound: str, delay: str =
     return s.join(r, on, "left_outer").select("id", F.when(F.col("rid").isNull(), "incomplete").otherwise("joined").alias("state"))
 
 
+def stream_findings(lines: DataFrame, job_id: int, jobs: DataFrame, points: DataFrame) -> DataFrame:
+    """Findings of a stream of NDJSON lines (value) of one job, by the projection that batches use; what does not parse is left out."""
+    matches = http_matches(lines)[0]
+    return findings_from_matches(matches.select(F.lit(job_id).cast("long").alias("job_id"), "url", "status", "length", F.transform_values("input", lambda _, v: F.decode(v, "UTF-8")).alias("input")), jobs, points)
+
+
+def stream_spans(starts: DataFrame, stops: DataFrame, bound: str, delay: str = "10 minutes") -> DataFrame:
+    """Spans (context, started, micros, outcome) of starts (context, ts) and stops (context, ts, outcome) within the bound; a span that never stops is incomplete."""
+    a = starts.withWatermark("ts", delay).select("context", F.col("ts").alias("started"))
+    b = stops.withWatermark("ts", delay).select(F.col("context").alias("other"), F.col("ts").alias("stopped"), "outcome")
+    on = F.expr(f"context = other AND stopped >= started AND stopped <= started + INTERVAL {bound}")
+    took = F.unix_micros(F.col("stopped").cast("timestamp")) - F.unix_micros(F.col("started").cast("timestamp"))
+    return a.join(b, on, "left_outer").select("context", "started", took.alias("micros"), F.coalesce("outcome", F.lit("incomplete")).alias("outcome"))
+
+
+SESSION = "session_id long, events long, hits long, verdict string"
+
+
+def stream_sessions(events: DataFrame, most: int, gap_ms: int, delay: str = "10 minutes") -> DataFrame:
+    """One verdict per session of events (session_id, ts, hit, last): at its last event, or when none has come for gap_ms of event time.
+
+    The state of a session is three numbers, whatever it holds. Only a session that ended by
+    itself and within `most` events is decided; others are inconclusive, hit or not.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, hits, done = state.get if state.exists else (0, 0, False)
+        timed = state.hasTimedOut
+        newest = 0
+        if not timed:
+            for batch in batches:
+                n, hits, done = n + len(batch), hits + int(batch["hit"].sum()), done or bool(batch["last"].any())
+                newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
+        if timed or done:
+            state.remove()
+            verdict = "inconclusive" if not done or n > most else "confirmed" if hits else "refuted"
+            yield pd.DataFrame({"session_id": [key[0]], "events": [n], "hits": [hits], "verdict": [verdict]})
+        else:
+            state.update((n, hits, done))
+            state.setTimeoutTimestamp(max(newest + gap_ms, state.getCurrentWatermarkMs() + 1))
+
+    grouped = events.withWatermark("ts", delay).groupBy("session_id")
+    return grouped.applyInPandasWithState(step, SESSION, "n long, hits long, done boolean", "append", "EventTimeTimeout")
+
+
+def late_events(events: DataFrame, path: str, checkpoint: str, delay_micros: int):  # noqa: ANN201
+    """Parts a stream of events (ts, ...) into on_time and late ones below a folder: late are those more than the delay behind the newest event of all batches before.
+
+    A batch that is repeated replaces its own folders, and reads the marks of earlier ones only.
+    """
+
+    def part(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        newest = spark.createDataFrame([], "number long, newest long") if number == 0 else spark.read.schema("number long, newest long").json(f"{path}/marks")
+        mark = newest.where(F.col("number") < number).agg(F.max("newest")).first()[0]
+        late = F.lit(False) if mark is None else F.unix_micros("ts") < mark - delay_micros
+        batch.where(~late).write.mode("overwrite").parquet(f"{path}/on_time/batch={number}")
+        batch.where(late).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        batch.agg(F.lit(number).cast("long").alias("number"), F.max(F.unix_micros("ts")).alias("newest")).coalesce(1).write.mode("overwrite").json(f"{path}/marks/batch={number}")
+
+    return events.writeStream.foreachBatch(part).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def sink_findings(findings: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
-    """Writes each batch of findings once: a batch that is repeated replaces its own folder."""
+    """Delivers each finding id once: a batch leaves out the ids of batches before it, and one that is repeated replaces its own folder."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(["id"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        new = batch.dropDuplicates(["id"])
+        if number:
+            seen = batch.sparkSession.read.schema("id string, batch long").parquet(path).where(F.col("batch") < number)
+            new = new.join(seen, "id", "left_anti")
+        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return findings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

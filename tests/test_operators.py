@@ -22,10 +22,11 @@ def test_stable_id_keeps_borders(spark):
 
 
 def test_urls_and_paths(spark):
-    assert one(spark, s.normalize_url(F.lit("HTTPS://App.Example/api?q=1"))) == "https://app.example/api?q=1"
+    assert one(spark, s.normalize_url(F.lit(" Http://Shop.Test:8080?tag=Red "))) == "http://shop.test:8080/?tag=Red"
     for bad in ("ftp://x/", "http://a@b/", "http://a/#x", "http://a:70000/"):
         assert one(spark, s.normalize_url(F.lit(bad))) is None
-    assert one(spark, s.canonical_path(F.lit("/api/%2e%2e/admin"))) == "/admin"
+    assert one(spark, s.canonical_path(F.lit("/img/thumbs/%2E./%C3%A9/./x"))) == "/img/é/x"
+    assert one(spark, s.canonical_path(F.lit("/../../top"))) == "/top"
     assert one(spark, s.canonical_path(F.lit("/a+b/./c"))) == "/a+b/c"
     assert one(spark, s.canonical_path(F.lit("/%zz"))) is None
 
@@ -93,10 +94,37 @@ def test_callbacks_and_suppressions(spark):
 
 
 def test_pairs_need_one_of_each(spark):
-    s_ = spark.createDataFrame([(1, "m", 1), (2, "m", 5), (3, "m", 1), (3, "m", 2)], "id long, marker string, at long")
-    r_ = spark.createDataFrame([(1, "m", 2), (2, "m", 3), (3, "m", 9)], "id long, marker string, at long")
-    assert {r.id: r.joined for r in correlate.pair_messages(s_, s_, r_).collect()} == {1: True, 2: False, 3: False}
-    assert rows(correlate.pair_summary(correlate.pair_messages(s_, s_, r_))) == [(3, 1, 3)]
+    s_ = spark.createDataFrame([(1, "m", 1, 7), (2, "m", 5, 7), (3, "m", 1, 7), (3, "m", 2, 7), (4, "m", 1, 7), (5, "m", 1, None)], "id long, marker string, at long, recipient long")
+    r_ = spark.createDataFrame([(1, "m", 2, 7), (2, "m", 3, 7), (3, "m", 9, 7), (4, "m", 2, 8), (5, "m", 2, None)], "id long, marker string, at long, receiver long")
+    assert {r.id: r.joined for r in correlate.pair_messages(s_, s_, r_).collect()} == {1: True, 2: False, 3: False, 4: False, 5: False}
+    assert {r.id: r.joined for r in correlate.pair_messages(s_, s_, r_, timed=False).collect()}[2]
+    assert rows(correlate.pair_summary(correlate.pair_messages(s_, s_, r_))) == [(5, 1, 5)]
+
+
+def test_broken_envelopes_decide_nothing(spark):
+    e = spark.createDataFrame([(i, h) for i, h in ((1, True), (1, False), (2, True), (3, False), (4, True), (4, True), (4, True))], "session_id long, hit boolean")
+    assert {r.session_id: r.verdict for r in correlate.session_verdict(e, 2).collect()} == {1: "confirmed", 2: "confirmed", 3: "refuted", 4: "inconclusive"}
+    ended = spark.createDataFrame([(1, True), (2, False), (3, True), (4, True), (9, True)], "session_id long, complete boolean")
+    assert {r.session_id: r.verdict for r in correlate.session_verdict(e, 2, ended).collect()} == {1: "confirmed", 2: "inconclusive", 3: "refuted", 4: "inconclusive", 9: "refuted"}
+
+
+def test_findings_are_known_by_job_point_and_inputs(spark):
+    m = spark.createDataFrame([(j, "http://h.test/x", 200, 5, i) for j, i in ((1, {"A": "1"}), (2, {"A": "1"}), (1, {"A": "1", "B": "2"}), (1, {"A": "1", "Z": "9"}), (1, {"Z": "9"}), (5, {"A": "1"}))], "job_id long, url string, status int, length int, input map<string,string>")
+    jobs = spark.createDataFrame([(1, "GET", ["A", "B"]), (2, "PUT", ["A", "B"])], "job_id long, method string, keywords array<string>")
+    points = spark.createDataFrame([(1, 0, "A", "url", None), (1, 1, "B", "header", "hOsT"), (2, 0, "C", "cookie", "sid"), (2, 1, "A", "header", "X-A")], "job_id long, place long, keyword string, location string, name string")
+    got = [(r.category, r.evidence, r.id) for r in findings.findings_from_matches(m, jobs, points).collect()]
+    by = {e: (c, i) for c, e, i in got}
+    assert sorted(c for c, _, _ in got) == ["exposed_path", "exposed_path", "exposed_path", "matched_response", "matched_response", "vhost"]
+    assert len({i for _, _, i in got}) == 5  # an undeclared keyword is no part of an identity
+    assert by['matched HTTP 200, length=5, B="2"'][0] == "vhost" and "matched HTTP 200, length=5, A=nil" in by
+
+
+def test_each_sign_of_an_error(spark):
+    signs = {o.injection_signal: ("You have an error in your SQL syntax", "x ORA-01722 y", "sqlstate[hy000]", "Syntax error at or near 'from'", "Unclosed quotation mark after the character string", "OLE DB Provider"), o.sensitive_leak: ("Traceback (most recent call last)", "stack-trace", "Uncaught TypeException", "web/page.ex:7:3", "ArgumentError: bad")}
+    none = {o.injection_signal: ("AORA-01722", "ORA-123", "SQLSTATE", "syntax error near x"), o.sensitive_leak: ("page.exe:7", "ArgumentError", "caught exception")}
+    for rule, texts in signs.items():
+        assert [one(spark, rule(F.lit(t))) for t in texts] == ["violation"] * len(texts)
+        assert [one(spark, rule(F.lit(t))) for t in none[rule]] == ["pass"] * len(none[rule])
 
 
 def test_incremental_budget_and_novelty(spark):
@@ -118,17 +146,22 @@ def test_medians(spark):
 
 
 def test_ndjson_rejects(spark, tmp_path):
-    good = '{"input":{"FUZZ":"YWRtaW4="},"position":1,"status":200,"length":12,"words":1,"lines":1,"duration":5,"content-type":"text/html","redirectlocation":"","url":"https://a/x","resultfile":"","host":"a"}'
-    (tmp_path / "x.ndjson").write_text("\n".join([good, "", "{bad", good.replace('"status":200', '"status":"200"'), good.replace("YWRtaW4=", "%%")]) + "\n")
+    import base64
+    import json
+
+    # Fixed names: the fields of a line.
+    record = {"input": {"W": base64.b64encode(b"caf\xc3\xa9").decode()}, "position": 40, "status": 301, "length": 0, "words": 3, "lines": 2, "duration": 77, "content-type": "text/plain", "redirectlocation": "/new", "url": "http://one.test/p", "resultfile": "r", "host": "one.test"}
+    changed = [record | {"length": -1}, record | {"words": 1.5}, record | {"host": None}, record | {"input": {"W": "?"}}, record | {"input": "W"}]
+    (tmp_path / "x.ndjson").write_text("\n".join(["   ", json.dumps(record), "[1,", *map(json.dumps, changed)]) + "\n")
     ok, bad = readers.read_http_matches(spark, str(tmp_path))
-    assert [bytes(r.input["FUZZ"]) for r in ok.collect()] == [b"admin"]
-    assert sorted(r.reason for r in bad.collect()) == ["invalid field", "invalid field", "malformed JSON"]
+    assert [(bytes(r.input["W"]).decode(), r.status, r.redirectlocation) for r in ok.collect()] == [("café", 301, "/new")]
+    assert sorted(r.reason for r in bad.collect()) == ["invalid field"] * 5 + ["malformed JSON"]
 
 
 def test_scan_lines(spark):
-    d = spark.createDataFrame([("192.0.2.10 -> [443, 22, 22]",), ("banner",), ("oops -> ports",), ("192.0.2.1 -> []",)], ["value"])
+    d = spark.createDataFrame([("203.0.113.7   ->   [8443,8080,8443]",), ("2001:db8::5 -> [53]",), ("scan took 3 s",), ("host -> [1]",), ("203.0.113.8 -> [1;2]",), ("203.0.113.9 -> [ ]",)], ["value"])
     ok, bad = readers.read_scan_lines(d)
-    assert rows(ok) == [("192.0.2.10", [22, 443])] and bad.count() == 1
+    assert rows(ok) == [("2001:db8::5", [53]), ("203.0.113.7", [8080, 8443])] and rows(bad) == [("203.0.113.8 -> [1;2]",), ("host -> [1]",)]
 
 
 def test_limits_keep_nothing_beyond_the_total(spark):

@@ -30,3 +30,79 @@ def test_sink_is_idempotent(spark, tmp_path):
     stream = spark.readStream.schema("id string").parquet(str(tmp_path / "in"))
     live.sink_findings(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def _stream(spark, path, rows, schema, files=1):
+    spark.createDataFrame(rows, schema).repartition(files).write.mode("append").parquet(str(path))
+    return spark.readStream.schema(schema).parquet(str(path))
+
+
+def _table(query, name, tmp_path):
+    q = query.writeStream.outputMode("append").format("memory").queryName(name).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"c-{name}")).start()
+    q.awaitTermination(180)
+    return query.sparkSession.table(name).collect()
+
+
+def test_sessions_end_by_themselves_or_by_time(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    schema = "session_id long, ts timestamp, hit boolean, last boolean"
+    rows = [(1, at(0), True, False), (1, at(5), False, True), (2, at(1), False, True), (3, at(2), True, False), (4, at(3), True, False), (4, at(4), False, False), (4, at(6), False, True)]
+    _stream(spark, tmp_path / "in", rows, schema)
+    stream = live.stream_sessions(_stream(spark, tmp_path / "in", [(9, at(100_000), False, True)], schema), 2, 60_000, "1 second")
+    got = {r.session_id: (r.events, r.hits, r.verdict) for r in _table(stream, "sessions", tmp_path)}
+    assert got[1] == (2, 1, "confirmed") and got[2] == (1, 0, "refuted") and got[4] == (3, 1, "inconclusive") and got[9][2] == "refuted"
+    assert got.get(3, (1, 1, "inconclusive")) == (1, 1, "inconclusive")
+
+
+def test_spans_join_their_stops(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    a = _stream(spark, tmp_path / "a", [("x", at(0)), ("y", at(1)), ("z", at(90_000))], "context string, ts timestamp")
+    b = _stream(spark, tmp_path / "b", [("x", at(2), "stop"), ("w", at(3), "stop"), ("q", at(90_000), "exception")], "context string, ts timestamp, outcome string")
+    got = {r.context: (r.micros, r.outcome) for r in _table(live.stream_spans(a, b, "1 minute", "1 second"), "spans", tmp_path)}
+    assert got["x"] == (2_000_000, "stop") and got.get("y", (None, "incomplete")) == (None, "incomplete") and "w" not in got
+
+
+def test_pairs_and_windows_equal_batch(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    s = _stream(spark, tmp_path / "s", [(1, at(0)), (2, at(1))], "id long, ts timestamp")
+    r = _stream(spark, tmp_path / "r", [(1, at(3)), (2, at(500))], "id long, ts timestamp")
+    got = {x.id: x.state for x in _table(live.stream_pairs(s, r, "1 minute", "1 second"), "pairs", tmp_path)}
+    assert got[1] == "joined" and got.get(2, "incomplete") == "incomplete"
+    e = _stream(spark, tmp_path / "e", [("k", at(0)), ("k", at(4)), ("k", at(30)), ("k", at(9_000))], "session_id string, ts timestamp")
+    windows = sorted(x.n for x in _table(live.stream_session_window(e, "10 seconds", "1 second"), "windows", tmp_path))
+    assert windows in ([1, 2], [1, 1, 2])
+
+
+def test_streamed_findings_equal_batch(spark, tmp_path):
+    import json
+
+    from evidentia.operators.findings import findings_from_matches
+    from evidentia.sources.readers import http_matches
+
+    record = {"input": {"A": "YQ=="}, "position": 1, "status": 200, "length": 4, "words": 1, "lines": 1, "duration": 1, "content-type": "", "redirectlocation": "", "url": "http://two.test/", "resultfile": "", "host": ""}
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.json").write_text(json.dumps(record) + "\nnonsense\n" + json.dumps(record | {"status": 404}) + "\n")
+    jobs = spark.createDataFrame([(1, "GET", ["A"])], "job_id long, method string, keywords array<string>")
+    points = spark.createDataFrame([(1, 0, "A", "query", "q")], "job_id long, place long, keyword string, location string, name string")
+    found = _table(live.stream_findings(spark.readStream.text(str(tmp_path / "in")), 1, jobs, points), "found", tmp_path)
+    batch = http_matches(spark.read.text(str(tmp_path / "in")))[0].selectExpr("1L AS job_id", "url", "status", "length", "map('A', 'a') AS input")
+    assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, findings_from_matches(batch, jobs, points).collect()), key=repr) and len(found) == 2
+
+
+def test_late_events_are_kept_apart(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    schema = "id long, ts timestamp"
+    run = lambda: live.late_events(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"), 60_000_000).awaitTermination(120)
+    _stream(spark, tmp_path / "in", [(1, at(0)), (2, at(1000))], schema)
+    run()
+    _stream(spark, tmp_path / "in", [(3, at(10)), (4, at(990)), (5, at(2000))], schema)
+    run()
+    ids = lambda kind: sorted(r.id for r in spark.read.schema(schema).parquet(str(tmp_path / "out" / kind)).collect())
+    assert ids("late") == [3] and ids("on_time") == [1, 2, 4, 5]
+
+
+def test_sink_delivers_an_id_once_over_batches(spark, tmp_path):
+    for ids in ("ab", "bc"):
+        stream = _stream(spark, tmp_path / "in", [(x,) for x in ids], "id string")
+        live.sink_findings(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
