@@ -13,18 +13,23 @@ drawn at random and decoded with the code at hand, share a filter in less than R
 cases. Pairs above the bound are found more often. The draw is of the code's rotation, so the
 recall does not hang on how the vectors lie. Where no list reaches it, all pairs are compared.
 
-Equal vectors are one row with a multiplicity. A bucket is compared in a task and gives two
-numbers per member at most: the links first seen in this filter, and a member that it is
-connected with. So no pairs are shuffled. Buckets above CHUNK rows are cut into chunks, and
-each pair of chunks is a task of its own.
+Equal vectors are one row with a multiplicity. A task reads the buckets that it holds one after
+the other. The members of a bucket, or CHUNK of them where there are more, are compared with
+each other and then with the other chunks' members as they stream by; each member gets the
+number of its links and one that it is connected with, so no pairs are shuffled and rows grow
+with the members. A pair is counted in the least filter that it has in common. Only the
+filters before a bucket's own travel with its members, and vectors in the type they came in.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +41,8 @@ COSINE = 0.98
 OCCUPANCY, LISTED = 32, 24
 RECALL, PAIRS, DIRECTIONS = 0.999, 4096, 1 << 20
 BLOCKS = 4
-CHUNK = 1024
+#: Members of a bucket that a task compares with the others, and rows of a block of cosines.
+CHUNK, STRIP = 4096, 512
 SEED = 23
 
 
@@ -91,34 +97,116 @@ def code_size(vectors: int, dim: int, cosine: float) -> tuple[int, int]:
     return 1, 1
 
 
-def compare(a: pd.DataFrame, b: pd.DataFrame | None, bucket: int, cosine: float) -> pd.DataFrame:
-    """(rep, links, root) of the members with links: pairs within a, or between a and b."""
-    rows = a if b is None else pd.concat((a, b), ignore_index=True)
-    v = unit(np.stack(rows["v"].to_numpy()).astype(np.float64))
-    linked = v @ v.T >= cosine
-    np.fill_diagonal(linked, False)
-    if b is not None:
-        linked[: len(a), : len(a)] = linked[len(a) :, len(a) :] = False
-    some = np.flatnonzero(linked.any(axis=1))
-    if not len(some):
-        return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-    linked, rows = linked[np.ix_(some, some)], rows.iloc[some]
-    lists = [f[: np.searchsorted(f, bucket)] for f in rows["filters"]]
-    values, at = np.unique(np.concatenate(lists), return_inverse=True)
-    seen = np.zeros(linked.shape, bool)
-    if len(values):
-        marks = np.zeros((len(some), len(values)), np.float32)
-        marks[np.repeat(np.arange(len(some)), [len(x) for x in lists]), at] = 1
-        seen = marks @ marks.T > 0.5
-    links = (linked & ~seen) @ rows["copies"].to_numpy(np.int64)
-    root = np.arange(len(some))
-    while True:
-        least = np.minimum(root, np.where(linked, root[None, :], len(some)).min(axis=1))
-        if (least == root).all():
-            break
-        root = least
-    reps = rows["rep"].to_numpy(np.int64)
-    return pd.DataFrame({"rep": reps, "links": links.astype(np.int64), "root": reps[root]})
+class _Bucket:
+    """The members that ask in a bucket: their links and components as other members come by."""
+
+    def __init__(self, cosine: float) -> None:
+        self.cosine, self.parts, self.ready = cosine, [], False
+
+    def add(self, members: tuple) -> None:
+        self.parts.append(members)
+
+    def _begin(self) -> None:
+        """Compares the members that ask with each other."""
+        v, self.rep, self.copies, flat, sizes = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        self.parts, self.ready, m = [], True, len(v)
+        self.v, self.links, self.root = v, np.zeros(m, np.int64), np.arange(m)
+        linked = np.zeros((m, m), bool)
+        for at in range(0, m, STRIP):
+            linked[at : at + STRIP] = v[at : at + STRIP] @ v.T >= self.cosine
+        np.fill_diagonal(linked, False)
+        self.values, where = np.unique(flat, return_inverse=True)
+        self.marks = np.zeros((m, len(self.values)), np.float32)
+        self.marks[np.repeat(np.arange(m), sizes), where] = 1
+        some = np.flatnonzero(linked.any(axis=1))
+        if not len(some):
+            return
+        linked, marks, copies = linked[np.ix_(some, some)], self.marks[some], self.copies[some]
+        for at in range(0, len(some), STRIP):
+            new = linked[at : at + STRIP] & ~(marks[at : at + STRIP] @ marks.T > 0.5)
+            self.links[some[at : at + STRIP]] = new @ copies
+        root = np.arange(len(some))
+        while True:
+            least = np.concatenate([np.minimum(root[at : at + STRIP], np.where(linked[at : at + STRIP], root[None, :], len(some)).min(axis=1)) for at in range(0, len(some), STRIP)])
+            if (least == root).all():
+                break
+            root = least
+        self.root[some] = some[root]
+
+    def meet(self, members: tuple, later: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Members of other chunks: they count for those that ask, and those of later chunks are connected."""
+        if not self.ready:
+            self._begin()
+        v, rep, copies, flat, sizes = members
+        marks = np.zeros((len(v), len(self.values)), np.float32)
+        where = np.searchsorted(self.values, flat)
+        where[where == len(self.values)] = 0
+        same = self.values[where] == flat if len(self.values) else np.zeros(len(flat), bool)
+        marks[np.repeat(np.arange(len(v)), sizes)[same], where[same]] = 1
+        out = []
+        for at in range(0, len(v), STRIP):
+            linked = self.v @ v[at : at + STRIP].T >= self.cosine
+            if not linked.any():
+                continue
+            self.links += (linked & ~(self.marks @ marks[at : at + STRIP].T > 0.5)) @ copies[at : at + STRIP]
+            for k in np.flatnonzero(linked.any(axis=0)).tolist():
+                roots = np.unique(self.root[linked[:, k]])
+                if len(roots) > 1:
+                    self.root[np.isin(self.root, roots)] = roots[0]
+                if later[at + k]:
+                    out.append((rep[at + k : at + k + 1], np.zeros(1, np.int64), self.rep[roots[:1]]))
+        return out
+
+    def end(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if not self.ready:
+            self._begin()
+        some = np.flatnonzero((self.links > 0) | (self.root != np.arange(len(self.root))))
+        return [(self.rep[some], self.links[some], self.rep[self.root[some]])] if len(some) else []
+
+
+def _compared(cosine: float):  # noqa: ANN202
+    """A map over members sorted by bucket and chunk, those that ask before the others: (rep, links, root)."""
+    names = ("label", "dim", "filter", "task")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            changed = np.zeros(batch.num_rows, bool)
+            for c in names:
+                changed[1:] |= np.asarray(pc.not_equal(batch[c].slice(1), batch[c].slice(0, batch.num_rows - 1)))
+            first = tuple(batch[c][0].as_py() for c in names)
+            changed[0] = first != last
+            last = tuple(batch[c][-1].as_py() for c in names)
+            other, chunk, task, dims = (np.asarray(batch[c]) for c in ("other", "chunk", "task", "dim"))
+            changed |= np.concatenate(([False], other[1:] != other[:-1]))
+            cuts = np.append(np.flatnonzero(changed | (np.arange(batch.num_rows) == 0)), batch.num_rows)
+            v, filters = batch["v"], batch["filters"]
+            flat, at = np.asarray(v.flatten(), np.float64), np.concatenate(([0], np.cumsum(np.asarray(pc.list_value_length(v), np.int64))))
+            listed, sizes = np.asarray(filters.flatten(), np.int64), np.asarray(pc.list_value_length(filters), np.int64)
+            place = np.concatenate(([0], np.cumsum(sizes)))
+            rep, copies = np.asarray(batch["rep"]), np.asarray(batch["copies"])
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                members = (unit(flat[at[x] : at[y]].reshape(-1, int(dims[x]))), rep[x:y], copies[x:y], listed[place[x] : place[y]], sizes[x:y])
+                if not other[x]:
+                    if changed[x]:
+                        out += bucket.end() if bucket else []
+                        bucket = _Bucket(cosine)
+                    bucket.add(members)
+                elif bucket is not None:
+                    out += bucket.meet(members, chunk[x:y] > task[x:y])
+            if out:
+                yield _links(out)
+        if bucket is not None and (out := bucket.end()):
+            yield _links(out)
+
+    return run
+
+
+def _links(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*rows, strict=True)], names=["rep", "links", "root"])
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -128,50 +216,44 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     their cosine is at least the bound; equal rows link too. A vector that is null, empty,
     zero or holds a null or non-finite component links with nothing, nor does a row without an
     id (component_id null, kept false). Repeated ids are rows of one vec_id: each gives a row.
+    An empty table gives an empty table. Other columns are not read.
     """
     base = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label"))
     able = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & valid_vector("embedding")
-    normal = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast("double"))
-    part = base.where(able).select("vec_id", "label", normal.alias("v"))
-    reps = staged(part.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.count_distinct("vec_id").alias("ids")).withColumn("row", F.xxhash64("label", "v")), "reps")
+    number = "float" if dict(base.dtypes)["embedding"] == "array<float>" else "double"
+    normal = F.transform("embedding", lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x).cast(number))
+    # two hashes name a vector with its label when rows are joined with what is found for it
+    name = [F.xxhash64("label", normal), F.xxhash64(F.lit(SEED), "label", normal)]
+    part = base.where(able).select("vec_id", "label", normal.alias("v"), name[0].alias("h1"), name[1].alias("h2"))
+    distinct = part.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("h1").alias("h1"), F.first("h2").alias("h2"))
+    reps = staged(distinct.withColumn("row", F.monotonically_increasing_id()), "reps")
     most = reps.groupBy("label", F.size("v").alias("dim")).count().groupBy("dim").agg(F.max("count").alias("most")).collect()
     codes = {r.dim: code_size(r.most, r.dim, cosine) for r in most}
 
-    def filters(batches):  # noqa: ANN001, ANN202
+    def filters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if not len(batch):
                 continue
-            sizes = batch["v"].map(len)
-            for dim, rows in batch.groupby(sizes):
+            for dim, rows in batch.groupby(batch["v"].map(len)):
                 yield rows.assign(filters=list(decode(unit(np.stack(rows["v"].to_numpy()).astype(np.float64)), *codes[dim])))
 
     kind = dict(reps.dtypes)["label"]
-    decoded = staged(reps.withColumn("dim", F.size("v")).mapInPandas(filters, f"label {kind}, v array<double>, rep long, copies long, ids long, row long, dim int, filters array<long>"), "decoded")
+    some = reps.select("label", "v", "row", "copies", F.size("v").alias("dim"))
+    decoded = staged(some.mapInPandas(filters, f"label {kind}, v array<{number}>, row long, copies long, dim int, filters array<long>"), "decoded")
     on = ["label", "dim", "filter"]
-    members = decoded.select("label", "dim", F.explode("filters").alias("filter"))
-    sizes = members.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1")
-    wide = decoded.select("label", "dim", "row", F.col("row").alias("rep"), "copies", "v", "filters", F.explode("filters").alias("filter")).join(sizes, on)
-    chunks = F.ceil(F.col("n") / (CHUNK // 2)).cast("int")
-    wide = wide.withColumn("chunks", F.when(F.col("n") > CHUNK, chunks).otherwise(1)).withColumn("chunk", F.pmod("row", F.col("chunks")).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least(x, F.col("chunk")).alias("i"), F.greatest(x, F.col("chunk")).alias("j")))
-    wide = wide.withColumn("pair", F.explode(pair)).select(*on, "pair.i", "pair.j", "chunk", "rep", "copies", "v", "filters")
-
-    def bucket(key, rows):  # noqa: ANN001, ANN202
-        i, j = int(key[3]), int(key[4])
-        if i == j:
-            return compare(rows, None, int(key[2]), cosine)
-        a, b = rows[rows["chunk"] == i], rows[rows["chunk"] == j]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-        return compare(a, b, int(key[2]), cosine)
-
-    seen = staged(wide.groupBy(*on, "i", "j").applyInPandas(bucket, "rep long, links long, root long"), "links")
+    sizes = staged(decoded.select("label", "dim", F.explode("filters").alias("filter")).groupBy(*on).agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    members = decoded.select("label", "dim", F.col("row").alias("rep"), "copies", "v", "filters", F.explode("filters").alias("filter")).join(sizes, on)
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    members = members.withColumn("filters", F.filter("filters", lambda x: x < F.col("filter"))).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("rep"), "chunks").cast("int"))
+    wide = members.withColumn("task", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("other", F.col("task") != F.col("chunk"))
+    dealt = wide.select(*on, "task", "other", "chunk", "rep", "copies", "v", "filters").repartition(*on, "task").sortWithinPartitions(*on, "task", "other")
+    seen = staged(dealt.mapInArrow(_compared(cosine), "rep long, links long, root long"), "links")
     links = seen.groupBy("rep").agg(F.sum("links").alias("links"))
     groups = connected_components(seen.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "row")
-    known = reps.join(links.withColumnRenamed("rep", "row"), "row", "left").join(groups, "row", "left").select("row", "label", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "row").alias("component"))
+    known = reps.join(links.withColumnRenamed("rep", "row"), "row", "left").join(groups, "row", "left").select("h1", "h2", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "row").alias("component"))
     least = known.groupBy("component").agg(F.min("rep").alias("component_id"))
-    known = staged(known.join(least, "component").select("row", "copies", "links", "component_id"), "known")
-    marked = base.select("vec_id", F.when(able, F.xxhash64("label", normal)).alias("row"))
-    out = marked.where("row is not null").join(known, "row").select("vec_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "component_id")
-    rest = marked.where("row is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    known = staged(known.join(least, "component").select("h1", "h2", "copies", "links", "component_id"), "known")
+    marked = base.select("vec_id", *(F.when(able, h).alias(c) for h, c in zip(name, ("h1", "h2"), strict=True)))
+    out = marked.where("h1 is not null").join(known, ["h1", "h2"]).select("vec_id", (F.col("copies") - 1 + F.col("links")).alias("n_links"), "component_id")
+    rest = marked.where("h1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.union(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

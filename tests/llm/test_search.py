@@ -56,11 +56,45 @@ def test_cap_filters_of_odd_rows(spark):
     assert capfilters.near_vectors(df.limit(0)).count() == 0
 
 
+def by_brute_force(x, labels, cosine=0.98):
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    near = (u @ u.T >= cosine) & np.array([[a is not None and a == b for b in labels] for a in labels])
+    np.fill_diagonal(near, False)
+    root = list(range(len(x)))
+    while True:
+        new = [min([root[i], *(root[j] for j in np.flatnonzero(near[i]))]) for i in range(len(x))]
+        if new == root:
+            return near.sum(1), root
+        root = new
+
+
 def test_chunks_of_a_large_bucket_count_each_pair_once(spark, monkeypatch):
     monkeypatch.setattr(capfilters, "CHUNK", 8)
-    x = np.concatenate([np.ones((30, 8)) + 0.001 * np.random.default_rng(3).standard_normal((30, 8)), -np.ones((1, 8))])
-    got = {r.vec_id: r.n_links for r in capfilters.near_vectors(table(spark, x)).collect()}
-    assert got == {i: 29 for i in range(30)} | {30: 0}
+    rng = np.random.default_rng(3)
+    x = np.concatenate([np.ones((30, 8)) + 0.001 * rng.standard_normal((30, 8)), -np.ones((1, 8)), *(np.eye(8)[i] + 0.07 * rng.standard_normal((25, 8)) for i in range(3))]).astype(np.float32)
+    want, root = by_brute_force(x, [0] * len(x))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in capfilters.near_vectors(table(spark, x)).collect()}
+    assert got == {i: (want[i], root[i]) for i in range(len(x))} and want[0] == 29 and want[30] == 0
+
+
+def test_chains_are_one_component(spark, monkeypatch):
+    """Vectors along an arc, each near its neighbours only, over chunks and buckets."""
+    monkeypatch.setattr(capfilters, "CHUNK", 4)
+    angle = np.concatenate((np.arange(60) * 0.15, [30.0]))
+    order = np.random.default_rng(8).permutation(len(angle))
+    x = np.stack((np.cos(angle / 4), np.sin(angle / 4), np.zeros(61), np.full(61, 0.01)), axis=1)[order]
+    want, root = by_brute_force(x, [1] * 61)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in capfilters.near_vectors(table(spark, x, [1] * 61)).collect()}
+    u = (x.astype(np.float32)).astype(float)
+    want, root = by_brute_force(u, [1] * 61)
+    assert got == {i: (want[i], root[i]) for i in range(61)}
+
+
+def test_repeated_and_missing_ids_of_vectors(spark):
+    rows = [(1, [1.0, 0.0], "a"), (1, [0.0, 1.0], "a"), (None, [1.0, 0.0], "a"), (2, [1.0, -0.0], "a"), (3, [1.0, 0.0], None), (4, [1.0, 0.0], "b")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").selectExpr("*", "1 AS row", "2 AS rep", "3 AS h1")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id, r.kept) for r in capfilters.near_vectors(df).collect())
+    assert got == [(0, 0, None, False), (1, 0, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
 
 
 def test_cap_filters_find_pairs_at_the_bound_in_a_large_label(spark):
