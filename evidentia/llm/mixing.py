@@ -58,8 +58,9 @@ def with_targets(rows: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def copies(id_col: str = "doc_id", seed: int = SEED) -> F.Column:
-    """floor(rate) and one more with the probability of the fraction, drawn from the id's hash."""
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / F.lit(float(1 << 53))
+    """floor(rate) and one more with the probability of the fraction, drawn from the id's hash, of rows without an id the text's."""
+    name = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.md5("text"), F.lit("")))
+    draw = F.conv(F.substring(F.md5(name), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     whole = F.floor("rate")
     return (whole + (draw < F.col("rate") - whole).cast("long")).cast("long")
 
@@ -68,7 +69,8 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """docs with size, source_size, target and copies: how often the mix takes each row.
 
     A null text has size 0. Null sources are one source, the last. A source without words has
-    target 0 and takes nothing. Repeated ids draw alike. Columns of these names are replaced.
+    target 0 and takes nothing. Repeated ids draw alike, rows without an id by their text. An
+    empty table gives an empty table. Columns of these names are replaced.
     """
     clean = docs.drop("size", "source_size", "target", "rate", "copies")
     sized = clean.withColumn("size", size_of())

@@ -22,7 +22,7 @@ def op1_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_content_addressed_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archive = warc.write_archive(_table(spark, sf_dir, "pages"))
-    return warc.read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified")
+    return warc.read_archive(archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified", F.sha1("record").alias("record_sha1"))
 
 
 def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,37 @@
 #: Fixed names: those of the query and of its columns.
 ORACLES = {
     "op2_content_addressed_warc": """
-WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
-q AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS payload_digest, max(page_id) OVER (PARTITION BY payload) AS holder FROM p)
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS payload FROM pages),
+q AS (SELECT *, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest, max(page_id) OVER (PARTITION BY payload) AS holder FROM p),
+r AS (SELECT *, payload_bytes >= 1000 AND page_id <> holder AS again, chr(13) || chr(10) AS nl FROM q)
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 1000 AND page_id <> holder THEN holder END AS refers_to,
-       true AS verified
-FROM q
+       CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN holder END AS refers_to,
+       true AS verified,
+       sha1('WARC/1.1' || nl || 'WARC-Type: ' || CASE WHEN again THEN 'revisit' ELSE 'response' END || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl
+            || 'WARC-Target-URI: ' || regexp_replace(coalesce(url, ''), '[\\r\\n]+', ' ', 'g') || nl || 'WARC-Date: 2000-01-01T00:00:00Z' || nl || 'WARC-Payload-Digest: sha1:' || payload_digest || nl
+            || CASE WHEN again THEN 'WARC-Refers-To: <urn:page:' || holder || '>' || nl || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest' || nl ELSE '' END
+            || 'Content-Type: text/html; charset=utf-8' || nl || 'Content-Length: ' || CASE WHEN again THEN 0 ELSE payload_bytes END || nl || nl
+            || CASE WHEN again THEN '' ELSE payload END || nl || nl) AS record_sha1
+FROM r
+""",
+    "op8_target_weights": """
+WITH RECURSIVE d AS (SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
+-- sources above three times their size stop there and what is over is shared again, until none is above
+w(step, stopped, share) AS (
+  SELECT 0, list_value()::VARCHAR[], (SELECT sum(source_size) FROM s)::DOUBLE / (SELECT sum(weight) FROM s)
+  UNION ALL
+  SELECT step + 1, n.stopped, n.share FROM w, LATERAL (
+    SELECT list(coalesce('=' || source, '-')) FILTER (w.share * weight > 3 * source_size OR list_contains(w.stopped, coalesce('=' || source, '-'))) AS stopped,
+           ((SELECT sum(source_size) FROM s) - coalesce(sum(3 * source_size) FILTER (w.share * weight > 3 * source_size OR list_contains(w.stopped, coalesce('=' || source, '-'))), 0))::DOUBLE
+           / nullif(coalesce(sum(weight) FILTER (NOT (w.share * weight > 3 * source_size OR list_contains(w.stopped, coalesce('=' || source, '-')))), 0), 0) AS share
+    FROM s) n
+  WHERE step < 50 AND len(coalesce(n.stopped, [])) > len(w.stopped) AND n.share IS NOT NULL),
+l AS (SELECT arg_max(stopped, step) AS stopped, arg_max(share, step) AS share FROM w),
+t AS (SELECT source, source_size, CASE WHEN list_contains(l.stopped, coalesce('=' || source, '-')) THEN 3.0 * source_size ELSE least(l.share * weight, 3.0 * source_size) END AS target FROM s, l),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0) ELSE 0 END AS rate,
+             ('0x' || left(md5('20240601:' || coalesce(CAST(d.doc_id AS VARCHAR), md5(d.text), '')), 13))::BIGINT / 4503599627370496.0 AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, CAST((floor(rate) + (draw < rate - floor(rate))::INT) * size AS BIGINT) AS taken FROM r
 """,
 }
