@@ -2,25 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """df through a table in the cluster's shared folder, which cuts the lineage of a loop."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..staging import staged
 
 
 def graph_edges(facts: DataFrame) -> DataFrame:
@@ -37,12 +22,12 @@ def graph_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, direction: s
     the frontier; edges are made distinct once.
     """
     step = edges.select(F.col("from").alias("node"), F.col("to").alias("next")) if direction == "out" else edges.select(F.col("to").alias("node"), F.col("from").alias("next"))
-    step = _written(step.distinct(), "steps")
+    step = staged(step.distinct(), "steps")
     seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
     frontier = seen
     for d in range(1, depth + 1):
         found = frontier.join(step, "node").select("root", F.col("next").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
-        frontier = _written(found.withColumn("depth", F.lit(d)), "frontier")
+        frontier = staged(found.withColumn("depth", F.lit(d)), "frontier")
         seen = seen.union(frontier)
         if frontier.isEmpty():
             break
@@ -58,7 +43,7 @@ def bounded_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, most_nodes
     root keeps most_work edges of a level at most before they are ranked, so a hub is cut
     where it is read.
     """
-    step = _written(edges.select(F.col("from"), F.col("to")).distinct(), "steps")
+    step = staged(edges.select(F.col("from"), F.col("to")).distinct(), "steps")
     sums = roots.select("root").distinct().withColumns({"nodes": F.lit(1), "edges": F.lit(0), "work": F.lit(0)})
     reasons = []
     frontier = roots.select("root", F.col("root").alias("node")).distinct()
@@ -78,12 +63,12 @@ def bounded_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, most_nodes
         cut = F.when(F.col("work") + F.col("place") > most_work, "max_work").when(F.col("edges") + F.col("place") > most_edges, "max_edges").when(F.col("reached") > most_nodes, "max_nodes")
         # what stands behind the first edge that is cut is cut too
         cut = F.first(cut, ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        level = _written(place.withColumn("cut", cut).select("root", "from", "to", "fresh", "cut"), "level")
+        level = staged(place.withColumn("cut", cut).select("root", "from", "to", "fresh", "cut"), "level")
         reasons.append(level.where("cut IS NOT NULL").select("root", F.col("cut").alias("reason")).distinct())
         good = level.where("cut IS NULL")
         kept = good.select("root", "from", "to", F.lit(d).alias("depth")) if kept is None else kept.union(good.select("root", "from", "to", F.lit(d).alias("depth")))
         gained = good.groupBy("root").agg(F.sum("fresh").alias("n"), F.count("*").alias("e"))
-        sums = _written(sums.join(gained, "root", "left").na.fill(0, ["n", "e"]).select("root", (F.col("nodes") + F.col("n")).alias("nodes"), (F.col("edges") + F.col("e")).alias("edges"), (F.col("work") + F.col("e")).alias("work")), "sums")
+        sums = staged(sums.join(gained, "root", "left").na.fill(0, ["n", "e"]).select("root", (F.col("nodes") + F.col("n")).alias("nodes"), (F.col("edges") + F.col("e")).alias("edges"), (F.col("work") + F.col("e")).alias("work")), "sums")
         frontier = good.where("fresh = 1").select("root", F.col("to").alias("node"))
         seen = seen.union(frontier)
         if frontier.isEmpty():
