@@ -33,7 +33,7 @@ GRAM, WINDOW, LEAST = 8, 32, 50
 #: Words after a kept position that all windows of its zone hold.
 SHARED = LEAST - WINDOW + 1
 #: Characters of texts, and words, that are treated in one go.
-BLOCK, SEGMENT = 4_000_000, 1 << 21
+BLOCK, SEGMENT = 1_000_000, 1 << 21
 #: Kinds of a suffix beyond which its windows are spread over tasks.
 HEAVY = 512
 FACTOR = 0x9E3779B97F4A7C15
@@ -109,6 +109,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = max(first + 1, int(np.searchsorted(size, BLOCK + (size[first - 1] if first else 0), side="right")))
             yield batch.slice(first, last - first)
             first = last
+    pa.default_memory_pool().release_unused()
 
 
 def _row() -> F.Column:
