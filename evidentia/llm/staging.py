@@ -1,53 +1,20 @@
-"""Intermediate tables in the shared folder of the cluster.
-
-Long plans are cut by writing a table and reading it again, so a lost executor costs the
-tasks of one step and never the whole lineage.
-"""
+"""Intermediate tables, as in the rest of the library, and the size of Arrow batches of texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
+
+from ..staging import drop_path, new_path, shared_dir, staged
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["drop_path", "new_path", "shared_dir", "small_batches", "staged"]
 
 #: Rows and bytes of an Arrow batch of texts.
 ROWS, BYTES = 1000, 8_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; in local mode a new one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def small_batches(spark: SparkSession) -> None:
     """Texts are long rows: Arrow batches of ROWS of them and of BYTES at most, unless the session names its own numbers."""
     for name, usual, own in (("maxRecordsPerBatch", "10000", str(ROWS)), ("maxBytesPerBatch", None, str(BYTES))):
         key = f"spark.sql.execution.arrow.{name}"
         if spark.conf.get(key, usual) == usual:
             spark.conf.set(key, own)
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Removes a staged table that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
