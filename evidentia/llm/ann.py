@@ -9,7 +9,8 @@ All candidates of the visited buckets are ranked by the exact cosine.
 
 Buckets are processed in tasks sorted by bucket, queries before rows, and the rows arrive in
 batches; a task holds the queries of one bucket and the best rows of its queries. Buckets
-above HEAVY rows are salted, and their queries go to each salt.
+above HEAVY rows or QUERIES queries are cut both ways: each part of the queries meets each
+part of the rows, so a task holds about QUERIES of them at most.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ TABLES, WIDTH, CELL, PROBES = 5, 6, 2.0, 60
 SEED = 11
 #: Rows of a bucket beyond which it is salted; also at least a ten-thousandth of all rows, so that the heavy buckets are TABLES * 10,000 at most and may be broadcast.
 HEAVY = 20_000
-#: Queries whose best rows a task holds before it hands them on.
-HELD = 20_000
+#: Queries of a bucket that a task holds, about, and queries whose best rows it holds before it hands them on.
+QUERIES, HELD = 20_000, 20_000
 
 
 def valid_vector(column: str) -> F.Column:
@@ -132,7 +133,7 @@ def _search(k: int):  # noqa: ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best, bucket, ids, vectors = _Best(k), None, np.zeros(0, np.int64), None
         for batch in batches:
-            marks = batch[["dim", "tab", "bucket", "salt"]].to_numpy(np.int64)
+            marks = batch[["dim", "tab", "bucket", "salt", "ask"]].to_numpy(np.int64)
             cuts = [0, *(np.flatnonzero((marks[1:] != marks[:-1]).any(axis=1)) + 1).tolist(), len(batch)]
             kinds, names, given = batch["row"].to_numpy(), batch["vec_id"].to_numpy(np.int64), batch["v"].to_numpy()
             for a, z in zip(cuts, cuts[1:], strict=False):
@@ -172,9 +173,9 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def _visit(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Best rows for each query in the buckets (dim, tab, bucket, salt) where both are."""
+    """Best rows for each query in the parts of buckets (dim, tab, bucket, salt, ask) where both are."""
     both = queries.withColumn("row", F.lit(0)).unionByName(rows.withColumn("row", F.lit(1)))
-    keys = ["dim", "tab", "bucket", "salt"]
+    keys = ["dim", "tab", "bucket", "salt", "ask"]
     dealt = both.repartition(*keys).sortWithinPartitions(*keys, "row")
     return dealt.mapInPandas(_search(k), "query_id long, vec_id long, score double")
 
@@ -185,29 +186,38 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     Both have vec_id long and embedding array. Rows with a null id, and vectors that are null,
     empty, zero or hold a null or non-finite component take no part. A row is no neighbour of
     a query with its own id; repeated ids count once, at their best score. Vectors of another
-    dimension are no candidates. Ties go to the smaller id. A query whose buckets held fewer
+    dimension are no candidates. Ties go to the smaller id. Repeated queries are one. An empty
+    table gives an empty table, and other columns are not read. A query whose buckets held fewer
     than k rows is compared with all rows, in blocks, so it gets min(k, candidates) rows.
     """
+    number = "float" if all(dict(df.dtypes)["embedding"] == "array<float>" for df in (vectors, queries)) else "double"
+
     def clean(df: DataFrame) -> DataFrame:
-        return df.where(F.col("vec_id").isNotNull() & valid_vector("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").cast("long").alias("dim"))
+        return df.where(F.col("vec_id").isNotNull() & valid_vector("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{number}>").alias("v"), F.size("embedding").cast("long").alias("dim"))
 
     rows, asked = clean(vectors), clean(queries)
     hashed = rows.withColumn("keys", _hasher(1)("v")).select("vec_id", "v", "dim", F.posexplode("keys").alias("tab", "bucket"))
     probed = asked.withColumn("keys", _hasher(PROBES)("v")).select("vec_id", "v", "dim", F.posexplode("keys").alias("tab", "bucket")).withColumn("tab", F.floor(F.col("tab") / PROBES).cast("int"))
     counts = staged(hashed.groupBy("dim", "tab", "bucket").agg(F.count("*").alias("n")), "buckets")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    heavy = counts.where(F.col("n") > max(HEAVY, total // (TABLES * 10_000))).select("dim", "tab", "bucket", F.ceil(F.col("n") / HEAVY).cast("int").alias("salts"))
     on = ["dim", "tab", "bucket"]
-    one = F.coalesce("salts", F.lit(1))
-    salted = hashed.join(F.broadcast(heavy), on, "left").withColumn("salt", F.pmod(F.xxhash64("vec_id"), one).cast("int")).drop("salts")
-    spread = probed.join(F.broadcast(heavy), on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), one - 1))).drop("salts")
+    asks = probed.groupBy(*on).agg(F.count("*").alias("asks"))
+    most, many = (max(own, n // (TABLES * 10_000)) for own, n in ((HEAVY, total), (QUERIES, asked.count() * TABLES * PROBES)))
+    heavy = counts.join(asks, on).where((F.col("n") > most) | (F.col("asks") > many)).select(*on, F.ceil(F.col("n") / HEAVY).cast("int").alias("salts"), F.ceil(F.col("asks") / QUERIES).cast("int").alias("parts"))
+    heavy = staged(heavy, "heavy")
+    rows_in, queries_in = F.coalesce("salts", F.lit(1)), F.coalesce("parts", F.lit(1))
+    part = lambda n: F.pmod(F.xxhash64("vec_id"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    salted = hashed.join(F.broadcast(heavy), on, "left").withColumn("salt", part(rows_in)).withColumn("ask", each(queries_in)).drop("salts", "parts")
+    spread = probed.join(F.broadcast(heavy), on, "left").withColumn("ask", part(queries_in)).withColumn("salt", each(rows_in)).drop("salts", "parts")
     found = staged(_ranked(_visit(salted, spread, k), k), "nearest")
     short = asked.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
-    if not short.isEmpty():
-        blocks = max(1, -(-total // (TABLES * HEAVY)))
+    left = short.count()
+    if left:
+        blocks, parts = (F.lit(max(1, -(-n // own))) for n, own in ((total, TABLES * HEAVY), (left, QUERIES)))
         where = {"tab": F.lit(0), "bucket": F.lit(0).cast("long")}
-        every = rows.withColumns(where | {"salt": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")})
-        asks = short.withColumns(where).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        every = rows.withColumns(where | {"salt": part(blocks)}).withColumn("ask", each(parts))
+        asks = short.withColumns(where | {"ask": part(parts)}).withColumn("salt", each(blocks))
         rest = staged(_ranked(_visit(every, asks, k), k), "rest")
         found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(rest)
     return found.select("query_id", "rank", "vec_id", "score")

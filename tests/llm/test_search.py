@@ -56,6 +56,24 @@ def test_cap_filters_of_odd_rows(spark):
     assert capfilters.near_vectors(df.limit(0)).count() == 0
 
 
+def test_parts_of_heavy_buckets_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.concatenate((rng.standard_normal((120, 16)), rng.standard_normal((1, 16)) + 0.05 * rng.standard_normal((80, 16)))).astype(np.float32)
+    df = table(spark, x)
+    find = lambda: sorted(tuple(r) for r in ann.nearest(df, df.where("vec_id % 2 = 0"), 5).collect())
+    whole = find()
+    for name, most in (("HEAVY", 7), ("QUERIES", 5)):
+        monkeypatch.setattr(ann, name, most)
+    assert find() == whole and len(whole) == 500
+
+
+def test_neighbours_of_repeated_and_missing_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (None, [1.0, 0.0], 0), (2, [1.0, 0.1], 0), (2, [1.0, 0.1], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, bucket int")
+    got = [tuple(r)[:3] for r in ann.nearest(df, df.where("vec_id = 2"), 5).collect()]
+    assert got == [(2, 1, 1)]
+
+
 def by_brute_force(x, labels, cosine=0.98):
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     near = (u @ u.T >= cosine) & np.array([[a is not None and a == b for b in labels] for a in labels])
