@@ -158,12 +158,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = fingerprint_components(docs, id_col, text_col).withColumn("stands", F.col("id").eqNullSafe(F.col("component_id")))
     tally = staged(found.groupBy("id").agg(F.count("*").alias("_n"), F.max("stands").alias("_stands")).where("_stands"), "kept").select(F.col("id").alias("_id"), "_n")
+    held = docs.select(F.struct("*").alias("_row"))
     # the rows are dealt by id at every size: the ids that stay are nearly as many as the rows
-    rows = docs.join(tally.hint("merge"), docs[id_col].eqNullSafe(tally["_id"]))
-    single = rows.where("_n = 1").select(*docs.columns)
+    rows = held.join(tally.hint("merge"), F.col("_row")[id_col].eqNullSafe(F.col("_id")))
+    single = rows.where("_n = 1").select("_row.*")
     if tally.where("_n > 1").isEmpty():
         return single
     groups = found.where("stands").select(F.col("id").alias("_id2"), F.col("fp").alias("_fp2"), F.struct("component").alias("_group")).distinct()
-    several = rows.where("_n > 1").select(*docs.columns).withColumn("_fp", fingerprint(F.col(text_col)))
-    several = several.join(groups, several[id_col].eqNullSafe(groups["_id2"]) & (several["_fp"] == groups["_fp2"]))
-    return single.union(several.dropDuplicates([id_col, "_group"]).select(*docs.columns))
+    several = rows.where("_n > 1").select("_row", "_id", fingerprint(F.col("_row")[text_col]).alias("_fp"))
+    several = several.join(groups, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_fp") == F.col("_fp2")))
+    return single.union(several.dropDuplicates(["_id", "_group"]).select("_row.*"))

@@ -16,3 +16,29 @@ def test_stages_keep_the_columns(spark):
         assert 0 < docs.count() <= 3 * n
     pieces = pipeline.STAGES[-1][1](spark, docs, SF)
     assert pieces.where("length > 0 AND offset + length <= 2048").count() == pieces.count() > 0
+
+
+ODD = [(1, None, None, None, None), (2, "", "en", "a", 0), (2, "", "en", "a", 0), (None, "the red dog and the cat", "en", "a", 5), (3, "the dog " * 30_000, "en", None, 9), (4, "der hund und die katze " * 4, "de", "b", 1), (5, "der hund und die katze " * 4, "de", "b", 1), (6, "the dog and a cat by the sea Mr John Berg", "en", "b", 2)]
+
+
+def test_stages_take_odd_rows_and_empty_tables(spark):
+    """Null, empty and very long texts, repeated rows, null ids and further columns pass each stage or are rejected, and an empty table stays one."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    more = [(100 + i, f"the {w} and the dog of the house" if i % 2 else f"der {w} und die katze im haus", "en" if i % 2 else "de", "a", 1) for i, w in enumerate("abcdefghijklmnop")]
+    docs = spark.createDataFrame([*ODD, *more], schema).selectExpr("*", "1 AS size", "2 AS score", "3 AS _n")
+    empty = docs.limit(0)
+    for name, stage in pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = pipeline.staged(stage(spark, docs, SF), name)
+        empty = pipeline.staged(stage(spark, empty, SF), name)
+        assert docs.columns == [*pipeline.COLUMNS, "size", "score", "_n"] == empty.columns and empty.count() == 0
+        left = [(r.doc_id, r.text) for r in docs.collect()]
+        if name == "language_id":
+            assert {d for d, _ in left} >= {None, 3, 4, 5, 6, 100} and not {d for d, _ in left} & {1, 2}
+        if name == "simhash_near_dedup":
+            assert [d for d, _ in left].count(4) == 1 and 5 not in {d for d, _ in left} and len(left) < before
+        if name == "surrogates":
+            assert not any("John" in t or "Berg" in t for _, t in left) and len(left) == before
+            assert all(r.n_chars == len(r.text) for r in docs.collect())
+    pieces = pipeline.STAGES[-1][1](spark, docs, SF)
+    assert pieces.count() > 0 and pipeline.STAGES[-1][1](spark, empty, SF).count() == 0

@@ -467,3 +467,52 @@ def test_toxicity_held_out(spark):
     assert sum(got[d].predicted == t for d, t in held) / len(held) > 0.95
     assert got[9000].predicted == 0 and all(0 <= r.score <= 1 for r in got.values())
     assert toxicity.score(df, toxicity.fit(df, labels.limit(0))).where("predicted = 1").count() == 0
+
+
+def test_kneser_ney_equals_the_formula(monkeypatch):
+    """With every expression kept, a text's evidence is the difference of its log-likelihoods under both interpolated models, a word."""
+    import math
+    from collections import Counter
+
+    for name in ("RARE", "SURE", "CLEAR"):
+        monkeypatch.setattr(toxicity, name, 0)
+    rng = random.Random(13)
+    letters = ["ab", "cd", "ef", "gh", "ij"]
+    triples = [{tuple(rng.choices(letters, weights, k=3)) for _ in range(60)} for weights in ((5, 1, 1, 2, 3), (1, 4, 3, 2, 1))]
+    pair = [Counter((h, w) for _, h, w in t) for t in triples]
+    word = [Counter(w for (_, w) in c) for c in pair]
+    head = [Counter() for _ in pair]
+    for k in (0, 1):
+        for (h, _), n in pair[k].items():
+            head[k][h] += n
+    both = lambda c: {x: (float(c[0][x]), float(c[1][x])) for x in set(c[0]) | set(c[1])}
+    shared = {w: (i + 1) / 20 for i, w in enumerate(letters)}
+    totals = tuple(float(sum(c.values())) for c in word)
+    model = toxicity.build(both(word), both(pair), both(head), totals, shared)
+    d = toxicity.DISCOUNT
+
+    def log_p(k, h, w):
+        mass = 1 - sum(max(n - d, 0) for n in word[k].values()) / totals[k]
+        low = max(word[k][w] - d, 0) / totals[k] + mass * shared[w]
+        n = head[k][h]
+        if h is None or not head[0][h] or not head[1][h]:
+            return math.log(low)
+        rest = 1 - sum(max(c - d, 0) for (x, _), c in pair[k].items() if x == h) / n
+        return math.log(max(pair[k][h, w] - d, 0) / n + rest * low)
+
+    for _ in range(50):
+        text = rng.choices(letters, k=rng.randrange(1, 12))
+        want = sum(log_p(0, h, w) - log_p(1, h, w) for h, w in zip([None, *text], text, strict=False)) / len(text)
+        got, n = model.evidence(" ".join(text))
+        assert n == len(text) and got + model.base == pytest.approx(want)
+
+
+def test_scores_of_odd_tables(spark):
+    df = docs(spark, ODD).selectExpr("*", "1 AS predicted", "'x' AS lang_pred")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    scored = toxicity.score(df, toxicity.fit(df, labels))
+    assert scored.count() == len(ODD) and {type(r.predicted) for r in scored.collect()} == {int}
+    assert toxicity.score(df.limit(0), toxicity.fit(df.limit(0), labels)).count() == 0
+    marked = langid.identify(df, langid.fit(df))
+    assert marked.count() == len(ODD) and marked.columns.count("lang_pred") == 1
+    assert langid.identify(df.limit(0), langid.fit(df.limit(0))).count() == 0
