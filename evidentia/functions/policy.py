@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -219,50 +220,77 @@ def terminal_sequences(text: Column, most: int = 16) -> Column:
     return F.transform(F.slice(unsafe, 1, most), label)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def canonical_ip(text: Column) -> Column:
-    """(kind, value): a dotted address without leading zeros, else a host name in lower case without its last dot; nulls for neither. Addresses with colons are ipv6_groups'."""
+    """(kind, value): a dotted address without leading zeros, an address with colons in its shortest form, else a host name in lower case without its last dot; nulls for none of these."""
     four = text.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?!$)|$)){4}$")
     name = F.lower(F.rtrim(text, F.lit(".")))
     host = name.rlike(r"^(?=.{1,253}$)(?:[a-z0-9_](?:[a-z0-9_-]{0,61}[a-z0-9_])?)(?:\.[a-z0-9_](?:[a-z0-9_-]{0,61}[a-z0-9_])?)*$") & ~name.rlike(r"^[0-9.]+$")
-    six = ipv6_groups(text)
-    kind = F.when(four, "ipv4").when(six.isNotNull(), "ipv6").when(host, "host")
-    return F.struct(kind.alias("kind"), F.when(kind == "ipv4", text).when(kind == "ipv6", compressed(six)).when(kind == "host", name).alias("value"))
+
+    def judged_by(six: Column) -> Column:
+        kind = F.when(four, "ipv4").when(six.isNotNull(), "ipv6").when(host, "host")
+        return F.struct(kind.alias("kind"), F.when(four, text).when(six.isNotNull(), compressed(six)).when(host, name).alias("value"))
+
+    return _let(ipv6_groups(text), judged_by)
+
+
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*"
 
 
 def ipv6_groups(text: Column) -> Column:
     """The eight numbers of an address with colons; null if it is none. A dotted end counts as two groups."""
-    dotted = F.regexp_extract(text, r":((?:\d{1,3}\.){3}\d{1,3})$", 1)
-    octet = F.split(dotted, r"\.")
-    pair = lambda i: F.lower(F.hex(octet[i].try_cast("int") * 256 + octet[i + 1].try_cast("int")))
-    good = (dotted == "") | F.forall(octet, lambda o: o.rlike(r"^(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"))
-    plain = F.when(dotted == "", text).otherwise(F.concat(F.substr(text, F.lit(1), F.length(text) - F.length(dotted)), pair(0), F.lit(":"), pair(2)))
-    halves = F.split(plain, "::")
-    groups = lambda h: F.filter(F.split(h, ":"), lambda g: g != "")
-    left, right = groups(halves[0]), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
-    gap = 8 - F.size(left) - F.size(right)
-    zeros = F.when((F.size(halves) == 2) & (gap > 0), F.array_repeat(F.lit("0"), gap)).otherwise(F.array().cast("array<string>"))
-    every = F.concat(left, zeros, right)
-    # group by group: four hexadecimal digits at most, one double colon at most, none at the ends alone
-    form = plain.rlike(r"^(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?(?:::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?)?$") & F.contains(plain, F.lit(":"))
-    return F.when(F.coalesce(form & good & (F.size(every) == 8) & (F.size(halves) <= 2), F.lit(False)), F.transform(every, lambda g: F.conv(g, 16, 10).cast("int")))
+    dotted = F.regexp_extract(text, rf":({_OCTET}(?:\.{_OCTET}){{3}})$", 1)
+
+    def hexadecimal(octet: Column) -> Column:
+        pair = lambda i: F.lower(F.hex(octet[i].try_cast("int") * 256 + octet[i + 1].try_cast("int")))
+        return F.when(F.size(octet) < 4, text).otherwise(F.concat(F.regexp_extract(text, "^(.*:)", 1), pair(0), F.lit(":"), pair(2)))
+
+    def parted(halves: Column) -> Column:
+        groups = lambda h: F.filter(F.split(h, ":"), lambda g: g != "")
+        return _let(F.struct(groups(halves[0]).alias("l"), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit(""))).alias("r"), (F.size(halves) == 2).alias("gap")), filled)
+
+    def filled(h: Column) -> Column:
+        free = 8 - F.size(h["l"]) - F.size(h["r"])
+        zeros = F.when(h["gap"] & (free > 0), F.array_repeat(F.lit("0"), free)).otherwise(F.array().cast("array<string>"))
+        return F.concat(h["l"], zeros, h["r"])
+
+    # one double colon at most, and none of the single ones at an end
+    form = rf"^(?:{_GROUPS})?(?:::(?:{_GROUPS})?)?$"
+    whole = lambda plain: F.when(plain.rlike(form) & F.contains(plain, F.lit(":")), parted(F.split(plain, "::")))
+    groups = _let(_let(F.split(dotted, r"\."), hexadecimal), whole)
+    return _let(groups, lambda g: F.when(F.size(g) == 8, F.transform(g, lambda x: F.conv(x, 16, 10).cast("int"))))
 
 
 def compressed(groups: Column) -> Column:
     """Eight groups as text: the first of the longest runs of two zeros or more is left out."""
-    text = F.array_join(F.transform(groups, lambda g: F.lower(F.hex(g))), ":")
-    # runs of zeros, longest first, then from the left
-    out = text
-    for n in range(2, 9):
-        run = ":".join(["0"] * n)
-        at = rf"^((?:[0-9a-f]+:)*?){run}(?=:|$):?(.*)$"
-        shorter = F.concat(F.regexp_replace(F.regexp_extract(text, at, 1), ":$", ""), F.lit("::"), F.regexp_extract(text, at, 2))
-        out = F.when(text.rlike(rf"(?:^|:){run}(?:$|:)"), shorter).otherwise(out)
-    return out
+
+    def shorter(text: Column) -> Column:
+        out = text
+        for n in range(2, 9):  # the longest run is tried last, so it is the one that counts
+            run = ":".join(["0"] * n)
+            at = rf"^((?:[0-9a-f]+:)*?){run}(?=:|$):?(.*)$"
+            cut = F.concat(F.regexp_replace(F.regexp_extract(text, at, 1), ":$", ""), F.lit("::"), F.regexp_extract(text, at, 2))
+            out = F.when(text.rlike(rf"(?:^|:){run}(?:$|:)"), cut).otherwise(out)
+        return out
+
+    return _let(F.array_join(F.transform(groups, lambda g: F.lower(F.hex(g))), ":"), shorter)
+
+
+def masked(groups: Column, prefix: Column) -> Column:
+    """The groups of an address with all bits beyond a prefix of 0 to 128 cleared."""
+
+    def one(g: Column, i: Column) -> Column:
+        size = F.pow(F.lit(2), 16 - F.least(F.greatest(prefix - 16 * i, F.lit(0)), F.lit(16))).cast("int")
+        return (F.floor(g / size) * size).cast("int")
+
+    return F.transform(groups, one)
 
 
 def in_network(address: Column, network: Column, prefix: Column) -> Column:
     """True where an address's groups lie in the network of a prefix of 0 to 128 bits."""
-    same = lambda i: (prefix <= 16 * i) | (address[i] == network[i])
-    masked = lambda x, i: F.floor(x[i] / F.pow(F.lit(2), 16 * (i + 1) - prefix))
-    parts = [F.when((prefix > 16 * i) & (prefix < 16 * (i + 1)), masked(address, i) == masked(network, i)).otherwise(same(i)) for i in range(8)]
-    return reduce(lambda a, b: a & b, parts)
+    return masked(address, prefix) == masked(network, prefix)

@@ -116,12 +116,22 @@ def _(v):  # noqa: ANN001, ANN202
 
 @_query(
     "validation_contract",
-    "SELECT v.id, concat_ws(',', CASE WHEN verdict = 'confirmed' AND coalesce(n, 0) = 0 THEN 'confirmed without finding' END, CASE WHEN verdict <> 'confirmed' AND coalesce(n, 0) > 0 THEN 'finding without confirmation' END, CASE WHEN coalesce(f, 0) > 0 THEN 'foreign finding' END) AS reasons FROM v_verdicts v LEFT JOIN (SELECT id, count(*) AS n, count(*) FILTER (id % 50 = 0) AS f FROM v_verdicts WHERE toxic = 1 GROUP BY id) x ON v.id = x.id",
+    """WITH f AS (SELECT id, CASE WHEN id % 50 = 0 THEN 'other' ELSE tool END AS source, tool, CASE id % 7 WHEN 0 THEN 'huge' WHEN 1 THEN NULL ELSE 'low' END AS severity, CASE WHEN id % 9 = 0 THEN NULL ELSE 'high' END AS confidence, CASE WHEN id % 6 = 0 THEN ' ' ELSE action END AS evidence FROM v_verdicts WHERE toxic = 1),
+x AS (SELECT id, count(*) AS n, count(*) FILTER (source <> tool) AS f, count(*) FILTER (severity NOT IN ('info', 'low', 'medium', 'high', 'critical')) AS s, count(*) FILTER (coalesce(confidence NOT IN ('low', 'medium', 'high'), true)) AS c, count(*) FILTER (coalesce(trim(evidence), '') = '') AS e FROM f GROUP BY 1)
+SELECT v.id, concat_ws(',', CASE WHEN v.id % 31 = 0 THEN 'no seed' END, CASE WHEN verdict = 'confirmed' AND coalesce(n, 0) = 0 THEN 'confirmed without finding' END, CASE WHEN verdict <> 'confirmed' AND coalesce(n, 0) > 0 THEN 'finding without confirmation' END, CASE WHEN f > 0 THEN 'foreign finding' END, CASE WHEN s > 0 THEN 'bad severity' END, CASE WHEN c > 0 THEN 'bad confidence' END, CASE WHEN e > 0 THEN 'bad evidence' END) AS reasons FROM v_verdicts v LEFT JOIN x ON v.id = x.id""",
     "v_verdicts",
 )
 def _(v):  # noqa: ANN001, ANN202
-    found = v.where("toxic = 1").select(F.col("id").alias("validation_id"), "tool", F.when(F.col("id") % 50 == 0, "other").otherwise(F.col("tool")).alias("source"))
-    return g.validation_contract(v.select("id", "tool", "verdict"), found)
+    i = F.col("id")
+    found = v.where("toxic = 1").select(
+        i.alias("validation_id"),
+        "tool",
+        F.when(i % 50 == 0, "other").otherwise(F.col("tool")).alias("source"),
+        F.when(i % 7 == 0, "huge").when(i % 7 != 1, "low").alias("severity"),
+        F.when(i % 9 != 0, "high").alias("confidence"),
+        F.when(i % 6 == 0, " ").otherwise(F.col("action")).alias("evidence"),
+    )
+    return g.validation_contract(v.select("id", "tool", "verdict", F.when(i % 31 != 0, i).alias("seed_id")), found)
 
 
 @_query("revalidate", "SELECT id, id % 4 <> 0 AS complete, CASE WHEN id % 3 = 0 THEN 'confirmed' WHEN id % 4 <> 0 THEN 'refuted' ELSE 'inconclusive' END AS verdict FROM v_verdicts", "v_verdicts")
@@ -210,10 +220,17 @@ def _(h):  # noqa: ANN001, ANN202
     return h.select("ip", s.ip_to_int(F.col("ip")).alias("n"))
 
 
-@_query("authorize_ips", "SELECT ip, CAST(split_part(ip, '.', 2) AS INT) BETWEEN 8 AND 15 AS allowed FROM v_hosts", "v_hosts")
-def _(h):  # noqa: ANN001, ANN202
-    mask = s.cidr_mask(F.lit(13))
-    return h.select("ip", (s.ip_to_int(F.col("ip")).bitwiseAND(mask) == s.ip_to_int(F.lit("10.8.0.0")).bitwiseAND(mask)).alias("allowed"))
+@_query(
+    "authorize_ips",
+    """WITH t AS (SELECT DISTINCT target, form, n, CASE form WHEN 1 THEN k % 30 WHEN 4 THEN k % 130 END AS own, CASE form WHEN 0 THEN k % 3 END AS third FROM v_scope_targets)
+SELECT DISTINCT target, CASE WHEN form IN (0, 1) AND n % 5 <> 0 THEN CASE WHEN n % 3 = 0 THEN coalesce(own >= 16, true) ELSE coalesce(own >= 24, third = 0) END
+  WHEN form = 3 THEN n % 5 = 0 WHEN form = 4 THEN n % 5 = 0 AND own BETWEEN 48 AND 128 WHEN form = 2 THEN target IN (SELECT hostname FROM v_scope_names) ELSE false END AS allowed FROM t""",
+    "v_scope_targets",
+    "v_scope_networks",
+    "v_scope_names",
+)
+def _(targets, networks, names):  # noqa: ANN001, ANN202
+    return contracts.authorize_ips(targets, networks, names)
 
 
 @_query("payload_variants", "SELECT DISTINCT v.value AS base, u.x AS variant FROM v_seeds v, unnest([v.value, ' ' || v.value, v.value || ' ', v.value || v.value, upper(v.value)]) u(x)", "v_seeds")
@@ -348,9 +365,9 @@ def _(sends, receives):  # noqa: ANN001, ANN202
     return c.pair_summary(c.pair_messages(sends, sends, receives))
 
 
-@_query("pair_calls", "SELECT coalesce(s.id, r.id) AS id, coalesce(s.n, 0) AS sends, coalesce(r.n, 0) AS receives, CASE WHEN s.n = 1 AND r.n = 1 THEN 'joined' WHEN r.n IS NULL THEN 'send_only' WHEN s.n IS NULL THEN 'receive_only' ELSE 'ambiguous' END AS state FROM (SELECT id, count(*) AS n FROM v_sends WHERE id % 5 <> 0 GROUP BY 1) s FULL JOIN (SELECT id, count(*) AS n FROM v_receives GROUP BY 1) r ON s.id = r.id", "v_sends", "v_receives")
+@_query("pair_calls", "SELECT coalesce(s.id, r.id) AS id, coalesce(s.n, 0) AS sends, coalesce(r.n, 0) AS receives, CASE WHEN s.n = 1 AND r.n = 1 THEN 'joined' WHEN r.n IS NULL THEN 'send_only' WHEN s.n IS NULL THEN 'receive_only' ELSE 'ambiguous' END AS state FROM (SELECT id, count(*) AS n FROM v_sends GROUP BY 1) s FULL JOIN (SELECT id, count(*) AS n FROM v_receives GROUP BY 1) r ON s.id = r.id", "v_sends", "v_receives")
 def _(sends, receives):  # noqa: ANN001, ANN202
-    return c.pair_calls(sends.where("id % 5 <> 0"), receives)
+    return c.pair_calls(sends, receives)
 
 
 @_query("value_only_candidates", "SELECT s.marker, s.n * r.n AS candidates, s.n = 1 AND r.n = 1 AS \"unique\" FROM (SELECT marker, count(*) AS n FROM v_sends GROUP BY 1) s JOIN (SELECT marker, count(*) AS n FROM v_receives GROUP BY 1) r ON s.marker = r.marker", "v_sends", "v_receives")
@@ -358,9 +375,9 @@ def _(sends, receives):  # noqa: ANN001, ANN202
     return c.value_only_candidates(sends, receives)
 
 
-@_query("supportable_edges", "SELECT id FROM v_sends INTERSECT SELECT id FROM v_receives WHERE id % 3 <> 0", "v_sends", "v_receives")
+@_query("supportable_edges", "SELECT id FROM v_sends INTERSECT SELECT id FROM v_receives", "v_sends", "v_receives")
 def _(sends, receives):  # noqa: ANN001, ANN202
-    return c.supportable_edges(sends, receives.where("id % 3 <> 0"))
+    return c.supportable_edges(sends, receives)
 
 
 @_query("task_lineage", "SELECT reference, count(*) FILTER (stage = 'handoff') AS n_handoff, count(*) FILTER (stage = 'result') AS n_result, coalesce(count(*) FILTER (stage = 'handoff') = 1 AND count(*) FILTER (stage = 'result') = 1 AND min(at) FILTER (stage = 'handoff') <= min(at) FILTER (stage = 'result'), false) AS joined FROM v_lineage GROUP BY 1", "v_lineage")
@@ -442,10 +459,10 @@ def _(samples):  # noqa: ANN001, ANN202
     return report.overhead_ratio(samples)
 
 
-@_query("compare_runs", "SELECT coalesce(b.name, a.name) AS name, b.value AS before, a.value AS after, round(b.value / nullif(a.value, 0), 6) AS speedup FROM (SELECT case_id AS name, max(sample) AS value FROM v_latency WHERE mode = 'baseline' GROUP BY 1) b FULL JOIN (SELECT case_id AS name, min(sample) AS value FROM v_latency WHERE case_id <> 'N' GROUP BY 1) a ON a.name = b.name", "v_latency")
+@_query("compare_runs", "SELECT coalesce(b.name, a.name) AS name, b.value AS before, a.value AS after, round(b.value / nullif(a.value, 0), 6) AS speedup FROM (SELECT case_id AS name, max(sample) AS value FROM v_latency WHERE mode = 'baseline' GROUP BY 1) b FULL JOIN (SELECT case_id AS name, min(sample) AS value FROM v_latency WHERE mode = 'targeted' GROUP BY 1) a ON a.name = b.name", "v_latency")
 def _(samples):  # noqa: ANN001, ANN202
     before = samples.where("mode = 'baseline'").groupBy(F.col("case_id").alias("name")).agg(F.max("sample").alias("value"))
-    return report.compare_runs(before, samples.where("case_id <> 'N'").groupBy(F.col("case_id").alias("name")).agg(F.min("sample").alias("value")))
+    return report.compare_runs(before, samples.where("mode = 'targeted'").groupBy(F.col("case_id").alias("name")).agg(F.min("sample").alias("value")))
 
 
 @_query("suite_report", "WITH k AS (SELECT tool, count(*) AS n, count(*) FILTER (verdict <> 'refuted') AS ok FROM v_verdicts GROUP BY 1) SELECT count(*) AS cases, CAST(sum(ok) AS BIGINT) AS passed, CAST(sum(n) AS BIGINT) AS checks, count(*) FILTER (ok = n) AS cases_passed FROM k", "v_verdicts")
@@ -453,9 +470,12 @@ def _(v):  # noqa: ANN001, ANN202
     return report.suite_report(v.select(F.col("tool").alias("case_id"), (F.col("verdict") != "refuted").alias("passed")))
 
 
-@_query("same_semantics", "(SELECT *, 'first' AS side FROM (SELECT tool, verdict FROM v_verdicts WHERE id % 3 <> 0 EXCEPT ALL SELECT tool, verdict FROM v_verdicts WHERE id % 2 = 0)) UNION ALL (SELECT *, 'second' AS side FROM (SELECT tool, verdict FROM v_verdicts WHERE id % 2 = 0 EXCEPT ALL SELECT tool, verdict FROM v_verdicts WHERE id % 3 <> 0))", "v_verdicts")
+_OTHER = "SELECT tool, CASE WHEN toxic = 1 THEN 'confirmed' ELSE verdict END AS verdict FROM v_verdicts"
+
+
+@_query("same_semantics", f"(SELECT *, 'first' AS side FROM (SELECT tool, verdict FROM v_verdicts EXCEPT ALL {_OTHER})) UNION ALL (SELECT *, 'second' AS side FROM ({_OTHER} EXCEPT ALL SELECT tool, verdict FROM v_verdicts))", "v_verdicts")
 def _(v):  # noqa: ANN001, ANN202
-    return report.same_semantics(v.where("id % 3 <> 0").select("tool", "verdict"), v.where("id % 2 = 0").select("tool", "verdict"))
+    return report.same_semantics(v.select("tool", "verdict"), v.select("tool", F.when(F.col("toxic") == 1, "confirmed").otherwise(F.col("verdict")).alias("verdict")))
 
 
 @_query("leak_audit", "SELECT literal_id, count(DISTINCT doc_id) AS documents FROM v_sources JOIN v_literals ON contains(lower(content), lower(literal)) GROUP BY 1", "v_sources", "v_literals")
@@ -525,14 +545,19 @@ def _(calls):  # noqa: ANN001, ANN202
     return contracts.build_candidates(calls, calls.where("shape = 'dynamic'").select("subject", F.concat("fn", "arity").alias("site")))
 
 
-@_query("action_contract", r"SELECT action_id, concat_ws(',', CASE WHEN NOT regexp_matches(action, '\\.v1$') THEN 'version' END, CASE WHEN action_id % 4 = 0 THEN 'accepts' END, CASE WHEN effect IS NULL OR effect <> 'none' THEN 'effect' END, CASE WHEN count(*) OVER (PARTITION BY tool, action) > 1 THEN 'duplicate' END) AS reasons FROM v_actions".replace("\\\\", "\\"), "v_actions")
+@_query("action_contract", r"SELECT action_id, concat_ws(',', CASE WHEN NOT regexp_matches(action, '\\.v1$') THEN 'version' END, CASE WHEN coalesce(trim(name), '') = '' THEN 'name' END, CASE WHEN action_id % 4 = 0 THEN 'accepts' END, CASE WHEN effect IS NULL OR effect <> 'none' THEN 'effect' END, CASE WHEN count(*) OVER (PARTITION BY tool, action) > 1 THEN 'duplicate' END) AS reasons FROM v_actions".replace("\\\\", "\\"), "v_actions")
 def _(actions):  # noqa: ANN001, ANN202
     return contracts.action_contract(actions)
 
 
-@_query("fact_contract", "SELECT *, concat_ws(',', CASE WHEN trim(subject) = '' THEN 'subject' END, CASE WHEN object IS NULL THEN 'object' END, CASE WHEN file <> 'a/b..c' THEN 'file' END, CASE WHEN line < 1 THEN 'line' END, CASE WHEN col < 1 THEN 'col' END) AS reasons FROM v_raw_facts", "v_raw_facts")
+@_query(
+    "fact_contract",
+    "SELECT row_id, line, col, concat_ws(',', CASE WHEN trim(kind) = '' THEN 'kind' END, CASE WHEN relation IS NULL THEN 'relation' END, CASE WHEN trim(subject) = '' THEN 'subject' END, CASE WHEN object IS NULL THEN 'object' END, CASE WHEN NOT regexp_matches(source_hash, '^[0-9a-f]{64}$') THEN 'source' END, CASE WHEN NOT (file = 'a/b..c' AND line >= 1 AND coalesce(col >= 1, true) AND (end_line > line OR (end_line = line AND coalesce(end_col >= col, true)))) THEN 'span' END, CASE WHEN NOT has_attributes THEN 'attributes' END) AS reasons FROM v_raw_facts",
+    "v_raw_facts",
+)
 def _(facts):  # noqa: ANN001, ANN202
-    return contracts.fact_contract(facts)
+    full = facts.withColumn("attributes", F.when(F.col("has_attributes"), F.create_map(F.lit("a"), F.lit("b"))))
+    return contracts.fact_contract(full).select("row_id", "line", "col", "reasons")
 
 
 NETWORKS = "SELECT DISTINCT h.ip, EXISTS (SELECT 1 FROM v_networks n WHERE split_part(n.base, '.', 2) = split_part(h.ip, '.', 2) AND (n.prefix = 16 OR split_part(h.ip, '.', 3) = '0')) AS allowed FROM v_hosts h"

@@ -49,9 +49,12 @@ VIEWS = {
     "v_ports": "SELECT o_custkey AS c_custkey, CAST(o_orderkey % 1024 + 1 AS INTEGER) AS port, CASE o_orderkey % 3 WHEN 0 THEN 'udp' WHEN 1 THEN 'tcp' END AS protocol, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'closed' ELSE 'filtered' END AS state, CASE WHEN o_orderkey % 2 = 0 THEN 'https' END AS service FROM {orders}",
     "v_api": "SELECT l_orderkey AS call_id, concat('part/', CAST(l_partkey AS STRING)) AS subject, CASE l_suppkey % 7 WHEN 0 THEN 'String' WHEN 1 THEN 'os' WHEN 2 THEN 'erlang' WHEN 3 THEN 'Code' WHEN 4 THEN 'System' WHEN 5 THEN 'Module' ELSE 'EEx' END AS module, CASE l_orderkey % 8 WHEN 0 THEN 'to_atom' WHEN 1 THEN 'cmd' WHEN 2 THEN 'binary_to_term' WHEN 3 THEN 'eval_string' WHEN 4 THEN 'shell' WHEN 5 THEN 'eval_quoted' WHEN 6 THEN 'open_port' ELSE 'concat' END AS fn, l_linenumber % 3 AS arity, CASE l_returnflag WHEN 'N' THEN 'dynamic' ELSE 'literal' END AS shape, CASE WHEN l_partkey % 2 = 0 THEN 'spawn' ELSE 'fd' END AS head, l_linestatus = 'O' AS safe FROM {lineitem}",
     "v_api_table": "SELECT CASE r_regionkey WHEN 0 THEN 'String' WHEN 1 THEN 'os' WHEN 2 THEN 'Code' ELSE 'System' END AS module, CASE r_regionkey WHEN 0 THEN 'to_atom' WHEN 1 THEN 'cmd' WHEN 2 THEN 'eval_string' ELSE 'shell' END AS fn, CASE WHEN r_regionkey % 2 = 0 THEN 'dynamic_data' ELSE 'command' END AS behavior FROM {region}",
-    "v_actions": "SELECT p_partkey AS action_id, concat('tool', CAST(p_partkey % 400 AS STRING)) AS tool, concat('check-', CAST(p_size AS STRING), CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '.v1' END) AS action, CASE p_partkey % 4 WHEN 0 THEN array('url', 'url') WHEN 1 THEN array('url') ELSE array('ip', 'url') END AS accepts, CASE p_partkey % 6 WHEN 0 THEN 'maybe' WHEN 1 THEN NULL ELSE 'none' END AS effect FROM {part}",
-    "v_raw_facts": "SELECT l_orderkey AS row_id, CASE WHEN l_partkey % 11 = 0 THEN ' ' ELSE 'part' END AS subject, CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE 'supplier' END AS object, CASE WHEN l_partkey % 7 = 0 THEN 'a/../b' WHEN l_partkey % 7 = 1 THEN '/a' ELSE 'a/b..c' END AS file, l_linenumber - 1 AS line, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_suppkey % 5 END AS col FROM {lineitem}",
-    "v_networks": "SELECT concat('10.', CAST(n_nationkey AS STRING), '.0.0') AS base, CASE WHEN n_nationkey % 3 = 0 THEN 16 ELSE 24 END AS prefix FROM {nation} WHERE n_nationkey % 2 = 0",
+    "v_actions": "SELECT p_partkey AS action_id, concat('tool', CAST(p_partkey % 400 AS STRING)) AS tool, concat('check-', CAST(p_size AS STRING), CASE WHEN p_partkey % 5 = 0 THEN '' ELSE '.v1' END) AS action, CASE p_partkey % 4 WHEN 0 THEN array('url', 'url') WHEN 1 THEN array('url') ELSE array('ip', 'url') END AS accepts, CASE p_partkey % 6 WHEN 0 THEN 'maybe' WHEN 1 THEN NULL ELSE 'none' END AS effect, CASE p_size % 9 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE p_name END AS name FROM {part}",
+    "v_raw_facts": "SELECT l_orderkey AS row_id, CASE WHEN l_partkey % 11 = 0 THEN ' ' ELSE 'part' END AS subject, CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE 'supplier' END AS object, CASE WHEN l_partkey % 7 = 0 THEN 'a/../b' WHEN l_partkey % 7 = 1 THEN '/a' ELSE 'a/b..c' END AS file, l_linenumber - 1 AS line, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_suppkey % 5 END AS col, l_linenumber - 1 + l_partkey % 3 - 1 AS end_line, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE 3 END AS end_col, CASE WHEN l_partkey % 17 = 0 THEN '' ELSE 'call' END AS kind, CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE 'calls' END AS relation, CASE l_partkey % 23 WHEN 0 THEN 'abc' WHEN 1 THEN repeat('G', 64) ELSE repeat('0a', 32) END AS source_hash, l_partkey % 29 <> 0 AS has_attributes FROM {lineitem}",
+    "v_networks": "SELECT concat('10.', CAST(n_nationkey AS STRING), '.0.0') AS base, CASE WHEN n_nationkey % 3 = 0 THEN 16 ELSE 24 END AS prefix FROM {nation}",
+    "v_scope_targets": "SELECT CASE c_custkey % 6 WHEN 0 THEN concat('10.', CAST(c_nationkey AS STRING), '.', CAST(c_custkey % 3 AS STRING), '.7') WHEN 1 THEN concat('10.', CAST(c_nationkey AS STRING), '.0.0/', CAST(c_custkey % 30 AS STRING)) WHEN 2 THEN concat('host', CAST(c_custkey % 50 AS STRING), '.corp') WHEN 3 THEN concat('2001:db8:', CAST(c_nationkey AS STRING), '::', CAST(c_custkey % 9 AS STRING)) WHEN 4 THEN concat('2001:db8:', CAST(c_nationkey AS STRING), '::/', CAST(c_custkey % 130 AS STRING)) ELSE '10.1.2' END AS target, c_custkey % 6 AS form, c_nationkey AS n, c_custkey AS k FROM {customer}",
+    "v_scope_networks": "SELECT CASE WHEN n_nationkey % 5 = 0 THEN concat('2001:db8:', CAST(n_nationkey AS STRING), '::') ELSE concat('10.', CAST(n_nationkey AS STRING), '.0.0') END AS base, CASE WHEN n_nationkey % 5 = 0 THEN 48 WHEN n_nationkey % 3 = 0 THEN 16 ELSE 24 END AS prefix FROM {nation}",
+    "v_scope_names": "SELECT concat('host', CAST(s_suppkey % 20 AS STRING), '.corp') AS hostname FROM {supplier}",
     "v_url_rules": "SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'http' ELSE 'https' END AS scheme, CASE WHEN r_regionkey % 2 = 0 THEN 80 ELSE 443 END AS port, CASE r_regionkey WHEN 0 THEN 'example.com' WHEN 1 THEN 'example.net' WHEN 2 THEN 'example.org' WHEN 3 THEN 'example.org' ELSE 'example.net' END AS host, true AS subdomains, CASE WHEN r_regionkey < 3 THEN '/' ELSE '/en' END AS path FROM {region}",
     "v_bindings": "SELECT event_id AS binding_id, concat('f', CAST(user_id AS STRING)) AS target, user_id % 3 AS position FROM {events}",
     "v_returns": "SELECT c_custkey AS return_id, concat('f', CAST(c_custkey * c_custkey % 211 AS STRING)) AS target, concat('f', CAST(c_custkey * c_custkey % 211 AS STRING), '#argument/', CAST(c_custkey % 4 AS STRING)) AS object FROM {customer}",

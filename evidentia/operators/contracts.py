@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.policy import ipv6_groups, masked, span_ok
 from ..functions.scalars import canonical_path, cidr_mask, ip_to_int, normalize_url, url_origin, versioned_id_ok
 
 #: Side effects that an action may have. Fixed values.
@@ -19,17 +20,18 @@ def reasons(**rules: Column) -> Column:
 
 
 def action_contract(actions: DataFrame) -> DataFrame:
-    """actions (action_id, tool, action, accepts, effect): a versioned id, once per tool, distinct inputs and a known side effect."""
+    """actions (action_id, tool, action, name, accepts, effect): a versioned id, once per tool, a name that is not blank, distinct inputs and a known side effect."""
     uses = actions.groupBy("tool", "action").agg(F.count("*").alias("uses"))
     distinct = (F.size("accepts") > 0) & (F.size(F.array_distinct("accepts")) == F.size("accepts"))
-    rules = {"version": versioned_id_ok(F.col("action")), "accepts": distinct, "effect": F.col("effect").isin(*SIDE_EFFECTS), "duplicate": F.col("uses") == 1}
+    rules = {"version": versioned_id_ok(F.col("action")), "name": F.trim("name") != "", "accepts": distinct, "effect": F.col("effect").isin(*SIDE_EFFECTS), "duplicate": F.col("uses") == 1}
     return actions.join(uses, ["tool", "action"], "left").select("action_id", reasons(**rules).alias("reasons"))
 
 
 def fact_contract(facts: DataFrame) -> DataFrame:
-    """facts (subject, object, file, line, col) with their reasons: names are not blank, the file stays below its root, places count from one."""
-    inside = ~F.array_contains(F.split("file", "/"), "..") & ~F.startswith("file", F.lit("/"))
-    rules = {"subject": F.trim("subject") != "", "object": F.trim("object") != "", "file": inside, "line": F.col("line") >= 1, "col": F.coalesce(F.col("col") >= 1, F.lit(True))}
+    """facts (kind, relation, subject, object, source_hash, file, line, col, end_line, end_col, attributes) with their reasons: names are not blank, the source has a digest, the span is one below the root, attributes are a map."""
+    named = lambda c: F.trim(c) != ""
+    span = span_ok(F.col("file"), F.col("line"), F.col("end_line"), F.col("col"), F.col("end_col"))
+    rules = {c: named(c) for c in ("kind", "relation", "subject", "object")} | {"source": F.col("source_hash").rlike("^[0-9a-f]{64}$"), "span": span, "attributes": F.col("attributes").isNotNull()}
     return facts.withColumn("reasons", reasons(**rules))
 
 
@@ -48,6 +50,29 @@ def authorize_networks(targets: DataFrame, networks: DataFrame) -> DataFrame:
     return held.groupBy("ip").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("allowed"))
 
 
+def authorize_ips(targets: DataFrame, networks: DataFrame, hostnames: DataFrame) -> DataFrame:
+    """The distinct targets (target) and whether they are in scope: an address or network (base/prefix) within an allowed network (base, prefix) of its family, or a host name (hostname) that is allowed by itself. Without rules nothing is.
+
+    Addresses are masked once for each prefix length in use that is no longer than their own,
+    33 and 129 at most, and equi-joined with the networks of that length.
+    """
+    base, own = F.split_part("target", F.lit("/"), F.lit(1)), F.split_part("target", F.lit("/"), F.lit(2))
+    four, six = ip_to_int(F.col("base")), ipv6_groups(F.col("base"))
+    most = F.when(four.isNotNull(), 32).when(six.isNotNull(), 128)
+    family = F.when(four.isNotNull(), 4).when(six.isNotNull(), 6)
+    key = lambda prefix: F.when(F.col("family") == 4, four.bitwiseAND(cidr_mask(prefix)).cast("string")).otherwise(F.array_join(masked(six, prefix), ":"))
+    nets = networks.select("base", F.col("prefix").cast("int").alias("prefix")).withColumn("family", family).where(F.col("prefix").between(0, most))
+    nets = nets.select("family", "prefix", key(F.col("prefix")).alias("net")).distinct()
+    lengths = sorted(tuple(r) for r in nets.select("family", "prefix").distinct().collect())
+    asked = targets.select("target").distinct()
+    parsed = asked.withColumn("base", base).withColumn("family", family).withColumn("own", F.when(own == "", most).otherwise(F.when(own.try_cast("int").between(0, most), own.try_cast("int"))))
+    rules = F.array(*(F.struct(F.lit(f).alias("f"), F.lit(n).alias("n")) for f, n in lengths)) if lengths else F.array().cast("array<struct<f:int,n:int>>")
+    each = parsed.withColumn("rule", F.explode(rules)).where("rule.f = family AND rule.n <= own")
+    held = each.select("target", "family", F.col("rule.n").alias("prefix"), key(F.col("rule.n")).alias("net")).join(nets, ["family", "prefix", "net"], "left_semi").select("target")
+    named = asked.join(hostnames.select(F.col("hostname").alias("target")), "target", "left_semi")
+    return asked.join(held.union(named).distinct().withColumn("hit", F.lit(True)), "target", "left").select("target", F.coalesce("hit", F.lit(False)).alias("allowed"))
+
+
 def authorize_urls(targets: DataFrame, rules: DataFrame) -> DataFrame:
     """The distinct targets (url) and whether a rule (scheme, host, port, path, subdomains) holds them.
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import input_signature, normalize_url, stable_id
 
+#: Severities and confidences. Fixed values.
+SEVERITIES, CONFIDENCES = ("info", "low", "medium", "high", "critical"), ("low", "medium", "high")
 COLUMNS = ("id", "source", "category", "severity", "confidence", "evidence", "locus")
 
 
@@ -118,15 +120,24 @@ def receipt_gate(candidates: DataFrame, receipts: DataFrame, keys: list[str]) ->
 
 
 def validation_contract(validations: DataFrame, findings: DataFrame) -> DataFrame:
-    """Reasons against each validation (id, tool, verdict): an unknown verdict, or findings that don't fit it; empty for a valid one."""
-    counts = findings.groupBy(F.col("validation_id").alias("id")).agg(F.count("*").alias("n"), F.count_if(~F.col("source").eqNullSafe(F.col("tool"))).alias("foreign"))
-    n = F.coalesce("n", F.lit(0))
+    """Reasons against each validation (id, tool, verdict, seed_id) with its findings (validation_id, source, severity, confidence, evidence): an unknown verdict, no seed, or findings that don't fit it or their own rules; empty for a valid one."""
+    bad = lambda ok: F.count_if(~F.coalesce(ok, F.lit(False)))
+    counts = findings.groupBy(F.col("validation_id").alias("id")).agg(
+        F.count("*").alias("n"),
+        F.count_if(~F.col("source").eqNullSafe(F.col("tool"))).alias("foreign"),
+        bad(F.col("severity").isNull() | F.col("severity").isin(*SEVERITIES)).alias("severity"),
+        bad(F.col("confidence").isin(*CONFIDENCES)).alias("confidence"),
+        bad(F.trim("evidence") != "").alias("evidence"),
+    )
+    n, some = F.coalesce("n", F.lit(0)), lambda c: F.coalesce(c, F.lit(0)) > 0
     reasons = F.array_compact(
         F.array(
             F.when(~F.coalesce(F.col("verdict").isin("confirmed", "refuted", "inconclusive"), F.lit(False)), "verdict"),
+            F.when(F.col("seed_id").isNull(), "no seed"),
             F.when((F.col("verdict") == "confirmed") & (n == 0), "confirmed without finding"),
             F.when((F.col("verdict") != "confirmed") & (n > 0), "finding without confirmation"),
-            F.when(F.coalesce("foreign", F.lit(0)) > 0, "foreign finding"),
+            F.when(some("foreign"), "foreign finding"),
+            *(F.when(some(c), f"bad {c}") for c in ("severity", "confidence", "evidence")),
         )
     )
     return validations.join(counts, "id", "left").select("id", F.array_join(reasons, ",").alias("reasons"))

@@ -10,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.findings import CONFIDENCES, SEVERITIES
 from ..operators.policy import include_minus_exclude, inventory_id
 
 VERSION = 1
 STATUSES = ("up", "down", "unknown")
-SEVERITIES, CONFIDENCES = ("info", "low", "medium", "high", "critical"), ("low", "medium", "high")
 LOCUS = ("url", "method", "host", "param", "keyword", "input", "status", "length", "words", "lines", "content_type", "identity_version", "ip", "port", "file", "line")
 HOST = "ip string, hostname string, status string, reason string, ports array<struct<port int, protocol string, state string, service string>>"
 FINDING = "id string, source string, category string, severity string, confidence string, evidence string, locus map<string,string>"

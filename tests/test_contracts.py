@@ -41,9 +41,18 @@ def test_networks(spark):
 
 
 def test_action_contract_names_each_rule(spark):
-    data = [(1, "t", "check.v1", ["url"], "none"), (2, "t", "check", ["url", "url"], "maybe"), (3, "u", "a.v2", [], None), (4, "u", "a.v2", ["ip"], "none")]
-    found = contracts.action_contract(spark.createDataFrame(data, "action_id int, tool string, action string, accepts array<string>, effect string"))
-    assert rows(found) == [(1, ""), (2, "version,accepts,effect"), (3, "accepts,effect,duplicate"), (4, "duplicate")]
+    data = [(1, "t", "check.v1", "c", ["url"], "none"), (2, "t", "check", " ", ["url", "url"], "maybe"), (3, "u", "a.v2", "a", [], None), (4, "u", "a.v2", "a", ["ip"], "none"), (5, "w", "b.v1", None, ["ip"], "none")]
+    found = contracts.action_contract(spark.createDataFrame(data, "action_id int, tool string, action string, name string, accepts array<string>, effect string"))
+    assert rows(found) == [(1, ""), (2, "version,name,accepts,effect"), (3, "accepts,effect,duplicate"), (4, "duplicate"), (5, "name")]
+
+
+def test_scope_of_addresses_networks_and_names(spark):
+    targets = ["10.1.2.3", "10.2.0.1", "10.1.0.0/16", "10.1.4.0/24", "10.0.0.0/8", "a.corp", "b.corp", "2001:db8::9", "2001:DB8:0::/40", "2001:db8::/64", "2001:db9::1", "10.1.2", "10.1.2.3/x", "10.1.2.3/40", None]
+    networks = spark.createDataFrame([("10.1.0.0", 16), ("2001:db8::", 48), ("bad", 3), ("10.9.0.0", 77)], "base string, prefix int")
+    names = spark.createDataFrame([("a.corp",)], "hostname string")
+    asked = spark.createDataFrame([(t,) for t in targets], "target string")
+    assert {r.target for r in contracts.authorize_ips(asked, networks, names).where("allowed").collect()} == {"10.1.2.3", "10.1.0.0/16", "10.1.4.0/24", "a.corp", "2001:db8::9", "2001:db8::/64"}
+    assert contracts.authorize_ips(asked, networks.limit(0), names.limit(0)).where("allowed").count() == 0
 
 
 def test_one_denied_target_denies_the_plan(spark):
