@@ -30,9 +30,9 @@ WINDOW = 2048
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Letter strings whose ids a task keeps; beyond it starts anew.
-KEPT = 200_000
+KEPT = 400_000
 #: Characters of texts that are looked up in one go, and bytes of pieces that are handed on at once.
-BLOCK, HANDED = 2_000_000, 8_000_000
+BLOCK, HANDED = 4_000_000, 8_000_000
 #: The rules under which a text's ids are those of its strings between white space, letters parted from the marks after them.
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
