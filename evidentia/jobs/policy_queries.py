@@ -353,7 +353,7 @@ def _(d):  # noqa: ANN001, ANN202
     return o.distinct_targets(d.where("ip IS NOT NULL").select(F.col("ip").alias("id"), "batch"))
 
 
-@_query("builtin_payloads", "WITH b AS (SELECT * FROM (VALUES ('sqli', 0, ''''), ('sqli', 1, '\"'), ('command_injection', 2, '| printf HAVOC'), ('template_injection', 3, '#{7*7}HAVOC')) t(class, place, value)) SELECT class, place, count(DISTINCT doc_id) AS documents FROM b JOIN v_messages ON contains(lower(text), lower(value)) GROUP BY 1, 2", "v_messages")
+@_query("builtin_payloads", "WITH b AS (SELECT * FROM (VALUES ('sqli', 0, ''''), ('sqli', 1, '\"'), ('command_injection', 2, '| printf PROBE'), ('template_injection', 3, '#{7*7}PROBE')) t(class, place, value)) SELECT class, place, count(DISTINCT doc_id) AS documents FROM b JOIN v_messages ON contains(lower(text), lower(value)) GROUP BY 1, 2", "v_messages")
 def _(m):  # noqa: ANN001, ANN202
     known = o.builtin_payloads(m.sparkSession).where("is_valid_utf8(value)")
     named = known.select(F.concat_ws("/", "class", "place").alias("literal_id"), F.decode("value", "UTF-8").alias("literal"))
