@@ -54,17 +54,16 @@ def package_uses(calls: DataFrame, owners: DataFrame) -> DataFrame:
 
 def _cover(spans: DataFrame) -> DataFrame:
     """spans (file, first, last) with each dyadic block (level, block) that they are made of: two for each power of two up to their length at most, and one of them around each line."""
-    size = F.col("last") - F.col("first") + 1
-    levels = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(size, F.lit(1)).cast("double"))).cast("int") + 1)
-    left = lambda k: F.ceil(F.col("first") / F.pow(F.lit(2), k)).cast("long")
-    right = lambda k: F.floor((F.col("last") + 1) / F.pow(F.lit(2), k)).cast("long")
-
-    def blocks(k: Column) -> Column:
-        some, odd = left(k) < right(k), lambda x: F.pmod(x, F.lit(2)) == 1
-        return F.array(F.when(some & odd(left(k)), F.struct(k.alias("level"), left(k).alias("block"))), F.when(some & odd(right(k)), F.struct(k.alias("level"), (right(k) - 1).alias("block"))))
-
-    dealt = spans.where("first <= last").withColumn("b", F.explode(F.array_compact(F.flatten(F.transform(levels, blocks)))))
-    return dealt.select("*", "b.level", "b.block").drop("b")
+    size = F.greatest(F.col("last") - F.col("first") + 1, F.lit(1)).cast("double")
+    shift = lambda way, x, k: F.call_function(f"shift{way}", x, k)
+    level = F.col("level")
+    leveled = spans.where("first <= last").withColumn("level", F.explode(F.sequence(F.lit(0), F.ceil(F.log2(size)).cast("int") + 1)))
+    left = shift("right", F.col("first") + shift("left", F.lit(1).cast("long"), level) - 1, level)
+    right = shift("right", F.col("last") + 1, level)
+    odd = lambda x: x.bitwiseAND(F.lit(1)) == 1
+    some = leveled.withColumn("_l", left).withColumn("_r", right).where("_l < _r")
+    blocks = F.array(F.when(odd(F.col("_l")), F.col("_l")), F.when(odd(F.col("_r")), F.col("_r") - 1))
+    return some.withColumn("block", F.explode(blocks)).where("block IS NOT NULL").drop("_l", "_r")
 
 
 def _held(points: DataFrame, spans: DataFrame, *sums: Column) -> DataFrame:
@@ -76,7 +75,7 @@ def _held(points: DataFrame, spans: DataFrame, *sums: Column) -> DataFrame:
     cover = _cover(spans).groupBy("file", "level", "block").agg(*sums)
     top = cover.agg(F.max("level")).first()[0] or 0
     lines = points.select("file", "at").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
-    return lines.withColumn("block", F.floor(F.col("at") / F.pow(F.lit(2), "level")).cast("long")).join(cover, ["file", "level", "block"])
+    return lines.withColumn("block", F.call_function("shiftright", F.col("at"), F.col("level"))).join(cover, ["file", "level", "block"])
 
 
 def enclosing_scope(points: DataFrame, spans: DataFrame) -> DataFrame:
