@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, capfilters, langid, mixing, packing, pii, simhash, sparse_suffix, toxicity, warc
+from . import ann, capfilters, langid, mixing, packing, pii, secrets, simhash, sparse_suffix, toxicity, warc
 from .sql import ORACLES
 
 
@@ -61,8 +61,16 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce(langid.fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op12_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secrets")
+    counts = [F.size(secrets.of_kind(spans, kind)).cast("long").alias(f"n_{kind}") for kind in secrets.BASE]
+    base = F.sha2(secrets.listed(secrets.of_kind(spans, *secrets.BASE)), 256)
+    return found.select("doc_id", *counts, base.alias("base_sha256"), secrets.listed(spans).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multiprobe_neighbours, op2_content_addressed_warc, op3_surrogates, op4_concatenate_and_cut, op5_crf_language, op6_sparse_suffixes, op7_cap_filters, op8_target_weights, op9_golay_simhash, op10_kneser_ney_toxicity)}
+    return {f.__name__: f for f in (op1_multiprobe_neighbours, op2_content_addressed_warc, op3_surrogates, op4_concatenate_and_cut, op5_crf_language, op6_sparse_suffixes, op7_cap_filters, op8_target_weights, op9_golay_simhash, op10_kneser_ney_toxicity, op12_structural_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
