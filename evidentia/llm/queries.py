@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, capfilters, langid, mixing, packing, pii, secrets, simhash, sparse_suffix, toxicity, warc
+from . import ann, capfilters, langid, mixing, packing, pii, secrets, simhash, sparse_suffix, toxicity, warc, whitening
 from .sql import ORACLES
 
 
@@ -61,6 +61,15 @@ def op10_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce(langid.fold() == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(rows)
+    told = whitening.transform(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("at", "whitened"))
+    n, error, explained = (model.n, model.identity_error, model.explained) if model else (0, 0.0, [])
+    share = F.get(F.array(*map(F.lit, explained)).cast("array<double>"), F.col("at"))
+    return told.select("vec_id", (F.col("at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", share.alias("explained"), F.lit(error).alias("identity_error"))
+
+
 def op12_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     spans = F.col("secrets")
@@ -70,7 +79,7 @@ def op12_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multiprobe_neighbours, op2_content_addressed_warc, op3_surrogates, op4_concatenate_and_cut, op5_crf_language, op6_sparse_suffixes, op7_cap_filters, op8_target_weights, op9_golay_simhash, op10_kneser_ney_toxicity, op12_structural_secrets)}
+    return {f.__name__: f for f in (op1_multiprobe_neighbours, op2_content_addressed_warc, op3_surrogates, op4_concatenate_and_cut, op5_crf_language, op6_sparse_suffixes, op7_cap_filters, op8_target_weights, op9_golay_simhash, op10_kneser_ney_toxicity, op11_cholesky_whitening, op12_structural_secrets)}
 
 
 def oracle_sql() -> dict[str, str]:
