@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, capfilters, langid, mixing, packing, pii, secrets, simhash, sparse_suffix, toxicity, warc, whitening
+from . import ann, capfilters, langid, mixing, packing, phrases, pii, secrets, simhash, sparse_suffix, toxicity, warc, whitening
 from .sql import ORACLES
 
 
@@ -78,8 +78,12 @@ def op12_structural_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, base.alias("base_sha256"), secrets.listed(spans).alias("spans"))
 
 
+def op13_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_multiprobe_neighbours, op2_content_addressed_warc, op3_surrogates, op4_concatenate_and_cut, op5_crf_language, op6_sparse_suffixes, op7_cap_filters, op8_target_weights, op9_golay_simhash, op10_kneser_ney_toxicity, op11_cholesky_whitening, op12_structural_secrets)}
+    return {f.__name__: f for f in (op1_multiprobe_neighbours, op2_content_addressed_warc, op3_surrogates, op4_concatenate_and_cut, op5_crf_language, op6_sparse_suffixes, op7_cap_filters, op8_target_weights, op9_golay_simhash, op10_kneser_ney_toxicity, op11_cholesky_whitening, op12_structural_secrets, op13_toivonen_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:

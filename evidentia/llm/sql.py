@@ -35,5 +35,22 @@ t AS (SELECT source, source_size, CASE WHEN list_contains(l.stopped, coalesce('=
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(t.target / t.source_size, 3.0) ELSE 0 END AS rate,
              ('0x' || left(md5('20240601:' || coalesce(CAST(d.doc_id AS VARCHAR), md5(d.text), '')), 13))::BIGINT / 4503599627370496.0 AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, CAST((floor(rate) + (draw < rate - floor(rate))::INT) * size AS BIGINT) AS taken FROM r
+""",
+    "op13_toivonen_phrases": """
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS c FROM (
+        SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) t(k) WHERE len(w) >= k)
+      GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+q AS (SELECT lang, k, phrase, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2 AND c >= 10),
+cuts AS (SELECT q.*, cut, array_to_string(w[:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS tail FROM q, (VALUES (1), (2)) t(cut) WHERE cut < k),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.k, a, cut, l.c AS l, r.c AS r, 1000000 * a * a // (l.c * r.c) AS score
+      FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = head JOIN f r ON r.lang = cuts.lang AND r.phrase = tail),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+x AS (SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase FROM q WHERE k = 3) GROUP BY lang, phrase),
+kept AS (SELECT b.* FROM b LEFT JOIN x ON x.lang = b.lang AND x.phrase = b.phrase WHERE coalesce(100 * longer < 50 * a, true)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT o.lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n.n, score::BIGINT AS score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
 """,
 }
