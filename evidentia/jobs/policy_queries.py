@@ -47,7 +47,6 @@ VIEWS |= {
     "v_trials": "SELECT event_type AS mode, value > 90 AS found, user_id % 12 AS coverage, event_id % 31 AS depth FROM {events}",
     "v_paths": "SELECT concat(CASE doc_id % 4 WHEN 0 THEN 'lib/' WHEN 1 THEN 'lib/a/b/' WHEN 2 THEN 'test/' ELSE 'lib/.git/' END, CASE doc_id % 3 WHEN 0 THEN 'm' WHEN 1 THEN '.m' ELSE 'gen_' END, CAST(doc_id % 50 AS STRING), CASE doc_id % 5 WHEN 0 THEN '.exs' ELSE '.ex' END) AS path FROM {documents}",
     "v_diagnostics": "SELECT CASE event_type WHEN 'error' THEN 'error' ELSE 'warning' END AS level, event_id AS diagnostic_id FROM {events}",
-    "v_flow_facts": "SELECT CASE l_linenumber % 4 WHEN 0 THEN 'binding' WHEN 1 THEN 'return' WHEN 2 THEN 'parameter' ELSE 'guard' END AS kind, concat('n', CAST(l_partkey AS STRING)) AS subject, concat('n', CAST(l_suppkey * 3 AS STRING)) AS object FROM {lineitem}",
     "v_callbacks": "SELECT CASE n_regionkey WHEN 0 THEN 'implements' WHEN 1 THEN 'callback' ELSE 'definition' END AS kind, CASE n_regionkey WHEN 0 THEN concat('M', CAST(n_nationkey AS STRING)) WHEN 1 THEN concat('I', CAST(n_nationkey % 3 AS STRING)) ELSE concat('d', n_name) END AS subject, CASE n_regionkey WHEN 0 THEN concat('I', CAST(n_nationkey % 3 AS STRING)) WHEN 1 THEN 'x' ELSE concat('M', CAST(n_nationkey % 8 * 2 AS STRING), '.f', CAST(n_nationkey % 2 AS STRING), '/1') END AS object, concat('f', CAST(n_nationkey % 2 AS STRING), '/1') AS signature FROM {nation} UNION ALL SELECT 'definition', concat('d', CAST(s_suppkey AS STRING)), concat('M', CAST(s_suppkey % 25 AS STRING), '.f', CAST(s_suppkey % 2 AS STRING), '/1'), NULL FROM {supplier}",
     "v_ips": "SELECT event_id, CASE event_id % 8 WHEN 0 THEN concat('10.0.0.', CAST(event_id % 300 AS STRING)) WHEN 1 THEN concat('Host-', CAST(user_id AS STRING), '.Example.com.') WHEN 2 THEN '01.2.3.4' WHEN 3 THEN concat('a_', CAST(user_id AS STRING)) WHEN 4 THEN '-bad-.org' WHEN 5 THEN 'a..b' WHEN 6 THEN '1.2.3' ELSE 'ok.org' END AS text FROM {events}",
 }
@@ -465,16 +464,6 @@ def _(facts):  # noqa: ANN001, ANN202
     return graph.graph_edges(facts)
 
 
-@_query(
-    "backward_slice",
-    "WITH RECURSIVE e AS (SELECT DISTINCT object AS node, subject AS next FROM v_flow_facts WHERE kind IN ('binding', 'return', 'parameter')), t(root, node, depth) AS (SELECT * FROM (SELECT DISTINCT object AS root, object AS node, 0 AS depth FROM v_flow_facts WHERE kind = 'guard') UNION SELECT t.root, e.next, t.depth + 1 FROM t JOIN e ON t.node = e.node WHERE t.depth < 2) SELECT root, node, min(depth) AS depth FROM t GROUP BY 1, 2",
-    "v_flow_facts",
-)
-def _(facts):  # noqa: ANN001, ANN202
-    steps = o.one_step_flows(facts).select(F.col("node").alias("from"), F.col("next").alias("to"))
-    return graph.graph_slice(steps, facts.where("kind = 'guard'").select(F.col("object").alias("root")).distinct(), 2)
-
-
 @_query(
     "finding_lineage",
     f"WITH {PORTS.replace('pf AS (SELECT', 'pf AS (SELECT DISTINCT')}, s AS (SELECT {_sid('web', 'source', 'id')} AS seed_id, id FROM pf), v AS (SELECT 'v' || seed_id AS validation_id, CASE WHEN right(seed_id, 1) < '8' THEN seed_id ELSE 'gone' END AS seed_id FROM s) SELECT v.validation_id, v.seed_id, s.id AS finding_id, pf.category, pf.locus FROM v LEFT JOIN s ON v.seed_id = s.seed_id LEFT JOIN pf ON s.id = pf.id",

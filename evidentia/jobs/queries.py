@@ -611,7 +611,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import policy_queries, source_queries, stream_queries  # noqa: F401, PLC0415 they register theirs
+    from . import policy_queries, slice_queries, source_queries, stream_queries  # noqa: F401, PLC0415 they register theirs
 
     return {name: fn for name, (fn, _) in _FOUND.items()}
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import staged
+from .scan import numbered
 
 
 def graph_edges(facts: DataFrame) -> DataFrame:
@@ -34,50 +38,102 @@ def graph_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, direction: s
     return seen
 
 
-def bounded_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, most_nodes: int = 200, most_edges: int = 500, most_work: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """(root, from, to, depth) of each root's edges within the bounds, and (root, nodes, edges, reasons): what a root's slice holds, and which bounds cut it.
+@dataclass(frozen=True)
+class Bounds:
+    """What one root's slice may hold: nodes with the root, edges, edges looked at, and bytes of edges and nodes as JSON."""
+
+    nodes: int = 200
+    edges: int = 500
+    work: int = 10_000
+    bytes: int = 256_000
+
+
+def _text_size(column: str) -> Column:
+    return F.octet_length(F.to_json(F.struct(F.col(column).alias("n")))).cast("long") - 6
+
 
-    A level takes a root's edges in the order of (from, to) until a bound is met: work counts
-    edges that were looked at, edges those that are kept, nodes the root and what it reaches.
-    Reasons are max_depth (there were edges to follow), max_nodes, max_edges and max_work. A
-    root keeps most_work edges of a level at most before they are ranked, so a hub is cut
-    where it is read.
+def _adjacent(edges: DataFrame, direction: str, relations: tuple[str, ...] | None, most: int) -> DataFrame:
+    """(node, next, edge, from, to, relation, wanted, weight, place): each node's edges, numbered by their ids, `most` of them at most; a loop is one of them."""
+    named = edges if "relation" in edges.columns else edges.withColumn("relation", F.lit(None).cast("string"))
+    named = named.select("from", "to", "relation").distinct()
+    if "edge" in edges.columns:
+        named = edges.withColumns({} if "relation" in edges.columns else {"relation": F.lit(None).cast("string")}).groupBy("edge").agg(F.min(F.struct("from", "to", "relation")).alias("e")).select("edge", "e.*")
+    else:
+        named = named.withColumn("edge", F.to_json(F.struct("from", "to", "relation")))
+    wanted = F.lit(True) if relations is None else F.coalesce(F.col("relation").isin(*relations), F.lit(False))
+    named = named.withColumn("wanted", wanted).withColumn("weight", F.octet_length(F.to_json(F.struct("edge", "from", "to", "relation"))).cast("long") + 1)
+    ways = {"out": [("from", "to")], "in": [("to", "from")], "both": [("from", "to"), ("to", "from")]}[direction]
+    sides = [named.withColumns({"node": F.col(a), "next": F.col(b)}).where(F.lit(i == 0) | (F.col("from") != F.col("to"))) for i, (a, b) in enumerate(ways)]
+    both = reduce(DataFrame.union, sides).where("node IS NOT NULL AND next IS NOT NULL")
+    return numbered(both, ["node"], ["edge"]).where(F.col("place") <= most)
+
+
+def bounded_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, most_nodes: int = 200, most_edges: int = 500, most_work: int = 10_000, most_bytes: int = 256_000, direction: str = "out", relations: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(root, edge, from, to, relation, depth) of each root's edges within the bounds, and (root, nodes, edges, work, bytes, reasons): what a root's slice holds, and which bounds cut it.
+
+    edges (from, to) may have a relation and an id (edge); without an id, equal edges are one. A
+    root's nodes are opened in the order they were reached, and each one's edges taken by id.
+    Work counts every edge that is looked at; one that is held already, or of a relation not
+    asked for, counts for nothing else. Edges, work and bytes end a slice where they are met;
+    past most_nodes, edges to new nodes are left out and others are still taken. Nodes at the
+    last depth are looked at, and max_depth is a reason if one has an edge that is not held. A hub
+    is cut at most_work edges before any join. Edges without an end are left out.
     """
-    step = staged(edges.select(F.col("from"), F.col("to")).distinct(), "steps")
-    sums = roots.select("root").distinct().withColumns({"nodes": F.lit(1), "edges": F.lit(0), "work": F.lit(0)})
-    reasons = []
-    frontier = roots.select("root", F.col("root").alias("node")).distinct()
-    seen, kept = frontier, None
-    in_order = Window.partitionBy("root").orderBy("from", "to")
+    bounds = Bounds(most_nodes, most_edges, most_work, most_bytes)
+    step = staged(_adjacent(edges, direction, relations, bounds.work + 1), "steps")
+    degrees = step.groupBy("node").agg(F.max("place").alias("degree"))
+    wanted = roots.where(F.col("root").isNotNull()).select("root").distinct()
+    zero = F.lit(0).cast("long")
+    sums = staged(wanted.select("root", (zero + 1).alias("nodes"), zero.alias("edges"), zero.alias("work"), (_text_size("root") + 1).alias("bytes")), "sums")
+    frontier = sums.select("root", F.col("root").alias("node"), zero.alias("turn"))
+    seen, held, levels, reasons = frontier.select("root", "node"), None, [], []
+    line, turns = Window.partitionBy("root").orderBy("turn", "edge"), Window.partitionBy("root").orderBy("turn")
+    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for d in range(1, depth + 2):
-        found = frontier.withColumnRenamed("node", "from").join(step, "from")
+        # nodes whose edges stand behind the last that a root may look at are not opened at all
+        opened = frontier.join(degrees, "node").join(sums, "root").withColumn("left", F.lit(bounds.work + 1) - F.col("work") - (F.sum("degree").over(turns) - F.col("degree")))
+        each = opened.where(F.col("left") > 0).join(step, "node").where("place <= left").withColumn("step", F.row_number().over(line))
+        each = each.join(seen.select("root", F.col("node").alias("next"), F.lit(True).alias("known")), ["root", "next"], "left")
+        each = each.join(held, ["root", "edge"], "left") if held is not None else each.withColumn("kept", F.lit(None).cast("boolean"))
+        # of an edge that both its ends open now, the first time counts
+        again = F.row_number().over(Window.partitionBy("root", "edge", "wanted").orderBy("step")) > 1
+        asked = F.col("wanted") & F.col("kept").isNull()
         if d > depth:
-            reasons.append(found.select("root", F.lit("max_depth").alias("reason")).distinct())
+            each = each.withColumns({"hit": asked, "over": F.col("step") + F.col("work") > bounds.work})
+            reasons += [each.where("over").select("root", F.lit("max_work").alias("reason")), each.where("hit AND NOT over").select("root", F.lit("max_depth").alias("reason"))]
+            last = each.where("NOT over").groupBy("root").agg(F.count("*").alias("looked"))
+            sums = staged(sums.join(last, "root", "left").withColumn("work", F.col("work") + F.coalesce("looked", zero)).drop("looked"), "sums")
             break
-        place = found.withColumn("place", F.row_number().over(in_order)).where(F.col("place") <= most_work + 1).join(sums, "root")
-        new = seen.withColumnRenamed("node", "to").withColumn("known", F.lit(True))
-        place = place.join(new, ["root", "to"], "left")
-        first = F.row_number().over(Window.partitionBy("root", "to").orderBy("from")) == 1
-        place = place.withColumn("fresh", (F.col("known").isNull() & first).cast("int"))
-        place = place.withColumn("reached", F.col("nodes") + F.sum("fresh").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        cut = F.when(F.col("work") + F.col("place") > most_work, "max_work").when(F.col("edges") + F.col("place") > most_edges, "max_edges").when(F.col("reached") > most_nodes, "max_nodes")
-        # what stands behind the first edge that is cut is cut too
-        cut = F.first(cut, ignorenulls=True).over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        level = staged(place.withColumn("cut", cut).select("root", "from", "to", "fresh", "cut"), "level")
-        reasons.append(level.where("cut IS NOT NULL").select("root", F.col("cut").alias("reason")).distinct())
-        good = level.where("cut IS NULL")
-        kept = good.select("root", "from", "to", F.lit(d).alias("depth")) if kept is None else kept.union(good.select("root", "from", "to", F.lit(d).alias("depth")))
-        gained = good.groupBy("root").agg(F.sum("fresh").alias("n"), F.count("*").alias("e"))
-        sums = staged(sums.join(gained, "root", "left").na.fill(0, ["n", "e"]).select("root", (F.col("nodes") + F.col("n")).alias("nodes"), (F.col("edges") + F.col("e")).alias("edges"), (F.col("work") + F.col("e")).alias("work")), "sums")
-        frontier = good.where("fresh = 1").select("root", F.col("to").alias("node"))
-        seen = seen.union(frontier)
+        each = each.withColumn("asked", asked & ~again)
+        first = F.row_number().over(Window.partitionBy("root", "next", "asked").orderBy("step")) == 1
+        each = each.withColumn("fresh", (F.col("asked") & F.col("known").isNull() & first).cast("long"))
+        # new nodes beyond the bound are never reached, so all edges to them are left out
+        rank = F.col("nodes") + F.sum("fresh").over(upto)
+        each = each.withColumn("reached", F.min(F.when(F.col("fresh") == 1, rank)).over(Window.partitionBy("root", "next")))
+        each = each.withColumn("shut", F.col("asked") & F.col("known").isNull() & (F.col("reached") > bounds.nodes))
+        each = each.withColumn("taken", (F.col("asked") & ~F.coalesce("shut", F.lit(False))).cast("long")).withColumn("first", F.when(F.coalesce("shut", F.lit(False)), 0).otherwise(F.col("fresh")))
+        each = each.withColumns({"n_edges": F.col("edges") + F.sum("taken").over(upto), "n_bytes": F.col("bytes") + F.sum(F.when(F.col("taken") == 1, F.col("weight") + F.when(F.col("first") == 1, _text_size("next") + 1).otherwise(0)).otherwise(0)).over(upto), "n_work": F.col("work") + F.col("step"), "n_nodes": F.col("nodes") + F.sum("first").over(upto)})
+        # a slice that holds all its edges ends at the next one that it asks for, whether its node is new or not
+        full = F.col("asked") & (F.col("n_edges") - F.col("taken") >= bounds.edges)
+        met = F.when(F.col("n_work") > bounds.work, "max_work").when(full, "max_edges").when(F.col("n_bytes") > bounds.bytes, "max_bytes")
+        stops = F.first(F.when(met.isNotNull(), F.struct("step", met.alias("reason"))), ignorenulls=True).over(upto)
+        level = staged(each.withColumn("stop", stops).where("stop IS NULL OR stop.step = step").select("root", "step", "edge", "from", "to", "relation", "next", "taken", "first", F.coalesce("shut", F.lit(False)).alias("shut"), "n_edges", "n_bytes", "n_work", "n_nodes", F.col("stop.reason").alias("stop")), "level").withColumn("depth", F.lit(d))
+        good = level.where("stop IS NULL")
+        reasons += [level.where("stop IS NOT NULL").select("root", F.col("stop").alias("reason")), good.where("shut").select("root", F.lit("max_nodes").alias("reason"))]
+        levels.append(good.where("taken = 1").select("root", "edge", "from", "to", "relation", "depth"))
+        # the edge at which the work ends was not looked at, one at which another bound was met was
+        gained = level.groupBy("root").agg(*(F.max(F.when(F.col("stop").isNull(), F.col(f"n_{c}"))).alias(f"m_{c}") for c in ("nodes", "edges", "bytes")), F.max(F.when(F.col("stop").isNull() | (F.col("stop") != "max_work"), F.col("n_work"))).alias("m_work"))
+        sums = staged(sums.join(gained, "root", "left").select("root", *(F.coalesce(f"m_{c}", c).alias(c) for c in ("nodes", "edges", "work", "bytes"))), "sums")
+        now = levels[-1].select("root", "edge", F.lit(True).alias("kept"))
+        held = now if held is None else held.union(now)
+        reached = good.where("first = 1")
+        seen = seen.union(reached.select("root", F.col("next").alias("node")))
+        frontier = reached.join(level.where("stop IS NOT NULL").select("root"), "root", "left_anti").select("root", F.col("next").alias("node"), F.col("step").cast("long").alias("turn"))
         if frontier.isEmpty():
             break
-    every = reasons[0]
-    for r in reasons[1:]:
-        every = every.union(r)
-    listed = every.groupBy("root").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
-    report = sums.join(listed, "root", "left").select("root", "nodes", "edges", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
+    kept = reduce(DataFrame.union, levels) if levels else edges.select(F.lit("").alias("root"), F.lit("").alias("edge"), F.col("from").cast("string"), F.col("to").cast("string"), F.lit("").alias("relation"), F.lit(0).alias("depth")).where("false")
+    listed = reduce(DataFrame.union, reasons).groupBy("root").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
+    report = sums.join(listed, "root", "left").select("root", "nodes", "edges", "work", "bytes", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
     return kept, report
 
 

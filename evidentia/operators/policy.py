@@ -350,9 +350,3 @@ def builtin_payloads(spark: SparkSession) -> DataFrame:
     """(class, place, value) of the built-in payloads; values are bytes."""
     rows = [(c, i, v if isinstance(v, bytes) else v.encode()) for c, vs in PAYLOADS.items() for i, v in enumerate(vs)]
     return spark.createDataFrame(rows, "class string, place int, value binary")
-
-
-def one_step_flows(facts: DataFrame) -> DataFrame:
-    """(node, next, relation) of facts (kind, subject, object): a call argument comes from its binding, a binding from its return or parameter, backwards."""
-    relation = F.when(F.col("kind") == "binding", "may_flow_into").when(F.col("kind") == "return", "may_return_into").when(F.col("kind") == "parameter", "may_supply_parameter")
-    return facts.where(relation.isNotNull()).select(F.col("object").alias("node"), F.col("subject").alias("next"), relation.alias("relation")).distinct()
