@@ -39,7 +39,7 @@ SPARSE, MOST_BITS = 16, 1 << 28
 #: Bytes of text that a task numbers at a time.
 BLOCK = 8 << 20
 #: Parts of a word's rows in joins, and of a language's in ranks: a part keeps its first TOP.
-SALTS, PARTS = 16, (4096, 128, 4)
+SALTS, PARTS = 4, (4096, 128, 4)
 SEED = 13
 
 _BORDERS = b".,;:!?\n\x0b\x0c\r"
@@ -155,7 +155,9 @@ def _count(texts: DataFrame, passes=None) -> DataFrame:
                 bytes_held = 0
         yield from flush()
 
-    return texts.mapInArrow(local, _COUNTS).groupBy("lang", "k", "phrase").agg(F.sum("c").alias("c"))
+    # a block hands on a phrase once, so there is little left to add up before the shuffle
+    keys = ("lang", "k", "phrase")
+    return texts.mapInArrow(local, _COUNTS).repartition(*keys).groupBy(*keys).agg(F.sum("c").alias("c"))
 
 
 def _key(lang: str = "lang", phrase: str = "phrase") -> F.Column:
@@ -238,9 +240,14 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, sample: in
     cuts = cuts.select("lang", "phrase", "a", "cut", F.array_join(F.slice("words", 1, F.col("cut")), " ").alias("first"), F.array_join(F.slice("words", F.col("cut") + 1, LONGEST), " ").alias("rest"))
     parts = counts.where("k in (1, 2)")
     cuts = _looked_up(_looked_up(cuts, "first", parts, "l"), "rest", parts, "r")
-    exact = [F.col(c).cast("decimal(16,0)") for c in ("a", "l", "r")]
-    scored = cuts.withColumns({"above": F.lit(1_000_000).cast("decimal(7,0)") * exact[0] * exact[0], "below": exact[1] * exact[2]}).withColumn("score", F.expr("above div below"))
-    scored = scored.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min(F.struct("score", "cut", "l", "r")).alias("best"))
+    sides = [F.max(F.when(F.col("cut") == cut, F.col(c))).alias(f"{c}{cut}") for cut in range(1, LONGEST) for c in ("l", "r")]
+    whole = cuts.groupBy("lang", "phrase", "a").agg(*sides)
+    exact = lambda c: F.col(c).cast("decimal(16,0)")
+    for cut in range(1, LONGEST):
+        whole = whole.withColumns({"above": F.lit(1_000_000).cast("decimal(7,0)") * exact("a") * exact("a"), "below": exact(f"l{cut}") * exact(f"r{cut}")}).withColumn(f"s{cut}", F.expr("above div below"))
+    # the last of the lowest falling scores, so the earliest cut of equal ones
+    best = reduce(lambda x, cut: F.when(F.col(f"s{cut}") < x["score"], F.struct(F.col(f"s{cut}").alias("score"), F.col(f"l{cut}").alias("l"), F.col(f"r{cut}").alias("r"))).otherwise(x), range(2, LONGEST), F.struct(F.col("s1").alias("score"), F.col("l1").alias("l"), F.col("r1").alias("r")))
+    scored = whole.select("lang", "phrase", "a", best.alias("best"))
     inner = candidates.where(F.col("k") == LONGEST).select("lang", "a", F.explode(F.array(*(F.array_join(F.slice("words", at, 2), " ") for at in (1, 2)))).alias("phrase"))
     inner = inner.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = scored.join(inner, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < INSIDE * F.col("a"), F.lit(True)))
