@@ -21,11 +21,12 @@ def _link_levels(depth: int, b: graph.Bounds) -> str:
     """The levels of bounded_slice over v_links, both ways, as common table expressions ending in `kept` and `told`."""
     text = [f"""s AS MATERIALIZED (SELECT edge, "from", "to", relation, relation <> 'mentions' AS wanted, strlen('{{"edge":"' || edge || '","from":"' || "from" || '","to":"' || "to" || '","relation":"' || relation || '"}}') + 1 AS weight FROM (SELECT DISTINCT * FROM v_links)),
 a AS MATERIALIZED (SELECT "from" AS node, "to" AS next, * FROM s UNION ALL SELECT "to", "from", * FROM s WHERE "from" <> "to"),
+n AS MATERIALIZED (SELECT node, count(*) AS degree FROM a GROUP BY 1),
 q1 AS MATERIALIZED (SELECT root, 1 AS nodes, 0 AS edges, 0 AS work, strlen(root) + 3 AS bytes FROM (SELECT DISTINCT root FROM v_roots)),
 f1 AS MATERIALIZED (SELECT root, root AS node, 0 AS turn FROM q1), seen1 AS (SELECT root, node FROM f1), held1 AS (SELECT root, '' AS edge FROM q1 WHERE false)"""]
     for d in range(1, depth + 2):
         rows = f"""e{d} AS MATERIALIZED (SELECT f.root, f.turn, a.*, q.nodes, q.edges, q.work, q.bytes, k.node IS NOT NULL AS known, a.wanted AND h.edge IS NULL AS asked0, row_number() OVER (PARTITION BY f.root ORDER BY f.turn, a.edge) AS step
- FROM f{d} f JOIN a ON a.node = f.node JOIN q{d} q ON q.root = f.root LEFT JOIN seen{d} k ON k.root = f.root AND k.node = a.next LEFT JOIN held{d} h ON h.root = f.root AND h.edge = a.edge)"""
+ FROM (SELECT f.*, sum(degree) OVER (PARTITION BY root ORDER BY turn) - degree AS before FROM f{d} f JOIN n ON n.node = f.node) f JOIN a ON a.node = f.node AND f.before <= {b.work} JOIN q{d} q ON q.root = f.root LEFT JOIN seen{d} k ON k.root = f.root AND k.node = a.next LEFT JOIN held{d} h ON h.root = f.root AND h.edge = a.edge)"""
         text.append(rows)
         if d > depth:
             text.append(f"""why{d} AS (SELECT root, CASE WHEN work + step > {b.work} THEN 'max_work' ELSE 'max_depth' END AS reason FROM e{d} WHERE work + step > {b.work} OR asked0),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import numbered, scanned
+
 
 def _once(events: DataFrame, key: str, columns: list[str], prefix: str) -> DataFrame:
     """How often each key occurs, and the columns of one occurrence."""
@@ -61,8 +63,8 @@ def task_lineage(events: DataFrame, stages: list[str]) -> DataFrame:
 
 def version_intervals(writes: DataFrame) -> DataFrame:
     """Each write's validity (key, version, since, until): until the next write or deletion of its key."""
-    w = Window.partitionBy("key").orderBy("at", "version")
-    return writes.withColumn("until", F.lead("at").over(w)).where("kind = 'write'").select("key", "version", F.col("at").alias("since"), "until")
+    following = scanned(writes, ["key"], ["at", "version"], until=("next", F.col("at")))
+    return following.where("kind = 'write'").select("key", "version", F.col("at").alias("since"), "until")
 
 
 def store_versions(writes: DataFrame, reads: DataFrame) -> DataFrame:
@@ -98,3 +100,34 @@ def session_verdict(events: DataFrame, most: int, sessions: DataFrame | None = N
         counts = sessions.groupBy("session_id").agg(F.min("complete").alias("complete")).join(counts, "session_id", "left").na.fill(0, ["events", "hits"])
         intact = intact & F.coalesce("complete", F.lit(False))
     return counts.select("session_id", "events", "hits", F.when(~intact, "inconclusive").when(F.col("hits") > 0, "confirmed").otherwise("refuted").alias("verdict"))
+
+
+def with_all(events: DataFrame) -> DataFrame:
+    """events of sessions with the columns that may be missing: event_id, positions, failure; null flags are false."""
+    missing = {n: F.lit(None).cast(kind) for n, kind in (("event_id", "long"), ("positions", "array<int>"), ("failure", "string")) if n not in events.columns}
+    return events.withColumns(missing | {n: F.coalesce(n, F.lit(False)) for n in ("hit", "last")})
+
+
+def trace_sessions(events: DataFrame, most: int) -> DataFrame:
+    """(session_id, events, hits, positions, failures, envelope, verdict) of events (session_id, at, hit, last and, if given, event_id, positions, failure).
+
+    positions are the argument positions that a hit matched, failure names a limit that an event
+    broke, last marks the event that ends a session. A session is looked at up to its first
+    failure, or its event `most` + 1, whose failure is event_limit; events counts that one, hits
+    and positions those before it. The envelope is intact if the session ended and nothing
+    failed; only then is it confirmed (there was a hit) or refuted. Events are numbered by a
+    scan, so a session with most rows is no one task. A null session is left out.
+    """
+    known = with_all(events.where(F.col("session_id").isNotNull()))
+    placed = numbered(known.select("session_id", "event_id", "at", "hit", "last", "positions", "failure"), ["session_id"], ["at", "event_id"])
+    cuts = placed.groupBy("session_id").agg(F.max("last").alias("ended"), F.count("*").alias("n"), F.min(F.when(F.col("failure").isNotNull() & (F.col("place") <= most), F.struct("place", "failure"))).alias("first"))
+    cuts = cuts.withColumn("stop", F.coalesce("first.place", F.when(F.col("n") > most, F.lit(most + 1).cast("long"))))
+    looked = placed.join(cuts.select("session_id", "stop"), "session_id").where("hit AND (stop IS NULL OR place < stop)")
+    found = looked.groupBy("session_id").agg(F.count("*").alias("hits"))
+    none = F.array().cast("array<int>")
+    places = looked.select("session_id", F.explode("positions").alias("p")).groupBy("session_id").agg(F.array_sort(F.collect_set("p")).alias("positions"))
+    out = cuts.join(found, "session_id", "left").join(places, "session_id", "left").na.fill(0, ["hits"])
+    failures = F.when(F.col("stop").isNull(), F.array().cast("array<string>")).otherwise(F.array(F.coalesce("first.failure", F.lit("event_limit"))))
+    intact = F.col("ended") & F.col("stop").isNull()
+    verdict = F.when(~intact, "inconclusive").when(F.col("hits") > 0, "confirmed").otherwise("refuted")
+    return out.select("session_id", F.coalesce("stop", "n").alias("events"), "hits", F.coalesce("positions", none).alias("positions"), failures.alias("failures"), F.when(intact, "intact").otherwise("incomplete").alias("envelope"), verdict.alias("verdict"))

@@ -5,10 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
+from ..operators.correlate import trace_sessions, with_all
 from ..operators.findings import findings_from_matches
 from ..sources.readers import http_matches
 
@@ -54,62 +59,165 @@ def stream_spans(starts: DataFrame, stops: DataFrame, bound: str, delay: str = "
     return a.join(b, on, "left_outer").select("context", "started", took.alias("micros"), F.coalesce("outcome", F.lit("incomplete")).alias("outcome"))
 
 
-SESSION = "session_id long, events long, hits long, verdict string"
+#: State needs the provider that keeps it on disk and in versions.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """State stores on disk with a log of changes a batch, unless the session names its own."""
+    for key, usual, own in (("providerClass", "HDFSBackedStateStoreProvider", ROCKS), ("rocksdb.changelogCheckpointing.enabled", "false", "true")):
+        name = f"spark.sql.streaming.stateStore.{key}"
+        if spark.conf.get(name, usual).endswith(usual):
+            spark.conf.set(name, own)
+
+
+def _verdict(hits: int, failures: list[str], done: bool) -> tuple[str, str]:
+    envelope = "intact" if done and not failures else "incomplete"
+    return envelope, "inconclusive" if envelope == "incomplete" else "confirmed" if hits else "refuted"
+
+
+class TraceSessions(StatefulProcessor):
+    """A session's numbers, its distinct matched positions and its limit failures, and one timer."""
+
+    def __init__(self, most_events: int, gap_ms: int) -> None:
+        self.most, self.gap = most_events, gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.numbers = handle.getValueState("numbers", "count long, hits long, state string, timer long")
+        self.positions = handle.getMapState("positions", "position int", "seen boolean")
+        self.failures = handle.getMapState("failures", "failure string", "seen boolean")
+
+    def _earliest(self, rows: Iterator[pd.DataFrame], room: int) -> tuple[pd.DataFrame | None, int, bool]:
+        """The first `room` events of a batch in their order, the newest time and whether the session ended; no more are held, whatever comes."""
+        held, newest, done = None, 0, False
+        for part in rows:
+            newest, done = max(newest, int(part["ms"].max())), done or bool(part["last"].any())
+            held = part if held is None else pd.concat([held, part])
+            held = held.sort_values(["at", "event_id"]).head(room)
+        return held, newest, done
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 the interface's names
+        count, hits, state, old = self.numbers.get() if self.numbers.exists() else (0, 0, "open", -1)
+        calls, newest, done = self._earliest(rows, self.most + 1 - min(count, self.most + 1))
+        if state == "open" and calls is not None:
+            for hit, positions, failure in zip(calls["hit"], calls["positions"], calls["failure"], strict=True):
+                count += 1
+                failed = "event_limit" if count > self.most else failure
+                if failed is not None:  # nothing behind a limit is looked at
+                    self.failures.updateValue((failed,), (True,))
+                    state = "stopped"
+                    break
+                hits += bool(hit)
+                for p in positions if hit and positions is not None else ():
+                    self.positions.updateValue((int(p),), (True,))
+        if done and state != "closed":
+            yield self._told(key, count, hits, True)
+            state = "closed"
+        due = max(newest + self.gap, timerValues.getCurrentWatermarkInMs() + 1, old)
+        if old != due:
+            if old >= 0:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(due)
+        self.numbers.update((count, hits, state, due))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        count, hits, state, _ = self.numbers.get()
+        if state != "closed":
+            yield self._told(key, count, hits, False)
+        self.numbers.clear()
+        self.positions.clear()
+        self.failures.clear()
+
+    def _told(self, key: tuple, count: int, hits: int, done: bool) -> pd.DataFrame:
+        failures = sorted(k[0] for k in self.failures.keys())
+        envelope, verdict = _verdict(hits, failures, done)
+        told = {"session_id": [key[0]], "events": [count], "hits": [hits], "positions": [sorted(k[0] for k in self.positions.keys())], "failures": [failures], "envelope": [envelope], "verdict": [verdict]}
+        self.positions.clear()
+        self.failures.clear()
+        return pd.DataFrame(told)
+
+    def close(self) -> None:
+        pass
 
 
 def stream_sessions(events: DataFrame, most: int, gap_ms: int, delay: str = "10 minutes") -> DataFrame:
-    """One verdict per session of events (session_id, ts, hit, last): at its last event, or when none has come for gap_ms of event time.
+    """One verdict per session of events (session_id, ts, hit, last and, if given, event_id, positions, failure), as `trace_sessions` gives it: at the session's last event, or when none has come for gap_ms of event time.
 
-    The state of a session is three numbers, whatever it holds. Only a session that ended by
-    itself and within `most` events is decided; others are inconclusive, hit or not.
+    The state of a session is three numbers, its distinct matched positions and its failures. A
+    session stops looking at its first failure or at event `most` + 1. Only one that ended by
+    itself without a failure is decided. Rows after the end are ignored until gap_ms has passed.
+    Within a batch events count in their order, and batches in theirs. A null session is left out.
+    In a finished table it is `trace_sessions`.
     """
+    if not events.isStreaming:
+        return trace_sessions(events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))), most)
+    keep_state_on_disk(events.sparkSession)
+    rows = with_all(events.where(F.col("session_id").isNotNull()).withWatermark("ts", delay))
+    moment = F.col("ts").cast("timestamp")
+    rows = rows.select("session_id", "event_id", F.unix_micros(moment).alias("at"), F.unix_millis(moment).alias("ms"), "hit", "positions", "failure", "last", "ts")
+    kind = events.schema["session_id"].dataType.simpleString()
+    schema = f"session_id {kind}, events long, hits long, positions array<int>, failures array<string>, envelope string, verdict string"
+    return rows.groupBy("session_id").transformWithStateInPandas(TraceSessions(most, gap_ms), schema, "Append", "EventTime")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, hits, done = state.get if state.exists else (0, 0, False)
-        timed = state.hasTimedOut
-        newest = 0
-        if not timed:
-            for batch in batches:
-                n, hits, done = n + len(batch), hits + int(batch["hit"].sum()), done or bool(batch["last"].any())
-                newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
-        if timed or done:
-            state.remove()
-            verdict = "inconclusive" if not done or n > most else "confirmed" if hits else "refuted"
-            yield pd.DataFrame({"session_id": [key[0]], "events": [n], "hits": [hits], "verdict": [verdict]})
-        else:
-            state.update((n, hits, done))
-            state.setTimeoutTimestamp(max(newest + gap_ms, state.getCurrentWatermarkMs() + 1))
-
-    grouped = events.withWatermark("ts", delay).groupBy("session_id")
-    return grouped.applyInPandasWithState(step, SESSION, "n long, hits long, done boolean", "append", "EventTimeTimeout")
 
+#: Parts that events are dealt to where their lateness is looked at.
+DEALT = 200
 
-def late_events(events: DataFrame, path: str, checkpoint: str, delay_micros: int):  # noqa: ANN201
-    """Parts a stream of events (ts, ...) into on_time and late ones below a folder: late are those more than the delay behind the newest event of all batches before.
 
-    A batch that is repeated replaces its own folders, and reads the marks of earlier ones only.
+def mark_late(events: DataFrame, delay: str = "10 minutes", ts: str = "ts") -> DataFrame:
+    """A stream of events with late (boolean): whether they are behind the watermark of the query itself, as a stateful operator would drop them.
+
+    The watermark is what earlier batches made of it, and is kept in the checkpoint, so a
+    restarted query goes on with it. No state is kept. A null time is not late.
     """
+    schema = T.StructType([*events.schema.fields, T.StructField("late", T.BooleanType())])
+    given = events.columns
+
+    def part(_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        border = state.getCurrentWatermarkMs() * 1000
+        for batch in batches:
+            yield batch[given].assign(late=(batch["_micros"] < border).fillna(False).astype(bool))
+
+    marked = events.withWatermark(ts, delay).withColumn("_micros", F.unix_micros(F.col(ts).cast("timestamp")))
+    dealt = marked.withColumn("_dealt", F.pmod(F.xxhash64(*given), F.lit(DEALT)))
+    return dealt.groupBy("_dealt").applyInPandasWithState(part, schema, "n long", "append", "NoTimeout")
+
+
+def late_events(events: DataFrame, path: str, checkpoint: str, delay_micros: int):  # noqa: ANN201
+    """Parts a stream of events (ts, ...) into on_time and late ones below a folder, by the watermark of the query. A batch that is repeated replaces its own folders."""
 
     def part(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        newest = spark.createDataFrame([], "number long, newest long") if number == 0 else spark.read.schema("number long, newest long").json(f"{path}/marks")
-        mark = newest.where(F.col("number") < number).agg(F.max("newest")).first()[0]
-        late = F.lit(False) if mark is None else F.unix_micros("ts") < mark - delay_micros
-        batch.where(~late).write.mode("overwrite").parquet(f"{path}/on_time/batch={number}")
-        batch.where(late).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
-        batch.agg(F.lit(number).cast("long").alias("number"), F.max(F.unix_micros("ts")).alias("newest")).coalesce(1).write.mode("overwrite").json(f"{path}/marks/batch={number}")
+        batch.persist(StorageLevel.DISK_ONLY)
+        for name, late in (("on_time", False), ("late", True)):
+            batch.where(F.col("late") == late).drop("late").write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
+        batch.unpersist()
+
+    return mark_late(events, f"{delay_micros} microseconds").writeStream.foreachBatch(part).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
 
-    return events.writeStream.foreachBatch(part).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def mark_losses(verdicts: DataFrame, late: DataFrame) -> DataFrame:
+    """verdicts (session_id, envelope, verdict, ...) with those inconclusive that lost a row of late (session_id)."""
+    lost = late.select(F.col("session_id").cast("string").alias("session_id"), F.lit(True).alias("_lost")).distinct()
+    out = verdicts.join(lost, "session_id", "left")
+    changed = {"envelope": "incomplete", "verdict": "inconclusive"}
+    return out.withColumns({c: F.when(F.col("_lost"), text).otherwise(F.col(c)) for c, text in changed.items()}).select(*verdicts.columns)
 
 
 def sink_findings(findings: DataFrame, path: str, checkpoint: str):  # noqa: ANN201
-    """Delivers each finding id once: a batch leaves out the ids of batches before it, and one that is repeated replaces its own folder."""
+    """Delivers each finding id once below a folder, a subfolder a batch.
+
+    The ids that were delivered are the state of the stream: a store on disk, cut into parts by
+    the id's hash, that a batch asks for its own ids only, so a batch costs what it holds and not
+    what came before. Its versions go with the checkpoint: a batch that is repeated sees the ids of the
+    batches before it and replaces its own folder. `_delivered/batch=n` says that n is whole.
+    Null ids are one id.
+    """
+    keep_state_on_disk(findings.sparkSession)
 
     def write(batch: DataFrame, number: int) -> None:
-        new = batch.dropDuplicates(["id"])
-        if number:
-            seen = batch.sparkSession.read.schema("id string, batch long").parquet(path).where(F.col("batch") < number)
-            new = new.join(seen, "id", "left_anti")
-        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        told = batch.sparkSession.createDataFrame([(number,)], "number long")
+        told.coalesce(1).write.mode("overwrite").json(f"{path}/_delivered/batch={number}")
 
-    return findings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return findings.dropDuplicates(["id"]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

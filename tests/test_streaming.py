@@ -1,5 +1,9 @@
 import datetime as dt
+import random
 
+from pyspark.sql import functions as F
+
+from evidentia.operators import correlate
 from evidentia.streaming import live
 
 T0 = dt.datetime(2024, 1, 1)
@@ -106,3 +110,97 @@ def test_sink_delivers_an_id_once_over_batches(spark, tmp_path):
         stream = _stream(spark, tmp_path / "in", [(x,) for x in ids], "id string")
         live.sink_findings(stream, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(120)
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "c"]
+
+
+SESSIONS = "session_id string, event_id long, ts timestamp, hit boolean, positions array<int>, failure string, last boolean"
+
+
+def _sessions(seed=6, n=40):
+    """Sessions with events in order, some without an end, some beyond the limit, some with a failure."""
+    rng, rows = random.Random(seed), []
+    for s in range(n):
+        size = rng.randrange(1, 12)
+        for i in range(size):
+            hit = rng.random() < 0.2
+            rows.append((f"s{s}", 100 * s + i, T0 + dt.timedelta(seconds=10 * i + s % 3), hit, [rng.randrange(3), 1] if hit else None, "argument_limit" if rng.random() < 0.03 else None, i == size - 1 and s % 5 > 0))
+    return rows
+
+
+def test_streamed_sessions_equal_the_batch(spark, tmp_path):
+    rows = sorted(_sessions(), key=lambda r: r[2])
+    # three files in the order of time, so that batches come as the events did, and one that lets all timers run out
+    for i in range(3):
+        _stream(spark, tmp_path / f"in/{i}", rows[i * len(rows) // 3 : (i + 1) * len(rows) // 3], SESSIONS)
+    batch = spark.createDataFrame(rows, SESSIONS).withColumn("at", F.unix_micros("ts"))
+    want = {tuple(map(str, r)) for r in correlate.trace_sessions(batch, 7).collect()}
+    got = []
+    for i in range(4):
+        if i == 3:
+            _stream(spark, tmp_path / "in/3", [("end", 1, T0 + dt.timedelta(days=9), False, None, None, True)], SESSIONS)
+        (tmp_path / "all").mkdir(exist_ok=True)
+        for f in (tmp_path / f"in/{i}").glob("part-*"):
+            f.rename(tmp_path / "all" / f"{i}-{f.name}")
+        stream = live.stream_sessions(spark.readStream.schema(SESSIONS).parquet(str(tmp_path / "all")), 7, 60_000, "5 seconds")
+
+        def keep(df, _n):
+            got.extend(df.collect())
+
+        q = stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(180)  # each turn is a restart
+    told = [r for r in got if r.session_id != "end"]
+    assert len(told) == len({r.session_id for r in told}) and {tuple(map(str, r)) for r in told} == want
+    assert {r.verdict for r in told} == {"confirmed", "refuted", "inconclusive"} and {tuple(r.failures) for r in told} == {(), ("event_limit",), ("argument_limit",)}
+
+
+def test_the_state_of_a_session_does_not_grow_with_its_events(spark, tmp_path):
+    def rows(first, n):
+        return [("hot", first + i, T0 + dt.timedelta(seconds=first + i), True, [0, 1], None, False) for i in range(n)]
+
+    sizes = []
+    for turn in range(3):
+        _stream(spark, tmp_path / "in", rows(turn * 400, 400), SESSIONS)
+        q = live.stream_sessions(spark.readStream.schema(SESSIONS).parquet(str(tmp_path / "in")), 10_000, 60_000_000).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        sizes.append([p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["numInputRows"]][-1])
+    assert sizes[0] == sizes[1] == sizes[2]
+
+
+def test_late_rows_are_marked_over_a_restart_and_lose_their_sessions(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    schema = "session_id string, ts timestamp"
+    kept = []
+
+    def turn(rows):
+        _stream(spark, tmp_path / "in", rows, schema)
+        stream = live.mark_late(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "60 seconds")
+        q = stream.writeStream.foreachBatch(lambda df, _n: kept.extend(df.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+
+    turn([("a", at(0)), ("b", at(1000)), ("n", None)])
+    turn([("c", at(939)), ("d", at(940)), ("e", at(500))])
+    turn([("f", at(400)), ("g", at(2000)), ("h", at(941))])
+    assert {r.session_id for r in kept if r.late} == {"c", "e", "f"} and len(kept) == 9
+    verdicts = spark.createDataFrame([("a", "intact", "confirmed", 1), ("c", "intact", "refuted", 2), ("e", "incomplete", "inconclusive", 3)], "session_id string, envelope string, verdict string, x int")
+    late = spark.createDataFrame([r for r in kept if r.late])
+    assert sorted(map(tuple, live.mark_losses(verdicts, late).collect())) == [("a", "intact", "confirmed", 1), ("c", "incomplete", "inconclusive", 2), ("e", "incomplete", "inconclusive", 3)]
+
+
+def test_sink_costs_its_batch_and_repeats_it_alike(spark, tmp_path):
+    read = []
+    for turn in range(5):
+        _stream(spark, tmp_path / "in", [(f"{turn}-{i}",) for i in range(30)] + [("again",), ("again",)], "id string")
+        q = live.sink_findings(spark.readStream.schema("id string").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"))
+        q.awaitTermination(180)
+        read += [(p["numInputRows"], p["stateOperators"][0]["numRowsUpdated"]) for p in q.recentProgress if p["numInputRows"]]
+    # a batch reads its own rows and asks for its own ids, whatever was delivered before
+    assert read == [(32, 31)] + [(32, 30)] * 4
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.select("id").distinct().count() == 151
+    # the last batch is not known to be done: it is repeated and gives the same folder again
+    before = {r.id for r in out.where("batch = 4").collect()}
+    for f in (tmp_path / "c/commits").glob("*4*"):
+        f.unlink()
+    live.sink_findings(spark.readStream.schema("id string").parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(180)
+    again = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.id for r in again.where("batch = 4").collect()} == before and again.count() == 151
+    assert len(list((tmp_path / "out/_delivered").iterdir())) == 5
