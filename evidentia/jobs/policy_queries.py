@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import policy as p
@@ -10,7 +11,7 @@ from ..operators import facts as f
 from ..operators import findings, graph, lineage, report
 from ..operators import policy as o
 from ..operators import windows as w
-from .queries import PORTS, _hosts, _query
+from .queries import PORTS, _hosts, _query, digest_sql
 from .views import VIEWS
 
 VIEWS |= {
@@ -248,7 +249,7 @@ def _(submissions, keys, outcomes):  # noqa: ANN001, ANN202
 
 @_query(
     "inventory_id",
-    "WITH l AS (SELECT 'f:' || fact_id AS line FROM v_code UNION ALL SELECT 'o:' || module || '=' || package FROM v_modules), p AS (SELECT left(sha256(line), 2) AS part, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest, count(*) FILTER (starts_with(line, 'f:')) AS facts FROM l GROUP BY 1) SELECT sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part)) AS inventory_id, CAST(sum(facts) AS BIGINT) AS facts FROM p",
+    digest_sql("SELECT 1 AS key, 'f:' || fact_id AS line FROM v_code UNION ALL SELECT 1, 'o:' || module || '=' || package FROM v_modules") + " SELECT digest AS inventory_id, (SELECT count(*) FROM v_code) AS facts FROM roots",
     "v_code",
     "v_modules",
 )
@@ -352,12 +353,44 @@ def _(d):  # noqa: ANN001, ANN202
     return o.distinct_targets(d.where("ip IS NOT NULL").select(F.col("ip").alias("id"), "batch"))
 
 
-@_query("builtin_payloads", "WITH b AS (SELECT * FROM (VALUES ('sqli', 0, ''''), ('sqli', 1, '\"'), ('command_injection', 2, '| printf PROBE'), ('template_injection', 3, '#{7*7}PROBE')) t(class, place, value)) SELECT class, place, count(DISTINCT doc_id) AS documents FROM b JOIN v_messages ON contains(lower(text), lower(value)) GROUP BY 1, 2", "v_messages")
+#: All of the table, written out again as the SQL form of it; chr stands for bytes that no text shows, and no text for those that are not UTF-8.
+PROBES = """(VALUES ('sqli', 0, '1'' AND ''1''=''2'), ('sqli', 1, '0 UNION SELECT NULL,NULL'), ('sqli', 2, '1) OR (SELECT 7)=(7'), ('sqli', 3, 'mk7'' OR ''a''<''b'),
+ ('xss', 0, '<svg id=mk7 onload=void(0)>'), ('xss', 1, '<img alt=mk7 src=x:>'), ('xss', 2, 'javascript:void(''mk7'')'),
+ ('path_traversal', 0, '....//....//mk7.txt'), ('path_traversal', 1, '/..;/mk7.txt'), ('path_traversal', 2, '%252e%252e%252fmk7.txt'),
+ ('ssrf', 0, 'http://mk7.example/'), ('ssrf', 1, 'http://[::1]:9/mk7'), ('ssrf', 2, 'gopher://mk7.example:9/_x'),
+ ('command_injection', 0, 'a' || chr(10) || 'echo mk7'), ('command_injection', 1, '%0Aecho mk7'), ('command_injection', 2, 'a&echo mk7&'),
+ ('template_injection', 0, chr(123) || chr(123) || ' ''mk'' ~ 7 ' || chr(125) || chr(125)), ('template_injection', 1, '*' || chr(123) || '3*3' || chr(125) || 'mk7'), ('template_injection', 2, '@(3*3)mk7'),
+ ('http_parameter_injection', 0, 'a=1&a=mk7'), ('http_parameter_injection', 1, 'a;b=mk7'), ('http_parameter_injection', 2, 'mk7%0d%0aX-Mk7: 1'),
+ ('ldap_injection', 0, '*)(uid=mk7'), ('ldap_injection', 1, 'mk7)(|(cn=*'), ('xml_entity', 0, '<!DOCTYPE m [<!ENTITY e "mk7">]><m>&e;</m>'),
+ ('null_byte', 0, 'mk7%00.png'), ('null_byte', 1, 'mk7' || chr(0) || '.png'), ('malformed_utf8', 0, NULL), ('malformed_utf8', 1, NULL), ('malformed_utf8', 2, NULL),
+ ('format_string', 0, '%08x.%08x.mk7'), ('format_string', 1, chr(123) || '0.__class__' || chr(125) || 'mk7')) b(class, place, value)"""
+
+
+@_query("builtin_payloads", f"SELECT class, place, value, sum(CASE WHEN doc_id % 50 < 40 AND doc_id % 50 = n THEN 1 ELSE 0 END)::BIGINT AS documents FROM (SELECT *, row_number() OVER (ORDER BY class, place) AS n FROM {PROBES}), v_messages WHERE doc_id IS NOT NULL GROUP BY ALL", "v_messages")
+def _(m):  # noqa: ANN001, ANN202
+    # every fiftieth text or so has one of the probes put in, in the order of classes and places
+    known = o.builtin_payloads(m.sparkSession).withColumn("value", F.when(F.expr("is_valid_utf8(value)"), F.decode("value", "UTF-8")))
+    known = known.withColumn("n", F.row_number().over(Window.orderBy("class", "place")))
+    probed = m.where("doc_id IS NOT NULL").withColumn("n", F.col("doc_id") % 50).join(F.broadcast(known), "n", "left").select("doc_id", F.concat(F.lit("x "), F.coalesce("value", F.lit("")), F.lit(" y")).alias("text"))
+    found = report.leak_audit(probed, known.select("n", F.concat_ws("/", "class", "place").alias("literal_id"), F.col("value").alias("literal")))
+    whole = known.join(found, F.col("literal_id") == F.concat_ws("/", "class", "place"), "left")
+    # those that are no text are only counted where they were put
+    put = m.groupBy((F.col("doc_id") % 50).alias("n")).agg(F.count("*").alias("put"))
+    return whole.join(put, "n", "left").select("class", "place", "value", F.coalesce(F.when(F.col("value").isNull(), F.col("put")).otherwise(F.col("documents")), F.lit(0)).alias("documents"))
+
+
+@_query(
+    "distinct_sketches",
+    "SELECT source, count(*) AS rows, true AS doc_id, true AS text FROM v_messages GROUP BY 1",
+    "v_messages",
+)
 def _(m):  # noqa: ANN001, ANN202
-    known = o.builtin_payloads(m.sparkSession).where("is_valid_utf8(value)")
-    named = known.select(F.concat_ws("/", "class", "place").alias("literal_id"), F.decode("value", "UTF-8").alias("literal"))
-    found = report.leak_audit(m, named)
-    return found.select(F.split_part("literal_id", F.lit("/"), F.lit(1)).alias("class"), F.split_part("literal_id", F.lit("/"), F.lit(2)).cast("int").alias("place"), "documents")
+    # sketches of parts, united, against the exact counts: three standard errors
+    dealt = o.distinct_sketches(m.withColumn("part", F.col("doc_id") % 7), ["source", "part"], ["doc_id", "text"])
+    told = o.sketch_estimates(o.merge_sketches(dealt, ["source"], ["doc_id", "text"]), ["doc_id", "text"])
+    exact = m.groupBy("source").agg(F.count_distinct("doc_id").alias("ids"), F.count_distinct("text").alias("texts"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1 + F.col(b) * 0.025
+    return told.join(exact, told["source"].eqNullSafe(exact["source"])).select(told["source"], "rows", near("doc_id", "ids").alias("doc_id"), near("text", "texts").alias("text"))
 
 
 @_query("externalize_results", "WITH j AS (SELECT doc_id, to_json({'id': doc_id, 'text': text}) AS json FROM v_messages WHERE text IS NOT NULL) SELECT doc_id AS id, strlen(json) <= 400 AS inline FROM j", "v_messages")

@@ -36,6 +36,16 @@ def _part(*values: str) -> str:
     return " || ".join(f"coalesce(CAST(length(CAST({v} AS STRING)) AS STRING) || ':' || CAST({v} AS STRING) || ';', '-;')" for v in values)
 
 
+def digest_sql(lines: str) -> str:
+    """The digest trees of (key, line) with leaves of about 1024 lines, as common table expressions ending in `roots` (key, digest, n)."""
+    text = [f"l AS (SELECT key, line || '*' || count(*) AS line, count(*) AS times FROM ({lines}) GROUP BY key, line), g AS (SELECT key, count(*) AS lines, sum(times)::BIGINT AS n FROM l GROUP BY key)"]
+    text.append("d AS (SELECT l.key, l.line, sha256(l.line) AS hash, (g.lines > 1024)::INT + (g.lines > 16384)::INT + (g.lines > 262144)::INT + (g.lines > 4194304)::INT AS depth FROM l JOIN g ON g.key = l.key)")
+    text.append("t4 AS (SELECT key, left(hash, 4) AS node, line FROM d WHERE depth = 4)")
+    for depth in (3, 2, 1, 0):
+        text.append(f"t{depth} AS (SELECT key, left(hash, {depth}) AS node, line FROM d WHERE depth = {depth} UNION ALL SELECT key, left(node, {depth}), node || ':' || sha256(string_agg(line, chr(10) ORDER BY line)) FROM t{depth + 1} GROUP BY key, node)")
+    return "WITH " + ", ".join(text) + ", roots AS (SELECT t0.key, sha256(string_agg(line, chr(10) ORDER BY line)) AS digest, any_value(g.n) AS n FROM t0 JOIN g ON g.key = t0.key GROUP BY t0.key)"
+
+
 def _sid(source: str, *values: str) -> str:
     return f"'{source}:' || sha256('v1|{source}|' || {_part(*values)})"
 
@@ -250,7 +260,7 @@ def _(src):  # noqa: ANN001, ANN202
 
 @_query(
     "component_checksum",
-    "WITH p AS (SELECT component, left(sha256(path), 2) AS part, sha256(string_agg(path || '=' || sha256(content), chr(10) ORDER BY path || '=' || sha256(content))) AS digest, count(*) AS files FROM v_sources GROUP BY 1, 2) SELECT component, sha256(string_agg(part || ':' || digest, chr(10) ORDER BY part)) AS checksum, CAST(sum(files) AS BIGINT) AS files FROM p GROUP BY 1",
+    digest_sql("SELECT component AS key, path || '=' || sha256(content) AS line FROM v_sources") + " SELECT key AS component, digest AS checksum, n AS files FROM roots",
     "v_sources",
 )
 def _(src):  # noqa: ANN001, ANN202
@@ -330,6 +340,17 @@ def _(uses):  # noqa: ANN001, ANN202
     return f.reaching_definitions(uses, uses.withColumnRenamed("use_id", "binding_id"))
 
 
+@_query(
+    "reaching_parameters",
+    "WITH b AS (SELECT * FROM v_uses WHERE at % 5 = 0), r AS (SELECT u.use_id, b.use_id AS binding_id, row_number() OVER (PARTITION BY u.use_id ORDER BY b.at DESC, b.use_id) AS rank, count(*) OVER (PARTITION BY u.use_id) AS n FROM v_uses u JOIN b ON u.file = b.file AND u.variable = b.variable AND b.at <= u.at AND b.use_id <> u.use_id), p AS (SELECT DISTINCT file, variable, file * 10 + use_id % 3 AS parameter_id FROM v_uses)"
+    " SELECT use_id, binding_id, rank, n > 2 AS truncated, n > 1 AS multiple, 'binding' AS source FROM r WHERE rank <= 2 UNION ALL SELECT u.use_id, p.parameter_id, row_number() OVER (PARTITION BY u.use_id ORDER BY p.parameter_id), false, false, 'parameter' FROM v_uses u JOIN p ON p.file = u.file AND p.variable = u.variable WHERE u.use_id NOT IN (SELECT use_id FROM r)",
+    "v_uses",
+)
+def _(uses):  # noqa: ANN001, ANN202
+    parameters = uses.select("file", "variable", (F.col("file") * 10 + F.col("use_id") % 3).alias("parameter_id")).distinct()
+    return f.reaching_definitions(uses, uses.where("at % 5 = 0").withColumnRenamed("use_id", "binding_id"), 2, parameters)
+
+
 @_query("shared_variables", "SELECT a.call_id, count(*) FILTER (a.call_id <> b.call_id) AS n FROM v_variables a JOIN v_variables b ON a.subject = b.subject AND list_has_any(a.variables, b.variables) GROUP BY 1", "v_variables")
 def _(calls):  # noqa: ANN001, ANN202
     return f.shared_variables(calls)

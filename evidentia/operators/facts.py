@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import staged
+from .scan import numbered, scanned
+
+
 def query_facts(facts: DataFrame, prefixes: dict[str, str] | None = None, **equal: object) -> DataFrame:
     """facts that match all exact values and prefixes."""
     out = facts
@@ -30,7 +34,7 @@ def inventory_summary(facts: DataFrame) -> DataFrame:
 
 def occurrence_index(matches: DataFrame, order: list[str]) -> DataFrame:
     """The place, from one, of each match among those of its rule, file and anchor."""
-    return matches.withColumn("occurrence", F.row_number().over(Window.partitionBy("rule_id", "file", "anchor").orderBy(*order)))
+    return numbered(matches, ["rule_id", "file", "anchor"], order, "occurrence")
 
 
 def derive_module_owners(modules: DataFrame) -> DataFrame:
@@ -96,14 +100,15 @@ def control_contexts(points: DataFrame, spans: DataFrame) -> DataFrame:
 def as_of(points: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """points (keys, point_id, at) with the value of the latest change (keys, since, value) at or before them.
 
-    One window over both tables carries the last change on, so no pair is formed. Of changes at
-    one time the largest value counts; a point sees the changes of its own time.
+    One scan over both tables carries the last change on, so no pair is formed and a key with
+    most rows is no one task. Of changes at one time the largest value counts; a point sees the
+    changes of its own time.
     """
     both = points.select(*keys, "at", F.lit(1).alias("kind"), "point_id", F.lit(None).cast(changes.schema["value"].dataType).alias("value")).unionByName(
         changes.select(*keys, F.col("since").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast(points.schema["point_id"].dataType).alias("point_id"), "value")
     )
-    w = Window.partitionBy(*keys).orderBy("at", "kind", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("found", F.last("value", ignorenulls=True).over(w)).where("kind = 1").select(*keys, "point_id", F.col("found").alias("value"))
+    carried = scanned(both, keys, ["at", "kind", "value"], found=("last", F.col("value")))
+    return carried.where("kind = 1").select(*keys, "point_id", F.col("found").alias("value"))
 
 
 def resolve_imports(calls: DataFrame, definitions: DataFrame, imports: DataFrame) -> DataFrame:
@@ -115,37 +120,98 @@ def resolve_imports(calls: DataFrame, definitions: DataFrame, imports: DataFrame
     return joined.select("call_id", "resolution", F.when(F.col("resolution") == "imported", F.col("module")).alias("module"))
 
 
-def reaching_definitions(uses: DataFrame, bindings: DataFrame, k: int = 8) -> DataFrame:
+def reaching_definitions(uses: DataFrame, bindings: DataFrame, k: int = 8, parameters: DataFrame | None = None) -> DataFrame:
     """The nearest k bindings (file, variable, at, binding_id) at or before each use (file, variable, at, use_id), itself left out; truncated where there were more.
 
     Bindings are numbered in their order, a use learns how many stand at or before it from one
-    window over both tables, and takes those numbers by an equi-join: at most k + 1 rows a use,
-    however many bindings a variable has. binding_id is unique.
+    scan over both tables, and takes those numbers by an equi-join: at most k + 1 rows a use,
+    however many bindings a variable has. binding_id is unique. With parameters (file, variable,
+    parameter_id), a use that no binding reaches takes those of its variable, and a column
+    source tells bindings and parameters apart.
     """
     keys = ["file", "variable"]
-    of = Window.partitionBy(*keys)
-    placed = bindings.withColumn("place", F.row_number().over(of.orderBy("at", F.desc("binding_id")))).select(*keys, "place", "binding_id")
+    placed = numbered(bindings.select(*keys, "at", "binding_id"), keys, ["at", F.desc("binding_id")]).select(*keys, "place", "binding_id")
     both = uses.select(*keys, "at", F.lit(1).alias("kind"), "use_id").unionByName(bindings.select(*keys, "at", F.lit(0).alias("kind"), F.lit(None).cast(uses.schema["use_id"].dataType).alias("use_id")))
-    upto = F.count_if(F.col("kind") == 0).over(of.orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    asked = both.withColumn("upto", upto).where("kind = 1 AND upto > 0")
+    counted = scanned(both, keys, ["at", "kind"], upto=("sum", (F.col("kind") == 0).cast("long"))).where("kind = 1")
     own = bindings.select(*keys, F.col("binding_id").alias("use_id"), F.col("at").alias("bound"))
-    asked = asked.join(own, [*keys, "use_id"], "left").withColumn("n", F.col("upto") - F.coalesce((F.col("bound") <= F.col("at")).cast("int"), F.lit(0)))
-    near = asked.withColumn("place", F.explode(F.sequence(F.greatest(F.col("upto") - k, F.lit(1)), F.col("upto")))).join(placed, [*keys, "place"]).where("binding_id <> use_id")
+    asked = counted.join(own, [*keys, "use_id"], "left").withColumn("n", F.col("upto") - F.coalesce((F.col("bound") <= F.col("at")).cast("int"), F.lit(0)))
+    near = asked.where("n > 0").withColumn("place", F.explode(F.sequence(F.greatest(F.col("upto") - k, F.lit(1)), F.col("upto")))).join(placed, [*keys, "place"]).where("binding_id <> use_id")
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("use_id").orderBy(F.desc("place"))))
-    return ranked.where(F.col("rank") <= k).select("use_id", "binding_id", "rank", (F.col("n") > k).alias("truncated"), (F.col("n") > 1).alias("multiple"))
+    found = ranked.where(F.col("rank") <= k).select("use_id", "binding_id", "rank", (F.col("n") > k).alias("truncated"), (F.col("n") > 1).alias("multiple"))
+    if parameters is None:
+        return found
+    given = numbered(parameters.select(*keys, "parameter_id"), keys, ["parameter_id"], "rank")
+    rest = asked.where("n = 0").join(given, keys).select("use_id", F.col("parameter_id").alias("binding_id"), F.col("rank").cast("int"), F.lit(False).alias("truncated"), F.lit(False).alias("multiple"))
+    return found.withColumn("source", F.lit("binding")).union(rest.withColumn("source", F.lit("parameter")))
+
+
+#: Members of a set that it is small with: its subsets are counted.
+SMALL_SET = 5
+
+
+def meetings(calls: DataFrame, column: str) -> DataFrame:
+    """How many other calls (call_id, subject, `column`: an array) of a subject share a member with each; none for those without members.
+
+    Calls with equal sets are one row with a count. For sets of SMALL_SET members at most, the
+    small sets that meet them are counted by inclusion and exclusion: one row for each subset of
+    a set (31 at most), added up, and taken with changing sign by the sets that hold it. So
+    small sets form no pairs. A larger set is paired with the sets that it meets.
+    """
+    sets = calls.select("subject", F.array_sort(F.array_distinct(column)).alias("s")).groupBy("subject", "s").agg(F.count("*").alias("size")).where(F.size("s") > 0)
+    small, large = sets.where(F.size("s") <= SMALL_SET), sets.where(F.size("s") > SMALL_SET)
+    picks = F.sequence(F.lit(1), F.call_function("shiftleft", F.lit(1), F.size("s")) - 1)
+    part = lambda mask: F.filter("s", lambda _, i: F.call_function("getbit", mask, i) == 1)
+    parts = small.select("subject", "s", "size", F.explode(F.transform(picks, part)).alias("part"))
+    holding = parts.groupBy("subject", "part").agg(F.sum("size").alias("held"))
+    sign = F.when(F.size("part") % 2 == 1, F.col("held")).otherwise(-F.col("held"))
+    met = parts.join(holding, ["subject", "part"]).groupBy("subject", "s").agg(F.sum(sign).alias("n"))
+    each = sets.select("subject", "s", "size", F.explode("s").alias("m"))
+    mine = large.select("subject", F.col("s").alias("big"), F.col("size").alias("big_size"), F.explode("s").alias("m"))
+    pairs = each.join(mine, ["subject", "m"]).select("subject", "s", "size", "big", "big_size").distinct()
+    of_large = pairs.groupBy("subject", F.col("big").alias("s")).agg(F.sum("size").alias("n"))
+    to_small = pairs.where(F.size("s") <= SMALL_SET).groupBy("subject", "s").agg(F.sum("big_size").alias("n"))
+    total = met.unionByName(of_large).unionByName(to_small).groupBy("subject", "s").agg((F.sum("n") - 1).alias("n"))
+    return calls.withColumn("s", F.array_sort(F.array_distinct(column))).join(total, ["subject", "s"]).select("call_id", "n")
 
 
 def shared_variables(calls: DataFrame) -> DataFrame:
-    """How many other calls (call_id, subject, variables) of a subject share a variable with each; none for those that share nothing.
+    """How many other calls (call_id, subject, variables) of a subject share a variable with each; none for those without any."""
+    return meetings(calls, "variables")
+
+
+#: Lines of a leaf of a digest tree, about.
+LEAF = 1024
+
+
+def digest_tree(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, digest, n) of rows (keys, line): a digest of each group's lines, whatever their order; equal lines are one with its count.
 
-    Calls with equal variables are one row with a count, and pairs are formed between distinct
-    sets only.
+    A group's lines are dealt by their own digests to as many leaves as keep LEAF of them each,
+    about, and sixteen nodes make one of the next level. So no row gathers more, at any size:
+    a leaf's sorted lines, or sixteen lines `node:digest`, are what is digested.
     """
-    kinds = calls.groupBy("subject", F.array_sort(F.array_distinct("variables")).alias("vs")).agg(F.count("*").alias("size"))
-    each = kinds.select("subject", "vs", "size", F.explode("vs").alias("v"))
-    pairs = each.alias("a").join(each.alias("b"), ["subject", "v"]).select("subject", F.col("a.vs").alias("vs"), F.col("b.vs").alias("other"), F.col("b.size").alias("size")).distinct()
-    others = pairs.groupBy("subject", "vs").agg((F.sum("size") - 1).alias("n"))
-    return calls.withColumn("vs", F.array_sort(F.array_distinct("variables"))).join(others, ["subject", "vs"]).select("call_id", "n")
+    lines = rows.groupBy(*keys, "line").agg(F.count("*").alias("times")).select(*keys, F.concat("line", F.lit("*"), F.col("times").cast("string")).alias("line"), "times")
+    groups = lines.groupBy(*keys).agg(F.count("*").alias("_lines"), F.sum("times").alias("n"))
+    depth = sum((F.col("_lines") > LEAF * 16**d).cast("int") for d in range(12))
+    groups = staged(groups.withColumn("_depth", depth).drop("_lines"), "groups")
+    deepest = groups.agg(F.max("_depth")).first()[0] or 0
+    on = F.lit(True)
+    for key in keys:
+        on = on & F.col(key).eqNullSafe(F.col(f"_g_{key}"))
+    named = groups.select(*(F.col(k).alias(f"_g_{k}") for k in keys), "_depth")
+    dealt = lines.join(named, on) if keys else lines.withColumn("_depth", F.lit(deepest))
+    level = dealt.select(*keys, F.expr("left(sha2(line, 256), _depth)").alias("node"), "line")
+    text = F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256)
+    for d in range(deepest, 0, -1):
+        whole = level.where(F.length("node") == d).groupBy(*keys, "node").agg(text.alias("digest"))
+        above = whole.select(*keys, F.expr(f"left(node, {d - 1})").alias("node"), F.concat("node", F.lit(":"), "digest").alias("line"))
+        level = level.where(F.length("node") < d).unionByName(above)
+    roots = level.groupBy(*keys).agg(text.alias("digest"))
+    same = F.lit(True)
+    for key in keys:
+        same = same & roots[key].eqNullSafe(F.col(f"_g_{key}"))
+    sizes = groups.select(*(F.col(k).alias(f"_g_{k}") for k in keys), "n")
+    return roots.join(sizes, same).select(*keys, "digest", "n") if keys else roots.withColumn("n", F.lit(groups.agg(F.sum("n")).first()[0] or 0).cast("long"))
 
 
 def callback_implementations(facts: DataFrame) -> DataFrame:
@@ -158,11 +224,9 @@ def callback_implementations(facts: DataFrame) -> DataFrame:
 
 
 def component_checksum(sources: DataFrame) -> DataFrame:
-    """(component, checksum, files): a digest of the digests of 256 parts of a component's sorted (path, digest of content), dealt by the path's digest, so that no row gathers a component."""
-    line = F.concat("path", F.lit("="), F.sha2("content", 256))
-    parts = sources.groupBy("component", F.substring(F.sha2("path", 256), 1, 2).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("digest"), F.count("*").alias("files"))
-    whole = F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: F.concat(x["part"], F.lit(":"), x["digest"]))
-    return parts.groupBy("component").agg(F.sha2(F.array_join(whole, "\n"), 256).alias("checksum"), F.sum("files").alias("files"))
+    """(component, checksum, files): the digest tree of a component's (path, digest of content)."""
+    lines = sources.select("component", F.concat("path", F.lit("="), F.sha2("content", 256)).alias("line"))
+    return digest_tree(lines, ["component"]).select("component", F.col("digest").alias("checksum"), F.col("n").alias("files"))
 
 
 def parse_suppressions(comments: DataFrame, marker: str = "evidence-ignore") -> DataFrame:

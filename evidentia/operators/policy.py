@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .facts import digest_tree, meetings
+
 from ..functions.policy import KEYWORD, render_template, wire_value
 from ..functions.scalars import normalize_url, stable_id
 
@@ -136,15 +138,8 @@ def align_enrichment(discoveries: DataFrame, hosts: DataFrame, errors: DataFrame
 
 
 def shared_control(calls: DataFrame) -> DataFrame:
-    """How many other calls (call_id, subject, contexts) of a subject share a control region with each; none for those that share nothing.
-
-    Calls of one set of regions are one row with a count; sets that meet are counted once.
-    """
-    kinds = calls.groupBy("subject", F.array_sort(F.array_distinct("contexts")).alias("cs")).agg(F.count("*").alias("size"))
-    each = kinds.select("subject", "cs", "size", F.explode("cs").alias("c"))
-    pairs = each.alias("a").join(each.alias("b"), ["subject", "c"]).select("subject", F.col("a.cs").alias("cs"), F.col("b.cs").alias("other"), F.col("b.size").alias("size")).distinct()
-    others = pairs.groupBy("subject", "cs").agg((F.sum("size") - 1).alias("n"))
-    return calls.withColumn("cs", F.array_sort(F.array_distinct("contexts"))).join(others, ["subject", "cs"]).select("call_id", "n")
+    """How many other calls (call_id, subject, contexts) of a subject share a control region with each; none for those without any."""
+    return meetings(calls, "contexts")
 
 
 def task_failures(pairs: DataFrame, exits: DataFrame, reason: str) -> DataFrame:
@@ -198,12 +193,10 @@ def score_submissions(submissions: DataFrame, keys: DataFrame, outcomes: DataFra
     return rules.withColumn("accepted", F.col("class_ok") & F.col("locus_ok") & F.col("verdicts_ok") & F.col("replay_ok"))
 
 
-def inventory_id(facts: DataFrame, owners: DataFrame, parts: int = 256) -> DataFrame:
-    """One row (inventory_id, facts): a digest of all fact ids (id) and owners (module, package), whatever their order. Ids are dealt by digest into 256 parts, each part's sorted digest counts, so no row gathers the table."""
-    line = facts.select(F.concat(F.lit("f:"), "id").alias("line")).union(owners.select(F.concat(F.lit("o:"), "module", F.lit("="), "package")))
-    each = line.groupBy(F.substring(F.sha2("line", 256), 1, 2).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"), F.count_if(F.startswith("line", F.lit("f:"))).alias("facts"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "digest"))), lambda x: F.concat(x["part"], F.lit(":"), x["digest"])), "\n")
-    return each.agg(F.sha2(whole, 256).alias("inventory_id"), F.coalesce(F.sum("facts"), F.lit(0)).alias("facts"))
+def inventory_id(facts: DataFrame, owners: DataFrame) -> DataFrame:
+    """One row (inventory_id, facts): the digest tree of all fact ids (id) and owners (module, package), whatever their order. Null ids and owners without a name are left out."""
+    line = facts.select(F.concat(F.lit("f:"), "id").alias("line")).union(owners.select(F.concat(F.lit("o:"), "module", F.lit("="), "package"))).where("line IS NOT NULL")
+    return digest_tree(line, []).select(F.col("digest").alias("inventory_id")).join(facts.agg(F.count("id").alias("facts")))
 
 
 def scan_metrics(sources: DataFrame, facts: DataFrame, matches: DataFrame, diagnostics: DataFrame) -> DataFrame:
@@ -268,6 +261,25 @@ def distinct_values(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.agg(F.count("*").alias("rows"), *(F.count_distinct(c).alias(c) for c in columns))
 
 
+#: Bits of a sketch's registers: the standard error of an estimate is 1.04 / sqrt(2 ** PRECISION), 0.8 percent.
+PRECISION = 14
+
+
+def distinct_sketches(rows: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, rows, a sketch of each column): what can be kept and united later to count distinct values, of 2 ** PRECISION bytes at most, whatever a group holds. Nulls are no values."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("rows"), *(F.hll_sketch_agg(c, PRECISION).alias(c) for c in columns))
+
+
+def merge_sketches(sketches: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """Sketches of the same columns united by keys, such as those of days into one of a month."""
+    return sketches.groupBy(*keys).agg(F.sum("rows").alias("rows"), *(F.hll_union_agg(c).alias(c) for c in columns))
+
+
+def sketch_estimates(sketches: DataFrame, columns: list[str]) -> DataFrame:
+    """Sketches as numbers of distinct values: within 2.4 percent in 997 of 1000 cases (three standard errors)."""
+    return sketches.withColumns({c: F.hll_sketch_estimate(c) for c in columns})
+
+
 def fact_order(facts: DataFrame) -> DataFrame:
     """facts in their total order: file, line, column (none is zero), kind, object, id."""
     return facts.orderBy("file", "line", F.coalesce("col", F.lit(0)), "kind", "object", "id")
@@ -331,18 +343,20 @@ def wire_projection(findings: DataFrame) -> DataFrame:
     return findings.select("id", F.make_valid_utf8("evidence").alias("evidence"), wire_value(F.col("raw"))["size"].alias("raw_size"), wire_value(F.col("raw"))["sha256"].alias("raw_sha256"))
 
 
-#: Inert payloads by class, each with a marker word that is easy to find again.
+#: Inert probes by class, this library's own; mk7 is a word that is easy to find again.
 PAYLOADS = {
-    "sqli": ("'", '"', "' OR '1'='1' -- ", "') OR ('1'='1", "1 AND 1=2", "' PROBE '"),
-    "xss": ("<probe-marker>", '"><probe-marker data-probe="1">', "'><probe-marker>", "</textarea><probe-marker>"),
-    "path_traversal": ("../PROBE", "../../PROBE", "..%2f..%2fPROBE", "%2e%2e/%2e%2e/PROBE", "..\\..\\PROBE"),
-    "ssrf": ("https://probe.invalid/ssrf/PROBE", "//probe.invalid/ssrf/PROBE", "https://probe.invalid:8443/PROBE"),
-    "command_injection": ("; printf PROBE", "&& printf PROBE", "| printf PROBE", "$(printf PROBE)", "`printf PROBE`"),
-    "template_injection": ("{{7*7}}PROBE", "${7*7}PROBE", "<%= 7 * 7 %>PROBE", "#{7*7}PROBE"),
-    "http_parameter_injection": ('PROBE"', "PROBE\\", 'PROBE", scope="admin', "PROBE\r\nx-probe: marker"),
-    "null_byte": ("PROBE\0", "\0PROBE", "PROBE\0.txt"),
-    "malformed_utf8": (b"\xff", b"\xc0\xaf", b"\xed\xa0\x80", b"PROBE\xff"),
-    "format_string": ("%s%s%s%sPROBE", "%x%x%x%xPROBE", "%nPROBE", "~p~p~pPROBE"),
+    "sqli": ("1' AND '1'='2", "0 UNION SELECT NULL,NULL", "1) OR (SELECT 7)=(7", "mk7' OR 'a'<'b"),
+    "xss": ("<svg id=mk7 onload=void(0)>", "<img alt=mk7 src=x:>", "javascript:void('mk7')"),
+    "path_traversal": ("....//....//mk7.txt", "/..;/mk7.txt", "%252e%252e%252fmk7.txt"),
+    "ssrf": ("http://mk7.example/", "http://[::1]:9/mk7", "gopher://mk7.example:9/_x"),
+    "command_injection": ("a\necho mk7", "%0Aecho mk7", "a&echo mk7&"),
+    "template_injection": ("{{ 'mk' ~ 7 }}", "*{3*3}mk7", "@(3*3)mk7"),
+    "http_parameter_injection": ("a=1&a=mk7", "a;b=mk7", "mk7%0d%0aX-Mk7: 1"),
+    "ldap_injection": ("*)(uid=mk7", "mk7)(|(cn=*"),
+    "xml_entity": ('<!DOCTYPE m [<!ENTITY e "mk7">]><m>&e;</m>',),
+    "null_byte": ("mk7%00.png", "mk7\0.png"),
+    "malformed_utf8": (b"mk7\xc3(", b"mk7\xe2\x82", b"\xf0(\x8c\xbcmk7"),
+    "format_string": ("%08x.%08x.mk7", "{0.__class__}mk7"),
 }
 
 

@@ -9,28 +9,60 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a group's samples are counted in, and literals that are looked for in one pass.
-BINS, LITERALS = 4096, 10_000
+from ..staging import staged
+
+#: Literals that are looked for in one pass, where they have no whole word to look them up by.
+LITERALS = 10_000
+#: Quantiles that a sketch names, its accuracy, samples that are counted one by one, and ranks whose borders may be sent to each executor.
+STEPS, ACCURACY, FEW, BROADCAST = 100, 1000, 50_000, 10_000
+
+
+def _inside(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The samples strictly between the borders (low, high) of wanted, a row for each of its names; no border is open."""
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    return rows.join(few, keys).where("(low IS NULL OR sample > low) AND (high IS NULL OR sample < high)")
 
 
 def _of_rank(samples: DataFrame, keys: list[str], ranks: dict[str, Column]) -> DataFrame:
     """keys, n, and for each name the sample of a rank (from zero, an expression of n) in each group's order.
 
-    Samples are counted in BINS equal ranges of their group; the range that holds a rank is
-    named by a window over the ranges, and only its samples are counted one by one. So no
-    task holds a group.
+    A mergeable quantile sketch names two samples around a rank, and exact counts tell on which
+    side of them, on one of them, or between them it stands. That is done again within what
+    is left until FEW samples are, whatever the values and their spread, and these are counted one by
+    one. Borders are left out of what they border, so a value that most samples have is
+    found or gone at once. Null keys are left out.
     """
-    whole = samples.groupBy(*keys).agg(F.min("sample").alias("low"), F.max("sample").alias("high"), F.count("sample").alias("n"))
-    place = F.floor((F.col("sample") - F.col("low")) / (F.col("high") - F.col("low") + 1) * BINS)
-    binned = samples.where("sample IS NOT NULL").join(whole, keys).withColumn("bin", place)
-    w = Window.partitionBy(*keys).orderBy("bin")
-    bins = binned.groupBy(*keys, "bin").agg(F.count("*").alias("size"), F.first("n").alias("n")).withColumn("before", F.sum("size").over(w) - F.col("size"))
+    rows = samples.where("sample IS NOT NULL").select(*keys, "sample")
+    kind = rows.schema["sample"].dataType
+    whole = staged(rows.groupBy(*keys).agg(F.count("*").alias("n")), "sizes")
     wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items())))
-    hit = bins.withColumn("want", wanted).where("want.rank >= before AND want.rank < before + size").select(*keys, "bin", "want.*", "before")
-    fine = binned.select(*keys, "bin", "sample").join(hit, [*keys, "bin"]).groupBy(*keys, "name", "sample").agg(F.count("*").alias("size"), F.first("rank").alias("rank"), F.first("before").alias("before"))
-    upto = F.col("before") + F.sum("size").over(Window.partitionBy(*keys, "name").orderBy("sample"))
-    found = fine.withColumn("upto", upto).where("upto > rank").groupBy(*keys, "name").agg(F.min("sample").alias("sample"))
-    return whole.select(*keys, "n").join(found.groupBy(*keys).pivot("name", list(ranks)).agg(F.first("sample")), keys)
+    none = F.lit(None).cast(kind)
+    state = whole.withColumn("want", wanted).select(*keys, "want.name", F.col("want.rank").alias("left"), none.alias("low"), none.alias("high"), F.col("n").alias("size"), none.alias("value"))
+    columns = state.columns
+    while True:
+        state = staged(state, "ranks")
+        ask = state.where(F.col("value").isNull() & (F.col("size") > FEW))
+        if ask.isEmpty():
+            break
+        grid = F.percentile_approx("sample", [i / STEPS for i in range(STEPS + 1)], ACCURACY)
+        at = F.floor(F.col("left") / F.col("size") * STEPS).cast("int")
+        picked = _inside(rows, ask, keys).groupBy(*keys, "name").agg(grid.alias("grid")).join(ask, [*keys, "name"])
+        picked = staged(picked.withColumns({"a": F.get("grid", F.greatest(at - 1, F.lit(0))), "b": F.get("grid", F.least(at + 2, F.lit(STEPS)))}).drop("grid"), "borders")
+        tests = {"below_a": F.col("sample") < F.col("a"), "upto_a": F.col("sample") <= F.col("a"), "below_b": F.col("sample") < F.col("b"), "upto_b": F.col("sample") <= F.col("b")}
+        counts = _inside(rows, picked, keys).groupBy(*keys, "name").agg(*(F.count_if(x).alias(n) for n, x in tests.items()))
+        told = picked.join(counts, [*keys, "name"])
+        left, field = F.col("left"), F.col
+        under, middle, over = left < field("below_a"), (left >= field("upto_a")) & (left < field("below_b")), left >= field("upto_b")
+        value = F.when((left >= field("below_a")) & (left < field("upto_a")), field("a")).when((left >= field("below_b")) & (left < field("upto_b")), field("b"))
+        told = told.withColumns({"value": value, "new_low": F.when(middle, field("a")).when(over, field("b")).otherwise(field("low")), "new_high": F.when(under, field("a")).when(middle, field("b")).otherwise(field("high")), "new_left": F.when(middle, left - field("upto_a")).when(over, left - field("upto_b")).otherwise(left), "new_size": F.when(under, field("below_a")).when(middle, field("below_b") - field("upto_a")).when(over, field("size") - field("upto_b")).otherwise(field("size"))})
+        told = told.select(*keys, "name", *(F.col(f"new_{c}").alias(c) for c in ("left", "low", "high", "size")), "value").select(columns)
+        state = state.where(F.col("value").isNotNull() | (F.col("size") <= FEW)).union(told)
+    rest = state.where("value IS NULL")
+    fine = _inside(rows, rest, keys).groupBy(*keys, "name", "sample").agg(F.count("*").alias("times"), F.first("left").alias("left"))
+    upto = F.sum("times").over(Window.partitionBy(*keys, "name").orderBy("sample"))
+    found = fine.withColumn("upto", upto).where("upto > left").groupBy(*keys, "name").agg(F.min("sample").alias("value"))
+    every = found.union(state.where("value IS NOT NULL").select(*keys, "name", "value"))
+    return whole.join(every.groupBy(*keys).pivot("name", list(ranks)).agg(F.first("value")), keys)
 
 
 def latency_percentiles(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,25 +99,59 @@ def same_semantics(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("first")).union(b.exceptAll(a).withColumn("side", F.lit("second")))
 
 
-def leak_audit(documents: DataFrame, literals: DataFrame) -> DataFrame:
-    """(literal_id, documents): forbidden literals by how many texts hold them, in any case.
+_WORD, _NOT = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+#: Words of the runs that literals are looked up by.
+RUN = 3
+
 
-    A task reads each text once for LITERALS literals, with an automaton of them, so the work
-    does not grow with their number; more are looked for in further passes. An empty literal
-    stands in every text.
+def _runs(words: Column, size: Column | int) -> Column:
+    """The hashes of the runs of `size` words."""
+    count = F.size(words) - size + 1
+    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(F.slice(words, i, size if isinstance(size, Column) else F.lit(size)), " ")))).otherwise(F.array().cast("array<bigint>"))
+
+
+def leak_audit(documents: DataFrame, literals: DataFrame) -> DataFrame:
+    """(literal_id, documents): forbidden literals by how many texts (doc_id) hold them, in any case.
+
+    A literal with whole words inside is looked up by a run of up to RUN of them: the runs of
+    all literals are joined with those of the texts in one pass, the rarest run of each literal
+    names the texts that may hold it, and these are searched for it. So the work does not grow
+    with the number of literals, but with the texts and the hits of the rarest runs. Literals
+    without a whole word inside (one or two words, signs) are looked for by automata of
+    LITERALS of them, in as many passes. An empty literal stands in every text. Nulls are left out.
     """
     named = literals.where("literal IS NOT NULL").select("literal_id", F.lower("literal").alias("literal"))
-    passes = max(1, -(-named.count() // LITERALS))
     texts = documents.where("text IS NOT NULL").select("doc_id", F.lower("text").alias("text"))
-    kind = dict(literals.dtypes)["literal_id"]
+    # a word between two other signs of the literal is a whole word of every text that holds it
+    words = F.regexp_extract_all("literal", F.lit(f"(?<={_NOT}){_WORD}+(?={_NOT})"), F.lit(0))
+    split = staged(named.withColumn("words", words), "literals")
+    found = _by_runs(texts, split.where(F.size("words") > 0)).union(_by_automata(texts, split.where(F.size("words") == 0).drop("words")))
+    return found.groupBy("literal_id").agg(F.count_distinct("doc_id").alias("documents"))
+
+
+def _by_runs(texts: DataFrame, literals: DataFrame) -> DataFrame:
+    size = F.least(F.size("words"), F.lit(RUN))
+    own = literals.select("literal_id", "literal", F.explode(F.array_distinct(_runs(F.col("words"), size))).alias("run"))
+    words = F.regexp_extract_all("text", F.lit(f"{_WORD}+"), F.lit(0))
+    every = texts.withColumn("words", words).select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*(_runs(F.col("words"), n) for n in range(1, RUN + 1)))))).alias("run"))
+    hits = staged(every.join(own.select("run").distinct(), "run", "left_semi"), "runs")
+    often = hits.groupBy("run").agg(F.count("*").alias("texts"))
+    # a run that no text has rules its literal out
+    rarest = own.join(often, "run", "left").groupBy("literal_id", "literal").agg(F.min_by("run", F.coalesce("texts", F.lit(0))).alias("run"))
+    asked = rarest.join(hits, "run").select("literal_id", "literal", "doc_id").distinct()
+    return asked.join(texts, "doc_id").where(F.contains("text", F.col("literal"))).select("doc_id", "literal_id")
+
+
+def _by_automata(texts: DataFrame, named: DataFrame) -> DataFrame:
+    passes = max(1, -(-named.count() // LITERALS))
     hits = None
     for part in range(passes):
         # LITERALS of them, more or less, by the draw of a hash
         some = named.where(F.pmod(F.xxhash64("literal_id"), F.lit(passes)) == part).collect()
         find = _finder([tuple(r) for r in some])
-        found = texts.mapInPandas(find, f"doc_id {dict(documents.dtypes)['doc_id']}, literal_id {kind}")
+        found = texts.mapInPandas(find, f"doc_id {dict(texts.dtypes)['doc_id']}, literal_id {dict(named.dtypes)['literal_id']}") if some else texts.join(named.select("literal_id")).select("doc_id", "literal_id").where("false")
         hits = found if hits is None else hits.union(found)
-    return hits.groupBy("literal_id").agg(F.count_distinct("doc_id").alias("documents"))
+    return hits
 
 
 def _finder(literals: list[tuple]):  # noqa: ANN202
