@@ -25,6 +25,7 @@ VIEWS |= {
     "v_finding_documents": f"SELECT s_suppkey AS id, {_FINDING_DOCUMENT} AS value FROM {{supplier}}",
     "v_receipt_lines": f"SELECT event_id AS id, {_RECEIPT} AS value FROM {{events}}",
     "v_xml": f"SELECT c_custkey AS id, c_nationkey AS document, c_custkey % 4 AS n_ports, replace(concat('<host><status state=~', CASE c_custkey % 3 WHEN 0 THEN 'up' WHEN 1 THEN 'down' ELSE 'odd' END, '~ reason=~r~/><address addr=~aa:bb~ addrtype=~mac~/><address addr=~10.1.0.', CAST(c_custkey % 250 AS STRING), '~ addrtype=~ipv4~/><hostnames><hostname name=~h', CAST(c_custkey AS STRING), '~/><hostname name=~z~/></hostnames><ports>', repeat('<port portid=~443~ protocol=~tcp~><state state=~open~/><service name=~https~/><script id=~s~/></port>', CAST(c_custkey % 4 AS INTEGER)), '</ports></host>'), '~', chr(34)) AS value FROM {{customer}}",
+    "v_xml_pieces": "SELECT document, replace(concat(CASE WHEN id = least_id THEN '<?xml version=~1.0~?><!-- scan --><nmaprun args=~x~>' ELSE '' END, CASE WHEN id % 9 = 0 THEN '<taskprogress/>' ELSE '' END, '<host starttime=~', CAST(id AS STRING), '~ endtime=~', CASE WHEN id % 6 = 0 THEN 'late' ELSE CAST(id + 9 AS STRING) END, '~><status state=~up~', CASE WHEN id % 401 = 0 THEN '' ELSE '/' END, '><address addr=~10.1.0.', CAST(id % 250 AS STRING), '~ addrtype=~ipv4~/><ports><port portid=~80~ protocol=~tcp~><state state=~open~/><service name=~http~>', CASE WHEN id % 4 = 0 THEN '' ELSE concat('<cpe> cpe:', CAST(id % 13 AS STRING), ' </cpe><cpe/>') END, '</service></port></ports><hostscript><script id=~a~ output=~1 > 0~/></hostscript>'), '~', chr(34)) AS value FROM (SELECT c_custkey AS id, c_nationkey AS document, min(c_custkey) OVER (PARTITION BY c_nationkey) AS least_id FROM {customer}) c UNION ALL SELECT document, CASE document % 5 WHEN 3 THEN '<host><status' WHEN 4 THEN '</nmaprun> more' ELSE '<runstats><hosts/></runstats></nmaprun>' END FROM (SELECT DISTINCT c_nationkey AS document FROM {customer}) n",
     "v_scan_lines": "SELECT c_custkey AS id, concat('10.2.', CAST(c_nationkey AS STRING), '.', CAST(c_custkey % 250 AS STRING), CASE c_custkey % 6 WHEN 0 THEN ' is up' WHEN 1 THEN ' -> [443, 80, 443]' WHEN 2 THEN ' -> []' WHEN 3 THEN ' -> [x]' ELSE concat(' -> [', CAST(c_custkey % 1000 + 1 AS STRING), ']') END) AS value FROM {customer}",
     "v_six": "SELECT event_id, concat('2001:db8:', CASE event_id % 4 WHEN 0 THEN concat(':', CAST(event_id % 10 AS STRING)) WHEN 1 THEN concat('0:0:1:0:0:', CAST(event_id % 10 AS STRING)) WHEN 2 THEN concat('00', CAST(event_id % 10 AS STRING), '::A') ELSE '1:2:3:4:5:6:7' END) AS ip FROM {events}",
 }
@@ -40,13 +41,15 @@ def _(docs):  # noqa: ANN001, ANN202
     return d.read_hosts_json(docs)[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@_query("write_hosts_json", "SELECT document, count(*) AS hosts, CAST(sum(id % 4) AS BIGINT) AS n_ports FROM v_xml GROUP BY 1", "v_xml")
+@_query("write_hosts_json", "SELECT document, count(*) AS hosts, CAST(sum(id % 4) AS BIGINT) AS n_ports, CAST(ceil(count(*) / 7.0) AS BIGINT) AS pieces FROM v_xml GROUP BY 1", "v_xml")
 def _(xml):  # noqa: ANN001, ANN202
-    hosts = d.hosts_from_xml(xml).select("document", "ip", "hostname", "status", "reason", "ports")
-    text = d.write_hosts_json(hosts, ["document"])
+    ports = F.transform("ports", lambda p: F.struct(*(p[c].alias(c) for c in ("port", "protocol", "state", "service"))))
+    hosts = d.hosts_from_xml(xml).select("document", "ip", "hostname", "status", "reason", ports.alias("ports"))
+    text = d.write_hosts_json(hosts, ["document"], 7)
     back, _rejects = d.read_hosts_json(text.select("value"))
     named = back.join(hosts.select("hostname", "document").distinct(), "hostname")
-    return named.groupBy("document").agg(F.count("*").alias("hosts"), F.sum(F.size("ports")).alias("n_ports"))
+    told = named.groupBy("document").agg(F.count("*").alias("hosts"), F.sum(F.size("ports")).alias("n_ports"))
+    return told.join(text.groupBy("document").agg(F.count("*").alias("pieces")), "document")
 
 
 @_query("read_findings_json", "SELECT 'f' || s_suppkey AS id, 'low' AS severity, 'x' AS url FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 9 <> 0", "v_finding_documents")
@@ -59,11 +62,14 @@ def _(docs):  # noqa: ANN001, ANN202
     return d.read_findings_json(docs)[1].groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@_query("write_findings_json", "SELECT count(*) AS n, count(DISTINCT s_suppkey) AS ids FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 9 <> 0", "v_finding_documents")
+@_query("write_findings_json", "SELECT 'f' || s_suppkey AS id, 'low' AS severity, (row_number() OVER (PARTITION BY s_suppkey % 3 ORDER BY 'f' || s_suppkey) - 1) // 5 AS piece FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 9 <> 0", "v_finding_documents")
 def _(docs):  # noqa: ANN001, ANN202
-    found = d.read_findings_json(docs)[0].withColumn("part", F.length("id"))
-    back = d.read_findings_json(d.write_findings_json(found, ["part"]).select("value"))[0]
-    return back.agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+    # each document is read again on its own, with the piece it was written in
+    found = d.read_findings_json(docs)[0].withColumn("batch", F.substring("id", 2, 20).cast("long") % 3)
+    text = d.write_findings_json(found, ["batch"], 5)
+    marked = text.select("piece", F.from_json("value", "schema_version int, findings array<struct<id:string,severity:string>>")["findings"].alias("f"))
+    checked = d.read_findings_json(text.select("value"))[0]
+    return marked.select("piece", F.inline("f")).join(checked.select("id"), "id", "left_semi").select("id", "severity", "piece")
 
 
 @_query("read_corpus", "SELECT 's' || p_partkey AS id, p_brand AS property, p_name AS value FROM part WHERE p_partkey % 10 <> 0 AND p_brand = 'Brand#3' ORDER BY 1", "v_corpus")
@@ -99,6 +105,17 @@ def _(xml):  # noqa: ANN001, ANN202
     return d.xml_document_budgets(d.hosts_from_xml(xml), {"hosts": 62, "ports": 85})[1]
 
 
+@_query("xml_documents", "SELECT c_nationkey AS document, CASE WHEN c_nationkey % 5 = 3 THEN 'truncated' ELSE 'malformed' END AS reason FROM customer GROUP BY 1 HAVING c_nationkey % 5 >= 3 OR bool_or(c_custkey % 401 = 0)", "v_xml_pieces")
+def _(pieces):  # noqa: ANN001, ANN202
+    return d.xml_documents(pieces)[1]
+
+
+@_query("xml_hosts", "SELECT c_nationkey AS document, '10.1.0.' || (c_custkey % 250) AS ip, c_custkey AS started_at, CASE WHEN c_custkey % 6 > 0 THEN c_custkey + 9 END AS ended_at, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'cpe:' || (c_custkey % 13) END AS cpes, '1 > 0' AS output FROM customer WHERE c_nationkey NOT IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING c_nationkey % 5 >= 3 OR bool_or(c_custkey % 401 = 0))", "v_xml_pieces")
+def _(pieces):  # noqa: ANN001, ANN202
+    hosts = d.xml_documents(pieces)[0]
+    return hosts.select("document", "ip", "started_at", "ended_at", F.array_join(F.get("ports", F.lit(0))["cpes"], ",").alias("cpes"), F.get("host_scripts", F.lit(0))["output"].alias("output"))
+
+
 @_query("read_scan_lines", "SELECT split_part(value, ' ', 1) AS ip, CASE id % 6 WHEN 1 THEN '80,443' ELSE CAST(id % 1000 + 1 AS VARCHAR) END AS ports FROM v_scan_lines WHERE id % 6 IN (1, 4, 5)", "v_scan_lines")
 def _(lines):  # noqa: ANN001, ANN202
     return readers.read_scan_lines(lines)[0].select("ip", F.array_join(F.transform("ports", lambda x: x.cast("string")), ",").alias("ports"))

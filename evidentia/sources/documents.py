@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators.findings import CONFIDENCES, SEVERITIES
 from ..operators.policy import include_minus_exclude, inventory_id
+from ..operators.scan import numbered
+from ..staging import staged
 
 VERSION = 1
 STATUSES = ("up", "down", "unknown")
@@ -35,11 +37,21 @@ def read_hosts_json(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.select(F.inline("d.hosts")), rejects
 
 
-def write_hosts_json(hosts: DataFrame, by: list[str]) -> DataFrame:
-    """(by, value): one document of the hosts of each group; hosts of a document are sorted, so equal hosts make equal documents."""
+#: Rows of one document, at most.
+ROWS = 10_000
+
+
+def _cut(rows: DataFrame, by: list[str], order: str, most: int) -> DataFrame:
+    """rows with piece: a group's rows in their order, `most` to a piece. Rows are numbered by a scan, so no task holds a group."""
+    return numbered(rows, by, [order], "_place").withColumn("piece", F.floor((F.col("_place") - 1) / most)).drop("_place")
+
+
+def write_hosts_json(hosts: DataFrame, by: list[str], most: int = ROWS) -> DataFrame:
+    """(by, piece, value): documents of the hosts of each group, `most` in one; hosts are sorted, so equal hosts make equal documents."""
     row = F.struct("ip", "hostname", "status", "reason", "ports")
-    listed = hosts.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("hosts"))
-    return listed.select(*by, F.to_json(F.struct(F.lit(VERSION).alias("schema_version"), "hosts")).alias("value"))
+    cut = _cut(hosts.withColumn("_host", row), by, "_host", most)
+    listed = cut.groupBy(*by, "piece").agg(F.array_sort(F.collect_list("_host")).alias("hosts"))
+    return listed.select(*by, "piece", F.to_json(F.struct(F.lit(VERSION).alias("schema_version"), "hosts")).alias("value"))
 
 
 def read_findings_json(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -55,12 +67,13 @@ def read_findings_json(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.select(F.inline("d.findings")), rejects
 
 
-def write_findings_json(findings: DataFrame, by: list[str]) -> DataFrame:
-    """(by, value): one document of the findings of each group, sorted by id."""
+def write_findings_json(findings: DataFrame, by: list[str], most: int = ROWS) -> DataFrame:
+    """(by, piece, value): documents of the findings of each group, sorted by id, `most` in one."""
     row = F.struct("id", "source", "category", "severity", "confidence", "evidence", "locus")
     # maps have no order: the rows are sorted by their id
-    listed = findings.groupBy(*by).agg(F.array_sort(F.collect_list(row), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("findings"))
-    return listed.select(*by, F.to_json(F.struct(F.lit(VERSION).alias("schema_version"), "findings")).alias("value"))
+    cut = _cut(findings, by, "id", most)
+    listed = cut.groupBy(*by, "piece").agg(F.array_sort(F.collect_list(row), lambda a, b: F.when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)).alias("findings"))
+    return listed.select(*by, "piece", F.to_json(F.struct(F.lit(VERSION).alias("schema_version"), "findings")).alias("value"))
 
 
 def read_corpus(documents: DataFrame, property_id: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -92,42 +105,132 @@ def read_eval_reports(documents: DataFrame) -> DataFrame:
 
 
 #: A scanner's host element. Fixed names.
-XML = "status struct<_state string, _reason string>, address array<struct<_addr string, _addrtype string>>, hostnames struct<hostname array<struct<_name string>>>, ports struct<port array<struct<_portid int, _protocol string, state struct<_state string>, service struct<_name string>, script array<struct<_id string>>>>>, os struct<osmatch array<struct<_name string>>>"
-LIMITS = {"hosts": 65_536, "ports": 1_000_000, "scripts": 1_000_000, "bytes": 268_435_456}
+_SCRIPT = "script array<struct<_id string, _output string>>"
+_PORT = f"struct<_portid string, _protocol string, state struct<_state string>, service struct<_name string, _product string, _version string, cpe array<string>>, {_SCRIPT}>"
+_OS = "array<struct<_name string, _accuracy string, osclass array<struct<cpe array<string>>>>>"
+XML = f"_starttime string, _endtime string, status struct<_state string, _reason string>, address array<struct<_addr string, _addrtype string>>, hostnames struct<hostname array<struct<_name string>>>, ports struct<port array<{_PORT}>>, hostscript struct<{_SCRIPT}>, os struct<osmatch {_OS}>, _bad string"
+#: What one document may hold.
+LIMITS = {"hosts": 1_024, "ports": 65_536, "scripts": 16_384, "bytes": 16_777_216, "elements": 100_000, "script_nodes": 65_536, "text_bytes": 8_388_608, "depth": 64, "scalar_bytes": 65_536}
+_SUMS, _PEAKS = ("ports", "scripts", "bytes", "elements", "script_nodes", "text_bytes"), ("depth", "scalar_bytes")
+#: A tag, whatever its attributes hold, and an attribute's value.
+_TAG = r"""<(?:/|[A-Za-z_])(?:[^>"']|"[^"]*"|'[^']*')*>"""
+_VALUE = r"""=\s*(?:"([^"]*)"|'([^']*)')"""
+
+
+def _or_none(column: Column, kind: str) -> Column:
+    return F.coalesce(column, F.array().cast(kind))
+
+
+def _depth(value: Column) -> Column:
+    """The deepest nesting of a fragment's tags."""
+    step = lambda tag: F.when(F.startswith(tag, F.lit("</")), -1).when(F.endswith(tag, F.lit("/>")), 0).otherwise(1)
+    top = lambda d, tag: F.when(F.startswith(tag, F.lit("</")), d).otherwise(d + 1)
+    start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("m"))
+    return F.aggregate(F.regexp_extract_all(value, F.lit(_TAG), F.lit(0)), start, lambda s, tag: F.struct((s["d"] + step(tag)).alias("d"), F.greatest(s["m"], top(s["d"], tag)).alias("m")), lambda s: s["m"])
 
 
 def hosts_from_xml(elements: DataFrame) -> DataFrame:
-    """(document, ip, hostname, status, reason, ports, scripts, os, bytes) of host elements (document, value): the last address of IP kind, the first host name, statuses other than up and down unknown."""
-    h = F.from_xml("value", XML)
-    x = elements.select("document", F.octet_length("value").cast("long").alias("bytes"), h.alias("h"))
+    """Hosts of host elements (document, value), none of a document with an element that is not well-formed.
+
+    (document, ip, hostname, hostnames, status, reason, started_at, ended_at, ports, scripts, os,
+    os_matches, host_scripts, and what budgets count: bytes, elements, script_nodes, text_bytes,
+    depth, scalar_bytes). ip is the last address of IP kind, hostname the first name, statuses
+    other than up and down are unknown, numbers that are none are null, CPEs are trimmed.
+    """
+    told = _host_rows(elements)
+    broken = told.where("malformed").select("document").distinct()
+    return told.join(broken, told["document"].eqNullSafe(broken["document"]), "left_anti").drop("malformed")
+
+
+def _host_rows(elements: DataFrame) -> DataFrame:
+    values = F.regexp_extract_all("value", F.lit(_VALUE), F.lit(1))
+    sizes = F.transform(values, F.octet_length)
+    x = elements.select(
+        "document", "value", F.from_xml("value", XML, {"columnNameOfCorruptRecord": "_bad"}).alias("h"), F.octet_length("value").cast("long").alias("bytes"),
+        F.regexp_count("value", F.lit("<[A-Za-z_]")).cast("long").alias("elements"), F.regexp_count("value", F.lit(r"<(?:table|elem)[\s>/]")).cast("long").alias("script_nodes"),
+        F.aggregate(sizes, F.lit(0).cast("long"), lambda n, k: n + k).alias("text_bytes"), _depth(F.col("value")).cast("long").alias("depth"), F.coalesce(F.array_max(sizes), F.lit(0)).cast("long").alias("scalar_bytes"),
+    )
     address = F.filter("h.address", lambda a: a["_addrtype"].isin("ipv4", "ipv6"))
-    ports = F.coalesce("h.ports.port", F.array().cast("array<struct<_portid int, _protocol string, state struct<_state string>, service struct<_name string>, script array<struct<_id string>>>>"))
+    script = "array<struct<_id:string,_output:string>>"
+    scripts = lambda c: F.transform(_or_none(c, script), lambda k: F.struct(k["_id"].alias("id"), k["_output"].alias("output")))
+    cpes = lambda c: F.filter(F.transform(_or_none(c, "array<string>"), lambda t: F.trim(t)), lambda t: t != "")
+    ports = _or_none(F.col("h.ports.port"), f"array<{_PORT}>")
+    matches = _or_none(F.col("h.os.osmatch"), _OS)
+    names = F.transform(_or_none(F.col("h.hostnames.hostname"), "array<struct<_name:string>>"), lambda n: n["_name"])
+    port = lambda p: F.struct(
+        p["_portid"].try_cast("int").alias("port"), p["_protocol"].alias("protocol"), p["state"]["_state"].alias("state"), p["service"]["_name"].alias("service"),
+        p["service"]["_product"].alias("product"), p["service"]["_version"].alias("version"), cpes(p["service"]["cpe"]).alias("cpes"), scripts(p["script"]).alias("scripts"),
+    )
     return x.select(
         "document",
         F.try_element_at(address, F.lit(-1))["_addr"].alias("ip"),
-        F.get("h.hostnames.hostname", F.lit(0))["_name"].alias("hostname"),
+        F.get(names, F.lit(0)).alias("hostname"),
+        names.alias("hostnames"),
         F.when(F.col("h.status._state").isin("up", "down"), F.col("h.status._state")).otherwise("unknown").alias("status"),
         F.col("h.status._reason").alias("reason"),
-        F.transform(ports, lambda p: F.struct(p["_portid"].alias("port"), p["_protocol"].alias("protocol"), p["state"]["_state"].alias("state"), p["service"]["_name"].alias("service"))).alias("ports"),
-        F.aggregate(ports, F.lit(0), lambda n, p: n + F.greatest(F.size(p["script"]), F.lit(0))).alias("scripts"),
-        F.transform(F.coalesce("h.os.osmatch", F.array().cast("array<struct<_name string>>")), lambda o: o["_name"]).alias("os"),
-        "bytes",
-    )
+        F.col("h._starttime").try_cast("long").alias("started_at"),
+        F.col("h._endtime").try_cast("long").alias("ended_at"),
+        F.transform(ports, port).alias("ports"),
+        (F.aggregate(ports, F.lit(0), lambda n, p: n + F.greatest(F.size(p["script"]), F.lit(0))) + F.greatest(F.size(F.col("h.hostscript.script")), F.lit(0))).alias("scripts"),
+        F.transform(matches, lambda o: o["_name"]).alias("os"),
+        F.transform(matches, lambda o: F.struct(o["_name"].alias("name"), o["_accuracy"].try_cast("int").alias("accuracy"), F.flatten(F.transform(_or_none(o["osclass"], "array<struct<cpe:array<string>>>"), lambda k: cpes(k["cpe"]))).alias("cpes"))).alias("os_matches"),
+        scripts(F.col("h.hostscript.script")).alias("host_scripts"),
+        "bytes", "elements", "script_nodes", "text_bytes", "depth", "scalar_bytes",
+        (F.col("h").isNull() | F.col("h._bad").isNotNull()).alias("malformed"),
+    )
+
+
+def xml_documents(pieces: DataFrame, root: str = "nmaprun") -> tuple[DataFrame, DataFrame]:
+    """(hosts, (document, reason) of the documents that are rejected) of pieces (document, value): the texts of documents cut at, and without, each `</host>`, in any order.
+
+    A document is taken as a whole or not at all. One of its pieces opens the root element and
+    one, which begins no host, closes it; that is the last, as a document that was cut off has none. Each
+    host, and what stands between hosts, is well-formed. So a document is `truncated` without
+    the end of its root, `malformed` otherwise. `</host>` within a comment or CDATA makes it malformed too.
+    A document that has no host at all is one piece, and gives no row of either table if it is well-formed.
+    """
+    begins, close = rf"(?s)^(.*?)<{root}(?:\s[^>]*)?>", rf"(?s)^(.*?)</{root}\s*>\s*(?:<!--.*?-->\s*)*$"
+    opens = F.col("value").rlike(begins) & ~F.regexp_extract("value", begins, 1).rlike("<host[\\s>]")
+    # what opens the root may stand behind a declaration, instructions and comments only
+    head = F.regexp_extract("value", begins, 1).rlike(r"(?s)^\s*(?:<\?.*?\?>\s*|<!--.*?-->\s*|<!DOCTYPE\s+[A-Za-z_]+(?:\s+[^>\[]*)?>\s*)*$")
+    inner = F.when(opens, F.regexp_replace("value", begins, "")).otherwise(F.col("value"))
+    ends = F.col("inner").rlike(rf"</{root}\s*>")
+    p = pieces.select("document", "value", opens.alias("opens"), (opens & ~head).alias("bad_head"), inner.alias("inner")).withColumn("ends", ends)
+    p = p.withColumn("bad_end", F.col("ends") & ~F.col("inner").rlike(close)).withColumn("inner", F.when(F.col("ends"), F.regexp_extract("inner", close, 1)).otherwise(F.col("inner")))
+    host = F.regexp_extract("inner", r"(?s)(<host[\s>].*)$", 1)
+    p = p.withColumn("host", host).withColumn("between", F.expr("left(inner, length(inner) - length(host))"))
+    # what stands between hosts is checked as an element of its own
+    text = F.from_xml(F.concat(F.lit("<between>"), "between", F.lit("</between>")), "_bad string", {"columnNameOfCorruptRecord": "_bad"})
+    p = p.withColumn("text", text).withColumn("bad_text", (F.trim("between") != "") & (F.col("text").isNull() | F.col("text._bad").isNotNull()))
+    p = p.withColumn("begins", F.col("host") != "")
+    elements = p.where("begins").select("document", F.concat("host", F.lit("</host>")).alias("value"))
+    told = staged(_host_rows(elements), "hosts")
+    forms = p.groupBy("document").agg(F.count_if("opens").alias("opens"), F.count_if("ends").alias("ends"), F.count_if((F.col("ends") == F.col("begins")) | F.col("bad_head") | F.col("bad_end") | F.col("bad_text")).alias("bad"))
+    broken = told.where("malformed").select("document", F.lit(True).alias("broken")).distinct()
+    reason = F.when(F.col("ends") == 0, "truncated").when((F.col("opens") != 1) | (F.col("ends") != 1) | (F.col("bad") > 0) | F.col("broken"), "malformed")
+    failed = staged(forms.join(broken, "document", "left").select("document", reason.alias("reason")).where("reason IS NOT NULL"), "failed")
+    return told.join(failed, "document", "left_anti").drop("malformed"), failed
 
 
 def read_hosts_xml(spark: SparkSession, path: str) -> DataFrame:
-    """Host rows of scanner files, a file being a document. Files are split at host elements, so one file feeds many tasks."""
-    text = spark.read.option("lineSep", "</host>").text(path).select(F.col("_metadata.file_path").alias("document"), F.regexp_extract("value", r"(?s)(<host[ >].*)$", 1).alias("value"))
-    return hosts_from_xml(text.where("value <> ''").select("document", F.concat("value", F.lit("</host>")).alias("value")))
+    """Host rows of scanner files, a file being a document. Files are split at host elements, so one file feeds many tasks; a file that is not well-formed as a whole gives no row."""
+    return xml_documents(xml_pieces(spark, path))[0]
+
+
+def xml_pieces(spark: SparkSession, path: str) -> DataFrame:
+    """(document, value): the files below a path, each cut at the ends of its hosts."""
+    return spark.read.option("lineSep", "</host>").text(path).select(F.col("_metadata.file_path").alias("document"), "value")
 
 
 def xml_document_budgets(hosts: DataFrame, limits: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(hosts of documents within all limits, (document, reason) of the others): one excess fails the whole document."""
+    """(hosts of documents within all limits, (document, reason) of the others): one excess fails the whole document. What stands outside hosts is not counted."""
     limits = LIMITS | (limits or {})
-    sums = hosts.groupBy("document").agg(F.count("*").alias("hosts"), F.sum(F.size("ports")).alias("ports"), F.sum("scripts").alias("scripts"), F.sum("bytes").alias("bytes"))
-    reason = F.coalesce(*(F.when(F.col(c) > limits[c], f"too many {c}") for c in ("hosts", "ports", "scripts", "bytes")))
+    size = lambda c: F.sum(F.size(c) if c == "ports" else F.col(c))
+    sums = hosts.groupBy("document").agg(F.count("*").alias("hosts"), *(size(c).alias(c) for c in _SUMS), *(F.max(c).alias(c) for c in _PEAKS))
+    names = {c: f"too many {c}" for c in ("hosts", *_SUMS)} | {"depth": "too deep", "scalar_bytes": "too long a value"}
+    reason = F.coalesce(*(F.when(F.col(c) > limits[c], text) for c, text in names.items()))
     failed = sums.select("document", reason.alias("reason")).where("reason IS NOT NULL")
-    return hosts.join(failed, "document", "left_anti"), failed
+    return hosts.join(failed, hosts["document"].eqNullSafe(failed["document"]), "left_anti"), failed
 
 
 def discover_sources(spark: SparkSession, root: str, include: list[str], exclude: list[str]) -> DataFrame:
@@ -140,9 +243,9 @@ def discover_sources(spark: SparkSession, root: str, include: list[str], exclude
 
 
 def write_inventory_artifact(facts: DataFrame, owners: DataFrame, path: str, most: int) -> DataFrame:
-    """Writes facts (with id) under the digest of their ids, and gives the manifest (inventory_id, facts, bytes); above `most` bytes of JSON nothing is written."""
+    """Writes facts (with id) under the digest of their ids, and gives the manifest (inventory_id, facts, bytes); above `most` bytes of JSON nothing is written. The digest and the size are computed once."""
     size = facts.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*facts.columns)))), F.lit(0)).alias("bytes"))
-    manifest = inventory_id(facts, owners).join(F.broadcast(size))
+    manifest = staged(inventory_id(facts, owners).join(F.broadcast(size)), "manifest")
     row = manifest.first()
     if row["bytes"] > most:
         raise ValueError(f"an inventory of {row['bytes']} bytes is above {most}")

@@ -148,3 +148,47 @@ def test_files_and_artifacts(spark, tmp_path):
     assert manifest.facts == 2 and spark.read.parquet(str(tmp_path / "out" / manifest.inventory_id / "facts")).count() == 2
     with pytest.raises(ValueError, match="above"):
         documents.write_inventory_artifact(facts_, owners, str(tmp_path / "out2"), 3)
+
+
+HOST = '<host starttime="5" endtime="x"><status state="up"/><address addr="1.2.3.4" addrtype="ipv4"/><ports><port portid="80" protocol="tcp"><state state="open"/><service name="http"><cpe> a:b </cpe><cpe/></service><script id="s" output="a &gt; b > c"/></port></ports><os><osmatch name="L" accuracy="9"><osclass><cpe>o:1</cpe></osclass></osmatch></os><hostscript><script id="h" output=""><table><elem>1</elem></table></script></hostscript></host>'
+SCAN = f'<?xml version="1.0"?>\n<!-- c --><nmaprun args="a"><scaninfo type="x"/>{HOST}\n<taskprogress/><host><status state="down"/></host><runstats><hosts up="1"/></runstats></nmaprun>\n'
+
+
+def test_a_scan_is_taken_whole_or_not_at_all(spark, tmp_path):
+    scans = {
+        "good": (SCAN, None),
+        "none": ("<nmaprun></nmaprun>", None),
+        "cut in a host": (SCAN[: SCAN.index("down")], "truncated"),
+        "cut between": (SCAN[: SCAN.index("<runstats")], "truncated"),
+        "open element": (SCAN.replace('<status state="up"/>', '<status state="up">'), "malformed"),
+        "open between": (SCAN.replace("<taskprogress/>", "<taskprogress>"), "malformed"),
+        "twice": (SCAN + SCAN, "malformed"),
+        "more": (SCAN + "x", "malformed"),
+        "before": ("x" + SCAN, "malformed"),
+        "no ends": (SCAN.replace("</host>", ""), "malformed"),
+        "no root": (SCAN.replace('<nmaprun args="a">', ""), "malformed"),
+        "attribute": (SCAN.replace('addrtype="ipv4"', "addrtype=ipv4"), "malformed"),
+    }
+    for name, (text, _) in scans.items():
+        (tmp_path / f"{name}.xml").write_text(text)
+    hosts, failed = documents.xml_documents(documents.xml_pieces(spark, str(tmp_path)))
+    stem = lambda r: r.document.rsplit("/", 1)[-1].replace("%20", " ")[:-4]
+    assert {stem(r): r.reason for r in failed.collect()} == {k: why for k, (_, why) in scans.items() if why}
+    rows = hosts.orderBy("status").collect()
+    assert [(stem(r), r.status) for r in rows] == [("good", "down"), ("good", "up")]
+    r = rows[1]
+    assert (r.ip, r.started_at, r.ended_at, r.scripts, r.script_nodes, r.depth) == ("1.2.3.4", 5, None, 2, 2, 5)
+    assert (r.ports[0].cpes, r.ports[0].scripts[0].output, r.os_matches[0].cpes, r.host_scripts[0].id) == (["a:b"], "a > b > c", ["o:1"], "h")
+    for limit, why in (({"elements": 17}, "too many elements"), ({"depth": 4}, "too deep"), ({"scalar_bytes": 11}, "too long a value"), ({"script_nodes": 1}, "too many script_nodes"), ({"text_bytes": 40}, "too many text_bytes")):
+        kept, over = documents.xml_document_budgets(hosts, limit)
+        assert kept.count() == 0 and [x.reason for x in over.collect()] == [why]
+    kept, over = documents.xml_document_budgets(hosts)
+    assert kept.count() == 2 and over.count() == 0
+
+
+def test_documents_hold_a_bounded_number_of_rows(spark):
+    rows = [(i % 2, f"10.0.0.{i}", None, "up", "r", []) for i in range(25)]
+    hosts = spark.createDataFrame(rows, "g int, ip string, hostname string, status string, reason string, ports array<struct<port int, protocol string, state string, service string>>")
+    text = documents.write_hosts_json(hosts, ["g"], 4)
+    assert sorted((r.g, r.piece) for r in text.collect()) == [(0, i) for i in range(4)] + [(1, i) for i in range(3)]
+    assert documents.read_hosts_json(text.select("value"))[0].count() == 25
