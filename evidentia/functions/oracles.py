@@ -33,15 +33,18 @@ def _first(body: Column, patterns: tuple[str, ...]) -> Column:
     return out
 
 
-def no_500(status: Column, low: int = 500, high: int = 599) -> Column:
-    return F.when(status.isNull(), SKIP).when(status.between(low, high), VIOLATION).otherwise(PASS)
+def no_500(status: Column, low: int = 500, high: int = 599, missing: str = SKIP) -> Column:
+    """A status within the bounds; a missing one is skipped, or what `missing` says."""
+    return F.when(status.isNull(), missing).when(status.between(low, high), VIOLATION).otherwise(PASS)
 
 
-def no_reflection(body: Column, content_type: Column, payload: Column) -> Column:
-    """A payload that stands verbatim in a page; other content passes, unknown content and empty payloads are skipped."""
+def no_reflection(body: Column, content_type: Column, payload: Column, any_case: bool = False, unknown: str = SKIP) -> Column:
+    """A payload that stands verbatim, or in any case, in a page; other content passes, empty payloads are skipped. Content of no type is skipped, or looked at with unknown="check"."""
     kind = F.lower(F.split_part(content_type, F.lit(";"), F.lit(1)))
     page = F.trim(kind).isin("text/html", "application/xhtml+xml")
-    return F.when(content_type.isNull() | body.isNull() | (F.coalesce(payload, F.lit("")) == ""), SKIP).when(page & F.contains(body, payload), VIOLATION).otherwise(PASS)
+    held = F.contains(F.lower(body), F.lower(payload)) if any_case else F.contains(body, payload)
+    untyped = content_type.isNull() if unknown == SKIP else F.lit(False)
+    return F.when(untyped | body.isNull() | (F.coalesce(payload, F.lit("")) == ""), SKIP).when(F.coalesce(page, F.lit(True)) & held, VIOLATION).otherwise(PASS)
 
 
 def injection_signal(body: Column) -> Column:
@@ -58,10 +61,12 @@ def canonical_encoding(given: Column, accepted: Column, encoded: Column) -> Colu
 
 
 def bounded_length(value: Column, most: int, unit: str) -> Column:
-    """A value of more than `most` bytes or codepoints; values over a MiB are skipped for code points."""
-    size = F.octet_length(value) if unit == "bytes" else F.length(value)
-    skip = value.isNull() if unit == "bytes" else value.isNull() | (F.octet_length(value) > 1 << 20)
-    return F.when(skip, SKIP).when(size > most, VIOLATION).otherwise(PASS)
+    """A value (text or bytes) of more than `most` bytes, codepoints or graphemes. Of the latter two, values over a MiB and those that are not UTF-8 are skipped."""
+    if unit == "bytes":
+        return F.when(value.isNull(), SKIP).when(F.octet_length(value) > most, VIOLATION).otherwise(PASS)
+    text = F.when(F.is_valid_utf8(value.cast("string")) & (F.octet_length(value) <= 1 << 20), value.cast("string"))
+    sizes = {"codepoints": F.length(text), "graphemes": F.regexp_count(text, F.lit(r"\X"))}
+    return F.when(text.isNull(), SKIP).when(sizes[unit] > most, VIOLATION).otherwise(PASS)
 
 
 def state_growth(before: Column, after: Column, settled: Column, most: Column, tolerance: Column) -> Column:
@@ -70,9 +75,10 @@ def state_growth(before: Column, after: Column, settled: Column, most: Column, t
 
 
 def terminal_safety(output: Column) -> Column:
-    """Control sequences other than colours, tabs and line breaks."""
-    bare = F.regexp_replace(output, r"\x1b\[[0-9;]*m", "")
-    return F.when(output.isNull(), SKIP).when(bare.rlike(r"[\x00-\x08\x0b-\x1f\x7f\u0080-\u009f]"), VIOLATION).otherwise(PASS)
+    """Control sequences other than colours, tabs and line breaks; output that is not UTF-8 is a violation too."""
+    text = output.cast("string")
+    bare = F.regexp_replace(text, r"\x1b\[[0-9;]*m", "")
+    return F.when(output.isNull(), SKIP).when(~F.is_valid_utf8(text), VIOLATION).when(bare.rlike(r"[\x00-\x08\x0b-\x1f\x7f\u0080-\u009f]"), VIOLATION).otherwise(PASS)
 
 
 def replay_verdict(violations: Column, skips: Column) -> Column:

@@ -181,10 +181,10 @@ def _(d, h, e):  # noqa: ANN001, ANN202
     return o.align_enrichment(d.select("ip", "batch"), h, e)
 
 
-@_query("host_batches", "SELECT ip, protocol, ports[1] AS port, 0 AS part, (row_number() OVER (PARTITION BY protocol, ports ORDER BY ip) - 1) // 16 AS batch FROM (SELECT DISTINCT ip, protocol, ports FROM v_discovered WHERE ip IS NOT NULL)", "v_discovered")
+@_query("host_batches", "SELECT ip, protocol, ports[1] AS port, (row_number() OVER (PARTITION BY protocol, ports ORDER BY ip) - 1) // 16 AS batch FROM (SELECT DISTINCT ip, protocol, ports FROM v_discovered WHERE ip IS NOT NULL)", "v_discovered")
 def batches(d):  # noqa: ANN001, ANN202
     some = d.where("ip IS NOT NULL").select("ip", "protocol", "ports").distinct()
-    return w.host_batches(some, 16).select("ip", "protocol", F.get("ports", F.lit(0)).alias("port"), "part", "batch")
+    return w.host_batches(some, 16).select("ip", "protocol", F.get("ports", F.lit(0)).alias("port"), "batch")
 
 
 @_query("plan_batch_stats", "SELECT protocol, port, batch, count(*) AS hosts, sum(n) AS n_ports FROM (SELECT protocol, ports[1] AS port, len(ports) AS n, (row_number() OVER (PARTITION BY protocol, ports ORDER BY ip) - 1) // 16 AS batch FROM (SELECT DISTINCT ip, protocol, ports FROM v_discovered WHERE ip IS NOT NULL)) GROUP BY 1, 2, 3", "v_discovered")

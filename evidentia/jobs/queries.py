@@ -88,7 +88,7 @@ def bus(http, jobs, points, hosts, ports):  # noqa: ANN001, ANN202
     return g.finding_bus(g.findings_from_matches(_inputs(http), jobs, points), g.findings_from_hosts(_hosts(hosts, ports)))
 
 
-@_query("finding_rollup", f"{BUS} SELECT source, category, severity, count(*) AS n, grouping(source, category, severity) AS level FROM bus GROUP BY CUBE (source, category, severity)", "v_http", "v_jobs", "v_points", "v_hosts", "v_ports")
+@_query("finding_rollup", f"{BUS} SELECT source, category, severity, confidence, count(*) AS n, grouping(source, category, severity, confidence) AS level FROM bus GROUP BY CUBE (source, category, severity, confidence)", "v_http", "v_jobs", "v_points", "v_hosts", "v_ports")
 def _(*tables):  # noqa: ANN002, ANN202
     return g.finding_rollup(bus(*tables))
 
@@ -386,7 +386,12 @@ def _(sends, receives):  # noqa: ANN001, ANN202
     return c.pair_summary(c.pair_messages(sends, sends, receives))
 
 
-@_query("pair_calls", "SELECT coalesce(s.id, r.id) AS id, coalesce(s.n, 0) AS sends, coalesce(r.n, 0) AS receives, CASE WHEN s.n = 1 AND r.n = 1 THEN 'joined' WHEN r.n IS NULL THEN 'send_only' WHEN s.n IS NULL THEN 'receive_only' ELSE 'ambiguous' END AS state FROM (SELECT id, count(*) AS n FROM v_sends GROUP BY 1) s FULL JOIN (SELECT id, count(*) AS n FROM v_receives GROUP BY 1) r ON s.id = r.id", "v_sends", "v_receives")
+@_query(
+    "pair_calls",
+    f"WITH {TIMED} SELECT coalesce(s.id, r.id) AS id, coalesce(s.n, 0) AS sends, coalesce(r.n, 0) AS receives, CASE WHEN p.joined THEN 'joined' WHEN s.n = 1 AND r.n = 1 THEN 'mismatch' WHEN r.n IS NULL THEN 'send_only' WHEN s.n IS NULL THEN 'receive_only' ELSE 'ambiguous' END AS state FROM s FULL JOIN r ON s.id = r.id LEFT JOIN pairs p ON p.id = s.id",
+    "v_sends",
+    "v_receives",
+)
 def _(sends, receives):  # noqa: ANN001, ANN202
     return c.pair_calls(sends, receives)
 
@@ -632,7 +637,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import policy_queries, slice_queries, source_queries, stream_queries  # noqa: F401, PLC0415 they register theirs
+    from . import policy_queries, rule_queries, slice_queries, source_queries, stream_queries  # noqa: F401, PLC0415 they register theirs
 
     return {name: fn for name, (fn, _) in _FOUND.items()}
 

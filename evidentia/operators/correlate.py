@@ -32,10 +32,17 @@ def pair_summary(pairs: DataFrame) -> DataFrame:
 
 
 def pair_calls(sends: DataFrame, receives: DataFrame) -> DataFrame:
-    """Both sides by id without a list of what is expected: state joined, send_only, receive_only or ambiguous."""
-    s, r = sends.groupBy("id").agg(F.count("*").alias("sends")), receives.groupBy("id").agg(F.count("*").alias("receives"))
-    state = F.when((F.col("sends") == 1) & (F.col("receives") == 1), "joined").when(F.col("receives") == 0, "send_only").when(F.col("sends") == 0, "receive_only").otherwise("ambiguous")
-    return s.join(r, "id", "full_outer").na.fill(0).withColumn("state", state)
+    """Both sides by id without a list of what is expected: state joined, send_only, receive_only, mismatch or ambiguous.
+
+    Once on each side joins only with one marker, received by the recipient, not before it was
+    sent; else it is a mismatch. Equal ids alone never join.
+    """
+    s, r = _once(sends, "id", ["marker", "recipient", "at"], "s_"), _once(receives, "id", ["marker", "receiver", "at"], "r_")
+    both = s.join(r, "id", "full_outer").na.fill(0, ["s_n", "r_n"])
+    fits = F.coalesce(F.col("s_marker").eqNullSafe(F.col("r_marker")) & (F.col("s_recipient") == F.col("r_receiver")) & (F.col("s_at") <= F.col("r_at")), F.lit(False))
+    once = (F.col("s_n") == 1) & (F.col("r_n") == 1)
+    state = F.when(once & fits, "joined").when(once, "mismatch").when(F.col("r_n") == 0, "send_only").when(F.col("s_n") == 0, "receive_only").otherwise("ambiguous")
+    return both.select("id", F.col("s_n").alias("sends"), F.col("r_n").alias("receives"), state.alias("state"))
 
 
 def value_only_candidates(sends: DataFrame, receives: DataFrame) -> DataFrame:
@@ -49,16 +56,21 @@ def supportable_edges(sends: DataFrame, receives: DataFrame) -> DataFrame:
     return sends.select("id").intersect(receives.select("id"))
 
 
-def task_lineage(events: DataFrame, stages: list[str]) -> DataFrame:
-    """Per reference: joined if each stage occurs once and in order; one shuffle of all stages instead of a join for each."""
+def task_lineage(events: DataFrame, stages: list[str], same: tuple[str, ...] = ()) -> DataFrame:
+    """Per reference: joined if each stage occurs once, in order, and all of them name the same value in each column of `same` (owner, child); one shuffle of all stages instead of a join for each."""
+    known = events.where(F.col("stage").isin(*stages))
     counts = [F.count_if(F.col("stage") == s).alias(f"n_{s}") for s in stages]
     times = [F.min(F.when(F.col("stage") == s, F.col("at"))).alias(f"t_{s}") for s in stages]
+    ends = [f(c).alias(f"{n}_{c}") for c in same for n, f in (("least", F.min), ("most", F.max), ("count", F.count))]
     ok = F.lit(True)
     for s in stages:
         ok = ok & (F.col(f"n_{s}") == 1)
     for a, b in zip(stages, stages[1:], strict=False):
         ok = ok & (F.col(f"t_{a}") <= F.col(f"t_{b}"))
-    return events.groupBy("reference").agg(*counts, *times).select("reference", *(f"n_{s}" for s in stages), F.coalesce(ok, F.lit(False)).alias("joined"))
+    for c in same:
+        ok = ok & (F.col(f"least_{c}") == F.col(f"most_{c}")) & (F.col(f"count_{c}") == len(stages))
+    found = events.select("reference").distinct().join(known.groupBy("reference").agg(*counts, *times, *ends), "reference", "left").na.fill(0, [f"n_{s}" for s in stages])
+    return found.select("reference", *(f"n_{s}" for s in stages), F.coalesce(ok, F.lit(False)).alias("joined"))
 
 
 def version_intervals(writes: DataFrame) -> DataFrame:
@@ -68,12 +80,31 @@ def version_intervals(writes: DataFrame) -> DataFrame:
 
 
 def store_versions(writes: DataFrame, reads: DataFrame) -> DataFrame:
-    """reads (read_id, key, version): joined with the write of their version; without one, joined only if the key was written once, else ambiguous or missing."""
-    totals = writes.where("kind = 'write'").groupBy("key").agg(F.count("*").alias("n"))
-    exact = writes.where("kind = 'write'").select("key", "version").distinct().withColumn("hit", F.lit(True))
-    out = reads.join(totals, "key", "left").join(exact, ["key", "version"], "left")
-    state = F.when(F.col("hit"), "joined").when(F.col("n").isNull() | F.col("version").isNotNull(), "missing").when(F.col("n") == 1, "joined").otherwise("ambiguous")
-    return out.select("read_id", state.alias("state"))
+    """reads (read_id, key, version): joined with the write of their version; without one, joined only if the key was written once, else ambiguous or missing.
+
+    With the time of a read (at), only what was written at or before it counts, and a
+    delete of the key in between ends a write: what it would have joined is deleted.
+    """
+    if "at" not in reads.columns:
+        totals = writes.where("kind = 'write'").groupBy("key").agg(F.count("*").alias("n"))
+        exact = writes.where("kind = 'write'").select("key", "version").distinct().withColumn("hit", F.lit(True))
+        out = reads.join(totals, "key", "left").join(exact, ["key", "version"], "left")
+        state = F.when(F.col("hit"), "joined").when(F.col("n").isNull() | F.col("version").isNotNull(), "missing").when(F.col("n") == 1, "joined").otherwise("ambiguous")
+        return out.select("read_id", state.alias("state"))
+    gone = F.when(F.col("kind") == "delete", F.col("at"))
+    ended = scanned(writes.select("key", "version", "at", "kind"), ["key"], [F.desc("at"), F.desc("kind"), F.desc("version")], ended=("last", gone)).where("kind = 'write'")
+    exact = ended.groupBy("key", "version").agg(F.min("at").alias("written"), F.max("ended").alias("ended"), F.max(F.col("ended").isNull()).alias("lasts"))
+    # along a key's events: the writes so far, and the last delete before the read
+    both = writes.select("key", "at", F.lit(0).alias("turn"), F.when(F.col("kind") == "write", 1).otherwise(0).cast("long").alias("wrote"), gone.alias("gone")).unionByName(reads.select("key", "at", F.lit(1).alias("turn"), "read_id", F.col("version").alias("asked")), allowMissingColumns=True)
+    written = F.when(F.col("wrote") == 1, F.col("at"))
+    told = scanned(both, ["key"], ["at", "turn", F.desc("wrote")], n=("sum", F.col("wrote")), last_gone=("last", F.col("gone")), last_written=("last", written)).where("turn = 1")
+    out = told.join(exact.withColumnRenamed("version", "asked"), ["key", "asked"], "left")
+    held = F.col("written").isNotNull() & (F.col("written") <= F.col("at"))
+    alive = F.col("lasts") | (F.col("ended") > F.col("at"))
+    named = F.when(~F.coalesce(held, F.lit(False)), "missing").when(alive, "joined").otherwise("deleted")
+    n = F.coalesce("n", F.lit(0))
+    free = F.when(n == 0, "missing").when(F.coalesce(F.col("last_gone") >= F.col("last_written"), F.lit(False)), "deleted").when(n == 1, "joined").otherwise("ambiguous")
+    return out.select("read_id", F.when(F.col("asked").isNotNull(), named).otherwise(free).alias("state"))
 
 
 def session_event_limit(events: DataFrame, most: int) -> DataFrame:

@@ -49,11 +49,17 @@ def dotted_prefixes(name: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "."))
 
 
+def longest_prefix(matches: DataFrame, key: list[str], prefix: str = "module") -> DataFrame:
+    """One of the matches of each key: that with the prefix of most bytes, the least of equal ones by all columns."""
+    rest = [c for c in matches.columns if c not in key]
+    best = F.min(F.struct((-F.octet_length(prefix)).alias("_n"), *rest)).alias("best")
+    return matches.where(F.col(prefix).isNotNull()).groupBy(*key).agg(best).select(*key, *(f"best.{c}" for c in rest))
+
+
 def package_uses(calls: DataFrame, owners: DataFrame) -> DataFrame:
     """calls (call_id, target) with the package of the longest owned prefix of their target; others are left out. Targets' prefixes join the owners, so no pair is compared."""
     prefixes = calls.select("call_id", "target", F.explode(dotted_prefixes(F.col("target"))).alias("module"))
-    found = prefixes.join(owners, "module").groupBy("call_id", "target").agg(F.max_by(F.struct("module", "package"), F.length("module")).alias("o"))
-    return found.select("call_id", "target", F.col("o.module").alias("module"), F.col("o.package").alias("package"))
+    return longest_prefix(prefixes.join(owners.select("module", "package"), "module"), ["call_id", "target"]).select("call_id", "target", "module", "package")
 
 
 def _cover(spans: DataFrame) -> DataFrame:

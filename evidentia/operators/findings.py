@@ -85,6 +85,19 @@ def seed_provenance(matches: DataFrame, seeds: DataFrame) -> DataFrame:
     return matches.join(first_wins(seeds, ["keyword", "value"], ["seed_id"]), ["keyword", "value"], "left")
 
 
+def match_seeds(matches: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(match_id, keyword, value, seed_id): the one seed of each match (match_id, input: a map of keywords and values).
+
+    Seeds (keyword, place: the keyword's in the wordlists, seq, value, seed_id): the first of a
+    keyword and value counts, and of a match's keywords the first in the order of the
+    wordlists that has one. Null where none has.
+    """
+    first = first_wins(seeds, ["keyword", "value"], ["place", "seq", "seed_id"])
+    asked = matches.select("match_id", F.explode_outer("input").alias("keyword", "value"))
+    found = asked.join(first, ["keyword", "value"]).groupBy("match_id").agg(F.min(F.struct("place", "keyword", "value", "seed_id")).alias("s"))
+    return matches.select("match_id").join(found, "match_id", "left").select("match_id", "s.keyword", "s.value", "s.seed_id")
+
+
 def finding_bus(*tables: DataFrame) -> DataFrame:
     """All tools' findings, one row per id: the row that is least in its columns stays."""
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
@@ -92,13 +105,24 @@ def finding_bus(*tables: DataFrame) -> DataFrame:
 
 
 def finding_rollup(findings: DataFrame) -> DataFrame:
-    """Counts by source, category and severity with all subtotals; level tells which."""
-    return findings.cube("source", "category", "severity").agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("level"))
-
-
-def verdict_rollup(validations: DataFrame) -> DataFrame:
-    """Counts of each verdict by tool and action."""
-    return validations.groupBy("tool", "action").pivot("verdict", ["confirmed", "refuted", "inconclusive"]).agg(F.count(F.lit(1))).na.fill(0)
+    """Counts by source, category, severity and confidence with all subtotals; level tells which."""
+    return findings.cube("source", "category", "severity", "confidence").agg(F.count("*").alias("n"), F.grouping_id().cast("long").alias("level"))
+
+
+def verdict_rollup(validations: DataFrame, findings: DataFrame | None = None, actions: DataFrame | None = None) -> DataFrame:
+    """Counts of each verdict by tool and action; with findings (validation_id) of validations (id) the number of theirs, with actions (tool, action, effect) the class of side effects, null where it is not declared once."""
+    rows = validations
+    if findings is not None:
+        mine = findings.groupBy(F.col("validation_id").alias("id")).agg(F.count("*").alias("_mine"))
+        rows = rows.join(mine, "id", "left")
+    more = [F.coalesce(F.sum("_mine"), F.lit(0)).alias("findings")] if findings is not None else []
+    verdicts = [F.count_if(F.col("verdict") == v).alias(v) for v in ("confirmed", "refuted", "inconclusive")]
+    out = rows.groupBy("tool", "action").agg(*verdicts, *more)
+    if actions is None:
+        return out
+    effects = actions.groupBy("tool", "action").agg(F.min("effect").alias("least"), F.max("effect").alias("most"), F.count("effect").alias("n"), F.count("*").alias("rows"))
+    one = F.when((F.col("least") == F.col("most")) & (F.col("n") == F.col("rows")), F.col("least"))
+    return out.join(effects.select("tool", "action", one.alias("effect")), ["tool", "action"], "left")
 
 
 def active_and_suppressed(observations: DataFrame, suppressions: DataFrame) -> DataFrame:
@@ -152,3 +176,18 @@ def expand_inputs(lists: DataFrame, mode: str) -> DataFrame:
     if mode == "pitchfork":
         return a.join(b, "place").select("value1", "value2")
     return a.drop("place").join(b.drop("place"), F.lit(True)).select("value1", "value2")
+
+
+def expand_wordlists(lists: DataFrame, mode: str, names: list[str]) -> DataFrame:
+    """Inputs, a column for each name, of any number of wordlists (list: its name, place, value).
+
+    clusterbomb takes every combination, their number being the product of the lists' sizes, as is
+    asked for. pitchfork takes equal places, as far as the shortest list goes. sniper puts each
+    value in one place at a time and leaves the others null.
+    """
+    each = [lists.where(F.col("list") == n).select("place", F.col("value").alias(n)) for n in names]
+    if mode == "sniper":
+        return reduce(DataFrame.unionByName, (e.drop("place").select(*(F.col(n) if n == own else F.lit(None).cast("string").alias(n) for n in names)) for own, e in zip(names, each, strict=True)))
+    if mode == "pitchfork":
+        return reduce(lambda a, b: a.join(b, "place"), each).select(*names)
+    return reduce(lambda a, b: a.join(b, F.lit(True)), (e.drop("place") for e in each)).select(*names)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import numbered, scanned
+
 
 def novelty_archive(samples: DataFrame, most: int = 32) -> DataFrame:
     """The first `most` samples (seq, items) that show an item no earlier sample had, in order.
@@ -37,6 +39,26 @@ def incremental_samples(chunks: DataFrame) -> DataFrame:
     return sized.where("stops = 0").drop("stops")
 
 
+def incremental_observations(chunks: DataFrame) -> DataFrame:
+    """(stream, place, status, received, retained, done) of chunks (stream, place, bytes, retained, work, status); place 0 is the state before the first.
+
+    received are the bytes so far, done the work since place 0 (null where either is). Delivery
+    ends with the first status that is not incomplete. Work below the last that was known is an
+    error: that row has the status work_decreased, and none follows it. One scan in two steps, so
+    a stream with most rows is no one task.
+    """
+    known = chunks.where(F.col("stream").isNotNull())
+    first = known.where("place = 0").groupBy("stream").agg(F.max("work").alias("baseline"))
+    ran = scanned(known, ["stream"], ["place"], received=("sum", F.when(F.col("place") > 0, F.coalesce("bytes", F.lit(0))).otherwise(0)), known_work=("last", F.col("work")))
+    # the row before in its stream is the next one of the falling order
+    ran = scanned(ran, ["stream"], [F.desc("place")], before=("next", F.col("known_work")))
+    fell = F.coalesce(F.col("work") < F.col("before"), F.lit(False))
+    told = ran.withColumn("status", F.when(fell, "work_decreased").otherwise(F.col("status")))
+    stop = told.where(F.coalesce(F.col("status") != "incomplete", F.lit(True))).groupBy("stream").agg(F.min("place").alias("stop"))
+    out = told.join(stop, "stream", "left").where("stop IS NULL OR place <= stop").join(first, "stream", "left")
+    return out.select("stream", "place", "status", "received", "retained", (F.col("work") - F.col("baseline")).alias("done"))
+
+
 def budget_prefix(rows: DataFrame, key: str, order: list[str], size: str, most_rows: int, most_size: int) -> DataFrame:
     """Each key's longest ordered prefix within both budgets, and the reason that stopped it (null if nothing did)."""
     w = Window.partitionBy(key).orderBy(*order)
@@ -47,30 +69,34 @@ def budget_prefix(rows: DataFrame, key: str, order: list[str], size: str, most_r
     return placed.groupBy(key).agg(F.count("*").alias("n")).join(stop, key, "left").select(key, kept.alias("kept"), F.col("stop.reason").alias("reason"))
 
 
-def oracle_incremental_budget(samples: DataFrame, most: int) -> DataFrame:
-    """Per stream of samples (stream, place, bytes): a violation at the first over the budget, else skipped if one is missing, else passed."""
-    first = F.min(F.when(F.col("bytes") > most, F.col("place")))
-    return samples.groupBy("stream").agg(first.alias("place"), F.max(F.col("bytes").isNull()).alias("missing")).select("stream", F.when(F.col("place").isNotNull(), "violation").when(F.col("missing"), "skip").otherwise("pass").alias("result"), "place")
+def oracle_incremental_budget(samples: DataFrame, most: int, metric: str = "bytes", unit: str | None = None, streams: DataFrame | None = None) -> DataFrame:
+    """Per stream of samples (stream, place, and the metric's column): a violation at the first over the budget, else skipped if one is missing or negative, else passed.
+
+    If a unit is asked for, a stream with a sample of another unit (column unit) is skipped, and
+    so is one of streams (stream) that has no sample.
+    """
+    value, first = F.col(metric), F.min(F.when(F.col(metric) > most, F.col("place")))
+    odd = F.lit(False) if unit is None else ~F.coalesce(F.col("unit") == unit, F.lit(False))
+    told = samples.groupBy("stream").agg(first.alias("first"), F.max(value.isNull() | (value < 0)).alias("missing"), F.max(odd).alias("odd"))
+    if streams is not None:
+        told = streams.select("stream").distinct().join(told, "stream", "left")
+    result = F.when(F.coalesce("odd", F.lit(True)), "skip").when(F.col("first").isNotNull(), "violation").when(F.col("missing"), "skip").otherwise("pass")
+    return told.withColumn("result", result).select("stream", "result", F.when(F.col("result") == "violation", F.col("first")).alias("place"))
 
 
-def host_batches(discoveries: DataFrame, size: int, most: int = 1_000_000) -> DataFrame:
-    """Batches of at most `size` hosts (ip, protocol, ports) with equal protocol and ports.
+def host_batches(discoveries: DataFrame, size: int) -> DataFrame:
+    """Batches of at most `size` hosts (ip, protocol, ports) with equal protocol and ports, numbered by the address.
 
-    Almost all hosts share one set of ports, so a group of more than `most` hosts is numbered
-    in parts of about so many by the address's hash: a batch is named by group, part and
-    number, and each part may end in a batch that is not full.
+    Almost all hosts share one set of ports: they are numbered by a scan, so that no task holds
+    a group, and all batches but a group's last are full.
     """
-    keys = ["protocol", "ports"]
-    parts = discoveries.groupBy(*keys).agg(F.ceil(F.count("*") / most).alias("parts"))
-    group = F.col("discoveries.protocol").eqNullSafe(F.col("p.protocol")) & F.col("discoveries.ports").eqNullSafe(F.col("p.ports"))
-    joined = discoveries.alias("discoveries").join(parts.alias("p"), group).select("discoveries.*", F.pmod(F.xxhash64("ip"), "parts").alias("part"))
-    w = Window.partitionBy(*keys, "part").orderBy("ip")
-    return joined.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    placed = numbered(discoveries, ["protocol", "ports"], ["ip"], "_place")
+    return placed.withColumn("batch", F.floor((F.col("_place") - 1) / size)).drop("_place")
 
 
 def plan_batch_stats(batches: DataFrame) -> DataFrame:
-    """Hosts and ports of each batch (protocol, ports, part, batch)."""
-    return batches.groupBy("protocol", "ports", "part", "batch").agg(F.count("*").alias("hosts"), F.sum(F.size("ports")).alias("n_ports"))
+    """Hosts and ports of each batch (protocol, ports, batch)."""
+    return batches.groupBy("protocol", "ports", "batch").agg(F.count("*").alias("hosts"), F.sum(F.size("ports")).alias("n_ports"))
 
 
 def top_fitness(samples: DataFrame, k: int) -> DataFrame:
