@@ -393,10 +393,14 @@ def _(m):  # noqa: ANN001, ANN202
     return told.join(exact, told["source"].eqNullSafe(exact["source"])).select(told["source"], "rows", near("doc_id", "ids").alias("doc_id"), near("text", "texts").alias("text"))
 
 
-@_query("externalize_results", "WITH j AS (SELECT doc_id, to_json({'id': doc_id, 'text': text}) AS json FROM v_messages WHERE text IS NOT NULL) SELECT doc_id AS id, strlen(json) <= 400 AS inline FROM j", "v_messages")
+@_query(
+    "externalize_results",
+    "WITH j AS (SELECT doc_id AS id, to_json({'id': doc_id, 'text': text}) AS json FROM v_messages WHERE text IS NOT NULL), r AS (SELECT id, json, strlen(json) AS size, strlen(json) > 400 AS large FROM j) SELECT id, CASE WHEN NOT large THEN json END AS json, CASE WHEN large THEN sha256(json) END AS sha256, size, CASE WHEN large THEN json END AS artifact FROM r",
+    "v_messages",
+)
 def _(m):  # noqa: ANN001, ANN202
-    rows, _artifacts = o.externalize_results(m.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text"), 400)
-    return rows.select("id", F.col("json").isNotNull().alias("inline"))
+    rows, artifacts = o.externalize_results(m.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), "text"), 400)
+    return rows.join(artifacts.withColumnRenamed("json", "artifact"), "sha256", "left").select("id", "json", "sha256", "size", "artifact")
 
 
 @_query("wire_projection", "SELECT doc_id AS id, source AS evidence, strlen(text) AS raw_size, sha256(text) AS raw_sha256 FROM v_messages", "v_messages")

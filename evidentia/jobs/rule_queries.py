@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import oracles
-from ..operators import correlate, facts, findings, resolution, windows
-from .queries import _query
+from ..operators import contracts, correlate, facts, findings, policy, report, resolution, windows
+from ..sources import documents
+from .queries import _query, predicates
 from .views import VIEWS
 
 VIEWS |= {
@@ -23,6 +24,9 @@ VIEWS |= {
     "v_verdict_findings": "SELECT doc_id AS validation_id FROM {labels} WHERE quality = 1 UNION ALL SELECT doc_id FROM {labels} WHERE quality = 1 AND doc_id % 3 = 0",
     "v_declared_effects": "SELECT DISTINCT source AS tool, lang AS action, CASE WHEN doc_id % 90 = 0 AND lang = 'en' THEN 'write' WHEN lang = 'de' THEN NULL ELSE 'none' END AS effect FROM {documents}",
     "v_keyword_seeds": "SELECT p_partkey AS seed_id, p_size AS seq, CASE WHEN p_partkey % 2 = 0 THEN 2 ELSE 1 END AS place, CASE WHEN p_partkey % 2 = 0 THEN 'FUZZ' ELSE 'EXTRA' END AS keyword, concat(CASE WHEN p_partkey % 2 = 0 THEN 'v' ELSE 'e' END, CAST(p_partkey % 5 AS STRING)) AS value FROM {part}",
+    "v_mutable": "SELECT event_id AS call_id, CASE event_id % 5 WHEN 0 THEN 'Plug.Conn' WHEN 1 THEN NULL ELSE 'Html' END AS module, CASE event_id % 7 WHEN 0 THEN 'put_resp_header' WHEN 1 THEN 'sanitize_html' WHEN 2 THEN 'redact' WHEN 3 THEN 'render' ELSE 'put_resp_header' END AS function, CASE WHEN event_id % 13 = 0 THEN 0 ELSE 3 END AS arity, CASE event_id % 4 WHEN 0 THEN 'X-Frame-Options' WHEN 1 THEN 'content-security-policy' WHEN 2 THEN 'x-other' END AS header, CASE event_id % 6 WHEN 0 THEN 'verify_peer' WHEN 1 THEN 'verify_none' END AS verify, CASE event_id % 9 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS hostname FROM {events}",
+    "v_contexts": "SELECT concat('f', CAST(l_suppkey AS STRING)) AS file, CASE l_linenumber % 5 WHEN 0 THEN 'module' WHEN 1 THEN 'import' WHEN 2 THEN 'use' WHEN 3 THEN 'role' ELSE 'alias' END AS kind, CASE WHEN l_linenumber % 5 = 3 THEN concat('role', CAST(l_partkey % 3 AS STRING)) ELSE concat('M', CAST(l_partkey % 30 AS STRING)) END AS target, CASE WHEN l_linenumber % 5 = 4 AND l_partkey % 7 > 0 THEN concat('A', CAST(l_partkey % 4 AS STRING)) END AS name, l_orderkey * 8 + l_linenumber AS line FROM {lineitem}",
+    "v_runs": "SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS case_id, CASE o_orderkey % 3 WHEN 0 THEN 'vulnerable' WHEN 1 THEN 'fixed' ELSE 'failure' END AS role, CASE WHEN o_orderkey % 29 = 0 THEN 'confirmed' WHEN o_orderkey % 3 = 0 THEN 'confirmed' WHEN o_orderkey % 3 = 1 THEN 'refuted' ELSE 'inconclusive' END AS verdict, concat('s', CAST(o_custkey % 5 AS STRING)) AS seed_id, CASE WHEN o_orderkey % 2 = 0 THEN array('b', 'a') ELSE array('a', 'b') END AS findings FROM {orders}",
     "v_graphemes": "SELECT doc_id, concat(left(text, 12), repeat('e\u0301', CAST(doc_id % 8 AS INTEGER))) AS value FROM {documents}",
 }
 
@@ -151,3 +155,125 @@ _SIZES = {"bytes": "strlen(value) > 22", "codepoints": "length(value) > 18", "gr
 def _(values):  # noqa: ANN001, ANN202
     value = F.col("value")
     return values.select("doc_id", oracles.bounded_length(value, 22, "bytes").alias("bytes"), oracles.bounded_length(value, 18, "codepoints").alias("codepoints"), oracles.bounded_length(value, 15, "graphemes").alias("graphemes"))
+
+
+#: Names and headers are written out here as what the rule says, not taken from the operator.
+@_query(
+    "mutation_candidates_full",
+    """SELECT call_id, 'SanitizerBypass' AS mutator, 'bypass ' || function AS change FROM v_mutable WHERE module IS NOT NULL AND function IN ('sanitize_html', 'redact') AND arity > 0
+UNION ALL SELECT call_id, 'SecurityHeader', 'remove ' || lower(header) FROM v_mutable WHERE module = 'Plug.Conn' AND function = 'put_resp_header' AND arity = 3 AND lower(header) IN ('x-frame-options', 'content-security-policy')
+UNION ALL SELECT call_id, 'TransportSecurity', 'verify_peer to verify_none' FROM v_mutable WHERE verify = 'verify_peer'
+UNION ALL SELECT call_id, 'TransportSecurity', 'disable hostname verification' FROM v_mutable WHERE hostname = 'true'""",
+    "v_mutable",
+)
+def _(calls):  # noqa: ANN001, ANN202
+    options = F.map_from_arrays(F.array(F.lit("verify"), F.lit("check_hostname")), F.array("verify", "hostname"))
+    return policy.mutation_candidates(calls.withColumn("options", options))
+
+
+@_query(
+    "context_maps",
+    "WITH s AS (SELECT file, " + ", ".join(f"array_to_string(list_sort(list_distinct(list(target) FILTER (kind = '{k}'))), ',') AS {k}s" for k in ("module", "import", "use", "role")) + " FROM v_contexts GROUP BY 1), a AS (SELECT file, name, arg_max(target, (line, target)) AS target FROM v_contexts WHERE kind = 'alias' AND name IS NOT NULL GROUP BY 1, 2), m AS (SELECT file, string_agg(name || '=' || target, ',' ORDER BY name) AS aliases FROM a GROUP BY 1) SELECT s.file, coalesce(modules, '') AS modules, coalesce(imports, '') AS imports, coalesce(uses, '') AS uses, coalesce(roles, '') AS roles, coalesce(aliases, '') AS aliases FROM s LEFT JOIN m ON m.file = s.file",
+    "v_contexts",
+)
+def _(directives):  # noqa: ANN001, ANN202
+    told = policy.context_maps(directives)
+    entries = F.transform(F.array_sort(F.map_entries("aliases")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return told.select("file", *(F.array_join(c, ",").alias(c) for c in ("modules", "imports", "uses", "roles")), F.array_join(entries, ",").alias("aliases"))
+
+
+@_query(
+    "project_roles",
+    "WITH r AS (SELECT DISTINCT file, target AS role FROM v_contexts WHERE kind = 'role'), m AS (SELECT DISTINCT file, target AS module FROM v_contexts WHERE kind = 'module') SELECT role, coalesce(array_to_string(list_sort(list_distinct(list(module) FILTER (module IS NOT NULL))), ','), '') AS modules, array_to_string(list_sort(list_distinct(list(r.file))), ',') AS files FROM r LEFT JOIN m ON m.file = r.file GROUP BY 1",
+    "v_contexts",
+)
+def _(directives):  # noqa: ANN001, ANN202
+    return policy.project_roles(directives).select("role", *(F.array_join(c, ",").alias(c) for c in ("modules", "files")))
+
+
+@_query(
+    "oracle_report_names",
+    "WITH r AS (SELECT page_id AS input, CASE WHEN status BETWEEN 500 AND 599 THEN 'violation' ELSE 'pass' END AS a, CASE page_id % 4 WHEN 0 THEN 'violation' WHEN 1 THEN 'skip' ELSE 'pass' END AS b FROM (SELECT match_id AS page_id, status FROM v_http)), t AS (SELECT input, 0 AS place, 'no_500' AS name, a AS result FROM r UNION ALL SELECT input, 1, 'custom', b FROM r)"
+    " SELECT input, " + ", ".join(f"coalesce(string_agg(name, ',' ORDER BY place) FILTER (result = '{r}'), '') AS {n}" for r, n in (("pass", "passed"), ("skip", "skipped"), ("violation", "violations"))) + ", CASE WHEN bool_or(result = 'violation') THEN 'confirmed' WHEN bool_or(result = 'skip') THEN 'inconclusive' ELSE 'refuted' END AS verdict FROM t GROUP BY 1",
+    "v_http",
+)
+def _(http):  # noqa: ANN001, ANN202
+    page = F.col("match_id") % 4
+    custom = http.select(F.col("match_id").alias("input"), F.lit(1).alias("place"), F.lit("custom").alias("name"), F.when(page == 0, "violation").when(page == 1, "skip").otherwise("pass").alias("result"))
+    known = predicates(http).select(F.col("match_id").alias("input"), F.lit(0).alias("place"), F.lit("no_500").alias("name"), F.col("no_500").alias("result"))
+    told = contracts.oracle_report(custom.unionByName(known))
+    return told.select("input", *(F.array_join(c, ",").alias(c) for c in ("passed", "skipped", "violations")), "verdict")
+
+
+_MATRIX = """WITH c AS (SELECT case_id, coalesce(bool_and(verdict = 'confirmed') FILTER (role = 'vulnerable'), false) AS vulnerable, coalesce(bool_and(verdict = 'refuted') FILTER (role = 'fixed'), false) AS fixed, coalesce(bool_and(verdict = 'inconclusive') FILTER (role = 'failure'), false) AS failure, count(*) FILTER (role <> 'vulnerable' AND verdict = 'confirmed') AS false_confirmations FROM v_runs WHERE id % 4 > 0 GROUP BY 1),
+t AS (SELECT case_id, role, min(verdict) AS least, max(verdict) AS most FROM v_runs WHERE id % 4 > 0 GROUP BY 1, 2),
+r AS (SELECT r.case_id, count(*) AS replays, count(*) FILTER (r.verdict = t.least AND r.verdict = t.most AND r.id % 3 <> 2) AS replays_equal FROM v_runs r LEFT JOIN t ON t.case_id = r.case_id AND t.role = r.role WHERE r.id % 4 = 0 GROUP BY 1),
+m AS (SELECT c.*, coalesce(replays, 0) AS replays, coalesce(replays_equal, 0) AS replays_equal FROM c LEFT JOIN r ON r.case_id = c.case_id)"""
+
+
+def _replayed(runs):  # noqa: ANN001, ANN202
+    # a failure's replay comes from another seed
+    replays = runs.where("id % 4 = 0").withColumn("seed_id", F.when(F.col("role") == "failure", "other").otherwise(F.col("seed_id")))
+    return contracts.replay_matrix(runs.where("id % 4 > 0"), replays)
+
+
+@_query("replay_matrix", _MATRIX + " SELECT * FROM m", "v_runs")
+def _(runs):  # noqa: ANN001, ANN202
+    return _replayed(runs)
+
+
+@_query(
+    "suite_summary",
+    _MATRIX + ", k AS (SELECT report_id AS case_id, count(*) AS n, count(*) FILTER (passed) AS ok FROM v_checks GROUP BY 1), s AS (SELECT count(*) AS cases, sum(ok)::BIGINT AS passed, sum(n)::BIGINT AS checks, count(*) FILTER (ok = n) AS cases_passed FROM k), f AS (SELECT sum(false_confirmations)::BIGINT AS false_confirmations, sum(replays)::BIGINT AS replays, sum(replays_equal)::BIGINT AS replays_equal FROM m) SELECT s.*, f.*, CASE WHEN passed = checks AND false_confirmations = 0 AND replays = replays_equal THEN 'passed' ELSE 'failed' END AS status FROM s, f",
+    "v_checks",
+    "v_runs",
+)
+def _(checks, runs):  # noqa: ANN001, ANN202
+    return report.suite_summary(checks.select(F.col("report_id").alias("case_id"), "passed"), _replayed(runs))
+
+
+@_query(
+    "compare_measured",
+    "WITH b AS (SELECT case_id AS name, max(sample) AS value, min(sample % 3) AS fixture FROM v_latency WHERE mode = 'baseline' GROUP BY 1), a AS (SELECT case_id AS name, min(sample) AS value, CASE WHEN case_id = 'A' THEN 9 ELSE min(sample % 3) END AS fixture FROM v_latency WHERE mode = 'targeted' GROUP BY 1) SELECT coalesce(a.name, b.name) AS name, b.value AS before, a.value AS after, coalesce(a.fixture = b.fixture, false) AS comparable, CASE WHEN a.fixture = b.fixture THEN round(b.value / nullif(a.value, 0), 6) END AS speedup FROM b FULL JOIN a ON a.name = b.name",
+    "v_latency",
+)
+def _(samples):  # noqa: ANN001, ANN202
+    of = lambda mode, value: samples.where(F.col("mode") == mode).groupBy(F.col("case_id").alias("name")).agg(value("sample").alias("value"), F.min(F.col("sample") % 3).cast("string").alias("fixture"), F.lit("one").alias("runtime"))
+    after = of("targeted", F.min).withColumn("fixture", F.when(F.col("name") == "A", "9").otherwise(F.col("fixture")))
+    return report.compare_measured(of("baseline", F.max), after)
+
+
+@_query(
+    "module_owners_given",
+    "WITH d AS (SELECT module, min(package) AS package FROM v_modules GROUP BY 1 HAVING count(DISTINCT package) = 1) SELECT * FROM d WHERE module NOT IN (SELECT module FROM v_owners UNION ALL SELECT 'Brand#3') UNION ALL SELECT module, package FROM v_owners UNION ALL SELECT 'Brand#3', 'mine'",
+    "v_modules",
+    "v_owners",
+)
+def _(modules, owners):  # noqa: ANN001, ANN202
+    given = owners.select("module", "package").unionByName(modules.where("module = 'Brand#3'").select("module", F.lit("mine").alias("package")).distinct())
+    return facts.derive_module_owners(modules, given)
+
+
+@_query(
+    "inventory_totals",
+    "SELECT (SELECT count(*) FROM v_facts) AS facts, (SELECT count(DISTINCT subject) FROM v_facts) AS subjects, (SELECT count(DISTINCT package) FROM v_owners) AS packages, (SELECT count(DISTINCT path) FROM v_sources) AS sources, (SELECT count(*) FROM v_diagnostics) AS diagnostics, (SELECT count(*) FROM v_diagnostics WHERE level = 'error') AS errors, (SELECT count(*) FROM v_diagnostics WHERE level = 'warning') AS warnings",
+    "v_facts",
+    "v_diagnostics",
+    "v_owners",
+    "v_sources",
+)
+def _(rows, diagnostics, owners, sources):  # noqa: ANN001, ANN202
+    return facts.inventory_totals(rows, diagnostics, owners, sources)
+
+
+@_query("fact_page_after", "SELECT file, line, subject, object FROM v_facts WHERE (file, line, subject, object) > ('order/500', 2, 'part/0', '') ORDER BY file, line, subject, object LIMIT 40", "v_facts")
+def _(rows):  # noqa: ANN001, ANN202
+    return facts.fact_page_after(rows.select("file", "line", "subject", "object"), ["file", "line", "subject", "object"], ("order/500", 2, "part/0", ""), 40)
+
+
+@_query("read_eval_metrics", "SELECT report_id, CASE WHEN report_id % 2 = 0 THEN 'one' END AS runtime, case_id, 'checks' AS metric, count(*)::DOUBLE AS value FROM v_checks GROUP BY 1, 2, 3", "v_checks")
+def _(checks):  # noqa: ANN001, ANN202
+    cases = checks.groupBy("report_id", "case_id").agg(F.count("*").cast("double").alias("checks"))
+    case = F.struct("case_id", F.map_from_arrays(F.array(F.lit("checks")), F.array("checks")).alias("metrics"))
+    docs = cases.groupBy("report_id").agg(F.collect_list(case).alias("cases"))
+    return documents.read_eval_metrics(docs.select(F.to_json(F.struct("report_id", F.when(F.col("report_id") % 2 == 0, "one").alias("runtime"), "cases")).alias("value")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.oracles import PASS, SKIP, VIOLATION, replay_verdict
+
 from ..functions.policy import ipv6_groups, masked, span_ok
 from ..functions.scalars import canonical_path, cidr_mask, ip_to_int, normalize_url, url_origin, versioned_id_ok
 
@@ -111,3 +113,21 @@ def control_matrix(validations: DataFrame) -> DataFrame:
     holds = lambda role, verdict: F.coalesce(F.bool_and(F.when(F.col("role") == role, F.col("verdict") == verdict)), F.lit(False))
     false = F.count_if((F.col("role") != "vulnerable") & (F.col("verdict") == "confirmed"))
     return validations.groupBy("case_id").agg(holds("vulnerable", "confirmed").alias("vulnerable"), holds("fixed", "refuted").alias("fixed"), holds("failure", "inconclusive").alias("failure"), false.alias("false_confirmations"))
+
+
+def oracle_report(results: DataFrame) -> DataFrame:
+    """(input, passed, skipped, violations, verdict) of results (input, place, name, result): the names of each result in the order in which they were declared, and what they decide."""
+    named = F.array_sort(F.collect_list(F.struct("place", "name", "result")))
+    of = lambda result: F.transform(F.filter("all", lambda r: r["result"] == result), lambda r: r["name"])
+    out = results.groupBy("input").agg(named.alias("all")).select("input", of(PASS).alias("passed"), of(SKIP).alias("skipped"), of(VIOLATION).alias("violations"))
+    return out.withColumn("verdict", replay_verdict(F.size("violations"), F.size("skipped")))
+
+
+def replay_matrix(validations: DataFrame, replays: DataFrame) -> DataFrame:
+    """`control_matrix` of validations (case_id, role, verdict, seed_id, findings), with the replays of each case and how many of them repeat verdict, seed and findings (in any order) of every validation of their role."""
+    key = F.struct("verdict", "seed_id", F.array_sort(F.coalesce("findings", F.array().cast("array<string>"))).alias("findings"))
+    told = validations.groupBy("case_id", "role").agg(F.min(key).alias("least"), F.max(key).alias("most"))
+    again = replays.withColumn("mine", key).join(told, ["case_id", "role"], "left")
+    equal = F.coalesce((F.col("mine") == F.col("least")) & (F.col("mine") == F.col("most")), F.lit(False))
+    counts = again.groupBy("case_id").agg(F.count("*").alias("replays"), F.count_if(equal).alias("replays_equal"))
+    return control_matrix(validations).join(counts, "case_id", "left").na.fill(0, ["replays", "replays_equal"])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +39,32 @@ def occurrence_index(matches: DataFrame, order: list[str]) -> DataFrame:
     return numbered(matches, ["rule_id", "file", "anchor"], order, "occurrence")
 
 
-def derive_module_owners(modules: DataFrame) -> DataFrame:
-    """(module, package) where exactly one package defines a module."""
+def derive_module_owners(modules: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """(module, package) where exactly one package defines a module; what a caller gives (module, package: one row a module) goes before, and holds for modules that none defines too."""
     found = modules.groupBy("module").agg(F.min("package").alias("package"), F.max("package").alias("other"))
-    return found.where("package = other").drop("other")
+    derived = found.where("package = other").drop("other")
+    if given is None:
+        return derived
+    return derived.join(given, "module", "left_anti").unionByName(given.select("module", "package"))
+
+
+def inventory_totals(facts: DataFrame, diagnostics: DataFrame, owners: DataFrame, sources: DataFrame) -> DataFrame:
+    """One row: facts, subjects, packages that own a module, sources (path) and diagnostics (level) in all and by level."""
+    levels = [F.count_if(F.col("level") == x).alias(f"{x}s") for x in ("error", "warning")]
+    rows = (facts.agg(F.count("*").alias("facts"), F.count_distinct("subject").alias("subjects")), owners.agg(F.count_distinct("package").alias("packages")), sources.agg(F.count_distinct("path").alias("sources")), diagnostics.agg(F.count("*").alias("diagnostics"), *levels))
+    return reduce(lambda a, b: a.join(F.broadcast(b)), rows)  # a row each
+
+
+def fact_page_after(facts: DataFrame, order: list[str], after: tuple | None = None, limit: int = 100) -> DataFrame:
+    """The next `limit` facts behind a key (the values of the columns of order of the last one seen; None begins), in a total order without nulls. A deep page costs what the first does: the key is a filter and not an offset."""
+    rows = facts
+    if after is not None:
+        behind, equal = F.lit(False), F.lit(True)
+        for name, value in zip(order, after, strict=True):
+            behind = behind | (equal & (F.col(name) > F.lit(value)))
+            equal = equal & (F.col(name) == F.lit(value))
+        rows = facts.where(behind)
+    return rows.orderBy(*order).limit(limit)
 
 
 def dotted_prefixes(name: Column) -> Column:

@@ -70,16 +70,34 @@ def classify_behaviors(facts: DataFrame) -> DataFrame:
     return facts.select("fact_id", F.explode(F.array_distinct(F.array_compact(F.array(*tags)))).alias("b")).select("fact_id", "b.*")
 
 
+#: Calls that clean what they are given, and response headers that protect a browser.
+SANITIZERS = ("sanitize", "sanitize_html", "html_escape", "escape_html", "strip_tags", "redact", "redact_secret", "mask_secret", "filter_input", "clean_html")
+HEADERS = ("content-security-policy", "cross-origin-embedder-policy", "cross-origin-opener-policy", "cross-origin-resource-policy", "permissions-policy", "referrer-policy", "strict-transport-security", "x-content-type-options", "x-frame-options")
+
+
 def mutation_candidates(calls: DataFrame) -> DataFrame:
-    """(call_id, mutator, change) of calls (call_id, module, function, arity): security decisions to force and constant-time comparisons to weaken."""
-    f = F.col("function")
+    """(call_id, mutator, change) of calls (call_id, module, function, arity and, if given, header: a literal second argument, options: a map of literal options).
+
+    Security decisions to force, constant-time comparisons to weaken, sanitizers of another
+    module to go around, writes of protective headers to remove (names in any case), and TLS
+    options to turn off. A call has a row for each that fits.
+    """
+    for name, kind in (("header", "string"), ("options", "map<string,string>")):
+        if name not in calls.columns:
+            calls = calls.withColumn(name, F.lit(None).cast(kind))
+    f, header, option = F.col("function"), F.lower("header"), lambda k: F.try_element_at("options", F.lit(k))
     secure = reduce(lambda a, b: a | b, ((F.col("module") == m) & (f == n) for m, n in CONSTANT_TIME)) & (F.col("arity") == 2)
+    write = (F.col("module") == "Plug.Conn") & (f == "put_resp_header") & (F.col("arity") == 3) & header.isin(*HEADERS)
     row = lambda name, change: F.struct(F.lit(name).alias("mutator"), change.alias("change"))
     options = F.array_compact(
         F.array(
             F.when(f.isin(*ALLOW), row("SecurityDecision", F.concat(F.lit("force "), f, F.lit(" to allow")))),
             F.when(f.isin(*DENY), row("SecurityDecision", F.concat(F.lit("force "), f, F.lit(" to return false")))),
             F.when(F.coalesce(secure, F.lit(False)), row("SecureCompare", F.concat(F.lit("downgrade "), "module", F.lit("."), f, F.lit("/2")))),
+            F.when(F.col("module").isNotNull() & f.isin(*SANITIZERS) & (F.col("arity") > 0), row("SanitizerBypass", F.concat(F.lit("bypass "), f))),
+            F.when(F.coalesce(write, F.lit(False)), row("SecurityHeader", F.concat(F.lit("remove "), header))),
+            F.when(option("verify") == "verify_peer", row("TransportSecurity", F.lit("verify_peer to verify_none"))),
+            F.when(option("check_hostname") == "true", row("TransportSecurity", F.lit("disable hostname verification"))),
         )
     )
     return calls.select("call_id", F.explode(options).alias("m")).select("call_id", "m.*")
@@ -248,6 +266,22 @@ def context_facts(directives: DataFrame) -> DataFrame:
     return directives.groupBy("file").agg(of("module").alias("modules"), of("import").alias("imports"), of("use").alias("uses"))
 
 
+def context_maps(directives: DataFrame) -> DataFrame:
+    """(file, modules, imports, uses, roles, aliases) of directives (file, kind, target, name, line): sorted distinct targets of each kind, and the aliases by short name, the last line's target counting."""
+    of = lambda kind: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("target"))))
+    sets = directives.groupBy("file").agg(*(of(k).alias(f"{k}s") for k in ("module", "import", "use", "role")))
+    last = directives.where("kind = 'alias' AND name IS NOT NULL").groupBy("file", "name").agg(F.max(F.struct("line", "target")).alias("last"))
+    maps = last.groupBy("file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "last.target")))).alias("aliases"))
+    return sets.join(maps, "file", "left").withColumn("aliases", F.coalesce("aliases", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
+
+
+def project_roles(directives: DataFrame) -> DataFrame:
+    """(role, modules, files): the modules and files of each role that a framework gives, sorted; a module has the roles of its file."""
+    roles = directives.where("kind = 'role'").select("file", F.col("target").alias("role")).distinct()
+    modules = directives.where("kind = 'module'").select("file", F.col("target").alias("module")).distinct()
+    return roles.join(modules, "file", "left").groupBy("role").agg(F.array_sort(F.collect_set("module")).alias("modules"), F.array_sort(F.collect_set("file")).alias("files"))
+
+
 def search_comparison(trials: DataFrame, median) -> DataFrame:  # noqa: ANN001
     """(mode, found, trials, coverage, depth) of trials (mode, found, coverage, depth): medians by `median`, which takes (mode, sample) rows."""
     counts = trials.groupBy("mode").agg(F.count_if("found").alias("found"), F.count("*").alias("trials"))

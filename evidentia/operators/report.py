@@ -94,6 +94,22 @@ def suite_report(checks: DataFrame) -> DataFrame:
     return cases.agg(F.count("*").alias("cases"), F.sum("ok").alias("passed"), F.sum("n").alias("checks"), F.count_if(F.col("ok") == F.col("n")).alias("cases_passed"))
 
 
+def suite_summary(checks: DataFrame, matrix: DataFrame) -> DataFrame:
+    """One row: `suite_report` of checks, with the false confirmations and replays of matrix (case_id, false_confirmations, replays, replays_equal) and the status: passed if every check passed, none was falsely confirmed and each replay was equal."""
+    sums = matrix.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("false_confirmations", "replays", "replays_equal")))
+    whole = suite_report(checks).join(F.broadcast(sums))  # a row each
+    ok = (F.col("passed") == F.col("checks")) & (F.col("false_confirmations") == 0) & (F.col("replays") == F.col("replays_equal"))
+    return whole.withColumn("status", F.when(F.coalesce(ok, F.lit(False)), "passed").otherwise("failed"))
+
+
+def compare_measured(before: DataFrame, after: DataFrame) -> DataFrame:
+    """`compare_runs` of before and after (name, value, fixture, runtime), with comparable: whether both have the case, of one fixture and runtime. Only then there is a speed-up."""
+    b, a = (t.select("name", *(F.col(c).alias(f"{c}{n}") for c in ("value", "fixture", "runtime"))) for t, n in ((before, "_b"), (after, "_a")))
+    same = F.coalesce((F.col("fixture_b") == F.col("fixture_a")) & (F.col("runtime_b") == F.col("runtime_a")), F.lit(False))
+    both = b.join(a, "name", "full_outer").withColumn("comparable", same)
+    return both.select("name", F.col("value_b").alias("before"), F.col("value_a").alias("after"), "comparable", F.when(F.col("comparable"), F.round(F.try_divide("value_b", "value_a"), 6)).alias("speedup"))
+
+
 def same_semantics(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows that one report has and the other has not, as often as it has them more."""
     return a.exceptAll(b).withColumn("side", F.lit("first")).union(b.exceptAll(a).withColumn("side", F.lit("second")))

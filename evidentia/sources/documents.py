@@ -104,6 +104,13 @@ def read_eval_reports(documents: DataFrame) -> DataFrame:
     return cases.select("report_id", F.col("c.case_id").alias("case_id"), F.explode("c.checks").alias("k")).select("report_id", "case_id", "k.*")
 
 
+def read_eval_metrics(documents: DataFrame) -> DataFrame:
+    """(report_id, runtime, case_id, metric, value): a row for each metric of each case of {report_id, runtime, cases}; a case without metrics has none."""
+    d = F.from_json("value", "report_id long, runtime string, cases array<struct<case_id:string,metrics:map<string,double>>>")
+    cases = documents.select(d.alias("d")).select("d.report_id", "d.runtime", F.explode("d.cases").alias("c"))
+    return cases.select("report_id", "runtime", F.col("c.case_id").alias("case_id"), F.explode("c.metrics").alias("metric", "value"))
+
+
 #: A scanner's host element. Fixed names.
 _SCRIPT = "script array<struct<_id string, _output string>>"
 _PORT = f"struct<_portid string, _protocol string, state struct<_state string>, service struct<_name string, _product string, _version string, cpe array<string>>, {_SCRIPT}>"
