@@ -39,6 +39,8 @@ from .staging import small_batches
 SPANS, SPAN, SAMPLE = 400, 120, 12_000
 #: Languages beyond which fitting raises an error.
 LANGUAGES = 1_000
+#: Texts of one id and language that a span may come from.
+SAME_ID = 2
 #: Times the ids to take that are ranked for each language.
 SPARE = 4
 PIECE = 24
@@ -321,7 +323,8 @@ def fit(docs: DataFrame) -> Model | None:
     (doc_id, lang) alone. A limit on the hash, set by each language's number of ids, leaves
     about SPARE times as many to rank, however many documents a language has. Then spans of
     SPAN words at a place that a hash names are cut from these texts on the executors, and only
-    they come to the driver. A table with more than LANGUAGES languages raises an error.
+    they come to the driver: SPANS of a language, SAME_ID of an id in it at most, so an id in many rows
+    takes no other language's place. A table with more than LANGUAGES languages raises an error.
     """
     spark = docs.sparkSession
     able = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).select("doc_id", "lang", "text")
@@ -345,8 +348,11 @@ def fit(docs: DataFrame) -> Model | None:
                 out.append((doc, lang, " ".join(words[start : start + SPAN])))
             yield pd.DataFrame(out, columns=["doc_id", "lang", "span"])
 
-    cut = able.join(F.broadcast(ids), "doc_id", "left_semi").mapInPandas(spans, "doc_id long, lang string, span string").distinct()
-    return train([(r[1], r[2].split(" ")) for r in cut.orderBy("lang", "doc_id", "span").limit(2 * max(SAMPLE, LANGUAGES)).collect() if r[2]])
+    cut = able.join(F.broadcast(ids), "doc_id", "left_semi").mapInPandas(spans, "doc_id long, lang string, span string").where("span <> ''").distinct()
+    # an id may stand in many rows: of an id and a language the first texts by a hash count, and of a language the first `taken`
+    each = cut.withColumn("hash", F.xxhash64("span")).withColumn("turn", F.row_number().over(Window.partitionBy("lang", "doc_id").orderBy("hash", "span")))
+    few = each.where(F.col("turn") <= SAME_ID).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("turn", F.xxhash64("doc_id"), "doc_id"))).where(F.col("n") <= taken)
+    return train([(r.lang, r.span.split(" ")) for r in few.orderBy("lang", "doc_id", "span").collect()])
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

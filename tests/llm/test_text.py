@@ -349,6 +349,17 @@ def test_windows_agree_with_one_run(monkeypatch):
     assert short[0] == whole[0] and np.allclose(short[1], whole[1], atol=1e-5)
 
 
+def test_an_id_in_many_rows_takes_no_other_languages_place(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE", 40)
+    monkeypatch.setattr(langid, "LANGUAGES", 20)
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5][:60]
+    rows = [(ids[0], f"abra bara cabra {i}", "aa", "s", 1) for i in range(3000)] + [(i, f"zuz ozo zoz{i} uzu", "zz", "s", 1) for i in ids[1:50]]
+    model = langid.fit(docs(spark, rows))
+    assert set(model.languages) == {"aa", "zz"}
+    told = langid.identify(docs(spark, [(1, "zuz ozo uzu", None, "s", 1), (2, "abra cabra bara", None, "s", 1)]), model)
+    assert {r.doc_id: r.lang_pred for r in told.collect()} == {1: "zz", 2: "aa"}
+
+
 def test_every_language_is_learned_within_the_sample(spark, monkeypatch):
     monkeypatch.setattr(langid, "SAMPLE", 40)
     rows = spark.range(2000).selectExpr("id AS doc_id", "concat(repeat(char(97 + id % 20), 4), ' ', repeat(char(97 + id % 20), 3)) AS text", "concat('l', id % 20) AS lang")
