@@ -116,14 +116,14 @@ def same_semantics(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 _WORD, _NOT = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
-#: Words of the runs that literals are looked up by.
-RUN = 3
+#: Words of the runs that literals are looked up by, and distinct runs that may be sent to each executor.
+RUN, RUNS = 3, 500_000
 
 
-def _runs(words: Column, size: Column | int) -> Column:
+def _runs(words: Column, size: int) -> Column:
     """The hashes of the runs of `size` words."""
     count = F.size(words) - size + 1
-    return F.when(count >= 1, F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.array_join(F.slice(words, i, size if isinstance(size, Column) else F.lit(size)), " ")))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(count >= 1, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size))))).otherwise(F.array().cast("array<bigint>"))
 
 
 def leak_audit(documents: DataFrame, literals: DataFrame) -> DataFrame:
@@ -146,16 +146,24 @@ def leak_audit(documents: DataFrame, literals: DataFrame) -> DataFrame:
 
 
 def _by_runs(texts: DataFrame, literals: DataFrame) -> DataFrame:
-    size = F.least(F.size("words"), F.lit(RUN))
-    own = literals.select("literal_id", "literal", F.explode(F.array_distinct(_runs(F.col("words"), size))).alias("run"))
+    sized = literals.withColumn("size", F.least(F.size("words"), F.lit(RUN)))
+    own = staged(sized.select("literal_id", "literal", "size", F.explode(F.array_distinct(F.coalesce(*(F.when(F.col("size") == n, _runs(F.col("words"), n)) for n in range(1, RUN + 1))))).alias("run")), "runs")
+    # texts are cut into runs of the sizes that some literal asks for
+    sizes = [r[0] for r in own.select("size").distinct().collect()]
+    if not sizes:
+        return texts.join(literals.select("literal_id").limit(0)).select("doc_id", "literal_id")
     words = F.regexp_extract_all("text", F.lit(f"{_WORD}+"), F.lit(0))
-    every = texts.withColumn("words", words).select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*(_runs(F.col("words"), n) for n in range(1, RUN + 1)))))).alias("run"))
-    hits = staged(every.join(own.select("run").distinct(), "run", "left_semi"), "runs")
+    # a table of fewer splits than cores is dealt to all of them
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    dealt = texts.repartition(cores) if texts.rdd.getNumPartitions() < cores else texts
+    every = dealt.select("doc_id", words.alias("words")).select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*(_runs(F.col("words"), n) for n in sizes))))).alias("run"))
+    asked = own.select("run").distinct()
+    hits = staged(every.join(F.broadcast(asked) if asked.count() <= RUNS else asked, "run", "left_semi"), "hits")
     often = hits.groupBy("run").agg(F.count("*").alias("texts"))
     # a run that no text has rules its literal out
     rarest = own.join(often, "run", "left").groupBy("literal_id", "literal").agg(F.min_by("run", F.coalesce("texts", F.lit(0))).alias("run"))
-    asked = rarest.join(hits, "run").select("literal_id", "literal", "doc_id").distinct()
-    return asked.join(texts, "doc_id").where(F.contains("text", F.col("literal"))).select("doc_id", "literal_id")
+    pairs = rarest.join(hits, "run").select("literal_id", "literal", "doc_id").distinct()
+    return pairs.join(texts, "doc_id").where(F.contains("text", F.col("literal"))).select("doc_id", "literal_id")
 
 
 def _by_automata(texts: DataFrame, named: DataFrame) -> DataFrame:
@@ -165,7 +173,7 @@ def _by_automata(texts: DataFrame, named: DataFrame) -> DataFrame:
         # LITERALS of them, more or less, by the draw of a hash
         some = named.where(F.pmod(F.xxhash64("literal_id"), F.lit(passes)) == part).collect()
         find = _finder([tuple(r) for r in some])
-        found = texts.mapInPandas(find, f"doc_id {dict(texts.dtypes)['doc_id']}, literal_id {dict(named.dtypes)['literal_id']}") if some else texts.join(named.select("literal_id")).select("doc_id", "literal_id").where("false")
+        found = texts.mapInPandas(find, f"doc_id {dict(texts.dtypes)['doc_id']}, literal_id {dict(named.dtypes)['literal_id']}") if some else texts.join(named.select("literal_id").limit(0)).select("doc_id", "literal_id")
         hits = found if hits is None else hits.union(found)
     return hits
 
