@@ -59,17 +59,40 @@ def _sid(source: str, *values: str) -> str:
     return sid(source, *values)
 
 
-def _isin(column: str, values) -> str:  # noqa: ANN001
-    listed = ", ".join(f"'{v}'" for v in values)
-    return f"{column} IN ({listed})"
-
-
-_TAGS = [("kind = 'call' AND resolution = 'dynamic_dispatch'", "dynamic_dispatch", "dynamic_receiver")]
-_TAGS += [(f"kind = 'call' AND {_isin('module', m)}" + (f" AND {_isin('function', fn)}" if fn else ""), b, basis) for b, basis, m, fn in o.CALLS]
-_TAGS += [(f"kind = 'unqualified_call' AND {_isin('function', fn)}", b, "unqualified_name") for b, fn in o.UNQUALIFIED]
-_TAGS += [(f"kind = 'definition' AND regexp_matches(split_part(split_part(object, '.', -1), '/', 1), '{pattern}')", b, "function_name") for b, pattern in o.NAMES]
-_TAGS += [("kind = 'dependency' AND source IN ('git', 'github', 'path')", "non_registry_dependency", "dependency_source")]
-BEHAVIORS = " UNION ALL ".join(f"SELECT fact_id, '{b}' AS behavior, '{basis}' AS basis FROM v_code WHERE {test}" for test, b, basis in _TAGS)
+#: The rule as SQL: fixed values, written out here and not taken from the operator.
+BEHAVIORS = """SELECT fact_id, 'dynamic_dispatch' AS behavior, 'dynamic_receiver' AS basis FROM v_code WHERE kind = 'call' AND resolution = 'dynamic_dispatch'
+UNION ALL SELECT fact_id, 'process_message_send' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('Kernel', 'Process', 'erlang') AND function IN ('send')
+UNION ALL SELECT fact_id, 'process_message_send' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('GenServer', 'gen_server') AND function IN ('cast')
+UNION ALL SELECT fact_id, 'otp_request' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('GenServer', 'gen_server') AND function IN ('call')
+UNION ALL SELECT fact_id, 'otp_request' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('Supervisor', 'DynamicSupervisor') AND function IN ('start_child')
+UNION ALL SELECT fact_id, 'shared_state_access' AS behavior, 'module_family' AS basis FROM v_code WHERE kind = 'call' AND module IN ('ets', 'dets', 'mnesia', 'persistent_term')
+UNION ALL SELECT fact_id, 'process_state_access' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('Process', 'erlang') AND function IN ('get', 'put', 'delete', 'get_keys')
+UNION ALL SELECT fact_id, 'filesystem_access' AS behavior, 'module_family' AS basis FROM v_code WHERE kind = 'call' AND module IN ('File', 'Path', 'file', 'filelib', 'zip', 'erl_tar')
+UNION ALL SELECT fact_id, 'network_access' AS behavior, 'module_family' AS basis FROM v_code WHERE kind = 'call' AND module IN ('gen_tcp', 'gen_udp', 'ssl', 'httpc', 'Req', 'Finch', 'Mint.HTTP', 'HTTPoison', 'Tesla', 'Bandit', 'Plug.Conn')
+UNION ALL SELECT fact_id, 'external_process' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('System', 'os', 'Port') AND function IN ('cmd', 'shell', 'open', 'spawn', 'spawn_executable')
+UNION ALL SELECT fact_id, 'native_code_boundary' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('erlang', 'Rustler') AND function IN ('load_nif')
+UNION ALL SELECT fact_id, 'native_code_boundary' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('Code') AND function IN ('prepend_path')
+UNION ALL SELECT fact_id, 'native_code_boundary' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('code') AND function IN ('load_binary')
+UNION ALL SELECT fact_id, 'dynamic_code' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('Code', 'EEx', 'erl_eval') AND function IN ('eval_file', 'eval_quoted', 'eval_string', 'expr', 'exprs')
+UNION ALL SELECT fact_id, 'configuration_read' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('Application', 'application') AND function IN ('get_env', 'fetch_env', 'fetch_env!', 'get_all_env')
+UNION ALL SELECT fact_id, 'environment_read' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('System', 'os') AND function IN ('get_env', 'getenv')
+UNION ALL SELECT fact_id, 'deserialization' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('erlang') AND function IN ('binary_to_term')
+UNION ALL SELECT fact_id, 'deserialization' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('Jason') AND function IN ('decode', 'decode!')
+UNION ALL SELECT fact_id, 'deserialization' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('jiffy', 'jsx') AND function IN ('decode')
+UNION ALL SELECT fact_id, 'deserialization' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('yaml_elixir', 'YamlElixir') AND function IN ('read_from_string')
+UNION ALL SELECT fact_id, 'cryptography' AS behavior, 'module_family' AS basis FROM v_code WHERE kind = 'call' AND module IN ('crypto', 'public_key', 'Plug.Crypto', 'Pbkdf2', 'Argon2', 'Bcrypt')
+UNION ALL SELECT fact_id, 'randomness' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('rand', 'crypto') AND function IN ('uniform', 'bytes', 'strong_rand_bytes', 'rand_seed')
+UNION ALL SELECT fact_id, 'resource_amplification' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('Enum') AND function IN ('to_list', 'map', 'flat_map')
+UNION ALL SELECT fact_id, 'resource_amplification' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('String', 'List') AND function IN ('duplicate')
+UNION ALL SELECT fact_id, 'resource_amplification' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('binary') AND function IN ('copy')
+UNION ALL SELECT fact_id, 'resource_amplification' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('zlib') AND function IN ('uncompress')
+UNION ALL SELECT fact_id, 'resource_amplification' AS behavior, 'known_api' AS basis FROM v_code WHERE kind = 'call' AND module IN ('zip', 'erl_tar') AND function IN ('extract')
+UNION ALL SELECT fact_id, 'process_message_send' AS behavior, 'unqualified_name' AS basis FROM v_code WHERE kind = 'unqualified_call' AND function IN ('send')
+UNION ALL SELECT fact_id, 'external_process' AS behavior, 'unqualified_name' AS basis FROM v_code WHERE kind = 'unqualified_call' AND function IN ('open_port')
+UNION ALL SELECT fact_id, 'dynamic_dispatch' AS behavior, 'unqualified_name' AS basis FROM v_code WHERE kind = 'unqualified_call' AND function IN ('apply', 'spawn', 'spawn_link', 'spawn_monitor')
+UNION ALL SELECT fact_id, 'authorization_boundary' AS behavior, 'function_name' AS basis FROM v_code WHERE kind = 'definition' AND regexp_matches(split_part(split_part(object, '.', -1), '/', 1), 'authoriz|permit|allowed|can_')
+UNION ALL SELECT fact_id, 'authentication_boundary' AS behavior, 'function_name' AS basis FROM v_code WHERE kind = 'definition' AND regexp_matches(split_part(split_part(object, '.', -1), '/', 1), 'authenticat|login|sign_in|verify_credential')
+UNION ALL SELECT fact_id, 'non_registry_dependency' AS behavior, 'dependency_source' AS basis FROM v_code WHERE kind = 'dependency' AND source IN ('git', 'github', 'path')"""
 
 
 @_query("classify_behaviors", BEHAVIORS, "v_code")
@@ -84,7 +107,7 @@ def _(facts):  # noqa: ANN001, ANN202
 
 @_query(
     "mutation_candidates",
-    f"SELECT fact_id AS call_id, 'SecurityDecision' AS mutator, 'force ' || function || ' to allow' AS change FROM v_code WHERE {_isin('function', o.ALLOW)} UNION ALL SELECT fact_id, 'SecurityDecision', 'force ' || function || ' to return false' FROM v_code WHERE {_isin('function', o.DENY)} UNION ALL SELECT fact_id, 'SecureCompare', 'downgrade ' || module || '.' || function || '/2' FROM v_code WHERE arity = 2 AND (module, function) IN (('Plug.Crypto', 'secure_compare'), ('crypto', 'hash_equals'))",
+    f"SELECT fact_id AS call_id, 'SecurityDecision' AS mutator, 'force ' || function || ' to allow' AS change FROM v_code WHERE function IN ('authenticated?', 'authorized?', 'allowed?', 'permitted?', 'has_permission?', 'can_access?', 'trusted?', 'verified?', 'valid_signature?', 'csrf_valid?') UNION ALL SELECT fact_id, 'SecurityDecision', 'force ' || function || ' to return false' FROM v_code WHERE function IN ('blocked?', 'denied?', 'forbidden?', 'revoked?', 'expired?', 'rate_limited?', 'throttled?') UNION ALL SELECT fact_id, 'SecureCompare', 'downgrade ' || module || '.' || function || '/2' FROM v_code WHERE arity = 2 AND (module, function) IN (('Plug.Crypto', 'secure_compare'), ('crypto', 'hash_equals'))",
     "v_code",
 )
 def _(code):  # noqa: ANN001, ANN202
@@ -115,7 +138,7 @@ def _(plan, seeds):  # noqa: ANN001, ANN202
 
 @_query(
     "plan_syntax",
-    f"""SELECT fact_id, regexp_matches(function, '{p.KEYWORD}') AS keyword_ok, regexp_matches(upper(function), '{p.METHOD.replace("'", "''")}') AS method_ok, regexp_matches(object, '{p.HEADER.replace("'", "''")}') AS header_ok, regexp_matches(CAST(arity AS VARCHAR) || CASE arity WHEN 2 THEN '-3.5' WHEN 3 THEN '.' ELSE '' END, '{p.DELAY}') AS delay_ok FROM v_code""",
+    f"""SELECT fact_id, regexp_matches(function, '^[A-Za-z][A-Za-z0-9_]*$') AS keyword_ok, regexp_matches(upper(function), '^[A-Z][A-Z0-9!#$%&''*+.^_`|~-]*$') AS method_ok, regexp_matches(object, '^[!#$%&''*+.^_`|~0-9A-Za-z-]+$') AS header_ok, regexp_matches(CAST(arity AS VARCHAR) || CASE arity WHEN 2 THEN '-3.5' WHEN 3 THEN '.' ELSE '' END, '{p.DELAY}') AS delay_ok FROM v_code""",
     "v_code",
 )
 def _(code):  # noqa: ANN001, ANN202

@@ -172,8 +172,8 @@ def _(lists):  # noqa: ANN001, ANN202
 
 ORACLES = """SELECT match_id, CASE WHEN status BETWEEN 500 AND 599 THEN 'violation' ELSE 'pass' END AS no_500,
  CASE WHEN content_type IS NULL OR body IS NULL THEN 'skip' WHEN lower(split_part(content_type, ';', 1)) = 'text/html' AND contains(body, value) THEN 'violation' ELSE 'pass' END AS no_reflection,
- CASE WHEN body IS NULL THEN 'skip' WHEN """ + " OR ".join(f"regexp_matches(body, '{p.replace(chr(39), chr(39) * 2)}')" for p in o.DATABASE_ERRORS) + """ THEN 'violation' ELSE 'pass' END AS injection_signal,
- CASE WHEN body IS NULL THEN 'skip' WHEN """ + " OR ".join(f"regexp_matches(body, '{p}')" for p in o.STACK_TRACES) + """ THEN 'violation' ELSE 'pass' END AS sensitive_leak,
+ CASE WHEN body IS NULL THEN 'skip' WHEN regexp_matches(body, '(?i)you have an error in your SQL syntax') OR regexp_matches(body, '\\bORA-\\d{5}\\b') OR regexp_matches(body, '(?i)SQLSTATE\\[[A-Z0-9]+\\]') OR regexp_matches(body, '(?i)syntax error at or near [\\"'']') OR regexp_matches(body, '(?i)unclosed quotation mark after the character string') OR regexp_matches(body, '(?i)(?:SQL Native Client|ODBC SQL Server Driver|OLE DB Provider)') THEN 'violation' ELSE 'pass' END AS injection_signal,
+ CASE WHEN body IS NULL THEN 'skip' WHEN regexp_matches(body, '(?i)traceback \\(most recent call last\\)') OR regexp_matches(body, '(?i)stack[\\s_-]*trace') OR regexp_matches(body, '(?i)uncaught\\s+\\w*exception') OR regexp_matches(body, '\\.exs?:\\d+(?::\\d+)?') OR regexp_matches(body, '(?:ArgumentError|FunctionClauseError|CaseClauseError|KeyError):') THEN 'violation' ELSE 'pass' END AS sensitive_leak,
  CASE WHEN body IS NULL THEN 'skip' WHEN regexp_matches(regexp_replace(body, '\\x1b\\[[0-9;]*m', '', 'g'), '[\\x00-\\x08\\x0b-\\x1f\\x7f\\x{80}-\\x{9f}]') THEN 'violation' ELSE 'pass' END AS terminal_safety,
  CASE WHEN body IS NULL THEN 'skip' WHEN strlen(body) > 3000 THEN 'violation' ELSE 'pass' END AS bounded_bytes,
  CASE WHEN body IS NULL OR strlen(body) > 1048576 THEN 'skip' WHEN length(body) > 3000 THEN 'violation' ELSE 'pass' END AS bounded_codepoints FROM v_http"""
@@ -541,12 +541,12 @@ def _(calls):  # noqa: ANN001, ANN202
     return rules.calls_to(calls, "os", "cmd")
 
 
-@_query("rule_unsafe_atom", f"SELECT * FROM v_api WHERE shape = 'dynamic' AND {MFA} IN ({_listed(rules.ATOM_CALLS)})", "v_api")
+@_query("rule_unsafe_atom", f"SELECT * FROM v_api WHERE shape = 'dynamic' AND {MFA} IN ('String.to_atom/1', 'List.to_atom/1', 'Module.concat/1', 'Module.concat/2', 'erlang.list_to_atom/1', 'erlang.binary_to_atom/2')", "v_api")
 def _(calls):  # noqa: ANN001, ANN202
     return rules.unsafe_atom(calls)
 
 
-@_query("rule_unsafe_exec", f"SELECT *, CASE shape WHEN 'dynamic' THEN 'medium' ELSE 'low' END AS confidence FROM v_api WHERE {MFA} IN ({_listed(rules.EXEC_CALLS)}) OR ({MFA} = 'erlang.open_port/2' AND head IN ('spawn', 'spawn_executable'))", "v_api")
+@_query("rule_unsafe_exec", f"SELECT *, CASE shape WHEN 'dynamic' THEN 'medium' ELSE 'low' END AS confidence FROM v_api WHERE {MFA} IN ('os.cmd/1', 'os.cmd/2', 'System.shell/1', 'System.shell/2') OR ({MFA} = 'erlang.open_port/2' AND head IN ('spawn', 'spawn_executable'))", "v_api")
 def _(calls):  # noqa: ANN001, ANN202
     return rules.unsafe_exec(calls)
 
