@@ -532,10 +532,6 @@ def _(edges, roots):  # noqa: ANN001, ANN202
 MFA = "(module || '.' || fn || '/' || CAST(arity AS STRING))"
 
 
-def _listed(values: tuple[str, ...]) -> str:
-    return ", ".join(f"'{v}'" for v in values)
-
-
 @_query("calls_to", "SELECT * FROM v_api WHERE module = 'os' AND fn = 'cmd'", "v_api")
 def _(calls):  # noqa: ANN001, ANN202
     return rules.calls_to(calls, "os", "cmd")
