@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import oracles
+from ..functions import oracles, scalars
 from ..operators import contracts, correlate, facts, findings, policy, report, resolution, windows
-from ..sources import documents
+from ..sources import documents, readers
 from .queries import _query, predicates
 from .views import VIEWS
 
@@ -27,6 +27,12 @@ VIEWS |= {
     "v_mutable": "SELECT event_id AS call_id, CASE event_id % 5 WHEN 0 THEN 'Plug.Conn' WHEN 1 THEN NULL ELSE 'Html' END AS module, CASE event_id % 7 WHEN 0 THEN 'put_resp_header' WHEN 1 THEN 'sanitize_html' WHEN 2 THEN 'redact' WHEN 3 THEN 'render' ELSE 'put_resp_header' END AS function, CASE WHEN event_id % 13 = 0 THEN 0 ELSE 3 END AS arity, CASE event_id % 4 WHEN 0 THEN 'X-Frame-Options' WHEN 1 THEN 'content-security-policy' WHEN 2 THEN 'x-other' END AS header, CASE event_id % 6 WHEN 0 THEN 'verify_peer' WHEN 1 THEN 'verify_none' END AS verify, CASE event_id % 9 WHEN 0 THEN 'true' WHEN 1 THEN 'false' END AS hostname FROM {events}",
     "v_contexts": "SELECT concat('f', CAST(l_suppkey AS STRING)) AS file, CASE l_linenumber % 5 WHEN 0 THEN 'module' WHEN 1 THEN 'import' WHEN 2 THEN 'use' WHEN 3 THEN 'role' ELSE 'alias' END AS kind, CASE WHEN l_linenumber % 5 = 3 THEN concat('role', CAST(l_partkey % 3 AS STRING)) ELSE concat('M', CAST(l_partkey % 30 AS STRING)) END AS target, CASE WHEN l_linenumber % 5 = 4 AND l_partkey % 7 > 0 THEN concat('A', CAST(l_partkey % 4 AS STRING)) END AS name, l_orderkey * 8 + l_linenumber AS line FROM {lineitem}",
     "v_runs": "SELECT o_orderkey AS id, CAST(o_custkey AS STRING) AS case_id, CASE o_orderkey % 3 WHEN 0 THEN 'vulnerable' WHEN 1 THEN 'fixed' ELSE 'failure' END AS role, CASE WHEN o_orderkey % 29 = 0 THEN 'confirmed' WHEN o_orderkey % 3 = 0 THEN 'confirmed' WHEN o_orderkey % 3 = 1 THEN 'refuted' ELSE 'inconclusive' END AS verdict, concat('s', CAST(o_custkey % 5 AS STRING)) AS seed_id, CASE WHEN o_orderkey % 2 = 0 THEN array('b', 'a') ELSE array('a', 'b') END AS findings FROM {orders}",
+    "v_match_lines": "SELECT page_id, replace(concat('{~input~:{~FUZZ~:~', CASE page_id % 7 WHEN 3 THEN 'no base64!' ELSE 'dg==' END, '~},~position~:', CAST(page_id AS STRING), ',~status~:', CASE page_id % 5 WHEN 2 THEN '-1' WHEN 4 THEN '~200~' ELSE '200' END, ',~length~:4,~words~:1,~lines~:1,~duration~:1,~content-type~:~~,~redirectlocation~:~~,~url~:~http://a.test/~,~resultfile~:~~,~host~:~~', CASE page_id % 11 WHEN 0 THEN ',~scraper~:[]' WHEN 1 THEN ',~scraper~:{~a~:1}' ELSE '' END, CASE page_id % 13 WHEN 5 THEN '' ELSE '}' END), '~', chr(34)) AS value FROM {pages}".replace("{~", "OPEN~").replace("~}", "~CLOSE").replace(":1}", ":1CLOSE").replace("'}'", "'CLOSE'").replace("OPEN", "' || chr(123) || '").replace("CLOSE", "' || chr(125) || '"),
+    "v_calls_text": "SELECT event_id, concat(CASE event_id % 4 WHEN 0 THEN 'Elixir.A.B' WHEN 1 THEN 'os' WHEN 2 THEN '' ELSE 'A' END, CASE event_id % 3 WHEN 0 THEN '.run?' ELSE '.f' END, CASE event_id % 5 WHEN 0 THEN '' ELSE concat('/', CAST(event_id % 12 AS STRING)) END) AS text, CASE event_id % 3 WHEN 0 THEN 'confirmed' ELSE 'refuted' END AS verdict, event_id % 3 AS n FROM {events}",
+    "v_addresses": "SELECT CASE c_custkey % 3 WHEN 0 THEN concat('2001:DB8:0:0::', CAST(c_custkey % 40 AS STRING)) WHEN 1 THEN concat('Host', CAST(c_custkey % 40 AS STRING), '.') ELSE concat('10.0.0.', CAST(c_custkey % 40 AS STRING)) END AS ip, CASE c_custkey % 3 WHEN 0 THEN '6' WHEN 1 THEN 'h' ELSE '4' END AS kind, c_custkey % 40 AS n, c_custkey % 9 AS batch FROM {customer}",
+    "v_addresses_found": "SELECT CASE s_suppkey % 3 WHEN 0 THEN concat('2001:db8::', CAST(s_suppkey % 40 AS STRING)) WHEN 1 THEN concat('host', CAST(s_suppkey % 40 AS STRING)) ELSE concat('10.0.0.', CAST(s_suppkey % 40 AS STRING)) END AS ip, CASE s_suppkey % 3 WHEN 0 THEN '6' WHEN 1 THEN 'h' ELSE '4' END AS kind, s_suppkey % 40 AS n, CASE WHEN s_suppkey % 4 = 0 THEN 'down' ELSE 'up' END AS status FROM {supplier}",
+    "v_boundaries": "SELECT o_custkey AS matrix, o_orderkey AS scenario, o_orderkey % 9 + 1 AS events, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 9 ELSE o_orderkey % 9 + 1 END AS joined, CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE 0 END AS false_joins, o_orderkey % 30 AS candidates, o_orderkey % 5 <> 0 OR o_custkey % 7 = 0 AS supported FROM {orders}",
+    "v_timed_trials": "SELECT event_type AS mode, value > 90 AS found, user_id % 12 AS coverage, event_id % 31 AS depth, CAST(floor(value * 1000) AS BIGINT) AS time FROM {events}",
     "v_graphemes": "SELECT doc_id, concat(left(text, 12), repeat('e\u0301', CAST(doc_id % 8 AS INTEGER))) AS value FROM {documents}",
 }
 
@@ -277,3 +283,43 @@ def _(checks):  # noqa: ANN001, ANN202
     case = F.struct("case_id", F.map_from_arrays(F.array(F.lit("checks")), F.array("checks")).alias("metrics"))
     docs = cases.groupBy("report_id").agg(F.collect_list(case).alias("cases"))
     return documents.read_eval_metrics(docs.select(F.to_json(F.struct("report_id", F.when(F.col("report_id") % 2 == 0, "one").alias("runtime"), "cases")).alias("value")))
+
+
+_BAD_LINE = "page_id % 13 = 5 OR page_id % 7 = 3 OR page_id % 5 IN (2, 4) OR page_id % 11 = 0"
+
+
+@_query("read_http_matches", f"SELECT page_id AS position, 200 AS status, 'v' AS fuzz, NULL AS reason, NULL AS value FROM v_match_lines WHERE NOT ({_BAD_LINE}) UNION ALL SELECT NULL, NULL, NULL, CASE WHEN page_id % 13 = 5 THEN 'malformed JSON' ELSE 'invalid field' END, value FROM v_match_lines WHERE {_BAD_LINE}", "v_match_lines")
+def _(lines):  # noqa: ANN001, ANN202
+    good, bad = readers.http_matches(lines.select("value"))
+    return good.select("position", "status", F.decode(F.col("input")["FUZZ"], "UTF-8").alias("fuzz"), F.lit(None).cast("string").alias("reason"), F.lit(None).cast("string").alias("value")).unionByName(bad, allowMissingColumns=True)
+
+
+@_query("split_mfa", "SELECT event_id, CASE WHEN ok THEN CASE event_id % 4 WHEN 0 THEN 'Elixir.A.B' WHEN 1 THEN 'os' ELSE 'A' END END AS module, CASE WHEN ok THEN CASE event_id % 3 WHEN 0 THEN 'run?' ELSE 'f' END END AS function, CASE WHEN ok THEN event_id % 12 END AS arity FROM (SELECT *, event_id % 4 <> 2 AND event_id % 5 <> 0 AS ok FROM v_calls_text)", "v_calls_text")
+def _(calls):  # noqa: ANN001, ANN202
+    return calls.select("event_id", scalars.split_mfa(F.col("text")).alias("p")).select("event_id", "p.*")
+
+
+@_query("verdict_text", "SELECT event_id, 'tool: ' || verdict || ' (' || n || CASE WHEN n = 1 THEN ' finding)' ELSE ' findings)' END AS text FROM v_calls_text", "v_calls_text")
+def _(calls):  # noqa: ANN001, ANN202
+    return calls.select("event_id", scalars.verdict_text(F.lit("tool"), F.col("verdict"), F.col("n")).alias("text"))
+
+
+@_query(
+    "align_canonical",
+    "SELECT d.ip, d.batch, CASE WHEN d.batch = 5 THEN 'error' ELSE coalesce(h.found, 'down') END AS status, CASE WHEN d.batch = 5 THEN 'engine' WHEN h.found IS NULL THEN 'not_reported' END AS reason FROM v_addresses d LEFT JOIN (SELECT kind, n, max(status) AS found FROM v_addresses_found GROUP BY 1, 2) h ON h.kind = d.kind AND h.n = d.n",
+    "v_addresses",
+    "v_addresses_found",
+)
+def _(asked, found):  # noqa: ANN001, ANN202
+    failed = asked.where("batch = 5").select("batch", F.lit("engine").alias("error"))
+    return policy.align_enrichment(asked.select("ip", "batch"), found.select("ip", "status"), failed)
+
+
+@_query("boundary_scenarios", "SELECT matrix, scenario, events, joined, false_joins, candidates, CASE WHEN supported AND joined = events AND false_joins = 0 THEN 'holds' WHEN NOT supported AND joined < events THEN 'gap' ELSE 'failed' END AS status FROM v_boundaries", "v_boundaries")
+def _(scenarios):  # noqa: ANN001, ANN202
+    return policy.boundary_scenarios(scenarios)
+
+
+@_query("search_times", "SELECT mode, count(*) FILTER (found) AS found, count(*) AS trials, " + ", ".join(f"list_sort(list({c}))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS {c}" for c in ("coverage", "depth", "time")) + " FROM v_timed_trials GROUP BY 1", "v_timed_trials")
+def _(trials):  # noqa: ANN001, ANN202
+    return policy.search_comparison(trials, report.upper_median)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.policy import canonical_ip
 from .facts import digest_tree, meetings
 
 from ..functions.policy import KEYWORD, render_template, wire_value
@@ -148,9 +149,12 @@ def field_policy(accesses: DataFrame, paths: DataFrame, fields: DataFrame) -> Da
 
 def align_enrichment(discoveries: DataFrame, hosts: DataFrame, errors: DataFrame) -> DataFrame:
     """discoveries (ip, batch) with status and reason of the enriched host (ip, status): not reported ones are down, those of a batch (batch, error) that failed are errors."""
-    found = hosts.groupBy("ip").agg(F.max("status").alias("found"))
+    # addresses are compared in their canonical form; what is none stands for itself
+    name = lambda c: F.coalesce(canonical_ip(c)["value"], c)
+    discoveries = discoveries.withColumn("_ip", name(F.col("ip")))
+    found = hosts.groupBy(name(F.col("ip")).alias("_host")).agg(F.max("status").alias("found"))
     failed = errors.groupBy("batch").agg(F.min("error").alias("error"))
-    joined = discoveries.join(failed, "batch", "left").join(found, discoveries["ip"].eqNullSafe(found["ip"]), "left").drop(found["ip"])
+    joined = discoveries.join(failed, "batch", "left").join(found, F.col("_ip").eqNullSafe(F.col("_host")), "left")
     reason = F.when(F.col("error").isNotNull(), F.col("error")).when(F.col("found").isNull(), "not_reported")
     return joined.select("ip", "batch", F.when(F.col("error").isNotNull(), "error").otherwise(F.coalesce("found", F.lit("down"))).alias("status"), reason.alias("reason"))
 
@@ -233,6 +237,13 @@ def violation_findings(results: DataFrame) -> DataFrame:
     return bad.select(stable_id("property", F.col("property"), oracle, F.col("input")).alias("id"), stable_id("counterexample", F.col("property"), F.col("input")).alias("seed_id"), "property", oracle.alias("oracle"), "input").distinct()
 
 
+def boundary_scenarios(scenarios: DataFrame) -> DataFrame:
+    """(matrix, scenario, events, joined, false_joins, candidates, status) of scenarios (the same, and supported): a supported one holds if all its events join and none falsely, and a known gap stays open; what does neither is failed. candidates is what equal values alone would offer."""
+    holds = (F.col("joined") == F.col("events")) & (F.col("false_joins") == 0)
+    status = F.when(F.col("supported") & holds, "holds").when(~F.col("supported") & (F.col("joined") < F.col("events")), "gap").otherwise("failed")
+    return scenarios.select("matrix", "scenario", "events", "joined", "false_joins", "candidates", status.alias("status"))
+
+
 def boundary_matrix(scenarios: DataFrame) -> DataFrame:
     """(matrix, events, joined, false_joins, status) of scenarios (matrix, events, joined, false_joins, supported): partial if all supported ones hold and the known gaps stay open, else failed. Supported ones hold if all their events join and none falsely."""
     holds = (F.col("joined") == F.col("events")) & (F.col("false_joins") == 0)
@@ -283,9 +294,9 @@ def project_roles(directives: DataFrame) -> DataFrame:
 
 
 def search_comparison(trials: DataFrame, median) -> DataFrame:  # noqa: ANN001
-    """(mode, found, trials, coverage, depth) of trials (mode, found, coverage, depth): medians by `median`, which takes (mode, sample) rows."""
+    """(mode, found, trials, coverage, depth, time) of trials (mode, found, coverage, depth and, if given, time): medians by `median`, which takes (mode, sample) rows."""
     counts = trials.groupBy("mode").agg(F.count_if("found").alias("found"), F.count("*").alias("trials"))
-    for name in ("coverage", "depth"):
+    for name in [c for c in ("coverage", "depth", "time") if c in trials.columns]:
         counts = counts.join(median(trials.select("mode", F.col(name).alias("sample")), ["mode"]).withColumnRenamed("median", name), "mode", "left")
     return counts
 

@@ -17,7 +17,7 @@ def read_http_matches(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def http_matches(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines (value), of a table or a stream, as (matches, rejects): numbers are whole and not negative, texts texts, input an object of base64; blank lines are no lines."""
+    """Lines (value), of a table or a stream, as (matches, rejects): numbers are whole and not negative, texts texts, input an object of base64, scraper an object if it is there; blank lines are no lines."""
     lines = lines.where(F.trim("value") != "")
     v = F.when(F.octet_length("value") <= LINE, F.try_parse_json("value"))
     parsed = lines.withColumn("v", v)
@@ -30,6 +30,9 @@ def http_matches(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     given = F.try_variant_get("v", "$.input", "map<string,string>")
     decoded = F.transform_values(given, lambda _, x: F.try_to_binary(x, F.lit("base64")))
     ok = ok & F.coalesce(given.isNotNull() & F.forall(F.map_values(decoded), lambda x: x.isNotNull()), F.lit(False))
+    # results of a scraper, where they are given, are an object
+    scraper = F.schema_of_variant(F.try_variant_get("v", "$.scraper", "variant"))
+    ok = ok & F.coalesce(F.startswith(scraper, F.lit("OBJECT")) | (scraper == "VOID"), F.lit(True))
     reason = F.when(F.octet_length("value") > LINE, "line too long").when(F.col("v").isNull(), "malformed JSON").when(~ok, "invalid field")
     judged = parsed.withColumn("reason", reason)
     good = judged.where("reason IS NULL").select(decoded.alias("input"), *(F.try_variant_get("v", f"$['{n}']", "long").alias(n) for n in NUMBERS), *(F.try_variant_get("v", f"$['{n}']", "string").alias(n.replace("-", "_")) for n in TEXTS))
