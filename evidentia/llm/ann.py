@@ -1,11 +1,18 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
 Vectors are scaled to length one, where the Euclidean distance orders rows as the cosine
-does. Each of TABLES tables hashes a vector with WIDTH Gaussian (2-stable) projections, cut
-into cells of size CELL. A query visits its own bucket and those of PROBES - 1 perturbed
-keys, in the order of their scores: the sum of squared distances to the borders that the
-perturbation crosses, which orders them by their estimated chance of holding a neighbour.
-All candidates of the visited buckets are ranked by the exact cosine.
+does. Each table hashes a vector with Gaussian (2-stable) projections, cut into cells. A query
+visits its own bucket and those of perturbed keys, in the order of their scores: the sum of
+squared distances to the borders that the perturbation crosses, which orders them by their
+estimated chance of holding a neighbour. All candidates of the visited buckets are ranked by
+the exact cosine.
+
+How many tables, projections and probes there are, and how wide cells are, is fitted to the
+rows: the true neighbours of ASKED queries among all rows are found by brute force (one scan),
+and of the settings at hand (CELLS, TABLES, PROBES) the one that does least work is taken whose buckets hold WANTED
+of them. The share of rows visited is measured on SEEN rows. So clustered rows get narrow
+buckets and few probes, more so the more rows there are, and rows without near neighbours get
+the wide ones that they need. Every row is indexed.
 
 Buckets are processed in tasks sorted by bucket, queries before rows, and the rows arrive in
 batches; a task holds the queries of one bucket and the best rows of its queries. Buckets
@@ -17,7 +24,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
+from itertools import combinations, product
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -27,9 +35,28 @@ from pyspark.sql import types as T
 
 from .staging import staged
 
-TABLES, WIDTH, CELL, PROBES = 5, 6, 2.0, 60
+
+
+class Setting(NamedTuple):
+    """An index: tables, projections of a table, the width of a cell, and buckets that a query visits in a table."""
+
+    tables: int
+    width: int
+    cell: float
+    probes: int
+
+
+#: The settings to choose from: projections with cells, and tables and probes.
+CELLS = [(w, c) for w in (6, 8, 12, 16) for c in (0.7, 1.0, 1.4, 2.0)]
+TABLES, PROBES = (1, 2, 3, 4, 5, 6, 8), (1, 4, 16, 60, 240)
+#: Queries and rows that a setting is chosen by, and the share of true neighbours that it must hold.
+ASKED, SEEN, WANTED = 256, 4096, 0.95
+#: Comparisons of two vectors that cost as much as one row of a shuffle, about.
+MOVED = 100
+#: Perturbations of a key that are scored, at most.
+STEPS = 1000
 SEED = 11
-#: Rows of a bucket beyond which it is salted; also at least a ten-thousandth of all rows, so that the heavy buckets are TABLES * 10,000 at most and may be broadcast.
+#: Rows of a bucket beyond which it is salted; also at least a ten-thousandth of all rows of a table, so that the heavy buckets are 10,000 a table at most and may be broadcast.
 HEAVY = 20_000
 #: Queries of a bucket that a task holds, about, and queries whose best rows it holds before it hands them on.
 QUERIES, HELD = 20_000, 20_000
@@ -42,15 +69,25 @@ def valid_vector(column: str) -> F.Column:
     return F.coalesce(c.isNotNull() & (F.size(c) > 0) & finite & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
-@lru_cache(64)
-def _projections(dim: int, table: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(256)
+def _projections(dim: int, table: int, width: int, cell: float) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng((SEED, dim, table))
-    return rng.standard_normal((dim, WIDTH)), rng.uniform(0, CELL, WIDTH)
+    return rng.standard_normal((width, dim)).T, rng.uniform(0, cell, width)
 
 
-@lru_cache(1)
-def _steps() -> np.ndarray:
-    return np.array(list(product((0, -1, 1), repeat=WIDTH)), np.int64)
+@lru_cache(16)
+def _steps(width: int) -> np.ndarray:
+    """The perturbations of a key: of few cells at once where there are more than STEPS of all cells."""
+    out = []
+    for moved in range(width + 1):
+        more = [(at, by) for at in combinations(range(width), moved) for by in product((-1, 1), repeat=moved)]
+        if moved and len(out) + len(more) > STEPS:
+            break
+        out += more
+    steps = np.zeros((len(out), width), np.int64)
+    for i, (at, by) in enumerate(out):
+        steps[i, list(at)] = by
+    return steps
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -60,21 +97,22 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 
 
 def _keys(cells: np.ndarray) -> np.ndarray:
-    """One long for the cells of a table: they lie within +-512, as unit vectors' projections do for any real width."""
+    """One long for the cells of a table; cells that meet in one long share a bucket, which costs comparisons only."""
     out = np.zeros(cells.shape[:-1], np.int64)
-    for i in range(WIDTH):
-        out = out * 1024 + np.clip(cells[..., i] + 512, 0, 1023)
+    for i in range(cells.shape[-1]):
+        out = out * np.int64(6364136223846793005) + cells[..., i]
     return out
 
 
-def bucket_keys(vectors: np.ndarray, probes: int) -> np.ndarray:
-    """The keys (rows x TABLES x probes) of vectors of length one, best first."""
+def bucket_keys(vectors: np.ndarray, setting: Setting, probes: int) -> np.ndarray:
+    """The keys (rows x tables x probes) of vectors of length one, best first."""
     n, dim = vectors.shape
-    out = np.empty((n, TABLES, probes), np.int64)
-    steps = _steps()
-    for t in range(TABLES):
-        a, b = _projections(dim, t)
-        at = (vectors @ a + b) / CELL
+    steps = _steps(setting.width)
+    probes = min(probes, len(steps))
+    out = np.empty((n, setting.tables, probes), np.int64)
+    for t in range(setting.tables):
+        a, b = _projections(dim, t, setting.width, setting.cell)
+        at = (vectors @ a + b) / setting.cell
         cell = np.floor(at).astype(np.int64)
         if probes == 1:
             out[:, t, 0] = _keys(cell)
@@ -87,7 +125,7 @@ def bucket_keys(vectors: np.ndarray, probes: int) -> np.ndarray:
     return out
 
 
-def _hasher(probes: int):  # noqa: ANN202
+def _hasher(setting: Setting, probes: int):  # noqa: ANN202
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def keys(vectors: pd.Series) -> pd.Series:
         out: list = [None] * len(vectors)
@@ -95,7 +133,7 @@ def _hasher(probes: int):  # noqa: ANN202
         for i, v in enumerate(vectors):
             dims.setdefault(len(v), []).append(i)
         for at in dims.values():
-            found = bucket_keys(unit(np.stack([np.asarray(vectors[i], np.float64) for i in at])), probes)
+            found = bucket_keys(unit(np.stack([np.asarray(vectors[i], np.float64) for i in at])), setting, probes)
             for i, row in zip(at, found.reshape(len(at), -1), strict=True):
                 out[i] = row
         return pd.Series(out, dtype=object)
@@ -103,6 +141,29 @@ def _hasher(probes: int):  # noqa: ANN202
     return keys
 
 
+def weigh(width: int, cell: float, asked: np.ndarray, near: list[np.ndarray], seen: np.ndarray) -> dict[Setting, tuple[int, float, int]]:
+    """For vectors of one dimension and each number of tables and probes: the true neighbours (near, one array a query)
+    in visited buckets, the rows compared by all queries as shares of the rows seen, and the queries that
+    miss a neighbour and whose buckets hold none of the rows seen."""
+    most = Setting(max(TABLES), width, cell, max(PROBES))
+    probes, rows = bucket_keys(asked, most, most.probes), bucket_keys(seen, most, 1)[:, :, 0]
+    owner = np.repeat(np.arange(len(asked)), [len(v) for v in near])
+    keys = bucket_keys(np.concatenate(near), most, 1)[:, :, 0] if len(owner) else np.zeros((0, most.tables), np.int64)
+    first, visited = np.zeros((len(owner), most.tables), np.int64), np.zeros((len(asked), most.tables, probes.shape[2]), np.int64)
+    for t in range(most.tables):
+        met = probes[owner, t] == keys[:, t, None]
+        first[:, t] = np.where(met.any(axis=1), met.argmax(axis=1), most.probes)
+        line = np.sort(rows[:, t])
+        visited[:, t] = np.cumsum(np.searchsorted(line, probes[:, t], "right") - np.searchsorted(line, probes[:, t]), axis=1)
+    out = {}
+    for tables, p in product(TABLES, PROBES):
+        hit = (first[:, :tables] < p).any(axis=1)
+        looks = visited[:, :tables, min(p, probes.shape[2]) - 1].sum(axis=1)
+        missed = np.bincount(owner[~hit], minlength=len(asked)) > 0
+        out[Setting(tables, width, cell, p)] = int(hit.sum()), float(looks.sum()) / max(1, len(seen)), int((missed & (looks == 0)).sum())
+    return out
+
+
 def cosine(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Cosines in one order of summation, so that equal rows get equal scores."""
     return np.clip((queries * rows).sum(axis=1), -1.0, 1.0)
@@ -180,6 +241,66 @@ def _visit(rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return dealt.mapInPandas(_search(k), "query_id long, vec_id long, score double")
 
 
+def _exact(batches: Iterator[pd.DataFrame], asked: dict[int, tuple[np.ndarray, np.ndarray]], k: int) -> Iterator[pd.DataFrame]:
+    best = _Best(k)
+    for batch in batches:
+        ids, dims, given = batch["vec_id"].to_numpy(np.int64), batch["dim"].to_numpy(np.int64), batch["v"].to_numpy()
+        for dim, (names, vectors) in asked.items():
+            at = np.flatnonzero(dims == dim)
+            if not len(at):
+                continue
+            rows = unit(np.stack(given[at]).astype(np.float64))
+            near = vectors @ rows.T
+            near[names[:, None] == ids[at][None, :]] = -9
+            for i, row in enumerate(near):
+                floor = np.partition(row, -k)[-k] - 1e-9 if len(row) > k else -2.0
+                top = np.flatnonzero((row >= floor) & (row > -9))
+                if len(top):
+                    best.add(int(names[i]), ids[at[top]], cosine(vectors[i], rows[top]))
+    yield best.frame()
+
+
+def choose(rows: DataFrame, asked: DataFrame, k: int) -> tuple[Setting, float, float]:
+    """The setting for rows and queries (vec_id, v, dim), its measured recall, and the rows that a query compares as a share of all.
+
+    The queries and rows that it is chosen by are the first by a hash of the id; the recall is
+    of their true neighbours among all rows. Where no setting reaches WANTED, it is the one of most recall.
+    """
+    draw = lambda df, n: df.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(n).collect()
+    sample, seen = draw(asked, ASKED), draw(rows, SEEN)
+    total, asks = rows.count(), asked.count()
+    of_dim: dict[int, dict[int, np.ndarray]] = {}
+    for r in sample:
+        of_dim.setdefault(r["dim"], {})[r["vec_id"]] = np.asarray(r["v"], np.float64)
+    given = {d: (np.array(list(x), np.int64), unit(np.stack(list(x.values())))) for d, x in of_dim.items()}
+    if not given or not total:
+        return Setting(1, *CELLS[0], 1), 1.0, 0.0
+    found = staged(_ranked(rows.mapInPandas(lambda b: _exact(b, given, k), "query_id long, vec_id long, score double"), k), "true_neighbours")
+    ids = F.broadcast(found.select("vec_id").distinct())
+    vectors = {(r["dim"], r["vec_id"]): np.asarray(r["v"], np.float64) for r in rows.join(ids, "vec_id").groupBy("dim", "vec_id").agg(F.min("v").alias("v")).collect()}
+    mine: dict[int, list[int]] = {}
+    for r in found.select("query_id", "vec_id").orderBy("query_id", "rank").collect():
+        mine.setdefault(r[0], []).append(r[1])
+    groups, asking, wanted = [], 0, 0
+    for dim, (names, units) in given.items():
+        near = [unit(np.stack(v)) if (v := [vectors[dim, i] for i in mine.get(int(q), []) if (dim, i) in vectors]) else np.zeros((0, dim)) for q in names]
+        looked = [np.asarray(r["v"], np.float64) for r in seen if r["dim"] == dim]
+        groups.append((units, near, unit(np.stack(looked)) if looked else np.zeros((0, dim)), len(looked) / len(seen)))
+        asking, wanted = asking + len(names), wanted + sum(map(len, near))
+    weighed = []
+    for cells in CELLS:
+        sums: dict[Setting, list[float]] = {}
+        for units, near, looked, share in groups:
+            for setting, (hits, compared, short) in weigh(*cells, units, near, looked).items():
+                old = sums.get(setting, [0.0, 0.0, 0.0])
+                sums[setting] = [old[0] + hits, old[1] + compared * share, old[2] + short]
+        for setting, (hits, compared, short) in sums.items():
+            recall = hits / wanted if wanted else 1.0
+            work = asks * (compared + short) / asking * total + MOVED * setting.tables * (total + asks * setting.probes)
+            weighed.append((recall < WANTED, -recall if recall < WANTED else work, work, setting, recall, compared / asking))
+    return min(weighed, key=lambda w: w[:4])[3:]
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of vectors nearest to each row of queries, by cosine.
 
@@ -188,7 +309,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     a query with its own id; repeated ids count once, at their best score. Vectors of another
     dimension are no candidates. Ties go to the smaller id. Repeated queries are one. An empty
     table gives an empty table, and other columns are not read. A query whose buckets held fewer
-    than k rows is compared with all rows, in blocks, so it gets min(k, candidates) rows.
+    than k rows is compared with all rows, in blocks, so it gets min(k, candidates) rows. The
+    index is chosen by `choose`, from a bounded sample of the queries and all rows.
     """
     number = "float" if all(dict(df.dtypes)["embedding"] == "array<float>" for df in (vectors, queries)) else "double"
 
@@ -196,13 +318,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         return df.where(F.col("vec_id").isNotNull() & valid_vector("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{number}>").alias("v"), F.size("embedding").cast("long").alias("dim"))
 
     rows, asked = clean(vectors), clean(queries)
-    hashed = rows.withColumn("keys", _hasher(1)("v")).select("vec_id", "v", "dim", F.posexplode("keys").alias("tab", "bucket"))
-    probed = asked.withColumn("keys", _hasher(PROBES)("v")).select("vec_id", "v", "dim", F.posexplode("keys").alias("tab", "bucket")).withColumn("tab", F.floor(F.col("tab") / PROBES).cast("int"))
+    setting, _, _ = choose(rows, asked, k)
+    tables, probes = setting.tables, min(setting.probes, len(_steps(setting.width)))
+    hashed = rows.withColumn("keys", _hasher(setting, 1)("v")).select("vec_id", "v", "dim", F.posexplode("keys").alias("tab", "bucket"))
+    probed = asked.withColumn("keys", _hasher(setting, probes)("v")).select("vec_id", "v", "dim", F.posexplode("keys").alias("tab", "bucket")).withColumn("tab", F.floor(F.col("tab") / probes).cast("int"))
     counts = staged(hashed.groupBy("dim", "tab", "bucket").agg(F.count("*").alias("n")), "buckets")
     total = counts.agg(F.sum("n")).first()[0] or 0
     on = ["dim", "tab", "bucket"]
     asks = probed.groupBy(*on).agg(F.count("*").alias("asks"))
-    most, many = (max(own, n // (TABLES * 10_000)) for own, n in ((HEAVY, total), (QUERIES, asked.count() * TABLES * PROBES)))
+    most, many = (max(own, n // (tables * 10_000)) for own, n in ((HEAVY, total), (QUERIES, asked.count() * tables * probes)))
     heavy = counts.join(asks, on).where((F.col("n") > most) | (F.col("asks") > many)).select(*on, F.ceil(F.col("n") / HEAVY).cast("int").alias("salts"), F.ceil(F.col("asks") / QUERIES).cast("int").alias("parts"))
     heavy = staged(heavy, "heavy")
     rows_in, queries_in = F.coalesce("salts", F.lit(1)), F.coalesce("parts", F.lit(1))
@@ -214,7 +338,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     short = asked.join(found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
     left = short.count()
     if left:
-        blocks, parts = (F.lit(max(1, -(-n // own))) for n, own in ((total, TABLES * HEAVY), (left, QUERIES)))
+        blocks, parts = (F.lit(max(1, -(-n // own))) for n, own in ((total, tables * HEAVY), (left, QUERIES)))
         where = {"tab": F.lit(0), "bucket": F.lit(0).cast("long")}
         every = rows.withColumns(where | {"salt": part(blocks)}).withColumn("ask", each(parts))
         asks = short.withColumns(where | {"ask": part(parts)}).withColumn("salt", each(blocks))

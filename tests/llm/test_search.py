@@ -25,6 +25,40 @@ def test_neighbours_reach_brute_force(spark):
     assert hit / 40 >= 0.9
 
 
+def test_near_rows_need_few_visits(spark):
+    rng = np.random.default_rng(3)
+    shares = {}
+    for n in (2000, 20_000):
+        x = np.repeat(ann.unit(rng.standard_normal((n // 100, 64))), 100, axis=0) + 0.02 * rng.standard_normal((n, 64))
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        queries = df.where("vec_id % 50 = 0")
+        clean = lambda d: d.selectExpr("vec_id", "embedding v", "64L dim")
+        _, recall, shares[n] = ann.choose(clean(df), clean(queries), 5)
+        assert recall >= ann.WANTED
+        got = ann.nearest(df, queries, 5).toPandas()
+        u, hit = ann.unit(x), 0
+        for q, found in got.groupby("query_id"):
+            s = u @ u[q]
+            s[q] = -9
+            hit += len(set(np.argsort(-s)[:5]) & set(found.vec_id))
+        assert len(got) == n // 10 and hit / len(got) >= 0.9
+    assert shares[20_000] <= 0.1 and shares[20_000] < shares[2000]
+
+
+def test_weights_of_settings_are_counts():
+    rng = np.random.default_rng(4)
+    asked, seen = ann.unit(rng.standard_normal((7, 16))), ann.unit(rng.standard_normal((60, 16)))
+    near = [ann.unit(asked[i] + 0.3 * rng.standard_normal((i % 3, 16))) if i % 3 else np.zeros((0, 16)) for i in range(7)]
+    for setting, (hits, compared, short) in ann.weigh(8, 1.4, asked, near, seen).items():
+        look = lambda v: ann.bucket_keys(v, setting, 1)[:, :, 0]
+        probes = [[set(p) for p in q] for q in ann.bucket_keys(asked, setting, setting.probes).tolist()]
+        held = lambda q, v: [sum(k in p for k, p in zip(row, probes[q], strict=True)) for row in look(v).tolist()] if len(v) else []
+        found = [[n > 0 for n in held(q, near[q])] for q in range(7)]
+        looks = [sum(held(q, seen)) for q in range(7)]
+        assert hits == sum(map(sum, found)) and abs(compared - sum(looks) / 60) < 1e-9
+        assert short == sum(not all(f) and n == 0 for f, n in zip(found, looks, strict=True))
+
+
 def test_neighbours_of_odd_rows(spark):
     df = table(spark, [[1, 0], [1, 0], [2, 0], [0, 0], None, [float("nan"), 1], [None, 1], [0, 1], [1, 2, 3]])
     got = [tuple(r)[:3] for r in ann.nearest(df, df, 5).where("query_id in (0, 3, 4, 8)").orderBy("query_id", "rank").collect()]
