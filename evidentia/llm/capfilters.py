@@ -11,7 +11,9 @@ The code's size follows from the largest label's number of vectors: a filter hol
 vectors of it on average. A vector has LISTED filters, or more where pairs at the very bound,
 drawn at random and decoded with the code at hand, share a filter in less than RECALL of the
 cases. Pairs above the bound are found more often. The draw is of the code's rotation, so the
-recall does not hang on how the vectors lie. Where no list reaches it, all pairs are compared.
+recall does not hang on how the vectors lie. Where no list reaches it, as in few dimensions,
+filters hold more vectors, and of the codes that reach it the one that compares least is taken;
+all pairs are compared only where each code would compare half of them or more.
 
 Equal vectors are one row with a multiplicity. A task reads the buckets that it holds one after
 the other. The members of a bucket, or CHUNK of them where there are more, are compared with
@@ -56,6 +58,14 @@ def _code(dim: int, words: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return rotation, books
 
 
+def _top(sums: np.ndarray, most: int) -> np.ndarray:
+    """Where the largest sums of each row are, falling."""
+    if sums.shape[1] <= most:
+        return np.argsort(-sums, axis=1, kind="stable")
+    at = np.argpartition(-sums, most - 1, axis=1)[:, :most]
+    return np.take_along_axis(at, np.argsort(-np.take_along_axis(sums, at, 1), axis=1, kind="stable"), 1)
+
+
 def decode(vectors: np.ndarray, words: int, listed: int) -> np.ndarray:
     """The sorted filters of each vector: the `listed` best directions, or one for all if there are no more."""
     rotation, books = _code(vectors.shape[1], words)
@@ -66,19 +76,19 @@ def decode(vectors: np.ndarray, words: int, listed: int) -> np.ndarray:
     for part in np.array_split(vectors, -(-len(vectors) // 1024) or 1):
         sums = [t @ b.T for t, b in zip(np.split(part @ rotation, BLOCKS, axis=1), books, strict=True)]
         sides = [(x[:, :, None] + y[:, None, :]).reshape(len(part), -1) for x, y in (sums[:2], sums[2:])]
-        left, right = (np.argsort(-x, axis=1, kind="stable")[:, :listed] for x in sides)
+        left, right = (_top(x, listed) for x in sides)
         x, y = (np.take_along_axis(s, o, 1) for s, o in zip(sides, (left, right), strict=True))
         # a sum of ranks i and j has (i + 1) * (j + 1) - 1 sums that are no less
         i, j = np.nonzero(np.outer(np.arange(1, x.shape[1] + 1), np.arange(1, y.shape[1] + 1)) <= listed)
-        best = np.argsort(-(x[:, i] + y[:, j]), axis=1, kind="stable")[:, :listed]
+        best = _top(x[:, i] + y[:, j], listed)
         out.append(np.sort(np.take_along_axis(left[:, i], best, 1) * half + np.take_along_axis(right[:, j], best, 1), axis=1))
     return np.concatenate(out)
 
 
-def recall(dim: int, words: int, listed: int, cosine: float) -> float:
+def recall(dim: int, words: int, listed: int, cosine: float, pairs: int = PAIRS) -> float:
     """The share of random pairs at this cosine that have a filter in common."""
     rng = np.random.default_rng((SEED, dim))
-    x, z = unit(rng.standard_normal((PAIRS, dim))), rng.standard_normal((PAIRS, dim))
+    x, z = unit(rng.standard_normal((pairs, dim))), rng.standard_normal((pairs, dim))
     z -= (z * x).sum(axis=1, keepdims=True) * x
     y = unit(cosine * x + np.sqrt(max(0.0, 1 - cosine * cosine)) * unit(z)) if dim > 1 else x
     a, b = decode(x, words, listed), decode(y, words, listed)
@@ -88,13 +98,21 @@ def recall(dim: int, words: int, listed: int, cosine: float) -> float:
 @lru_cache(256)
 def code_size(vectors: int, dim: int, cosine: float) -> tuple[int, int]:
     """Codewords of a block, and the filters of a vector that reach RECALL; (1, 1) compares all pairs."""
-    share, listed = min(0.25, OCCUPANCY / max(1, vectors)), LISTED
-    while listed / share <= max(DIRECTIONS, 4 * LISTED / share):
-        words = max(2, round((listed / share) ** (1 / BLOCKS)))
-        if recall(dim, words, listed, cosine) >= RECALL:
-            return words, listed
-        listed += listed // 2
-    return 1, 1
+    first = share = min(0.25, OCCUPANCY / max(1, vectors))
+    found = [(0.5, 1, 1)]
+    while share <= 0.25:
+        listed = LISTED if share == first else LISTED // 4
+        most = max(DIRECTIONS, 4 * LISTED / share) if share == first else 4 * LISTED / share
+        while listed / share <= most:
+            words = max(2, round((listed / share) ** (1 / BLOCKS)))
+            if recall(dim, words, listed, cosine, PAIRS // 8) >= RECALL - 0.02 and recall(dim, words, listed, cosine) >= RECALL:
+                if share == first:
+                    return words, listed
+                found.append((listed * listed / words**BLOCKS, words, listed))
+                break
+            listed += listed // 2
+        share *= 2
+    return min(found)[1:]
 
 
 class _Bucket:

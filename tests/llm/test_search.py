@@ -176,3 +176,23 @@ def test_every_vector_has_as_many_filters():
             least = -np.sort(-every, axis=1)[:, listed - 1]
             assert got.shape == (500, listed) and (np.take_along_axis(every, got, 1) >= least[:, None] - 1e-9).all()
             assert (np.diff(got, axis=1) > 0).all() and capfilters.recall(dim, words, listed, 0.98) >= 0.999
+
+
+def test_cap_filters_in_few_dimensions(spark, monkeypatch):
+    for dim, most in ((8, 0.3), (12, 0.01)):
+        words, listed = capfilters.code_size(1_000_000, dim, 0.98)
+        assert capfilters.recall(dim, words, listed, 0.98) >= capfilters.RECALL
+        assert listed**2 / words**capfilters.BLOCKS <= most
+    code = capfilters.code_size(1_000_000, 8, 0.98)
+    monkeypatch.setattr(capfilters, "code_size", lambda *_: code)
+    rng = np.random.default_rng(12)
+    x = ann.unit(rng.standard_normal((1500, 8)))
+    side = rng.standard_normal((500, 8))
+    side = ann.unit(side - (side * x[:500]).sum(axis=1, keepdims=True) * x[:500])
+    x = np.concatenate((x, 0.981 * x[:500] + np.sqrt(1 - 0.981**2) * side))
+    got = {r.vec_id: r.n_links for r in capfilters.near_vectors(table(spark, x)).collect()}
+    u = ann.unit(x.astype(np.float32).astype(float))
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    assert near[np.arange(500), np.arange(1500, 2000)].all()
+    assert sum(got.values()) >= 0.995 * near.sum() and all(got[i] <= n for i, n in enumerate(near.sum(axis=1)))
