@@ -144,16 +144,22 @@ def hosts_from_xml(elements: DataFrame) -> DataFrame:
     depth, scalar_bytes). ip is the last address of IP kind, hostname the first name, statuses
     other than up and down are unknown, numbers that are none are null, CPEs are trimmed.
     """
-    told = _host_rows(elements)
+    # parsing is most of the work: it is done once, by all tasks, however few files the elements come from
+    tasks = int(elements.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = _host_rows(staged(_parsed(elements.repartition(tasks, F.xxhash64("document", "value"))), "elements"))
     broken = told.where("malformed").select("document").distinct()
     return told.join(broken, told["document"].eqNullSafe(broken["document"]), "left_anti").drop("malformed")
 
 
-def _host_rows(elements: DataFrame) -> DataFrame:
+def _parsed(elements: DataFrame) -> DataFrame:
+    return elements.select("document", "value", F.from_xml("value", XML, {"columnNameOfCorruptRecord": "_bad"}).alias("h"))
+
+
+def _host_rows(parsed: DataFrame) -> DataFrame:
     values = F.regexp_extract_all("value", F.lit(_VALUE), F.lit(1))
     sizes = F.transform(values, F.octet_length)
-    x = elements.select(
-        "document", "value", F.from_xml("value", XML, {"columnNameOfCorruptRecord": "_bad"}).alias("h"), F.octet_length("value").cast("long").alias("bytes"),
+    x = parsed.select(
+        "document", "h", F.octet_length("value").cast("long").alias("bytes"),
         F.regexp_count("value", F.lit("<[A-Za-z_]")).cast("long").alias("elements"), F.regexp_count("value", F.lit(r"<(?:table|elem)[\s>/]")).cast("long").alias("script_nodes"),
         F.aggregate(sizes, F.lit(0).cast("long"), lambda n, k: n + k).alias("text_bytes"), _depth(F.col("value")).cast("long").alias("depth"), F.coalesce(F.array_max(sizes), F.lit(0)).cast("long").alias("scalar_bytes"),
     )
@@ -211,7 +217,7 @@ def xml_documents(pieces: DataFrame, root: str = "nmaprun") -> tuple[DataFrame,
     p = p.withColumn("text", text).withColumn("bad_text", (F.trim("between") != "") & (F.col("text").isNull() | F.col("text._bad").isNotNull()))
     p = p.withColumn("begins", F.col("host") != "")
     elements = p.where("begins").select("document", F.concat("host", F.lit("</host>")).alias("value"))
-    told = staged(_host_rows(elements), "hosts")
+    told = staged(_host_rows(_parsed(elements)), "hosts")
     forms = p.groupBy("document").agg(F.count_if("opens").alias("opens"), F.count_if("ends").alias("ends"), F.count_if((F.col("ends") == F.col("begins")) | F.col("bad_head") | F.col("bad_end") | F.col("bad_text")).alias("bad"))
     broken = told.where("malformed").select("document", F.lit(True).alias("broken")).distinct()
     reason = F.when(F.col("ends") == 0, "truncated").when((F.col("opens") != 1) | (F.col("ends") != 1) | (F.col("bad") > 0) | F.col("broken"), "malformed")
