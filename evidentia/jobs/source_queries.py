@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import policy as p
 from ..sources import documents as d
 from ..sources import readers
+from ..staging import staged
 from .queries import _query
 from .views import VIEWS
 
@@ -45,7 +46,7 @@ def _(docs):  # noqa: ANN001, ANN202
 def _(xml):  # noqa: ANN001, ANN202
     ports = F.transform("ports", lambda p: F.struct(*(p[c].alias(c) for c in ("port", "protocol", "state", "service"))))
     hosts = d.hosts_from_xml(xml).select("document", "ip", "hostname", "status", "reason", ports.alias("ports"))
-    text = d.write_hosts_json(hosts, ["document"], 7)
+    text = staged(d.write_hosts_json(hosts, ["document"], 7), "documents")
     back, _rejects = d.read_hosts_json(text.select("value"))
     named = back.join(hosts.select("hostname", "document").distinct(), "hostname")
     told = named.groupBy("document").agg(F.count("*").alias("hosts"), F.sum(F.size("ports")).alias("n_ports"))
