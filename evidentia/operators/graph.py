@@ -18,24 +18,32 @@ def graph_edges(facts: DataFrame) -> DataFrame:
     return facts.select(F.col("subject").alias("from"), to.alias("to"), F.col("kind").alias("relation"))
 
 
-def graph_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, direction: str = "out") -> DataFrame:
-    """(root, node, depth): the nodes within `depth` steps of each root, at their least depth.
+#: Rows of a frontier that each task may hold: the edges are not shuffled for it.
+FEW = 100_000
+
+
+def graph_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, direction: str = "out", ends: DataFrame | None = None) -> DataFrame:
+    """(root, node, depth): the nodes within `depth` steps of each root, at their least depth; if given, only those of ends (node).
 
     Each level joins the frontier with the edges on its node, a key that adaptive execution
     splits where a node is a hub, and drops what the root has seen. A level is one shuffle of
-    the frontier; edges are made distinct once.
+    the frontier, and one of the edges unless the frontier is counted and small; edges are made
+    distinct once. The last level takes the edges to ends alone.
     """
     step = edges.select(F.col("from").alias("node"), F.col("to").alias("next")) if direction == "out" else edges.select(F.col("to").alias("node"), F.col("from").alias("next"))
-    step = staged(step.distinct(), "steps")
+    step = staged(step.where("node IS NOT NULL").distinct(), "steps")
     seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier = seen
+    frontier, n = seen, None
     for d in range(1, depth + 1):
-        found = frontier.join(step, "node").select("root", F.col("next").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
+        last = step if ends is None or d < depth else step.join(ends.select(F.col("node").alias("next")).distinct(), "next", "left_semi")
+        near = frontier.select("root", "node") if n is None or n > FEW else F.broadcast(frontier.select("root", "node"))
+        found = near.join(last, "node").select("root", F.col("next").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
         frontier = staged(found.withColumn("depth", F.lit(d)), "frontier")
         seen = seen.union(frontier)
-        if frontier.isEmpty():
+        n = frontier.count()
+        if n == 0:
             break
-    return seen
+    return seen if ends is None else seen.join(ends.select("node").distinct(), "node", "left_semi").select("root", "node", "depth")
 
 
 @dataclass(frozen=True)
@@ -138,5 +146,13 @@ def bounded_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, most_nodes
 
 
 def sink_reach(edges: DataFrame, roots: DataFrame, sinks: DataFrame, depth: int = 3) -> DataFrame:
-    """(root, node, depth) of the sinks (node) that a root reaches."""
-    return graph_slice(edges, roots, depth).join(sinks.distinct(), "node", "left_semi")
+    """(root, node, depth) of the sinks (node) that a root reaches.
+
+    Searched from the side that has fewer ends: a node is then held once for each of them, and not
+    once for each root whose way leads over it.
+    """
+    roots, sinks = staged(roots.select("root").distinct(), "roots"), staged(sinks.select("node").distinct(), "sinks")
+    if sinks.count() >= roots.count():
+        return graph_slice(edges, roots, depth, ends=sinks)
+    back = graph_slice(edges, sinks.select(F.col("node").alias("root")), depth, "in", roots.select(F.col("root").alias("node")))
+    return back.select(F.col("node").alias("root"), F.col("root").alias("node"), "depth")
