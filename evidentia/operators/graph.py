@@ -86,23 +86,28 @@ def bounded_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, most_nodes
     past most_nodes, edges to new nodes are left out and others are still taken. Nodes at the
     last depth are looked at, and max_depth is a reason if one has an edge that is not held. A hub
     is cut at most_work edges before any join. Edges without an end are left out.
+
+    A root's state, its sums with the nodes and edges that it holds, is one row, as the bounds keep
+    it small. What is looked at meets it by the root, and all windows are within the root: a level
+    is one shuffle of the frontier and one of what is looked at.
     """
     bounds = Bounds(most_nodes, most_edges, most_work, most_bytes)
     step = staged(_adjacent(edges, direction, relations, bounds.work + 1), "steps")
     degrees = step.groupBy("node").agg(F.max("place").alias("degree"))
     wanted = roots.where(F.col("root").isNotNull()).select("root").distinct()
     zero = F.lit(0).cast("long")
-    sums = staged(wanted.select("root", (zero + 1).alias("nodes"), zero.alias("edges"), zero.alias("work"), (_text_size("root") + 1).alias("bytes")), "sums")
+    nothing = F.array().cast("array<string>")
+    sums = staged(wanted.select("root", (zero + 1).alias("nodes"), zero.alias("edges"), zero.alias("work"), (_text_size("root") + 1).alias("bytes"), F.array("root").alias("seen"), nothing.alias("held")), "sums")
     frontier = sums.select("root", F.col("root").alias("node"), zero.alias("turn"))
-    seen, held, levels, reasons = frontier.select("root", "node"), None, [], []
-    line, turns = Window.partitionBy("root").orderBy("turn", "edge"), Window.partitionBy("root").orderBy("turn")
+    levels, reasons = [], []
+    # a node's edges are numbered by their ids
+    line, turns = Window.partitionBy("root").orderBy("turn", "place"), Window.partitionBy("root").orderBy("turn")
     upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for d in range(1, depth + 2):
         # nodes whose edges stand behind the last that a root may look at are not opened at all
-        opened = frontier.join(degrees, "node").join(sums, "root").withColumn("left", F.lit(bounds.work + 1) - F.col("work") - (F.sum("degree").over(turns) - F.col("degree")))
-        each = opened.where(F.col("left") > 0).join(step, "node").where("place <= left").withColumn("step", F.row_number().over(line))
-        each = each.join(seen.select("root", F.col("node").alias("next"), F.lit(True).alias("known")), ["root", "next"], "left")
-        each = each.join(held, ["root", "edge"], "left") if held is not None else each.withColumn("kept", F.lit(None).cast("boolean"))
+        opened = frontier.join(degrees, "node").join(sums.select("root", "work"), "root").withColumn("left", F.lit(bounds.work + 1) - F.col("work") - (F.sum("degree").over(turns) - F.col("degree")))
+        each = opened.where(F.col("left") > 0).select("root", "node", "turn", "left").join(step, "node").where("place <= left").drop("left", "node")
+        each = each.join(sums, "root").withColumns({"known": F.when(F.array_contains("seen", F.col("next")), True), "kept": F.when(F.array_contains("held", F.col("edge")), True)}).drop("seen", "held").withColumn("step", F.row_number().over(line))
         # of an edge that both its ends open now, the first time counts
         again = F.row_number().over(Window.partitionBy("root", "edge", "wanted").orderBy("step")) > 1
         asked = F.col("wanted") & F.col("kept").isNull()
@@ -125,17 +130,17 @@ def bounded_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, most_nodes
         full = F.col("asked") & (F.col("n_edges") - F.col("taken") >= bounds.edges)
         met = F.when(F.col("n_work") > bounds.work, "max_work").when(full, "max_edges").when(F.col("n_bytes") > bounds.bytes, "max_bytes")
         stops = F.first(F.when(met.isNotNull(), F.struct("step", met.alias("reason"))), ignorenulls=True).over(upto)
-        level = staged(each.withColumn("stop", stops).where("stop IS NULL OR stop.step = step").select("root", "step", "edge", "from", "to", "relation", "next", "taken", "first", F.coalesce("shut", F.lit(False)).alias("shut"), "n_edges", "n_bytes", "n_work", "n_nodes", F.col("stop.reason").alias("stop")), "level").withColumn("depth", F.lit(d))
+        each = each.withColumns({"shut": F.coalesce("shut", F.lit(False)), "stop": stops, "end": F.lead("step").over(line).isNull()}).withColumn("shuts", F.sum(F.col("shut").cast("int")).over(upto))
+        # of what was looked at and not taken, the first that was shut out and the last say all
+        told = (F.col("taken") == 1) | F.col("stop").isNotNull() | F.col("end") | F.col("shut") & (F.col("shuts") == 1)
+        level = staged(each.where("stop IS NULL OR stop.step = step").where(told).select("root", "step", "edge", "from", "to", "relation", "next", "taken", "first", "shut", "n_edges", "n_bytes", "n_work", "n_nodes", F.col("stop.reason").alias("stop")), "level").withColumn("depth", F.lit(d))
         good = level.where("stop IS NULL")
         reasons += [level.where("stop IS NOT NULL").select("root", F.col("stop").alias("reason")), good.where("shut").select("root", F.lit("max_nodes").alias("reason"))]
         levels.append(good.where("taken = 1").select("root", "edge", "from", "to", "relation", "depth"))
         # the edge at which the work ends was not looked at, one at which another bound was met was
-        gained = level.groupBy("root").agg(*(F.max(F.when(F.col("stop").isNull(), F.col(f"n_{c}"))).alias(f"m_{c}") for c in ("nodes", "edges", "bytes")), F.max(F.when(F.col("stop").isNull() | (F.col("stop") != "max_work"), F.col("n_work"))).alias("m_work"))
-        sums = staged(sums.join(gained, "root", "left").select("root", *(F.coalesce(f"m_{c}", c).alias(c) for c in ("nodes", "edges", "work", "bytes"))), "sums")
-        now = levels[-1].select("root", "edge", F.lit(True).alias("kept"))
-        held = now if held is None else held.union(now)
+        gained = level.groupBy("root").agg(*(F.collect_list(F.when(F.col("stop").isNull() & (F.col(flag) == 1), F.col(c))).alias(f"m_{name}") for name, flag, c in (("seen", "first", "next"), ("held", "taken", "edge"))), *(F.max(F.when(F.col("stop").isNull(), F.col(f"n_{c}"))).alias(f"m_{c}") for c in ("nodes", "edges", "bytes")), F.max(F.col("n_work") - (F.coalesce("stop", F.lit("")) == "max_work").cast("int")).alias("m_work"))
+        sums = staged(sums.join(gained, "root", "left").select("root", *(F.coalesce(f"m_{c}", c).alias(c) for c in ("nodes", "edges", "work", "bytes")), *(F.concat(c, F.coalesce(f"m_{c}", nothing)).alias(c) for c in ("seen", "held"))), "sums")
         reached = good.where("first = 1")
-        seen = seen.union(reached.select("root", F.col("next").alias("node")))
         frontier = reached.join(level.where("stop IS NOT NULL").select("root"), "root", "left_anti").select("root", F.col("next").alias("node"), F.col("step").cast("long").alias("turn"))
         if frontier.isEmpty():
             break

@@ -57,3 +57,17 @@ def test_sinks_are_searched_from_the_fewer_side(spark, monkeypatch):
     other = graph.sink_reach(edges, sinks.select(F.col("node").alias("root")), roots.select(F.col("root").alias("node")), 3)
     assert sorted(map(tuple, other.select("root", "node", "depth").collect())) == [("s", "c1", 1), ("s", "s", 0)]
     assert ways == ["in", "out"]
+
+
+def test_levels_of_slices_hold_what_was_taken(spark, monkeypatch):
+    sizes, plain = {}, graph.staged
+    def kept(df, name):
+        out = plain(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+    monkeypatch.setattr(graph, "staged", kept)
+    # a hub whose edges lead to nodes beyond the bound: all are looked at, and neither written nor lost from the counts
+    edges = spark.createDataFrame([("hub", f"n{i:03d}") for i in range(200)] + [("r", "hub")], "from string, to string")
+    parts, told = graph.bounded_slice(edges, spark.createDataFrame([("r",)], "root string"), 2, 5, 90, 150)
+    assert parts.count() == 4 and [tuple(x) for x in told.select("nodes", "edges", "work", "reasons").collect()] == [(5, 4, 150, ["max_nodes", "max_work"])]
+    assert max(sizes["level"]) <= 6
