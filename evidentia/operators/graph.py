@@ -18,30 +18,52 @@ def graph_edges(facts: DataFrame) -> DataFrame:
     return facts.select(F.col("subject").alias("from"), to.alias("to"), F.col("kind").alias("relation"))
 
 
-#: Rows of a frontier that each task may hold: the edges are not shuffled for it.
-FEW = 100_000
+#: Rows of a frontier, or edges of its nodes, that each task may hold: the other side is not shuffled for them.
+FEW = 400_000
+
+
+def _led(frontier: DataFrame, step: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """frontier and step for their join: a side that is counted and small is broadcast, and only edges of a frontier's nodes are kept where these are few."""
+    # the estimate only says whether nodes are worth a count
+    n, nodes = frontier.agg(F.count("*"), F.approx_count_distinct("node")).first()
+    if n <= FEW:
+        return F.broadcast(frontier), step
+    if nodes <= FEW:
+        at = staged(frontier.select("node").distinct(), "nodes")
+        if at.count() <= FEW:
+            step = staged(step.join(F.broadcast(at), "node", "left_semi"), "near")
+            if step.count() <= FEW:
+                return frontier, F.broadcast(step)
+    return frontier, step
 
 
 def graph_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, direction: str = "out", ends: DataFrame | None = None) -> DataFrame:
     """(root, node, depth): the nodes within `depth` steps of each root, at their least depth; if given, only those of ends (node).
 
     Each level joins the frontier with the edges on its node, a key that adaptive execution
-    splits where a node is a hub, and drops what the root has seen. A level is one shuffle of
-    the frontier, and one of the edges unless the frontier is counted and small; edges are made
-    distinct once. The last level takes the edges to ends alone.
+    splits where a node is a hub, and drops what the root has seen. The first level has nothing
+    to drop but the root, as its edges are distinct. A level is one shuffle of the pairs that it
+    finds, and one of frontier and edges unless one of them is counted and small: many roots
+    that meet in few nodes are not sent to those nodes. Edges are made distinct once. The last
+    level takes the edges to ends alone and is not written.
     """
     step = edges.select(F.col("from").alias("node"), F.col("to").alias("next")) if direction == "out" else edges.select(F.col("to").alias("node"), F.col("from").alias("next"))
     step = staged(step.where("node IS NOT NULL").distinct(), "steps")
     seen = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier, n = seen, None
+    frontier = seen
     for d in range(1, depth + 1):
         last = step if ends is None or d < depth else step.join(ends.select(F.col("node").alias("next")).distinct(), "next", "left_semi")
-        near = frontier.select("root", "node") if n is None or n > FEW else F.broadcast(frontier.select("root", "node"))
-        found = near.join(last, "node").select("root", F.col("next").alias("node")).distinct().join(seen, ["root", "node"], "left_anti")
-        frontier = staged(found.withColumn("depth", F.lit(d)), "frontier")
+        near, last = (frontier, last) if d == 1 else _led(frontier.select("root", "node"), last)
+        found = near.join(last, "node").select("root", F.col("next").alias("node"))
+        if d == 1:
+            found = found.where(~F.col("node").eqNullSafe(F.col("root")))
+        else:
+            found = found.distinct().join(seen, ["root", "node"], "left_anti")
+        frontier = found.withColumn("depth", F.lit(d))
+        if d < depth:
+            frontier = staged(frontier, "frontier")
         seen = seen.union(frontier)
-        n = frontier.count()
-        if n == 0:
+        if d < depth and frontier.isEmpty():
             break
     return seen if ends is None else seen.join(ends.select("node").distinct(), "node", "left_semi").select("root", "node", "depth")
 

@@ -1,6 +1,9 @@
 from collections import defaultdict
 
+import pytest
+
 import __spark_entry__ as entry
+from evidentia.operators import graph
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +42,31 @@ def test_slices_reach_over_every_order_and_line(spark):
     assert got(spark, "sink_reach") == sorted(x for x in reached(pairs, roots, 4) if x[1].startswith("r"))
     back = {(b, a) for a, b in pairs}
     assert got(spark, "callers") == sorted(reached(back, {b for _, b in pairs if b.startswith("n")}, 2))
+
+
+@pytest.mark.parametrize("few", [0, 12, 1000])
+def test_the_last_level_is_not_written_and_few_nodes_bring_their_edges_alone(spark, monkeypatch, few):
+    sizes, plain = {}, graph.staged
+
+    def kept(df, name):
+        out = plain(df, name)
+        sizes.setdefault(name, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "staged", kept)
+    monkeypatch.setattr(graph, "FEW", few)
+    roots = [f"c{i}" for i in range(20)]
+    pairs = [(r, f"m{i % 5 + j}") for i, r in enumerate(roots) for j in range(3)] + [(f"m{i}", f"h{i % 2}") for i in range(7)]
+    pairs += [("h0", "e"), ("h1", "h1"), ("h1", "c3"), ("c3", "c3"), ("m2", "c1"), ("c1", "c2")] + [(f"z{i}", f"z{i + 1}") for i in range(50)]
+    frame = spark.createDataFrame([*pairs, *pairs, (None, "c1")], '"from" string, "to" string'.replace('"', "`"))
+    for depth in (0, 1, 2, 3, 6):
+        sizes.clear()
+        got = graph.graph_slice(frame, spark.createDataFrame([(r,) for r in [*roots, "c1"]], "root string"), depth)
+        assert sorted(map(tuple, got.collect())) == sorted(reached(set(pairs), roots, depth))
+        assert len(sizes.get("frontier", [])) == max(depth - 1, 0)
+        # nodes that many roots reach bring their edges to the frontier, and no others
+        assert all(n <= 12 for n in sizes.get("near", [])) and ("near" in sizes) == (few == 12 and depth > 1)
+    ends = spark.createDataFrame([("h0",), ("c1",), ("h0",)], "node string")
+    for depth in (1, 3):
+        got = graph.graph_slice(frame, spark.createDataFrame([(r,) for r in roots], "root string"), depth, ends=ends)
+        assert sorted(map(tuple, got.collect())) == sorted(x for x in reached(set(pairs), roots, depth) if x[1] in ("h0", "c1"))
