@@ -8,8 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import staged
-from .scan import numbered
+from ..staging import bucketed, staged
 
 
 def graph_edges(facts: DataFrame) -> DataFrame:
@@ -82,20 +81,52 @@ def _text_size(column: str) -> Column:
     return F.octet_length(F.to_json(F.struct(F.col(column).alias("n")))).cast("long") - 6
 
 
-def _adjacent(edges: DataFrame, direction: str, relations: tuple[str, ...] | None, most: int) -> DataFrame:
-    """(node, next, edge, from, to, relation, wanted, weight, place): each node's edges, numbered by their ids, `most` of them at most; a loop is one of them."""
+#: Edges of the nodes of one bucket, and edges that the roots of one bucket may look at, about.
+BUCKET, LOOKS = 1_000_000, 4_000_000
+
+
+def _adjacent(edges: DataFrame, direction: str, relations: tuple[str, ...] | None, most: int, buckets: int) -> DataFrame:
+    """(node, degree, entries) in buckets of nodes: how many edges a node has, `most` at most and the first by their ids, and those of the relations asked for with their place among them. A loop is one edge.
+
+    A hub is cut within each part of the edges before these are dealt by their nodes.
+    """
     named = edges if "relation" in edges.columns else edges.withColumn("relation", F.lit(None).cast("string"))
-    named = named.select("from", "to", "relation").distinct()
-    if "edge" in edges.columns:
-        named = edges.withColumns({} if "relation" in edges.columns else {"relation": F.lit(None).cast("string")}).groupBy("edge").agg(F.min(F.struct("from", "to", "relation")).alias("e")).select("edge", "e.*")
-    else:
+    if "edge" not in edges.columns:
         named = named.withColumn("edge", F.to_json(F.struct("from", "to", "relation")))
+    salt = F.pmod(F.xxhash64("edge"), F.lit(4 * buckets))
+    dealt = named.select("edge", "from", "to", "relation").repartition(buckets, salt).select("edge", F.struct("from", "to", "relation").alias("e"), salt.alias("salt"))
+    once = dealt.groupBy("salt", "edge").agg(F.min("e").alias("e")).select("salt", "edge", "e.*").where(F.col("from").isNotNull() & F.col("to").isNotNull())
+    side = lambda node, next_: F.struct(F.col(node).alias("node"), F.col(next_).alias("next"), F.lit(node == "from").alias("forward"))
+    sides = {"out": F.array(side("from", "to")), "in": F.array(side("to", "from")), "both": F.when(F.col("from") == F.col("to"), F.array(side("from", "to"))).otherwise(F.array(side("from", "to"), side("to", "from")))}[direction]
+    # of an edge that is not asked for, only its place counts
     wanted = F.lit(True) if relations is None else F.coalesce(F.col("relation").isin(*relations), F.lit(False))
-    named = named.withColumn("wanted", wanted).withColumn("weight", F.octet_length(F.to_json(F.struct("edge", "from", "to", "relation"))).cast("long") + 1)
-    ways = {"out": [("from", "to")], "in": [("to", "from")], "both": [("from", "to"), ("to", "from")]}[direction]
-    sides = [named.withColumns({"node": F.col(a), "next": F.col(b)}).where(F.lit(i == 0) | (F.col("from") != F.col("to"))) for i, (a, b) in enumerate(ways)]
-    both = reduce(DataFrame.union, sides).where("node IS NOT NULL AND next IS NOT NULL")
-    return numbered(both, ["node"], ["edge"]).where(F.col("place") <= most)
+    rows = once.select("salt", "edge", "relation", wanted.alias("wanted"), F.inline(sides)).select("salt", "node", "edge", *(F.when(F.col("wanted"), F.col(c)).alias(c) for c in ("next", "relation", "forward")))
+
+    def first(of: DataFrame, *key: str) -> DataFrame:
+        return of.withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("edge"))).where(F.col("place") <= most)
+
+    placed = first(first(rows, "salt", "node").drop("salt", "place").repartition(buckets, "node"), "node")
+    entry = F.struct("place", "edge", "next", "relation", "forward")
+    listed = placed.groupBy("node").agg(F.count("*").cast("int").alias("degree"), F.sort_array(F.collect_list(F.when(F.col("next").isNotNull(), entry))).alias("entries"))
+    return bucketed(listed, "steps", "node", buckets, dealt=True)
+
+
+def _looked(opened: DataFrame, near: DataFrame, buckets: int, both: bool) -> DataFrame:
+    """(root, own, before, total, entries): what opened nodes show to their roots, up to the last edge that a root may look at.
+
+    New nodes beyond `room` are never reached. So where a level's first node comes with the nodes
+    that its root holds, its list ends at the first node that is too many, unless an edge behind it
+    leads to one of those that the root holds then. The edges behind it change nothing: if no more
+    are taken, that one tells it, and what is looked at is known from the degrees.
+    """
+    rows = opened.repartition(buckets, "node").join(near, "node")
+    rows = rows.withColumn("entries", F.slice("entries", F.lit(1), F.size(F.filter("entries.place", lambda p: p <= F.col("left"))))).withColumn("nexts", F.col("entries.next"))
+    rows = rows.withColumn("fresh", F.array_except("nexts", "seen")).withColumn("cut", F.array_position("nexts", F.get("fresh", "room")).cast("int"))
+    rows = rows.withColumn("rest", F.slice("nexts", F.col("cut") + 1, F.size("nexts")))
+    # an edge to a node that was opened before is held already
+    later = F.slice("seen", F.col("own"), F.size("seen")) if both else F.col("seen")
+    rows = rows.withColumn("trim", F.coalesce(~F.arrays_overlap("rest", F.concat(later, F.slice("fresh", F.lit(1), F.col("room")))), F.lit(False)))
+    return rows.select("root", "own", "before", "total", F.when(F.col("trim"), F.slice("entries", F.lit(1), F.col("cut"))).otherwise(F.col("entries")).alias("entries"))
 
 
 def bounded_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, most_nodes: int = 200, most_edges: int = 500, most_work: int = 10_000, most_bytes: int = 256_000, direction: str = "out", relations: tuple[str, ...] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -109,67 +140,85 @@ def bounded_slice(edges: DataFrame, roots: DataFrame, depth: int = 3, most_nodes
     last depth are looked at, and max_depth is a reason if one has an edge that is not held. A hub
     is cut at most_work edges before any join. Edges without an end are left out.
 
-    A root's state, its sums with the nodes and edges that it holds, is one row, as the bounds keep
-    it small. What is looked at meets it by the root, and all windows are within the root: a level
-    is one shuffle of the frontier and one of what is looked at.
+    A root's state is one row, as the bounds keep it small: its sums and the nodes that it holds, in
+    the order they are opened. Of a root that goes on, each node that was opened showed all its edges:
+    an edge is held if its other end was opened before, so the edges need not be kept with the state.
+    A node's edges are one row, in buckets of nodes. A level asks the nodes for their degrees, then
+    those that the root may look at for their edges: what is shuffled are nodes and short lists,
+    and a hub's list that leads beyond most_nodes ends there.
     """
-    bounds = Bounds(most_nodes, most_edges, most_work, most_bytes)
-    step = staged(_adjacent(edges, direction, relations, bounds.work + 1), "steps")
-    degrees = step.groupBy("node").agg(F.max("place").alias("degree"))
+    bounds, both = Bounds(most_nodes, most_edges, most_work, most_bytes), direction == "both"
     wanted = roots.where(F.col("root").isNotNull()).select("root").distinct()
-    zero = F.lit(0).cast("long")
-    nothing = F.array().cast("array<string>")
-    sums = staged(wanted.select("root", (zero + 1).alias("nodes"), zero.alias("edges"), zero.alias("work"), (_text_size("root") + 1).alias("bytes"), F.array("root").alias("seen"), nothing.alias("held")), "sums")
-    frontier = sums.select("root", F.col("root").alias("node"), zero.alias("turn"))
-    levels, reasons = [], []
-    # a node's edges are numbered by their ids
-    line, turns = Window.partitionBy("root").orderBy("turn", "place"), Window.partitionBy("root").orderBy("turn")
-    upto = line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    buckets = int(min(max(2 * edges.count() / BUCKET, roots.count() * (bounds.work + 1) / LOOKS, edges.sparkSession.sparkContext.defaultParallelism), 2_048))
+    near = _adjacent(edges, direction, relations, bounds.work + 1, buckets)
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
+    state = staged(wanted.select("root", (zero + 1).alias("nodes"), zero.alias("edges"), zero.alias("work"), (_text_size("root") + 1).alias("bytes"), none.alias("reasons"), F.array("root").alias("seen"), F.lit(1).alias("opens")), "state")
+    sums = ["nodes", "edges", "work", "bytes", "reasons"]
+    ended, levels = [], []
+    line = Window.partitionBy("root").orderBy("step")
+    upto, above = line.rowsBetween(Window.unboundedPreceding, Window.currentRow), line.rowsBetween(Window.unboundedPreceding, -1)
+    left, room = F.lit(bounds.work + 1) - F.col("work"), F.greatest(F.lit(bounds.nodes) - F.col("nodes"), F.lit(0)).cast("int")
     for d in range(1, depth + 2):
+        live = state.where("opens IS NOT NULL")
+        ahead = live.select("root", "opens", F.posexplode(F.slice("seen", F.col("opens"), F.size("seen"))).alias("at", "node")).select("root", (F.col("opens") + F.col("at")).alias("own"), "node")
+        known = ahead.repartition(buckets, "node").join(near.select("node", "degree"), "node").select("root", "own", "degree").repartition(buckets, "root")
+        known = known.withColumns({"before": F.sum("degree").over(Window.partitionBy("root").orderBy("own")) - F.col("degree"), "total": F.sum("degree").over(Window.partitionBy("root"))})
         # nodes whose edges stand behind the last that a root may look at are not opened at all
-        opened = frontier.join(degrees, "node").join(sums.select("root", "work"), "root").withColumn("left", F.lit(bounds.work + 1) - F.col("work") - (F.sum("degree").over(turns) - F.col("degree")))
-        each = opened.where(F.col("left") > 0).select("root", "node", "turn", "left").join(step, "node").where("place <= left").drop("left", "node")
-        each = each.join(sums, "root").withColumns({"known": F.when(F.array_contains("seen", F.col("next")), True), "kept": F.when(F.array_contains("held", F.col("edge")), True)}).drop("seen", "held").withColumn("step", F.row_number().over(line))
-        # of an edge that both its ends open now, the first time counts
-        again = F.row_number().over(Window.partitionBy("root", "edge", "wanted").orderBy("step")) > 1
-        asked = F.col("wanted") & F.col("kept").isNull()
+        opened = known.join(live.select("root", "nodes", "work", "seen"), "root").withColumns({"left": left - F.col("before"), "room": room}).where("left > 0")
+        home = live.select("root", *sums, "seen")
         if d > depth:
-            each = each.withColumns({"hit": asked, "over": F.col("step") + F.col("work") > bounds.work})
-            reasons += [each.where("over").select("root", F.lit("max_work").alias("reason")), each.where("hit AND NOT over").select("root", F.lit("max_depth").alias("reason"))]
-            last = each.where("NOT over").groupBy("root").agg(F.count("*").alias("looked"))
-            sums = staged(sums.join(last, "root", "left").withColumn("work", F.col("work") + F.coalesce("looked", zero)).drop("looked"), "sums")
+            # a node that leads to more nodes than the root holds leads to a new one
+            looked = opened.select("root", "own", "total", "nodes", (F.col("left") - 1).alias("left"), F.get("seen", F.col("own") - 1).alias("node")).repartition(buckets, "node").join(near, "node")
+            looked = looked.withColumn("nexts", F.array_distinct(F.slice("entries.next", F.lit(1), F.size(F.filter("entries.place", lambda p: p <= F.col("left"))))))
+            looked = looked.withColumn("more", F.size("nexts") > F.col("nodes")).select("root", "own", "total", "more", F.when(~F.col("more"), F.col("nexts")).alias("nexts"))
+            looked = looked.repartition(buckets, "root").groupBy("root").agg(F.max("total").alias("total"), F.max("more").alias("more"), F.collect_list(F.when(~F.col("more"), F.struct("own", "nexts"))).alias("lists"))
+            asks = F.exists("lists", lambda x: F.size(F.array_except(x["nexts"], F.slice("seen", F.lit(1), x["own"] - 1) if both else none) if both else x["nexts"]) > 0)
+            cut = F.coalesce(F.col("total") >= left, F.lit(False))
+            state = home.join(looked, "root", "left").withColumn("hit", F.coalesce(F.col("more") | asks, F.lit(False)))
+            state = staged(state.select("root", "nodes", "edges", F.when(cut, F.lit(bounds.work)).otherwise(F.col("work") + F.coalesce("total", zero)).cast("long").alias("work"), "bytes", F.concat("reasons", F.when(cut, F.array(F.lit("max_work"))).otherwise(none), F.when(F.col("hit"), F.array(F.lit("max_depth"))).otherwise(none)).alias("reasons")), "state")
+            ended.append(state)
             break
-        each = each.withColumn("asked", asked & ~again)
-        first = F.row_number().over(Window.partitionBy("root", "next", "asked").orderBy("step")) == 1
-        each = each.withColumn("fresh", (F.col("asked") & F.col("known").isNull() & first).cast("long"))
-        # new nodes beyond the bound are never reached, so all edges to them are left out
-        rank = F.col("nodes") + F.sum("fresh").over(upto)
-        each = each.withColumn("reached", F.min(F.when(F.col("fresh") == 1, rank)).over(Window.partitionBy("root", "next")))
-        each = each.withColumn("shut", F.col("asked") & F.col("known").isNull() & (F.col("reached") > bounds.nodes))
-        each = each.withColumn("taken", (F.col("asked") & ~F.coalesce("shut", F.lit(False))).cast("long")).withColumn("first", F.when(F.coalesce("shut", F.lit(False)), 0).otherwise(F.col("fresh")))
-        each = each.withColumns({"n_edges": F.col("edges") + F.sum("taken").over(upto), "n_bytes": F.col("bytes") + F.sum(F.when(F.col("taken") == 1, F.col("weight") + F.when(F.col("first") == 1, _text_size("next") + 1).otherwise(0)).otherwise(0)).over(upto), "n_work": F.col("work") + F.col("step"), "n_nodes": F.col("nodes") + F.sum("first").over(upto)})
+        # of the level's first node alone, new nodes are counted before any other's
+        asks = (F.col("before") == 0) & (F.least(F.col("degree").cast("long"), F.col("left")) > F.col("room") + 1 + F.col("nodes"))
+        shown = _looked(opened.select("root", "own", "before", F.when(F.col("before") == 0, F.col("total")).alias("total"), "left", F.get("seen", F.col("own") - 1).alias("node"), *(F.when(asks, F.col(c)).alias(c) for c in ("room", "seen"))), near, buckets, both)
+        shown = shown.repartition(buckets, "root").groupBy("root").agg(F.max("total").alias("total"), F.sort_array(F.collect_list(F.struct("own", "before", "entries"))).alias("lists"))
+        each = home.join(shown, "root", "left").withColumn("gained", F.slice(F.array_except(F.flatten(F.transform("lists", lambda x: x["entries"]["next"])), F.col("seen")), F.lit(1), room))
+        each = each.select("root", *sums, "total", "seen", "gained", F.posexplode_outer("lists").alias("nth", "x")).select("*", "x.own", "x.before", F.posexplode_outer("x.entries").alias("at", "e"))
+        node, forward = F.get("seen", F.col("own") - 1), F.col("e.forward")
+        # what stays as it is goes with the root's first row alone
+        once = (F.coalesce("nth", F.lit(0)) == 0) & (F.coalesce("at", F.lit(0)) == 0)
+        each = each.select("root", "nodes", "edges", "work", "bytes", *(F.when(once, F.col(c)).alias(c) for c in ("total", "reasons", "seen")), (F.col("before") + F.col("e.place")).alias("step"), "e.edge", F.when(forward, node).otherwise(F.col("e.next")).alias("from"), F.when(forward, F.col("e.next")).otherwise(node).alias("to"), "e.relation", "e.next", "own", F.array_position("seen", F.col("e.next")).alias("held"), F.array_position("gained", F.col("e.next")).alias("new"))
+        asked = F.col("edge").isNotNull() & (F.lit(not both) | (F.col("held") == 0) | (F.col("held") >= F.col("own")))
+        each = each.withColumn("asked", F.coalesce(asked, F.lit(False))).withColumn("taken", (F.col("asked") & ((F.col("held") > 0) | (F.col("new") > 0))).cast("int"))
+        each = each.withColumn("first", F.coalesce(F.col("new") > F.coalesce(F.max("new").over(above), zero), F.lit(False)))
+        weight = F.octet_length(F.to_json(F.struct("edge", "from", "to", "relation"))).cast("long") + 1
+        gain = F.when(F.col("taken") == 1, weight + F.when(F.col("first"), _text_size("next") + 1).otherwise(0)).otherwise(0)
+        each = each.withColumns({"n_nodes": F.col("nodes") + F.coalesce(F.max("new").over(upto), zero), "n_edges": F.col("edges") + F.sum("taken").over(upto), "n_bytes": F.col("bytes") + F.sum(gain).over(upto)})
         # a slice that holds all its edges ends at the next one that it asks for, whether its node is new or not
         full = F.col("asked") & (F.col("n_edges") - F.col("taken") >= bounds.edges)
-        met = F.when(F.col("n_work") > bounds.work, "max_work").when(full, "max_edges").when(F.col("n_bytes") > bounds.bytes, "max_bytes")
-        stops = F.first(F.when(met.isNotNull(), F.struct("step", met.alias("reason"))), ignorenulls=True).over(upto)
-        each = each.withColumns({"shut": F.coalesce("shut", F.lit(False)), "stop": stops, "end": F.lead("step").over(line).isNull()}).withColumn("shuts", F.sum(F.col("shut").cast("int")).over(upto))
-        # of what was looked at and not taken, the first that was shut out and the last say all
-        told = (F.col("taken") == 1) | F.col("stop").isNotNull() | F.col("end") | F.col("shut") & (F.col("shuts") == 1)
-        level = staged(each.where("stop IS NULL OR stop.step = step").where(told).select("root", "step", "edge", "from", "to", "relation", "next", "taken", "first", "shut", "n_edges", "n_bytes", "n_work", "n_nodes", F.col("stop.reason").alias("stop")), "level").withColumn("depth", F.lit(d))
-        good = level.where("stop IS NULL")
-        reasons += [level.where("stop IS NOT NULL").select("root", F.col("stop").alias("reason")), good.where("shut").select("root", F.lit("max_nodes").alias("reason"))]
-        levels.append(good.where("taken = 1").select("root", "edge", "from", "to", "relation", "depth"))
+        met = F.when(F.col("step") >= left, "max_work").when(full, "max_edges").when(F.col("n_bytes") > bounds.bytes, "max_bytes")
+        each = each.withColumn("stop", F.first(F.when(met.isNotNull(), F.struct("step", met.alias("reason"))), ignorenulls=True).over(upto))
+        good = F.coalesce(F.col("step") < F.col("stop.step"), F.lit(True))
+        took = each.groupBy("root").agg(
+            *(F.first(c, ignorenulls=True).alias(c) for c in (*sums, "total", "seen")),
+            *(F.max(F.when(good, F.col(f"n_{c}"))).alias(f"m_{c}") for c in ("nodes", "edges", "bytes")),
+            F.collect_list(F.when(good & (F.col("taken") == 1), F.struct("edge", "from", "to", "relation"))).alias("parts"),
+            F.sort_array(F.collect_list(F.when(good & F.col("first"), F.struct("step", "next")))).alias("reached"),
+            F.max(good & F.col("asked") & (F.col("taken") == 0)).alias("shut"), F.max("stop").alias("stop"),
+        )
+        took = took.withColumn("why", F.coalesce(F.col("stop.reason"), F.when(F.col("total") >= left, F.lit("max_work"))))
         # the edge at which the work ends was not looked at, one at which another bound was met was
-        gained = level.groupBy("root").agg(*(F.collect_list(F.when(F.col("stop").isNull() & (F.col(flag) == 1), F.col(c))).alias(f"m_{name}") for name, flag, c in (("seen", "first", "next"), ("held", "taken", "edge"))), *(F.max(F.when(F.col("stop").isNull(), F.col(f"n_{c}"))).alias(f"m_{c}") for c in ("nodes", "edges", "bytes")), F.max(F.col("n_work") - (F.coalesce("stop", F.lit("")) == "max_work").cast("int")).alias("m_work"))
-        sums = staged(sums.join(gained, "root", "left").select("root", *(F.coalesce(f"m_{c}", c).alias(c) for c in ("nodes", "edges", "work", "bytes")), *(F.concat(c, F.coalesce(f"m_{c}", nothing)).alias(c) for c in ("seen", "held"))), "sums")
-        reached = good.where("first = 1")
-        frontier = reached.join(level.where("stop IS NOT NULL").select("root"), "root", "left_anti").select("root", F.col("next").alias("node"), F.col("step").cast("long").alias("turn"))
-        if frontier.isEmpty():
+        work = F.when(F.col("why") == "max_work", F.lit(bounds.work)).otherwise(F.col("work") + F.coalesce(F.col("stop.step"), F.col("total"), zero)).cast("long")
+        goes = F.col("why").isNull() & (F.size("reached") > 0)
+        reasons = F.concat("reasons", F.when(F.col("shut"), F.array(F.lit("max_nodes"))).otherwise(none), F.when(F.col("why").isNotNull(), F.array("why")).otherwise(none))
+        state = staged(took.select("root", *(F.coalesce(f"m_{c}", c).alias(c) for c in ("nodes", "edges")), work.alias("work"), F.coalesce("m_bytes", "bytes").alias("bytes"), reasons.alias("reasons"), F.when(goes, F.concat("seen", F.col("reached.next"))).alias("seen"), F.when(goes, F.size("seen") + 1).alias("opens"), "parts"), "level")
+        levels.append(state.select("root", F.inline("parts"), F.lit(d).alias("depth")))
+        ended.append(state.where("opens IS NULL"))
+        if state.where("opens IS NOT NULL").isEmpty():
             break
     kept = reduce(DataFrame.union, levels) if levels else edges.select(F.lit("").alias("root"), F.lit("").alias("edge"), F.col("from").cast("string"), F.col("to").cast("string"), F.lit("").alias("relation"), F.lit(0).alias("depth")).where("false")
-    listed = reduce(DataFrame.union, reasons).groupBy("root").agg(F.array_sort(F.collect_set("reason")).alias("reasons"))
-    report = sums.join(listed, "root", "left").select("root", "nodes", "edges", "work", "bytes", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"))
-    return kept, report
+    report = reduce(DataFrame.union, (e.select("root", *sums) for e in ended))
+    return kept, report.withColumn("reasons", F.array_sort(F.array_distinct("reasons")))
 
 
 def sink_reach(edges: DataFrame, roots: DataFrame, sinks: DataFrame, depth: int = 3) -> DataFrame:
